@@ -116,8 +116,16 @@ def field(name: str) -> Expr:
 
 
 def outer(name: str) -> Expr:
-    """A property of the enclosing query, for a subquery that has an alias of the same name."""
-    return Expr(lambda scope: F.col(name).outer())
+    """A property of the enclosing query. Any alias the subquery does not have itself is looked
+    up there, so the two must use different aliases."""
+
+    def build(scope: Scope) -> Column:
+        alias, _ = scope.split(name)
+        if alias is None or alias in scope.sources:
+            raise ValueError(f"{name!r} does not name an alias of the enclosing query")
+        return scope.resolve(name)
+
+    return Expr(build)
 
 
 def pk(alias: str | None = None) -> Expr:

@@ -99,11 +99,9 @@ def as_condition(value: Any) -> Condition:
 
 def _operand(value: Any, scope: Scope) -> Column:
     """Right side of a comparison: a subquery's one value, a field, or a bound value."""
-    if hasattr(value, "scalar"):
-        return value.scalar()
     if isinstance(value, Expr | Column):
         return to_col(value, scope)
-    return F.lit(value)
+    return value.scalar() if hasattr(value, "scalar") else F.lit(value)
 
 
 def _compare(prop, value, apply: Callable[[Column, Column], Column]) -> Condition:

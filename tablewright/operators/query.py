@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import aggregates
-from tablewright.functions.fields import Expr, as_field, to_col
-from tablewright.functions.predicates import Condition, as_condition
+from tablewright.functions.fields import Expr, as_field, outer, to_col
+from tablewright.functions.predicates import Condition, as_condition, eq_property
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
 from tablewright.operators.ids import dense_index
@@ -142,9 +142,7 @@ class Query:
         """In a subquery: tie the root table to its parent in the enclosing query."""
         query = self
         for own, parent in self._relation_pairs(table, alias):
-            query = query.filter(
-                Condition(lambda s, a=own, b=parent: s.resolve(a) == F.col(b).outer())
-            )
+            query = query.filter(eq_property(own, outer(parent)))
         return query
 
     def _relation_pairs(self, table: str, alias: str) -> list[tuple[str, str]]:

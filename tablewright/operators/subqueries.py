@@ -40,7 +40,8 @@ def not_exists(query, on=None) -> Condition:
 def _key_match(query, on, scope: Scope) -> Column:
     frame = query.frame()
     keys = [F.col(f"`{label}`").alias(f"_k{i}") for i, (_, label) in enumerate(on)]
-    matched = thin(frame, *keys)
+    # Outer names are looked up inside the subquery first; the alias hides its inner names.
+    matched = thin(frame, *keys).alias("_keys")
     for i, (prop, _) in enumerate(on):
         matched = matched.where(F.col(f"_k{i}") == as_field(prop).build(scope).outer())
     return matched.exists()
@@ -51,7 +52,7 @@ def in_query(prop, query) -> Condition:
     on = [(prop, query.only_label())]
 
     def fails(scope: Scope) -> Column:
-        s, x = _summary(query), as_field(prop).build(scope)
+        s, x = _sizes(query), as_field(prop).build(scope)
         decided = (s["n"] == 0) | (x.isNotNull() & (s["n"] == s["present"]))
         return ~_key_match(query, on, scope) & decided
 
@@ -66,6 +67,13 @@ def ne_all(prop, query) -> Condition:
     return not_in_query(prop, query)
 
 
+def _sizes(query) -> Column:
+    """Size of the subquery's column and its number of non-NULL values."""
+    value = F.col(f"`{query.only_label()}`")
+    packed = F.struct(F.count(F.lit(1)).alias("n"), F.count(value).alias("present"))
+    return query.frame().agg(packed.alias("sizes")).scalar()
+
+
 def _summary(query) -> Column:
     """Size, number of non-NULL values, smallest and largest value of the subquery's column."""
     value = F.col(f"`{query.only_label()}`")

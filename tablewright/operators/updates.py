@@ -74,9 +74,9 @@ class Update:
 
     @staticmethod
     def _value(value: Any, scope: Scope) -> Column:
-        if hasattr(value, "scalar"):
-            return value.scalar()
-        return to_col(value, scope) if isinstance(value, Expr | Column) else F.lit(value)
+        if isinstance(value, Expr | Column):
+            return to_col(value, scope)
+        return value.scalar() if hasattr(value, "scalar") else F.lit(value)
 
     def _looked_up(self, joined: DataFrame, lookup: Lookup, i: int, scope: Scope):
         found = f"_found{i}"

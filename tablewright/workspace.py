@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -86,9 +87,9 @@ class Workspace:
         return target.join(wanted, condition, "left_semi")
 
     def sql(self, text: str, args: Mapping[str, Any] | Sequence[Any] = ()) -> DataFrame:
-        """SQL text with bound parameters, over the tables of the catalog as views."""
+        """SQL text with bound parameters. Declared tables it names are views under their name."""
         for name in self.catalog.specs:
-            if self.store.exists(name):
+            if re.search(rf"\b{re.escape(name)}\b", text) and self.store.exists(name):
                 self.store.read(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args or None)
 
