@@ -188,9 +188,23 @@ def like(prop, pattern: str, mode: str = "ANY_WHERE", escape: str | None = None)
     shapes = {"START": "{}%", "END": "%{}", "ANY_WHERE": "%{}%"}
     full = shapes[mode].format(pattern)
     char = F.lit(escape) if escape else None
+    parts = [part for part in pattern.split("%") if part]
+    if mode == "ANY_WHERE" and not escape and len(parts) > 1 and not set(pattern) & {"_", "\\"}:
+        return Condition(lambda scope: _in_turn(f.build(scope), parts))
     return Condition(lambda scope: F.like(f.build(scope), F.lit(full), char))
 
 
+def _in_turn(value: Column, parts: list[str]) -> Column:
+    """The parts occur one after the other. Each is searched once from the end of the one before;
+    the regular expression behind LIKE would go back over long texts for every occurrence."""
+    found = F.position(F.lit(parts[0]), value)
+    match = found > 0
+    for before, part in zip(parts, parts[1:]):
+        found = F.position(F.lit(part), value, found + len(before))
+        match = match & (found > 0)
+    return F.when(value.isNotNull(), match)
+
+
 def text(prop: str, suffix: str) -> Condition:
     """A property followed by raw SQL text, e.g. `text("size", "in (1, 2)")`."""
 

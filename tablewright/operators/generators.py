@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column as SparkColumn
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.ids import identity_ids, sequence_ids
 from tablewright.schema import Column
+from tablewright.session import settle
 
 
 @dataclass(frozen=True)
@@ -56,10 +57,14 @@ NAMED = {
 
 
 def generate(
-    df: DataFrame, column: Column, table: DataFrame, order: Sequence[SparkColumn] = ()
+    df: DataFrame,
+    column: Column,
+    existing: Callable[[], DataFrame],
+    order: Sequence[SparkColumn] = (),
+    given: bool = True,
 ) -> DataFrame:
     """Fill the column's NULLs from its generator. Only rows without a value take an id, and
-    ids go on from the last one in `table`."""
+    ids go on from the last one that exists."""
     made = column.generator
     if isinstance(made, str):
         made = NAMED[made]
@@ -68,7 +73,10 @@ def generate(
     if not hasattr(made, "number"):
         return df.withColumn(prop, F.coalesce(value, made().cast(column.data_type)))
     rising = getattr(made, "interval", getattr(made, "increment_by", 1)) > 0
-    last = table.agg((F.max if rising else F.min)(value)).first()[0]
+    last = existing().agg((F.max if rising else F.min)(value)).first()[0]
+    if not given:
+        return made.number(df.drop(prop), prop, order, last)
+    df = settle(df, "given")  # read twice below, and must be the same rows both times
     empty = made.number(df.where(value.isNull()).drop(prop), prop, order, last)
     empty = empty.withColumn(prop, value.cast(column.data_type))
     return df.where(value.isNotNull()).unionByName(empty)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,32 +16,37 @@ from tablewright.schema import TableSpec
 from tablewright.session import settle
 
 
-def align(tables, spec: TableSpec, df: DataFrame, exclude: Sequence[str] = (), order=()):
+def align(
+    spec: TableSpec,
+    df: DataFrame,
+    existing: Callable[[], DataFrame],
+    exclude: Sequence[str] = (),
+    order: Sequence[Column] = (),
+) -> DataFrame:
     """Shape a frame like the table: missing properties become NULL, then generators, defaults
-    and types apply, and a NULL where none is allowed fails the write."""
-    skipped = set(exclude)
+    and types apply, and a NULL where none is allowed fails the write. Generated ids follow those
+    of the `existing` rows."""
+    given = set(df.columns) - set(exclude)
     aligned = df.select(
         *[
-            (
-                F.col(f"`{c.prop}`")
-                if c.prop in df.columns and c.prop not in skipped
-                else F.lit(None)
-            )
+            (F.col(f"`{c.prop}`") if c.prop in given else F.lit(None))
             .cast(c.data_type)
             .alias(c.prop)
             for c in spec.columns
-        ]
+        ],
+        *[c.alias(f"_order{i}") for i, c in enumerate(order)],
     )
+    sort = [F.col(f"_order{i}") for i in range(len(order))]
     for c in spec.columns:
         if c.auto_increment:
-            aligned = auto_increment(aligned, tables.table(spec.name), c.prop, order)
+            aligned = auto_increment(aligned, existing(), c.prop, sort)
         elif c.generator is not None:
-            aligned = generate(aligned, c, tables.table(spec.name), order)
+            aligned = generate(aligned, c, existing, sort, c.prop in given)
         if c.default is not None:
             aligned = fill_default(aligned, c)
     return aligned.select(
         *[
-            (not_null(c.prop) if not spec.is_nullable(c.prop) else F.col(f"`{c.prop}`"))
+            (F.col(f"`{c.prop}`") if spec.is_nullable(c.prop) else not_null(c.prop))
             .cast(c.data_type)
             .alias(c.prop)
             for c in spec.columns
@@ -103,7 +108,9 @@ class Insert:
         df = self.parts[0]
         for more in self.parts[1:]:
             df = df.unionByName(more, allowMissingColumns=True)
-        return align(self.tables, self.spec, df, self.excluded, self.order)
+        return align(
+            self.spec, df, lambda: self.tables.table(self.spec.name), self.excluded, self.order
+        )
 
     def execute(self) -> int:
         return self.tables.store.append(

@@ -85,10 +85,14 @@ class Query:
 
     # ---- joins ---------------------------------------------------------------------------
 
-    def join(self, source, alias: str, on, how: str = "inner") -> Query:
+    def join(self, source, alias: str, on, how: str = "inner", split: bool = True) -> Query:
         """Join a table, query or frame. `on` is a condition, or a list of key pairs
-        `("left_prop", "alias.prop")` with further conditions. With pairs, outer joins are also
-        safe under hot keys."""
+        `("left_prop", "alias.prop")` with further conditions.
+
+        With pairs, an outer join to a side that can repeat its key is split into matched and
+        unmatched rows, which keeps a hot key off a single task and reads the inputs twice; in a
+        chain of such joins, once more per join for each. `split=False` leaves it to Spark.
+        """
         frame, described = self.tables.source(source)
         right = frame.alias(alias)
         scope = self._scope_with(alias, described)
@@ -97,7 +101,8 @@ class Query:
         equal = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
         more = [as_condition(p).holds(scope) for p in parts if not isinstance(p, tuple)]
         condition = functools.reduce(Column.__and__, equal + more)
-        if how == "inner" or not pairs or self._keys_cannot_repeat(described, scope, pairs, how):
+        whole = how == "inner" or not split or not pairs
+        if whole or self._keys_cannot_repeat(described, scope, pairs, how):
             joined = self.base.join(right, condition, how)
         else:
             left_lookup, right_lookup = self.base, right
@@ -369,16 +374,27 @@ class Query:
     def described(self, frame: DataFrame) -> Source:
         """What an enclosing query may know of this one: its labels and what is unique."""
         labels = tuple(frame.columns)
-        unique: tuple[tuple[str, ...], ...] = ()
         if self.is_distinct:
-            unique = (labels,)
-        elif self.groups:
-            by_prop = {f.prop.rpartition(".")[2]: label for f, label in self.items if f.prop}
-            names = [as_field(g).prop.rpartition(".")[2] for g in self.groups]
-            found = [by_prop.get(n, n if not self.items else None) for n in names]
-            if all(found):
-                unique = (tuple(found),)
-        return Source(labels, None, unique)
+            return Source(labels, None, (labels,))
+        by_prop = {f.prop.rpartition(".")[2]: label for f, label in self.items if f.prop}
+        if not self.items:
+            by_prop = {label: label for label in labels}
+        if self.groups:
+            keys = [[as_field(g).prop.rpartition(".")[2] for g in self.groups]]
+        else:
+            keys = self._root_keys()
+        found = [tuple(by_prop.get(p) for p in key) for key in keys]
+        return Source(labels, None, tuple(key for key in found if key and all(key)))
+
+    def _root_keys(self) -> list[tuple[str, ...]]:
+        """Keys of the one table this query reads, which hold for its rows too."""
+        if len(self.scope.sources) > 1:
+            return []
+        root = self.scope.sources[self.scope.root]
+        keys = list(root.unique)
+        if root.spec:
+            keys += [root.spec.primary_key, *root.spec.unique.values()]
+        return [tuple(key) for key in keys if key]
 
     def scalar(self) -> Column:
         """The query as one value; more than one row is an error when it runs."""

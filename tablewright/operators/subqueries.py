@@ -40,8 +40,9 @@ def not_exists(query, on=None) -> Condition:
 def _key_match(query, on, scope: Scope) -> Column:
     frame = query.frame()
     keys = [F.col(f"`{label}`").alias(f"_k{i}") for i, (_, label) in enumerate(on)]
+    once = query.described(frame).covers_key(label for _, label in on)
     # Outer names are looked up inside the subquery first; the alias hides its inner names.
-    matched = thin(frame, *keys).alias("_keys")
+    matched = (frame.select(*keys) if once else thin(frame, *keys)).alias("_keys")
     for i, (prop, _) in enumerate(on):
         matched = matched.where(F.col(f"_k{i}") == as_field(prop).build(scope).outer())
     return matched.exists()

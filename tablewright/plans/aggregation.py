@@ -123,7 +123,7 @@ def agg_expr(ws):
 @query(
     """
     SELECT p_type, round(stddev_samp(p_retailprice), 6) AS spread, bool_and(p_size > 0) AS positive,
-           median(p_size)::DOUBLE AS middle
+           bit_or(p_size) AS bits
     FROM part GROUP BY p_type
     """
 )
@@ -134,7 +134,7 @@ def agg_named(ws):
         .column("p_type")
         .column(rounded(aggregate("stddev_samp", "p_retailprice"), 6), "spread")
         .column(aggregate("bool_and", gt_expr()), "positive")
-        .column(aggregate("median", "p_size"), "middle")
+        .column(aggregate("bit_or", "p_size"), "bits")
     )
 
 

@@ -261,7 +261,7 @@ def by_example_frame(ws):
         .column("p_brand")
         .column(F.when(F.col("p_size") >= 25, F.col("p_type")), "p_type")
     )
-    return ws.by_examples("part", examples.frame()).where("p_type <> 'PROMO'")
+    return ws.by_examples("part", examples.frame()).filter(ne("p_type", "PROMO"))
 
 
 @query("SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'", "by_example")

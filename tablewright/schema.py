@@ -118,7 +118,7 @@ class Column:
     scale: int | None = None
     unsigned: bool = False
     auto_increment: bool = False
-    default: Any = None
+    default: Any = field(default=None, hash=False)
     generator: Any = None
     comment: str = ""
 
@@ -156,7 +156,7 @@ class TableSpec:
     name: str
     columns: tuple[Column, ...]
     primary_key: tuple[str, ...] = ()
-    unique: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    unique: Mapping[str, tuple[str, ...]] = field(default_factory=dict, hash=False)
     foreign_keys: tuple[ForeignKey, ...] = ()
     comment: str = ""
 

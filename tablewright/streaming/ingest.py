@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tablewright.operators.inserts import align
@@ -24,12 +25,22 @@ def ingest(
     spec = tables.catalog[table]
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        rows = tables.physical(table, align(tables, spec, batch))
+        def earlier() -> DataFrame:
+            if batch_id == 0:
+                return batch.sparkSession.createDataFrame([], spec.struct())
+            done = _with_batches(batch.sparkSession, path).where(F.col(BATCH) < batch_id)
+            return done.withColumnsRenamed(spec.to_property)
+
+        rows = tables.physical(table, align(spec, batch, earlier))
         writer = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
         writer.parquet(os.path.join(path, f"{BATCH}={batch_id}"))
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
 
 
+def _with_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def read_ingested(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop(BATCH)
+    return _with_batches(spark, path).drop(BATCH)

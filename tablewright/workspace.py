@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.predicates import by_identity, eq
+from tablewright.functions.predicates import by_identity, eq, false, or_
 from tablewright.functions.scope import Source
 from tablewright.operators.cascade import Delete, KeyUpdate
 from tablewright.operators.inserts import Insert
 from tablewright.operators.query import ROOT, Query
+from tablewright.operators.subqueries import exists
 from tablewright.operators.updates import Update, update_by_key
 from tablewright.schema import Catalog, TableSpec
 from tablewright.sources.tables import FolderStore, TableStore
@@ -73,18 +75,23 @@ class Workspace:
 
     def by_examples(
         self, table: str, examples: DataFrame, exclude: Sequence[str] = ()
-    ) -> DataFrame:
-        """Rows like any of a frame of examples; a NULL in an example matches every value."""
-        skipped = set(exclude)
-        props = [p for p in examples.columns if p not in skipped]
-        target, wanted = self.table(table).alias("t"), examples.select(*props).distinct().alias("e")
-        fits = [
-            F.col(f"e.`{p}`").isNull() | (F.col(f"t.`{p}`") == F.col(f"e.`{p}`")) for p in props
-        ]
-        condition = fits[0]
-        for fit in fits[1:]:
-            condition = condition & fit
-        return target.join(wanted, condition, "left_semi")
+    ) -> Query:
+        """Rows like any of a frame of examples; a NULL in an example matches every value.
+
+        Examples with the same properties set make one semi join on these properties. The driver
+        only learns which combinations occur.
+        """
+        props = [p for p in examples.columns if p not in set(exclude)]
+        given = [F.col(f"`{p}`").isNotNull().alias(p) for p in props]
+        conditions = []
+        for shape in examples.select(*given).distinct().collect():
+            used = [p for p in props if shape[p]]
+            if not used:
+                return self.query(table)
+            fits = [F.col(f"`{p}`").isNotNull() == F.lit(shape[p]) for p in props]
+            same = examples.where(functools.reduce(Column.__and__, fits)).select(*used)
+            conditions.append(exists(self.query(same, "examples"), on=[(p, p) for p in used]))
+        return self.query(table).filter(or_(*conditions) if conditions else false())
 
     def sql(self, text: str, args: Mapping[str, Any] | Sequence[Any] = ()) -> DataFrame:
         """SQL text with bound parameters. Declared tables it names are views under their name."""
