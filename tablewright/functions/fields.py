@@ -215,24 +215,28 @@ def _slot(value: Any, scope: Scope) -> str:
     """SQL text for one template slot, with names and values quoted."""
     if isinstance(value, Expr) and value.prop:
         value = f"'{value.prop}'"
+    if isinstance(value, str) and (name := quoted_property(value)) is not None:
+        alias, prop = scope.split(name)
+        alias = alias or scope.owner(prop)
+        return f"`{alias}`.`{prop}`" if alias else f"`{prop}`"
+    return sql_literal(value)
+
+
+def sql_literal(value: Any) -> str:
+    """A value as SQL text, quoted and escaped."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
     if isinstance(value, str):
-        name = quoted_property(value)
-        if name is None:
-            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        alias, prop = scope.split(name)
-        alias = alias or scope.owner(prop)
-        return f"`{alias}`.`{prop}`" if alias else f"`{prop}`"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     if isinstance(value, dt.datetime):
         return f"timestamp_ntz'{value.isoformat(sep=' ')}'"
     if isinstance(value, dt.date):
         return f"date'{value.isoformat()}'"
     if isinstance(value, NUMBERS):
-        return repr(value) if not isinstance(value, Decimal) else str(value)
-    raise TypeError(f"a template slot takes a property or a value, not {type(value).__name__}")
+        return str(value)
+    raise TypeError(f"not a property or a plain value: {type(value).__name__}")
 
 
 def as_field(value: Any) -> Expr:

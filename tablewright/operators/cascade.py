@@ -186,7 +186,8 @@ class Delete:
             if not taken and not changed:
                 continue
             affected = functools.reduce(DataFrame.union, taken + changed)
-            parts[name] = TableChange(remaining, affected)
+            reset = {p for fk in keys if actions[fk].startswith("SET") for p in fk.props}
+            parts[name] = TableChange(remaining, affected, frozenset(reset))
             if taken:
                 removed = functools.reduce(DataFrame.union, taken)
                 gone[name] = _kept_for_children(self.tables, spec, removed)
@@ -324,7 +325,7 @@ class KeyUpdate:
         moved = affected.select(
             "*", *[c.alias(f"_new_{p}") for p, c in new.items()]
         )
-        parts = {self.spec.name: TableChange(frame, affected)}
+        parts = {self.spec.name: TableChange(frame, affected, frozenset(new))}
         self._propagate(self.spec, moved, set(new), parts, (self.spec.name,))
         return Change(parts)
 
@@ -356,10 +357,11 @@ class KeyUpdate:
                     for f in child.schema
                 ]
             )
-            affected = touched
+            affected, changed = touched, frozenset(fk.props)
             if name in parts:
                 affected = parts[name].affected.union(touched)
-            parts[name] = TableChange(frame, affected)
+                changed |= parts[name].changed
+            parts[name] = TableChange(frame, affected, changed)
             below = child.join(remap, on, "inner").select(
                 *_cols(child.columns), *[v.alias(f"_new_{p}") for p, v in values.items()]
             )

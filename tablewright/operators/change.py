@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class TableChange:
+    """New contents, affected old rows, and the properties that get other values (none for a
+    delete). A table partitioned by other properties is rewritten in the affected rows'
+    partitions only."""
+
     frame: DataFrame
     affected: DataFrame
+    changed: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)

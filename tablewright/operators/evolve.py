@@ -46,7 +46,7 @@ def evolve(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def validate(tables, spec: TableSpec) -> None:
-    problems = schema_diff(tables.table(spec.name), spec).take(20)
+    problems = schema_diff(tables.found(spec.name), spec).take(20)
     if problems:
         raise SchemaMismatch(f"{spec.name}: {[tuple(p) for p in problems]}")
 
@@ -76,13 +76,12 @@ def ensure(tables, name: str, policy: str = "DEFAULT") -> None:
         for fk in spec.foreign_keys:
             if fk.ref_table != name and not store.exists(fk.ref_table):
                 ensure(tables, fk.ref_table, "CREATE")
-        store.create(name, spec.struct(physical=True))
+        by = [spec.column(p).column_name for p in spec.partition_by]
+        store.create(name, spec.struct(physical=True), by)
     elif policy == "UPDATE":
-        found = tables.table(name)
-        fits = [(f.name, f.dataType) for f in found.schema][: len(spec.columns)] == [
-            (c.prop, c.data_type) for c in spec.columns
-        ]
-        if not fits:
+        found = tables.found(name)
+        types = {f.name: f.dataType for f in found.schema}
+        if any(types.get(c.prop) != c.data_type for c in spec.columns):
             store.replace({name: tables.physical(name, evolve(found, spec))})
 
 

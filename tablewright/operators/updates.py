@@ -70,7 +70,8 @@ class Update:
                 fresh = new[f.name].cast(f.dataType)
                 old = F.when(hit, fresh).otherwise(old)
             columns.append(old.alias(f.name))
-        return Change({self.spec.name: TableChange(joined.select(*columns), target.where(hit))})
+        frame = joined.select(*columns)
+        return Change({self.spec.name: TableChange(frame, target.where(hit), frozenset(new))})
 
     @staticmethod
     def _value(value: Any, scope: Scope) -> Column:
@@ -131,4 +132,5 @@ def update_by_key(
                 raise ValueError(f"unknown selector {selector!r}")
         columns.append(old.alias(f.name))
     frame = target.join(fresh, on, "left").select(*columns)
-    return Change({spec.name: TableChange(frame, target.join(fresh, on, "left_semi"))})
+    affected = target.join(fresh, on, "left_semi")
+    return Change({spec.name: TableChange(frame, affected, frozenset(props))})

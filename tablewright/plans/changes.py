@@ -15,6 +15,7 @@ from tablewright.functions import (
     multiply,
     ne,
     ne_property,
+    or_,
 )
 from tablewright.operators.query import Query
 from tablewright.plans.registry import query
@@ -30,7 +31,8 @@ def scratch(ws, *specs: TableSpec) -> Workspace:
     name = "tables_" + path[-12:]
     target = Workspace.over_tables(ws.spark, Catalog(*specs), name, path)
     for spec in specs:
-        target.store.create(spec.name, spec.struct(physical=True))
+        by = [spec.column(p).column_name for p in spec.partition_by]
+        target.store.create(spec.name, spec.struct(physical=True), by)
     return target
 
 
@@ -564,3 +566,21 @@ def apply_changes(ws):
 
 def _notes(ws) -> Query:
     return ws.query("documents").columns("docId", "lang", "nChars")
+
+
+# The same on a table partitioned by language: only the partitions with affected rows are
+# written anew. Spanish is deleted as a whole, French in part, English is updated.
+@query(
+    """
+    SELECT doc_id, n_chars, CASE WHEN lang = 'en' THEN 'read' ELSE 'new' END AS status,
+           NULL::DOUBLE AS score, lang
+    FROM documents WHERE lang <> 'es' AND NOT (lang = 'fr' AND n_chars > 1000)
+    """
+)
+def apply_to_partitions(ws):
+    target = scratch(ws, replace(NOTE, partition_by=("lang",)))
+    target.insert("note").values_from(_notes(ws)).execute()
+    target.apply(target.update("note").filter(eq("lang", "en")).set("status", "read").plan())
+    long_french = and_(eq("lang", "fr"), gt("nChars", 1000))
+    target.apply(target.delete("note").filter(or_(eq("lang", "es"), long_french)).plan())
+    return target.store.read("note")

@@ -112,7 +112,7 @@ def check_unsigned(ws):
     """
 )
 def schema_diff(ws):
-    return checks.schema_diff(ws.table("part"), _next_part(ws, p_partkey="INTEGER"))
+    return checks.schema_diff(ws.found("part"), _next_part(ws, p_partkey="INTEGER"))
 
 
 def _next_part(ws, **types):
@@ -131,7 +131,7 @@ def _next_part(ws, **types):
     """
 )
 def schema_evolve(ws):
-    return evolve(ws.table("part"), _next_part(ws))
+    return evolve(ws.found("part"), _next_part(ws))
 
 
 @query(

@@ -158,11 +158,12 @@ class TableSpec:
     primary_key: tuple[str, ...] = ()
     unique: Mapping[str, tuple[str, ...]] = field(default_factory=dict, hash=False)
     foreign_keys: tuple[ForeignKey, ...] = ()
+    partition_by: tuple[str, ...] = ()
     comment: str = ""
 
     def __post_init__(self):
         known = set(self.props)
-        used = [*self.primary_key]
+        used = [*self.primary_key, *self.partition_by]
         for group in self.unique.values():
             if set(group) & set(self.primary_key) and len(group) == 1:
                 raise ValueError(f"{self.name}: {group} is the primary key already")

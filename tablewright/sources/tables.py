@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.fields import sql_literal
+
 
 class FolderStore:
     """Read-only tables, one `NAME.parquet` file or folder each."""
@@ -18,8 +22,10 @@ class FolderStore:
         self.spark = spark
         self.folder = folder
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """A table; with a schema, files need not be opened to learn theirs."""
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def exists(self, name: str) -> bool:
         try:
@@ -33,7 +39,8 @@ class TableStore:
     """Parquet tables in a Spark database.
 
     A table's files are never changed. A rewrite goes to a new folder, and the table is then
-    pointed at it, so running readers keep the old files and a failed job leaves no trace.
+    pointed at it, so running readers keep the old files and a failed job leaves no trace. Of a
+    partitioned table only the partitions that a change affects are rewritten.
     """
 
     def __init__(self, spark: SparkSession, database: str, location: str):
@@ -41,7 +48,10 @@ class TableStore:
         self.database = database
         self.location = location
         self._temporary: list[str] = []
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        spark.sql(
+            f"CREATE DATABASE IF NOT EXISTS `{database}` "
+            f"LOCATION {sql_literal(os.path.join(location, 'database'))}"
+        )
 
     def full(self, name: str) -> str:
         return f"`{self.database}`.`{name}`"
@@ -49,56 +59,98 @@ class TableStore:
     def _new_folder(self, name: str) -> str:
         return os.path.join(self.location, name, f"v-{uuid.uuid4().hex}")
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         return self.spark.table(self.full(name))
 
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(f"{self.database}.{name}")
 
-    def create(self, name: str, schema: T.StructType) -> None:
-        empty = self.spark.createDataFrame([], schema)
-        self._save_as(name, empty)
+    def partition_columns(self, name: str) -> list[str]:
+        columns = self.spark.catalog.listColumns(f"{self.database}.{name}")
+        return [c.name for c in columns if c.isPartition]
 
-    def create_as(self, name: str, df: DataFrame) -> int:
+    def create(self, name: str, schema: T.StructType, partition_by: Sequence[str] = ()) -> None:
+        self._save_as(name, self.spark.createDataFrame([], schema), partition_by)
+
+    def create_as(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
         """Create a table from a frame; returns the number of rows. An existing one is an error."""
         if self.exists(name):
             raise ValueError(f"table {name} exists")
-        return self._save_as(name, df)
+        return self._save_as(name, df, partition_by)
 
-    def _save_as(self, name: str, df: DataFrame) -> int:
+    def _save_as(self, name: str, df: DataFrame, partition_by: Sequence[str]) -> int:
         counted, seen = _counting(df)
-        writer = counted.write.format("parquet").mode("errorifexists")
+        writer = counted.write.format("parquet").mode("errorifexists").partitionBy(*partition_by)
         writer.option("path", self._new_folder(name)).saveAsTable(self.full(name))
         return seen()
 
     def append(self, name: str, df: DataFrame, rows_per_file: int = 0) -> int:
         """Add rows, columns by name; returns their number."""
-        counted, seen = _counting(df.select(*self.read(name).columns))
+        counted, seen = _counting(df.select(*[f"`{c}`" for c in self.read(name).columns]))
         counted.write.option("maxRecordsPerFile", rows_per_file).insertInto(self.full(name))
         return seen()
 
-    def replace(self, frames: dict[str, DataFrame]) -> None:
-        """Give tables new contents, in the given order, once all of them are written."""
+    def replace(
+        self, frames: dict[str, DataFrame], touched: Mapping[str, list[Row]] | None = None
+    ) -> None:
+        """Give tables new contents, in the given order, once all of them are written.
+
+        For a table in `touched`, the frame holds these partitions only, and the others stay.
+        """
         written = {}
         for name, df in frames.items():
             written[name] = self._new_folder(name)
-            df.write.parquet(written[name])
+            df.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
         for name, path in written.items():
-            found = self.spark.read.parquet(path)
-            if found.columns == self.read(name).columns and [f.dataType for f in found.schema] == [
-                f.dataType for f in self.read(name).schema
-            ]:
-                self.spark.sql(f"ALTER TABLE {self.full(name)} SET LOCATION '{path}'")
-                self.spark.catalog.refreshTable(self.full(name))
+            schema = frames[name].schema
+            old = {f.name: f.dataType for f in self.read(name).schema}
+            partitions = self.partition_columns(name)
+            if old != {f.name: f.dataType for f in schema}:
+                self._declare_at(name, path, schema, partitions)
+            elif partitions:
+                gone = (touched or {}).get(name)
+                if gone is None:
+                    gone = self.read(name).select(*partitions).distinct().collect()
+                self._switch_partitions(name, path, schema, partitions, gone)
             else:
-                self._declare_at(name, path, found.schema)
-
-    def _declare_at(self, name: str, path: str, schema: T.StructType) -> None:
+                self.spark.sql(f"ALTER TABLE {self.full(name)} SET LOCATION {sql_literal(path)}")
+            self.spark.catalog.refreshTable(self.full(name))
+
+    def _switch_partitions(
+        self, name: str, path: str, schema: T.StructType, columns: list[str], gone: list[Row]
+    ) -> None:
+        """Point partitions at their new folders, and drop those that have no rows any more."""
+        file_path = F.col("_metadata.file_path")
+        folder = F.regexp_extract(file_path, "^(.*)/[^/]*$", 1)
+        found = self.spark.read.schema(schema).parquet(path).groupBy(*columns)
+        fresh = {
+            tuple(row[c] for c in columns): unquote(row["folder"])
+            for row in found.agg(F.any_value(folder).alias("folder")).collect()
+        }
+        for key in {tuple(row) for row in gone} - fresh.keys():
+            self.spark.sql(
+                f"ALTER TABLE {self.full(name)} DROP IF EXISTS {_partition(columns, key)}"
+            )
+        for key, place in fresh.items():
+            where = _partition(columns, key)
+            self.spark.sql(f"ALTER TABLE {self.full(name)} ADD IF NOT EXISTS {where}")
+            self.spark.sql(
+                f"ALTER TABLE {self.full(name)} {where} SET LOCATION {sql_literal(place)}"
+            )
+
+    def _declare_at(
+        self, name: str, path: str, schema: T.StructType, partitions: list[str]
+    ) -> None:
         """Point the table at files of another schema. The old files stay where they are."""
         self.spark.sql(f"DROP TABLE {self.full(name)}")
-        self.spark.catalog.createTable(
-            f"{self.database}.{name}", path=path, source="parquet", schema=schema
+        text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by = f"PARTITIONED BY ({', '.join(f'`{p}`' for p in partitions)})" if partitions else ""
+        self.spark.sql(
+            f"CREATE TABLE {self.full(name)} ({text}) USING parquet {by} "
+            f"LOCATION {sql_literal(path)}"
         )
+        if partitions:
+            self.spark.catalog.recoverPartitions(self.full(name))
 
     def truncate(self, name: str) -> None:
         self.replace({name: self.read(name).where(F.lit(False))})
@@ -118,6 +170,11 @@ class TableStore:
         self.read(name).write.format(file_format).save(path)
 
 
+def _partition(columns: Sequence[str], values: Sequence) -> str:
+    pairs = [f"`{c}` = {sql_literal(v)}" for c, v in zip(columns, values, strict=True)]
+    return f"PARTITION ({', '.join(pairs)})"
+
+
 def _counting(df: DataFrame):
     """The frame, and a function for its row count once it has been written. Counted in the
     writing tasks themselves, each of which counts once even if it is retried."""

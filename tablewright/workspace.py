@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import by_identity, eq, false, or_
@@ -45,11 +45,16 @@ class Workspace:
     # ---- reading -------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
-        """A declared table under its property names."""
-        df = self.store.read(name)
-        if name in self.catalog:
-            df = df.withColumnsRenamed(self.catalog[name].to_property)
-        return df
+        """A table under its property names, with the declared types if it is declared."""
+        if name not in self.catalog:
+            return self.store.read(name)
+        spec = self.catalog[name]
+        df = self.store.read(name, spec.struct(physical=True))
+        return df.withColumnsRenamed(spec.to_property)
+
+    def found(self, name: str) -> DataFrame:
+        """A declared table with the columns and types that its files have."""
+        return self.store.read(name).withColumnsRenamed(self.catalog[name].to_property)
 
     def source(self, source) -> tuple[DataFrame, Source]:
         if isinstance(source, str):
@@ -97,7 +102,7 @@ class Workspace:
         """SQL text with bound parameters. Declared tables it names are views under their name."""
         for name in self.catalog.specs:
             if re.search(rf"\b{re.escape(name)}\b", text) and self.store.exists(name):
-                self.store.read(name).createOrReplaceTempView(name)
+                self.physical(name, self.table(name)).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args or None)
 
     # ---- named queries and results -------------------------------------------------------
@@ -170,9 +175,15 @@ class Workspace:
         """
         counts = {name: part.affected.count() for name, part in change.parts.items()}
         order = self.catalog.parents_first(change.parts)[::-1]
-        self.store.replace(
-            {name: self.physical(name, change.parts[name].frame) for name in order}
-        )
+        frames, touched = {}, {}
+        for name in order:
+            part, by = change.parts[name], self.catalog[name].partition_by
+            frame = part.frame
+            if by and not part.changed & set(by):
+                touched[name] = part.affected.select(*by).distinct().collect()
+                frame = frame.where(_one_of(by, touched[name]))
+            frames[name] = self.physical(name, frame)
+        self.store.replace(frames, touched)
         return counts
 
     def close(self) -> None:
@@ -187,3 +198,17 @@ class Workspace:
 
     def spec(self, name: str) -> TableSpec:
         return self.catalog[name]
+
+
+def _one_of(columns: Sequence[str], values: list[Row]) -> Column:
+    """The columns hold one of the listed rows. A balanced tree, since there may be thousands."""
+    tests = [
+        functools.reduce(
+            Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in columns]
+        )
+        for row in values
+    ] or [F.lit(False)]
+    while len(tests) > 1:
+        pairs = zip(tests[::2], tests[1::2])
+        tests = [a | b for a, b in pairs] + (tests[-1:] if len(tests) % 2 else [])
+    return tests[0]

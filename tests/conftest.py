@@ -38,7 +38,7 @@ class FrameStore:
     def __init__(self, frames):
         self.frames = frames
 
-    def read(self, name):
+    def read(self, name, schema=None):
         return self.frames[name]
 
     def exists(self, name):

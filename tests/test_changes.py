@@ -1,5 +1,7 @@
 """Inserts, updates, deletes, cascades and foreign-key actions on small tables."""
 
+import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -17,6 +19,7 @@ from tablewright.functions import (
     raw,
 )
 from tablewright.operators.cascade import ForeignKeyViolation
+from tablewright.operators.evolve import ensure
 from tablewright.operators.generators import Identity, IdSequence
 from tablewright.operators.subqueries import exists, in_query
 from tablewright.schema import Catalog, Column, ForeignKey, TableSpec
@@ -397,3 +400,55 @@ def test_failed_apply_changes_nothing(tables):
     with pytest.raises(Exception, match="stop"):
         ws.apply(bad)
     assert rows(ws.table("ord")) == [(1, None, 1.0), (2, None, 0.0)]
+
+
+def test_only_touched_partitions_are_rewritten(tables):
+    spec = TableSpec(
+        "log",
+        (
+            Column("id", "INTEGER"),
+            Column("theDay", "DATE"),
+            Column("kind", "VARCHAR"),
+            Column("v", "INTEGER"),
+        ),
+        ("id",),
+        partition_by=("theDay", "kind"),
+    )
+    ws = tables()
+    ws.catalog = Catalog(spec)
+    ws.store.create("log", spec.struct(physical=True), ["the_day", "kind"])
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]
+    kinds = ["a/ b=c%", "it's", None]
+    data = [(i, days[i % 3], kinds[i // 3 % 3], i) for i in range(27)]
+    ws.insert("log").values([dict(zip(spec.props, r, strict=True)) for r in data]).execute()
+
+    def stored():
+        return rows(ws.table("log").select(*spec.props))
+
+    def files():
+        return set(ws.table("log").select("_metadata.file_path").distinct().toPandas().file_path)
+
+    assert stored() == data
+    before = files()
+    assert ws.apply(ws.update("log").filter(eq("id", 4)).set("v", -4).plan()) == {"log": 1}
+    data[4] = (4, days[1], kinds[1], -4)
+    assert stored() == data
+    assert len(before - files()) <= len(before) / 6
+    ws.apply(ws.delete("log").filter(is_null("theDay")).filter(lt("id", 12)).plan())
+    data = [r for r in data if r[1] or r[0] >= 12]
+    assert stored() == data
+    ws.apply(ws.delete("log").filter(eq("kind", "it's")).plan())
+    data = [r for r in data if r[2] != "it's"]
+    assert stored() == data
+    assert "kind=it" not in str(ws.spark.sql(f"SHOW PARTITIONS {ws.store.full('log')}").collect())
+    ws.apply(ws.update("log").filter(gt("id", 20)).set("kind", "new").plan())
+    data = [(i, d, "new" if i > 20 else k, v) for i, d, k, v in data]
+    assert stored() == data
+    ws.apply(ws.delete("log").filter(eq("id", -1)).plan())
+    assert stored() == data
+    wider = [Column("v", "BIGINT") if c.prop == "v" else c for c in spec.columns]
+    ws.catalog = Catalog(replace(spec, columns=(*wider, Column("more", "INTEGER", default=1))))
+    ensure(ws, "log", "UPDATE")
+    assert rows(ws.table("log").select(*spec.props, "more")) == [(*r, 1) for r in data]
+    ws.store.truncate("log")
+    assert stored() == []
