@@ -125,7 +125,7 @@ def outer(name: str) -> Expr:
             raise ValueError(f"{name!r} does not name an alias of the enclosing query")
         return scope.resolve(name)
 
-    return Expr(build)
+    return Expr(build, prop=name)
 
 
 def pk(alias: str | None = None) -> Expr:

@@ -50,15 +50,21 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 class Condition:
-    def __init__(self, holds: Build, fails: Build | None = None):
+    """`pair` names the two properties of an equality; `parts` are the conditions that AND ties
+    together, for a subquery to tell what links it to the enclosing query."""
+
+    def __init__(self, holds: Build, fails: Build | None = None, pair=None, parts=None):
         self.holds = holds
         self.fails = fails or (lambda scope: ~holds(scope))
+        self.pair: tuple[str, str] | None = pair
+        self.parts: tuple[Condition, ...] = parts or (self,)
 
     def __and__(self, other) -> Condition:
         b = as_condition(other)
         return Condition(
             lambda scope: self.holds(scope) & b.holds(scope),
             lambda scope: self.fails(scope) | b.fails(scope),
+            parts=self.parts + b.parts,
         )
 
     def __or__(self, other) -> Condition:
@@ -134,7 +140,10 @@ def gte(prop, value) -> Condition:
 
 
 def eq_property(prop, other) -> Condition:
-    return eq(prop, as_field(other))
+    a, b = as_field(prop), as_field(other)
+    equal = eq(a, b)
+    equal.pair = (a.prop, b.prop) if a.prop and b.prop else None
+    return equal
 
 
 def ne_property(prop, other) -> Condition:

@@ -13,11 +13,13 @@ from tablewright.schema import TableSpec
 
 @dataclass(frozen=True)
 class Source:
-    """One aliased table or derived frame of a query."""
+    """One aliased table or derived frame of a query: its columns, its declaration, sets of
+    columns that are known to be unique, and whether grouping made them so."""
 
     props: tuple[str, ...]
     spec: TableSpec | None = None
     unique: tuple[tuple[str, ...], ...] = ()
+    grouped: bool = False
 
     def covers_key(self, props: Iterable[str]) -> bool:
         """True when a value of the properties is known to occur once at most."""
@@ -61,3 +63,24 @@ class Scope:
         if spec is None:
             raise ValueError(f"{alias or self.root!r} is a derived table without declared keys")
         return spec
+
+    def is_outer(self, name: str) -> bool:
+        """Whether a name belongs to the enclosing query."""
+        alias, _ = self.split(name)
+        return alias is not None and alias not in self.sources
+
+    def watched(self) -> WatchedScope:
+        return WatchedScope(self.root, self.sources)
+
+
+class WatchedScope(Scope):
+    """A scope that notes which names of the enclosing query were looked up."""
+
+    def __init__(self, root: str, sources: dict[str, Source]):
+        super().__init__(root, sources)
+        object.__setattr__(self, "outer_names", [])
+
+    def resolve(self, name: str) -> Column:
+        if self.is_outer(name):
+            self.outer_names.append(name)
+        return super().resolve(name)

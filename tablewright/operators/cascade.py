@@ -20,7 +20,7 @@ from tablewright.functions.fields import Expr, to_col
 from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.change import Change, TableChange
-from tablewright.operators.joins import thin
+from tablewright.operators.joins import apart, lookup, thin
 from tablewright.schema import ForeignKey, TableSpec
 from tablewright.session import settle
 
@@ -97,7 +97,9 @@ class Delete:
             hit = and_(*self.conditions).holds(self._scope(target))
             return aliased.where(~F.coalesce(hit, F.lit(False))), aliased.where(hit)
         if len(self.joins) == 1 and self.joins[0][3] == "inner":
-            return self._split_by_match(target)
+            split = self._split_by_match(target)
+            if split:
+                return split
         query = self.tables.query(self.spec.name, self.alias)
         for source, alias, on, how in self.joins:
             query = query.join(source, alias, on, how)
@@ -122,18 +124,33 @@ class Delete:
         return target.join(hits, on, "left_anti"), target.join(hits, on, "left_semi")
 
     def _split_by_match(self, target: DataFrame):
-        """One inner join: a row goes if it has a partner, so no pair is ever produced."""
+        """One inner join: a row goes if it has a partner, so no pair is ever produced.
+
+        Not for conditions beyond equal keys against a side that repeats them, if each row here
+        has keys of its own: then the pairs are no more than that side's rows, and joining them
+        lets a hot key be split.
+        """
         source, alias, on, _ = self.joins[0]
         frame, described = self.tables.source(source)
-        left, right = target.alias(self.alias), frame.alias(alias)
         scope = Scope(self.alias, {**self._scope(target).sources, alias: described})
         parts = list(on) if isinstance(on, list | tuple) else [on]
         pairs = [p for p in parts if isinstance(p, tuple)]
         more = [as_condition(p) for p in parts if not isinstance(p, tuple)]
-        tests = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
-        tests += [c.holds(scope) for c in (*more, *self.conditions)]
-        if pairs and len(tests) == len(pairs):
-            right = thin(right, *[scope.resolve(b) for _, b in pairs])
+        more += self.conditions
+        here, there = [[scope.split(p[i])[1] for p in pairs] for i in (0, 1)]
+        repeats = not described.covers_key(there)
+        if more and repeats and pairs and self.spec.covers_key(here):
+            return None
+        left = target.alias(self.alias)
+        if pairs and not more:
+            right = lookup(frame, described, *there)
+            tests = [scope.resolve(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(pairs)]
+        else:
+            if pairs and described.grouped:
+                frame = apart(frame, *_cols(there))
+            right = frame.alias(alias)
+            tests = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
+            tests += [c.holds(scope) for c in more]
         condition = functools.reduce(Column.__and__, tests)
         return left.join(right, condition, "left_anti"), left.join(right, condition, "left_semi")
 
@@ -178,7 +195,9 @@ class Delete:
             for fk in keys:
                 if actions[fk] in ("SET_NULL", "SET_DEFAULT"):
                     changed.append(_referring(remaining, fk, gone[fk.ref_table], "left_semi"))
-                    remaining = _reset(remaining, spec, fk, gone[fk.ref_table], actions[fk])
+                    parent = catalog[fk.ref_table]
+                    doomed = gone[fk.ref_table]
+                    remaining = _reset(remaining, spec, parent, fk, doomed, actions[fk])
                 elif actions[fk] == "NO_ACTION":
                     left = _referring(remaining, fk, gone[fk.ref_table], "left_semi")
                     if not left.isEmpty():
@@ -232,10 +251,17 @@ def _kept_for_children(tables, spec: TableSpec, go: DataFrame) -> DataFrame:
 
 
 def _reset(
-    child: DataFrame, spec: TableSpec, fk: ForeignKey, doomed: DataFrame, action: str
+    child: DataFrame,
+    spec: TableSpec,
+    parent: TableSpec,
+    fk: ForeignKey,
+    doomed: DataFrame,
+    action: str,
 ) -> DataFrame:
     """Put NULL or the declared default where the child refers to a doomed row."""
-    marked = _refs(doomed, fk).distinct().withColumn("_reset", F.lit(True))
+    marked = _refs(doomed, fk).withColumn("_reset", F.lit(True))
+    if not parent.covers_key(fk.ref_props):
+        marked = apart(marked.distinct(), F.col("_ref0"))
     on = _same(_cols(fk.props), [F.col(f"_ref{i}") for i in range(len(fk.props))])
     joined = child.join(marked, on, "left")
     columns = []

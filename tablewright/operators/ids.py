@@ -25,7 +25,11 @@ def dense_index(
     With `block` > 1 each partition reserves whole blocks of numbers, which leaves gaps.
     """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        # Rows equal in `order` keep their input order, and a value shared by many rows can
+        # still be cut into several ranges.
+        sort = [*order, F.col("_tie")]
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort).drop("_tie")
     placed = settle(
         df.select(
             "*",

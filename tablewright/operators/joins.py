@@ -1,14 +1,17 @@
 """Joins that keep working when one key holds a large share of the rows.
 
 Spark's adaptive plans split an oversized key on the row-keeping side of a join: either side of an
-inner join, the left side of left outer, semi and anti joins. Two cases stay on one task, and are
-rewritten here with results unchanged:
+inner join, the left side of left outer, semi and anti joins. Three cases stay on one task, and
+are rewritten here with results unchanged:
 
 * the looked-up side of a semi or anti join: only its distinct keys matter, so they are thinned
   out before the shuffle;
 * an outer join whose null-extended side can repeat a key: it becomes the inner join plus the
   rows without a partner. A declared key on that side proves that no key repeats, and then the
-  plain outer join is used.
+  plain outer join is used;
+* a join to a table grouped by the join key: the grouped side is partitioned by the key already
+  and joins without a shuffle of its own, and then the other side's hot key is not split either.
+  The grouped side is set apart by one more shuffle, of groups and not of rows.
 
 No side is broadcast by hint here. Spark does so where it has measured the side to be small.
 """
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.scope import Source
+
 SPREAD = 16
 
 
@@ -32,6 +37,20 @@ def thin(df: DataFrame, *keys: Column) -> DataFrame:
     return df.select(*keys, spread).distinct().drop("_spread")
 
 
+def apart(df: DataFrame, *keys: Column) -> DataFrame:
+    """The same rows in a partitioning that no join by the keys can reuse."""
+    return df.repartition(F.xxhash64(*keys))
+
+
+def lookup(df: DataFrame, source: Source, *keys: str) -> DataFrame:
+    """The side of a semi or anti join that is looked up: its keys, as few as are needed."""
+    columns = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    if not source.covers_key(keys):
+        return thin(df, *columns)
+    single = df.select(*columns)
+    return apart(single, *[F.col(f"_k{i}") for i in range(len(keys))]) if source.grouped else single
+
+
 def without_partner(
     df: DataFrame, other: DataFrame, on: Column, pad: DataFrame, front: bool
 ) -> DataFrame:

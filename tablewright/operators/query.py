@@ -21,7 +21,7 @@ from tablewright.functions.predicates import Condition, as_condition, eq_propert
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
 from tablewright.operators.ids import dense_index
-from tablewright.operators.joins import split_outer_join, thin
+from tablewright.operators.joins import apart, split_outer_join, thin
 
 if TYPE_CHECKING:
     from tablewright.workspace import Workspace
@@ -94,10 +94,12 @@ class Query:
         chain of such joins, once more per join for each. `split=False` leaves it to Spark.
         """
         frame, described = self.tables.source(source)
-        right = frame.alias(alias)
         scope = self._scope_with(alias, described)
         parts = list(on) if isinstance(on, list | tuple) else [on]
         pairs = [p for p in parts if isinstance(p, tuple)]
+        if described.grouped and pairs and not self._left_once(scope, pairs):
+            frame = apart(frame, *[F.col(f"`{scope.split(b)[1]}`") for _, b in pairs])
+        right = frame.alias(alias)
         equal = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
         more = [as_condition(p).holds(scope) for p in parts if not isinstance(p, tuple)]
         condition = functools.reduce(Column.__and__, equal + more)
@@ -117,12 +119,15 @@ class Query:
     def _keys_cannot_repeat(self, right: Source, scope: Scope, pairs, how: str) -> bool:
         """Whether declared keys prove that the null-extended sides hold each key once."""
         right_once = right.covers_key(scope.split(b)[1] for _, b in pairs)
-        left_once = False
-        if len(self.scope.sources) == 1:
-            root = self.scope.sources[self.scope.root]
-            left_once = root.covers_key(scope.split(a)[1] for a, _ in pairs)
+        left_once = self._left_once(scope, pairs)
         return (right_once or how == "right") and (left_once or how == "left")
 
+    def _left_once(self, scope: Scope, pairs) -> bool:
+        if len(self.scope.sources) > 1:
+            return False
+        root = self.scope.sources[self.scope.root]
+        return root.covers_key(scope.split(a)[1] for a, _ in pairs)
+
     def inner_join(self, source, alias: str, on) -> Query:
         return self.join(source, alias, on, "inner")
 
@@ -249,7 +254,7 @@ class Query:
         return self._combined(setops.union, other)
 
     def union_all(self, other) -> Query:
-        return self._combined(setops.union_all, other)
+        return self._combined(setops.union_all, other, grouped=False)
 
     def intersect(self, other) -> Query:
         return self._combined(setops.intersect, other)
@@ -257,9 +262,12 @@ class Query:
     def minus(self, other) -> Query:
         return self._combined(setops.minus, other)
 
-    def _combined(self, operation, other) -> Query:
+    def _combined(self, operation, other, grouped: bool = True) -> Query:
         frame, _ = self.tables.source(other)
-        return Query.over(self.tables, operation(self.frame(), frame))
+        combined = operation(self.frame(), frame)
+        labels = tuple(combined.columns)
+        described = Source(labels, None, (labels,) if grouped else (), grouped)
+        return Query(self.tables, combined.alias(ROOT), Scope(ROOT, {ROOT: described}))
 
     # ---- the plan ------------------------------------------------------------------------
 
@@ -375,7 +383,7 @@ class Query:
         """What an enclosing query may know of this one: its labels and what is unique."""
         labels = tuple(frame.columns)
         if self.is_distinct:
-            return Source(labels, None, (labels,))
+            return Source(labels, None, (labels,), True)
         by_prop = {f.prop.rpartition(".")[2]: label for f, label in self.items if f.prop}
         if not self.items:
             by_prop = {label: label for label in labels}
@@ -384,7 +392,9 @@ class Query:
         else:
             keys = self._root_keys()
         found = [tuple(by_prop.get(p) for p in key) for key in keys]
-        return Source(labels, None, tuple(key for key in found if key and all(key)))
+        unique = tuple(key for key in found if key and all(key))
+        grouped = bool(self.groups) or any(s.grouped for s in self.scope.sources.values())
+        return Source(labels, None, unique, grouped)
 
     def _root_keys(self) -> list[tuple[str, ...]]:
         """Keys of the one table this query reads, which hold for its rows too."""

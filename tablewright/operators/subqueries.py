@@ -11,26 +11,27 @@ Each condition states when it is true and when it is false, see `functions.predi
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablewright.functions.fields import as_field
 from tablewright.functions.predicates import Condition
 from tablewright.functions.scope import Scope
-from tablewright.operators.joins import thin
+from tablewright.operators.joins import lookup, thin
 
 
 def exists(query, on=None) -> Condition:
     """Rows for which the subquery has a row.
 
-    The subquery may name aliases of the enclosing query in its filters. If it is tied to the
-    enclosing row by equal keys only, pass them as `on=[("outer.prop", "label"), ...]`, so that
-    repeated keys of the subquery are dropped before the shuffle.
+    The subquery may name aliases of the enclosing query in its filters, or be tied to it by
+    `on=[("outer.prop", "label"), ...]`. If equalities are all that ties them, only the distinct
+    keys of the subquery take part in the join.
     """
-    if on is None:
-        # the rows alone matter, not what the subquery selects
-        return Condition(lambda scope: query.rows_frame().select(F.lit(1)).exists())
-    return Condition(lambda scope: _key_match(query, on, scope))
+    if on is not None:
+        return Condition(lambda scope: _key_match(query, on, scope))
+    return Condition(lambda scope: _related_match(query, scope))
 
 
 def not_exists(query, on=None) -> Condition:
@@ -38,16 +39,45 @@ def not_exists(query, on=None) -> Condition:
 
 
 def _key_match(query, on, scope: Scope) -> Column:
+    """A row of the query has the enclosing row's keys. NULL keys match nothing."""
     frame = query.frame()
-    keys = [F.col(f"`{label}`").alias(f"_k{i}") for i, (_, label) in enumerate(on)]
-    once = query.described(frame).covers_key(label for _, label in on)
+    keys = lookup(frame, query.described(frame), *[label for _, label in on])
+    return _matching(keys, [as_field(prop).build(scope) for prop, _ in on])
+
+
+def _matching(keys, outer_values) -> Column:
     # Outer names are looked up inside the subquery first; the alias hides its inner names.
-    matched = (frame.select(*keys) if once else thin(frame, *keys)).alias("_keys")
-    for i, (prop, _) in enumerate(on):
-        matched = matched.where(F.col(f"_k{i}") == as_field(prop).build(scope).outer())
+    matched = keys.alias("_keys")
+    for i, value in enumerate(outer_values):
+        matched = matched.where(F.col(f"_k{i}") == value.outer())
     return matched.exists()
 
 
+def _related_match(query, scope: Scope) -> Column:
+    pairs, rest = _links(query)
+    watched = query.scope.watched()
+    for condition in rest:
+        condition.holds(watched)
+    if not pairs or watched.outer_names:
+        return query.rows_frame().select(F.lit(1)).exists()
+    rows = replace(query, conditions=tuple(rest)).rows_frame()
+    keys = thin(rows, *[query.scope.resolve(own).alias(f"_k{i}") for i, (own, _) in enumerate(pairs)])
+    return _matching(keys, [scope.resolve(name) for _, name in pairs])
+
+
+def _links(query) -> tuple[list[tuple[str, str]], list[Condition]]:
+    """The equalities of the query's filters that tie an own property to one of the enclosing
+    query, and the other conditions."""
+    pairs, rest = [], []
+    for condition in [part for c in query.conditions for part in c.parts]:
+        sides = sorted(condition.pair or (), key=query.scope.is_outer)
+        if [query.scope.is_outer(name) for name in sides] == [False, True]:
+            pairs.append(tuple(sides))
+        else:
+            rest.append(condition)
+    return pairs, rest
+
+
 def in_query(prop, query) -> Condition:
     """The value is among those of the subquery's only column."""
     on = [(prop, query.only_label())]

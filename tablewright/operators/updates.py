@@ -17,6 +17,7 @@ from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.change import Change, TableChange
 from tablewright.operators.checks import require_keys
+from tablewright.operators.joins import apart
 from tablewright.schema import TableSpec
 
 
@@ -80,21 +81,26 @@ class Update:
         return value.scalar() if hasattr(value, "scalar") else F.lit(value)
 
     def _looked_up(self, joined: DataFrame, lookup: Lookup, i: int, scope: Scope):
-        found = f"_found{i}"
+        frame, source = self.tables.source(lookup.query)
         keys = [F.col(f"`{label}`").alias(f"_k{j}") for j, (_, label) in enumerate(lookup.on)]
-        values = (
-            lookup.query.frame()
-            .groupBy(*keys)
-            .agg(F.any_value(F.col(f"`{lookup.value}`")).alias("_v"), F.count(F.lit(1)).alias("_n"))
-            .alias(found)
-        )
+        names = [F.col(f"_k{j}") for j in range(len(keys))]
+        value = F.col(f"`{lookup.value}`")
+        if source.covers_key(label for _, label in lookup.on):
+            values = frame.select(*keys, value.alias("_v"), F.lit(1).alias("_n"))
+            values = apart(values, *names) if source.grouped else values
+        else:
+            counted = F.count(F.lit(1)).alias("_n")
+            values = frame.groupBy(*keys).agg(F.any_value(value).alias("_v"), counted)
+            values = apart(values, *names)
+        found = f"_found{i}"
         on = [
             scope.resolve(prop) == F.col(f"{found}._k{j}")
             for j, (prop, _) in enumerate(lookup.on)
         ]
         several = F.raise_error(F.lit(f"more than one value for {lookup.prop}"))
-        value = F.when(F.col(f"{found}._n") > 1, several).otherwise(F.col(f"{found}._v"))
-        return joined.join(values, functools.reduce(Column.__and__, on), "left"), value
+        result = F.when(F.col(f"{found}._n") > 1, several).otherwise(F.col(f"{found}._v"))
+        condition = functools.reduce(Column.__and__, on)
+        return joined.join(values.alias(found), condition, "left"), result
 
 
 def update_by_key(

@@ -55,14 +55,12 @@ for _name, _parts in SCALAR.items():
     """
 )
 def scalar_sub_correlated(ws):
-    mean = (
-        ws.query("orders", "i")
-        .filter(eq_property("i.o_custkey", "o.o_custkey"))
-        .column(F.avg("i.o_totalprice") * 1.5, "v")
-    )
+    # One value per key: the grouped subquery is joined, which leaves a hot key splittable.
+    mean = ws.query("orders").group("o_custkey").column("o_custkey").avg("o_totalprice", "mean")
     return (
         ws.query("orders", "o")
-        .filter(gt("o.o_totalprice", mean))
+        .inner_join(mean, "i", [("o.o_custkey", "i.o_custkey")])
+        .filter(gt("o.o_totalprice", multiply("i.mean", 1.5)))
         .columns("o.o_orderkey", "o.o_totalprice")
     )
 
@@ -88,14 +86,14 @@ def exists_by_keys(ws):
     """
     SELECT c_custkey, c_name FROM customer c
     WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
-                  AND o.o_totalprice > 49 * c.c_acctbal AND o.o_orderstatus = 'P')
+                  AND o.o_totalprice > 480000 AND o.o_orderstatus = 'P')
     """
 )
 def exists_correlated(ws):
     linked = (
         ws.query("orders", "o")
-        .filter(eq_property("o_custkey", "c.c_custkey"))
-        .filter(gt("o_totalprice", multiply("c.c_acctbal", 49)))
+        .relate_outer("customer", "c")
+        .filter(gt("o_totalprice", 480000))
         .filter(eq("o_orderstatus", "P"))
     )
     return ws.query("customer", "c").filter(exists(linked)).columns("c_custkey", "c_name")

@@ -86,10 +86,17 @@ class TableStore:
 
     def append(self, name: str, df: DataFrame, rows_per_file: int = 0) -> int:
         """Add rows, columns by name; returns their number."""
-        counted, seen = _counting(df.select(*[f"`{c}`" for c in self.read(name).columns]))
+        aligned = df.select(*[f"`{c}`" for c in self.read(name).columns])
+        counted, seen = _counting(self._gathered(name, aligned))
         counted.write.option("maxRecordsPerFile", rows_per_file).insertInto(self.full(name))
         return seen()
 
+    def _gathered(self, name: str, df: DataFrame) -> DataFrame:
+        """For a partitioned table, rows of a partition come together before they are written,
+        which avoids one small file per task; a large partition still goes to several tasks."""
+        columns = self.partition_columns(name)
+        return df.hint("rebalance", *[f"`{c}`" for c in columns]) if columns else df
+
     def replace(
         self, frames: dict[str, DataFrame], touched: Mapping[str, list[Row]] | None = None
     ) -> None:
@@ -100,7 +107,8 @@ class TableStore:
         written = {}
         for name, df in frames.items():
             written[name] = self._new_folder(name)
-            df.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
+            writer = self._gathered(name, df).write
+            writer.partitionBy(*self.partition_columns(name)).parquet(written[name])
         for name, path in written.items():
             schema = frames[name].schema
             old = {f.name: f.dataType for f in self.read(name).schema}

@@ -153,7 +153,16 @@ def test_hot_keys_are_split(spark, no_broadcast):
         left_hot = ws.query(big, "a").left_join(few, "b", [("a.k", "b.k")])
         right_hot = ws.query(few, "a").left_join(big, "b", [("a.k", "b.k")])
         semi = ws.query(big, "a").filter(sub.exists(ws.query(few), on=[("a.k", "k")]))
-        cases = ((left_hot, "a.v", 60_000), (right_hot, "b.v", 20_099), (semi, "a.v", 20_000))
+        groups = ws.query(big).group("k").column("k").max("v", "v")
+        grouped = ws.query(big, "a").inner_join(groups, "b", [("a.k", "b.k")])
+        in_groups = ws.query(big, "a").filter(sub.exists(groups, on=[("a.k", "k")]))
+        cases = (
+            (left_hot, "a.v", 60_000),
+            (right_hot, "b.v", 20_099),
+            (semi, "a.v", 20_000),
+            (grouped, "a.v", 60_000),
+            (in_groups, "a.v", 60_000),
+        )
         for query, value, n in cases:
             df = query.column("a.k", "k").column(value, "v").frame()
             assert df.count() == n

@@ -12,13 +12,16 @@ from tablewright.functions import (
     eq_property,
     false,
     gt,
+    gte_property,
     in_,
     is_null,
     like,
+    lte_property,
     ne,
     not_,
     op,
     or_,
+    outer,
     true,
 )
 from tablewright.operators import subqueries as sub
@@ -86,7 +89,14 @@ def test_exists(small, kind):
     picked = ws.query("pick").columns("g")
     sql = "EXISTS (SELECT 1 FROM pick WHERE g = k)"
     linked = ws.query("pick", "p").filter(eq_property("g", "t.k"))
-    for condition in (sub.exists(picked, on=[("k", "g")]), sub.exists(linked)):
+    turned = ws.query("pick", "p").filter(and_(true(), eq_property(outer("t.k"), "p.g")))
+    unequal = ws.query("pick", "p").filter(lte_property("g", "t.k")).filter(gte_property("g", "t.k"))
+    for condition in (
+        sub.exists(picked, on=[("k", "g")]),
+        sub.exists(linked),
+        sub.exists(turned),
+        sub.exists(unequal),
+    ):
         for made, want in (
             (condition, sql),
             (~condition, f"NOT {sql}"),
