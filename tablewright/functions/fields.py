@@ -81,6 +81,14 @@ class Expr:
     __xor__ = bit_xor
 
 
+def lit(value: Any) -> Column:
+    """A value as a column. A date-time without a zone is a wall-clock time, as in the tables,
+    whatever zone the session or this machine has."""
+    if isinstance(value, dt.datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def to_col(value: Any, scope: Scope) -> Column:
     """Operand of an arithmetic or comparison field: a name is a property, the rest a value."""
     if isinstance(value, Expr):
@@ -89,7 +97,7 @@ def to_col(value: Any, scope: Scope) -> Column:
         return value
     if isinstance(value, str):
         return scope.resolve(value)
-    return F.lit(value)
+    return lit(value)
 
 
 def argument(value: Any, scope: Scope) -> Column:
@@ -102,7 +110,7 @@ def argument(value: Any, scope: Scope) -> Column:
         name = quoted_property(value)
         return F.lit(value) if name is None else scope.resolve(name)
     if isinstance(value, NUMBERS + DATES):
-        return F.lit(value)
+        return lit(value)
     raise TypeError(f"unsupported argument type {type(value).__name__}")
 
 
@@ -138,7 +146,7 @@ def pk(alias: str | None = None) -> Expr:
 
 
 def literal(value: Any) -> Expr:
-    return Expr(lambda scope: F.lit(value))
+    return Expr(lambda scope: lit(value))
 
 
 def raw(text: str) -> Expr:

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.fields import Expr, as_field, to_col
+from tablewright.functions.fields import Expr, as_field, lit, to_col
 from tablewright.functions.scope import Scope
 from tablewright.schema import TableSpec
 
@@ -51,12 +51,16 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 class Condition:
     """`pair` names the two properties of an equality; `parts` are the conditions that AND ties
-    together, for a subquery to tell what links it to the enclosing query."""
+    together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
+    own is a semi or anti join."""
 
-    def __init__(self, holds: Build, fails: Build | None = None, pair=None, parts=None):
+    def __init__(
+        self, holds: Build, fails: Build | None = None, parts=None, is_subquery: bool = False
+    ):
         self.holds = holds
         self.fails = fails or (lambda scope: ~holds(scope))
-        self.pair: tuple[str, str] | None = pair
+        self.pair: tuple[str, str] | None = None
+        self.is_subquery = is_subquery
         self.parts: tuple[Condition, ...] = parts or (self,)
 
     def __and__(self, other) -> Condition:
@@ -75,7 +79,7 @@ class Condition:
         )
 
     def __invert__(self) -> Condition:
-        return Condition(self.fails, self.holds)
+        return Condition(self.fails, self.holds, is_subquery=self.is_subquery)
 
     def and_(self, other) -> Condition:
         return self & other
@@ -107,7 +111,7 @@ def _operand(value: Any, scope: Scope) -> Column:
     """Right side of a comparison: a subquery's one value, a field, or a bound value."""
     if isinstance(value, Expr | Column):
         return to_col(value, scope)
-    return value.scalar() if hasattr(value, "scalar") else F.lit(value)
+    return value.scalar() if hasattr(value, "scalar") else lit(value)
 
 
 def _compare(prop, value, apply: Callable[[Column, Column], Column]) -> Condition:
@@ -186,7 +190,7 @@ def in_(prop, values: Iterable) -> Condition:
     """Membership in a list of values. For a large set put the values in a table and use
     `operators.subqueries.in_query`."""
     f = as_field(prop)
-    listed = list(values)
+    listed = [lit(v) for v in values]
     return Condition(lambda scope: f.build(scope).isin(listed))
 
 

@@ -31,10 +31,14 @@ class Source:
 
 @dataclass(frozen=True)
 class Scope:
-    """The aliases in reach of a query. The first one is the root and owns unqualified names."""
+    """The aliases in reach of a query. The first one is the root and owns unqualified names.
+
+    `flags`, if given, collects the subqueries of a condition as joins, see `operators.filters`.
+    """
 
     root: str
     sources: dict[str, Source]
+    flags: list | None = None
 
     def qualified(self, alias: str, prop: str) -> Column:
         return F.col(f"{alias}.`{prop}`")

@@ -20,6 +20,7 @@ from tablewright.functions.fields import Expr, to_col
 from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.change import Change, TableChange
+from tablewright.operators.filters import flagged, where
 from tablewright.operators.joins import apart, lookup, thin
 from tablewright.schema import ForeignKey, TableSpec
 from tablewright.session import settle
@@ -93,9 +94,7 @@ class Delete:
         if self.keys is not None:
             return self._split_by_keys(target, self.keys)
         if not self.joins:
-            aliased = target.alias(self.alias)
-            hit = and_(*self.conditions).holds(self._scope(target))
-            return aliased.where(~F.coalesce(hit, F.lit(False))), aliased.where(hit)
+            return self._split_by_filter(target.alias(self.alias), self._scope(target))
         if len(self.joins) == 1 and self.joins[0][3] == "inner":
             split = self._split_by_match(target)
             if split:
@@ -109,6 +108,12 @@ class Delete:
         hits = query.rows_frame().select(*key).where(key[0].isNotNull())
         return self._split_by_keys(target, hits)
 
+    def _split_by_filter(self, target: DataFrame, scope: Scope):
+        condition, own = and_(*self.conditions), f"{self.alias}.*"
+        go = where(target, condition, scope).select(own)
+        marked, hit = flagged(target, condition, scope)
+        return marked.where(~F.coalesce(hit, F.lit(False))).select(own), go
+
     def _scope(self, target: DataFrame) -> Scope:
         return Scope(self.alias, {self.alias: Source(tuple(target.columns), self.spec)})
 
@@ -336,7 +341,8 @@ class KeyUpdate:
     def plan(self) -> Change:
         target = self.tables.table(self.spec.name).alias("t")
         scope = Scope("t", {"t": Source(tuple(target.columns), self.spec)})
-        hit = and_(*self.conditions).holds(scope)
+        condition = and_(*self.conditions)
+        marked, hit = flagged(target, condition, scope)
         new = {
             p: (to_col(v, scope) if isinstance(v, Expr | Column) else F.lit(v)).cast(
                 target.schema[p].dataType
@@ -344,11 +350,11 @@ class KeyUpdate:
             for p, v in self.sets.items()
         }
         changed = {p: F.when(hit, c).otherwise(scope.resolve(p)) for p, c in new.items()}
-        frame = target.select(
+        frame = marked.select(
             *[changed.get(c, scope.resolve(c)).alias(c) for c in target.columns]
         )
-        affected = target.where(hit)
-        moved = affected.select(
+        affected = where(target, condition, scope).select("t.*")
+        moved = affected.alias("t").select(
             "*", *[c.alias(f"_new_{p}") for p, c in new.items()]
         )
         parts = {self.spec.name: TableChange(frame, affected, frozenset(new))}

@@ -72,15 +72,22 @@ def split_outer_join(
     how: str,
     left_lookup: DataFrame,
     right_lookup: DataFrame,
+    left_once: bool = False,
+    right_once: bool = False,
 ) -> DataFrame:
-    """An outer join as the inner join plus the rows without a partner.
+    """An outer join as a join that can be split, plus the rows without a partner.
 
     The lookups are what a row is checked against: thinned keys if `on` is made of key
-    equalities only, else the whole side.
+    equalities only, else the whole side. In a full join, a side that holds each key once lets
+    the join itself keep the other side's rows.
     """
-    result = left.join(right, on, "inner")
-    if how in ("left", "full"):
+    alone = {"left", "right"} if how == "full" else {how}
+    kept = "inner"
+    if how == "full" and (left_once or right_once):
+        kept = "left" if right_once else "right"
+    result = left.join(right, on, kept)
+    if "left" in alone - {kept}:
         result = result.union(without_partner(left, right_lookup, on, right, front=False))
-    if how in ("right", "full"):
+    if "right" in alone - {kept}:
         result = result.union(without_partner(right, left_lookup, on, left, front=True))
     return result

@@ -20,6 +20,7 @@ from tablewright.functions.fields import Expr, as_field, outer, to_col
 from tablewright.functions.predicates import Condition, as_condition, eq_property
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
+from tablewright.operators.filters import where
 from tablewright.operators.ids import dense_index
 from tablewright.operators.joins import apart, split_outer_join, thin
 
@@ -103,8 +104,11 @@ class Query:
         equal = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
         more = [as_condition(p).holds(scope) for p in parts if not isinstance(p, tuple)]
         condition = functools.reduce(Column.__and__, equal + more)
-        whole = how == "inner" or not split or not pairs
-        if whole or self._keys_cannot_repeat(described, scope, pairs, how):
+        right_once = described.covers_key(scope.split(b)[1] for _, b in pairs)
+        left_once = self._left_once(scope, pairs)
+        # with each key once on the null-extended sides, Spark can split the plain join
+        plain = (right_once or how == "right") and (left_once or how == "left")
+        if how == "inner" or not split or not pairs or plain:
             joined = self.base.join(right, condition, how)
         else:
             left_lookup, right_lookup = self.base, right
@@ -112,16 +116,17 @@ class Query:
                 left_lookup = thin(self.base, *[scope.resolve(a) for a, _ in pairs])
                 right_lookup = thin(right, *[scope.resolve(b) for _, b in pairs])
             joined = split_outer_join(
-                self.base, right, condition, how, left_lookup, right_lookup
+                self.base,
+                right,
+                condition,
+                how,
+                left_lookup,
+                right_lookup,
+                left_once,
+                right_once,
             )
         return replace(self, base=joined, scope=scope)
 
-    def _keys_cannot_repeat(self, right: Source, scope: Scope, pairs, how: str) -> bool:
-        """Whether declared keys prove that the null-extended sides hold each key once."""
-        right_once = right.covers_key(scope.split(b)[1] for _, b in pairs)
-        left_once = self._left_once(scope, pairs)
-        return (right_once or how == "right") and (left_once or how == "left")
-
     def _left_once(self, scope: Scope, pairs) -> bool:
         if len(self.scope.sources) > 1:
             return False
@@ -277,7 +282,7 @@ class Query:
             raise ValueError("tables in FROM need a filter that ties them together")
         df = self.base
         for condition in self.conditions:
-            df = df.where(condition.holds(self.scope))
+            df = where(df, condition, self.scope)
         return df
 
     def frame(self) -> DataFrame:

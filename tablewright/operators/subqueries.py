@@ -11,15 +11,18 @@ Each condition states when it is true and when it is false, see `functions.predi
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.fields import as_field
 from tablewright.functions.predicates import Condition
-from tablewright.functions.scope import Scope
-from tablewright.operators.joins import lookup, thin
+from tablewright.functions.scope import Scope, Source
+from tablewright.operators.joins import apart, lookup, thin
+
+_flag_numbers = itertools.count()
 
 
 def exists(query, on=None) -> Condition:
@@ -30,8 +33,8 @@ def exists(query, on=None) -> Condition:
     keys of the subquery take part in the join.
     """
     if on is not None:
-        return Condition(lambda scope: _key_match(query, on, scope))
-    return Condition(lambda scope: _related_match(query, scope))
+        return Condition(lambda scope: _key_match(query, on, scope), is_subquery=True)
+    return Condition(lambda scope: _related_match(query, scope), is_subquery=True)
 
 
 def not_exists(query, on=None) -> Condition:
@@ -41,11 +44,15 @@ def not_exists(query, on=None) -> Condition:
 def _key_match(query, on, scope: Scope) -> Column:
     """A row of the query has the enclosing row's keys. NULL keys match nothing."""
     frame = query.frame()
-    keys = lookup(frame, query.described(frame), *[label for _, label in on])
-    return _matching(keys, [as_field(prop).build(scope) for prop, _ in on])
+    source = query.described(frame)
+    values = [as_field(prop).build(scope) for prop, _ in on]
+    labels = [label for _, label in on]
+    if scope.flags is not None:
+        return _flag(frame, source, labels, values, scope)
+    return _matching(lookup(frame, source, *labels), values)
 
 
-def _matching(keys, outer_values) -> Column:
+def _matching(keys: DataFrame, outer_values: list[Column]) -> Column:
     # Outer names are looked up inside the subquery first; the alias hides its inner names.
     matched = keys.alias("_keys")
     for i, value in enumerate(outer_values):
@@ -53,6 +60,21 @@ def _matching(keys, outer_values) -> Column:
     return matched.exists()
 
 
+def _flag(frame: DataFrame, source: Source, labels, values, scope: Scope) -> Column:
+    """The match as a flag that the filter joins to the enclosing rows, once per key."""
+    n = next(_flag_numbers)
+    names = [f"_key{n}_{i}" for i in range(len(labels))]
+    keys = frame.select(
+        *[F.col(f"`{label}`").alias(k) for label, k in zip(labels, names, strict=True)]
+    )
+    if not source.covers_key(labels):
+        keys = keys.distinct()
+    if source.grouped or not source.covers_key(labels):
+        keys = apart(keys, *[F.col(k) for k in names])
+    scope.flags.append((keys.withColumn(f"_flag{n}", F.lit(True)), names, values))
+    return F.coalesce(F.col(f"_flag{n}"), F.lit(False))
+
+
 def _related_match(query, scope: Scope) -> Column:
     pairs, rest = _links(query)
     watched = query.scope.watched()
@@ -61,8 +83,13 @@ def _related_match(query, scope: Scope) -> Column:
     if not pairs or watched.outer_names:
         return query.rows_frame().select(F.lit(1)).exists()
     rows = replace(query, conditions=tuple(rest)).rows_frame()
-    keys = thin(rows, *[query.scope.resolve(own).alias(f"_k{i}") for i, (own, _) in enumerate(pairs)])
-    return _matching(keys, [scope.resolve(name) for _, name in pairs])
+    keys = rows.select(
+        *[query.scope.resolve(own).alias(f"_k{i}") for i, (own, _) in enumerate(pairs)]
+    )
+    values = [scope.resolve(name) for _, name in pairs]
+    if scope.flags is not None:
+        return _flag(keys, Source(tuple(keys.columns)), keys.columns, values, scope)
+    return _matching(thin(keys, *[F.col(c) for c in keys.columns]), values)
 
 
 def _links(query) -> tuple[list[tuple[str, str]], list[Condition]]:
@@ -87,7 +114,7 @@ def in_query(prop, query) -> Condition:
         decided = (s["n"] == 0) | (x.isNotNull() & (s["n"] == s["present"]))
         return ~_key_match(query, on, scope) & decided
 
-    return Condition(lambda scope: _key_match(query, on, scope), fails)
+    return Condition(lambda scope: _key_match(query, on, scope), fails, is_subquery=True)
 
 
 def not_in_query(prop, query) -> Condition:

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tablewright.functions.fields import Expr, as_field, to_col
+from tablewright.functions.fields import Expr, as_field, lit, to_col
 from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.change import Change, TableChange
 from tablewright.operators.checks import require_keys
+from tablewright.operators.filters import flagged, where
 from tablewright.operators.joins import apart
 from tablewright.schema import TableSpec
 
@@ -59,9 +60,9 @@ class Update:
     def plan(self) -> Change:
         target = self.tables.table(self.spec.name).alias(self.alias)
         scope = Scope(self.alias, {self.alias: Source(tuple(target.columns), self.spec)})
-        hit = and_(*self.conditions).holds(scope)
+        condition = and_(*self.conditions)
         new = {prop: self._value(v, scope) for prop, v in self.sets.items()}
-        joined = target
+        joined, hit = flagged(target, condition, scope)
         for i, lookup in enumerate(self.lookups):
             joined, new[lookup.prop] = self._looked_up(joined, lookup, i, scope)
         columns = []
@@ -72,13 +73,14 @@ class Update:
                 old = F.when(hit, fresh).otherwise(old)
             columns.append(old.alias(f.name))
         frame = joined.select(*columns)
-        return Change({self.spec.name: TableChange(frame, target.where(hit), frozenset(new))})
+        affected = where(target, condition, scope).select(f"{self.alias}.*")
+        return Change({self.spec.name: TableChange(frame, affected, frozenset(new))})
 
     @staticmethod
     def _value(value: Any, scope: Scope) -> Column:
         if isinstance(value, Expr | Column):
             return to_col(value, scope)
-        return value.scalar() if hasattr(value, "scalar") else F.lit(value)
+        return value.scalar() if hasattr(value, "scalar") else lit(value)
 
     def _looked_up(self, joined: DataFrame, lookup: Lookup, i: int, scope: Scope):
         frame, source = self.tables.source(lookup.query)

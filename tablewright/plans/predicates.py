@@ -1,5 +1,7 @@
 """Filters: comparisons, boolean trees, NULL tests, LIKE, examples."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tablewright.functions import (
@@ -163,11 +165,10 @@ def null_test(ws):
     "between",
 )
 def between_values(ws):
-    day = [F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1996-12-31")]
     return (
         ws.query("orders")
         .filter(between("o_totalprice", 100000, 200000))
-        .filter(between("o_orderdate", *day))
+        .filter(between("o_orderdate", dt.datetime(1996, 1, 1), dt.datetime(1996, 12, 31)))
         .columns("o_orderkey", "o_totalprice")
     )
 
@@ -293,7 +294,7 @@ def filter_chain(ws):
         ws.query("orders")
         .filter(eq("o_orderstatus", "P"))
         .filter(gt("o_totalprice", 100000))
-        .filter(lt("o_orderdate", F.lit("1997-01-01").cast("timestamp_ntz")))
+        .filter(lt("o_orderdate", dt.datetime(1997, 1, 1)))
         .columns("o_orderkey")
     )
 
@@ -308,7 +309,7 @@ def filter_chain(ws):
 def typed_params(ws):
     return (
         ws.query("lineitem")
-        .filter(gte("l_shipdate", F.lit("1999-01-01").cast("timestamp_ntz")))
+        .filter(gte("l_shipdate", dt.datetime(1999, 1, 1)))
         .filter(eq("l_quantity", F.lit("10").cast("double")))
         .group("l_orderkey")
         .column("l_orderkey")

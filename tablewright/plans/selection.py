@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from tablewright.functions import (
     and_,
     concat,
@@ -183,7 +181,7 @@ def literals(ws):
         .column(literal(7), "num")
         .column(literal(1.5), "frac")
         .column(literal("it's"), "txt")
-        .column(literal(F.lit(dt.datetime(1998, 9, 2, 10, 30)).cast("timestamp_ntz")), "moment")
+        .column(literal(dt.datetime(1998, 9, 2, 10, 30)), "moment")
         .column(literal(dt.date(1998, 9, 2)), "day")
         .column(raw("n_regionkey + 1"), "next_region")
         .column(raw("cast(NULL as string)"), "nothing")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import FOLDER, rows
 
-from tablewright.functions import gt, is_null
+from tablewright.functions import gt, is_null, or_
 from tablewright.operators import subqueries as sub
 from tablewright.plans.all import QUERIES
 from tablewright.plans.driver_tables import workspace
@@ -156,7 +156,11 @@ def test_hot_keys_are_split(spark, no_broadcast):
         groups = ws.query(big).group("k").column("k").max("v", "v")
         grouped = ws.query(big, "a").inner_join(groups, "b", [("a.k", "b.k")])
         in_groups = ws.query(big, "a").filter(sub.exists(groups, on=[("a.k", "k")]))
+        either = ws.query(big, "a").filter(
+            or_(sub.exists(ws.query(few), on=[("a.k", "k")]), gt("a.v", 50_000))
+        )
         cases = (
+            (either, "a.v", 29_999),
             (left_hot, "a.v", 60_000),
             (right_hot, "b.v", 20_099),
             (semi, "a.v", 20_000),

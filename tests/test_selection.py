@@ -18,6 +18,7 @@ from tablewright.functions import (
     field,
     func,
     gt,
+    in_,
     literal,
     lt,
     max_,
@@ -109,6 +110,19 @@ def test_registered_function_is_reachable(ws, spark):
     assert only(ws, func("twice", "'b'"))[:2] == [4, 4]
 
 
+def test_date_times_are_wall_clock_times(ws, spark):
+    moment = dt.datetime(2020, 3, 29, 2, 30)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert only(ws, literal(moment))[0] == moment
+        times = ws.spark.sql("SELECT timestamp_ntz'2020-03-29 02:30:00' AS t")
+        assert ws.query(times).filter(eq("t", moment)).count_rows() == 1
+        assert ws.query(times).filter(in_("t", [moment])).count_rows() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_clauses_accumulate(ws):
     q = ws.query("nums").filter(gt("id", 1)).filter(gt("b", 1))
     assert q.count_rows() == 3
