@@ -31,7 +31,7 @@ ROOT = "this"
 
 # Up to this many rows a page is a top-k: each task keeps its best rows and one task merges them.
 # Beyond it rows are numbered in parallel and the page is a range of numbers.
-TOP_K_ROWS = 100_000
+TOP_K_ROWS = 10_000
 
 
 @dataclass(frozen=True)

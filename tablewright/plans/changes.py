@@ -19,7 +19,7 @@ from tablewright.functions import (
 )
 from tablewright.operators.query import Query
 from tablewright.plans.registry import query
-from tablewright.schema import Catalog, Column, ForeignKey, TableSpec
+from tablewright.schema import Catalog, Column, TableSpec
 from tablewright.session import fresh_path
 from tablewright.streaming.ingest import ingest, read_ingested
 from tablewright.workspace import Workspace

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.functions import and_, eq, eq_property, gt, gte, lt, lte, multiply, ne, or_
+from tablewright.functions import and_, eq, gt, gte, lt, lte, multiply, ne, or_
 from tablewright.operators.subqueries import (
     exists,
     gt_all,
