@@ -12,6 +12,7 @@ from tablewright.functions.fields import (  # noqa: F401
     mod,
     multiply,
     outer,
+    param,
     pk,
     raw,
     subtract,

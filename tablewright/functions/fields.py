@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablewright.functions.scope import Scope
+from tablewright.schema import spark_type
 
 NUMBERS = (int, float, Decimal)
 DATES = (dt.date, dt.datetime)
@@ -149,6 +150,11 @@ def literal(value: Any) -> Expr:
     return Expr(lambda scope: lit(value))
 
 
+def param(value: Any, declared: Any) -> Expr:
+    """A value with a type of its own, given as a type code, a Python type or a Spark type."""
+    return Expr(lambda scope: lit(value).cast(spark_type(declared)))
+
+
 def raw(text: str) -> Expr:
     return Expr(lambda scope: F.expr(text))
 

@@ -20,6 +20,7 @@ from tablewright.operators.checks import require_keys
 from tablewright.operators.filters import flagged, where
 from tablewright.operators.joins import apart
 from tablewright.schema import TableSpec
+from tablewright.session import settle
 
 
 @dataclass(frozen=True)
@@ -115,12 +116,14 @@ def update_by_key(
     """Update rows from a frame of changed rows, matched by primary key.
 
     The selected properties of a change replace the old ones; a change without a row does
-    nothing; a NULL or repeated key in the changes is an error.
+    nothing; a NULL or repeated key in the changes is an error. The changes are written once,
+    since they are read for the check, the count and the new table.
     """
-    require_keys(changes, spec)
     key = list(spec.primary_key)
     skipped = {*exclude, *key}
     props = [p for p in changes.columns if p not in skipped and p in spec.props]
+    changes = settle(changes.select(*[f"`{p}`" for p in (*key, *props)]), "changes")
+    require_keys(changes, spec)
     target = tables.table(spec.name).alias("t")
     fresh = changes.select(*key, *props, F.lit(True).alias("_matched")).alias("c")
     on = functools.reduce(Column.__and__, [F.col(f"t.`{k}`") == F.col(f"c.`{k}`") for k in key])

@@ -28,6 +28,7 @@ from tablewright.functions import (
     not_,
     op,
     or_,
+    param,
     text,
     true,
 )
@@ -309,8 +310,8 @@ def filter_chain(ws):
 def typed_params(ws):
     return (
         ws.query("lineitem")
-        .filter(gte("l_shipdate", dt.datetime(1999, 1, 1)))
-        .filter(eq("l_quantity", F.lit("10").cast("double")))
+        .filter(gte("l_shipdate", param("1999-01-01", "TIMESTAMP")))
+        .filter(eq("l_quantity", param("10", "DOUBLE")))
         .group("l_orderkey")
         .column("l_orderkey")
         .rows("n")

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,17 +98,19 @@ class TableStore:
         return df.hint("rebalance", *[f"`{c}`" for c in columns]) if columns else df
 
     def replace(
-        self, frames: dict[str, DataFrame], touched: Mapping[str, list[Row]] | None = None
-    ) -> None:
-        """Give tables new contents, in the given order, once all of them are written.
+        self, frames: dict[str, DataFrame], touched: Mapping[str, list[tuple]] | None = None
+    ) -> dict[str, int]:
+        """Give tables new contents, in the given order, once all of them are written; returns
+        the number of rows written.
 
         For a table in `touched`, the frame holds these partitions only, and the others stay.
         """
-        written = {}
+        written, counts = {}, {}
         for name, df in frames.items():
             written[name] = self._new_folder(name)
-            writer = self._gathered(name, df).write
-            writer.partitionBy(*self.partition_columns(name)).parquet(written[name])
+            counted, seen = _counting(self._gathered(name, df))
+            counted.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
+            counts[name] = seen()
         for name, path in written.items():
             schema = frames[name].schema
             old = {f.name: f.dataType for f in self.read(name).schema}
@@ -118,14 +120,15 @@ class TableStore:
             elif partitions:
                 gone = (touched or {}).get(name)
                 if gone is None:
-                    gone = self.read(name).select(*partitions).distinct().collect()
+                    gone = [tuple(r) for r in self.read(name).select(*partitions).distinct().collect()]
                 self._switch_partitions(name, path, schema, partitions, gone)
             else:
                 self.spark.sql(f"ALTER TABLE {self.full(name)} SET LOCATION {sql_literal(path)}")
             self.spark.catalog.refreshTable(self.full(name))
+        return counts
 
     def _switch_partitions(
-        self, name: str, path: str, schema: T.StructType, columns: list[str], gone: list[Row]
+        self, name: str, path: str, schema: T.StructType, columns: list[str], gone: list[tuple]
     ) -> None:
         """Point partitions at their new folders, and drop those that have no rows any more."""
         file_path = F.col("_metadata.file_path")
@@ -135,7 +138,7 @@ class TableStore:
             tuple(row[c] for c in columns): unquote(row["folder"])
             for row in found.agg(F.any_value(folder).alias("folder")).collect()
         }
-        for key in {tuple(row) for row in gone} - fresh.keys():
+        for key in set(gone) - fresh.keys():
             self.spark.sql(
                 f"ALTER TABLE {self.full(name)} DROP IF EXISTS {_partition(columns, key)}"
             )

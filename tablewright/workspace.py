@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import by_identity, eq, false, or_
@@ -173,17 +173,23 @@ class Workspace:
         All new tables are written before any is switched to, children before parents, so a
         reader never sees a child whose parent is gone.
         """
-        counts = {name: part.affected.count() for name, part in change.parts.items()}
         order = self.catalog.parents_first(change.parts)[::-1]
-        frames, touched = {}, {}
+        counts, before, frames, touched = {}, {}, {}, {}
         for name in order:
             part, by = change.parts[name], self.catalog[name].partition_by
             frame = part.frame
             if by and not part.changed & set(by):
-                touched[name] = part.affected.select(*by).distinct().collect()
+                hit = part.affected.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()
+                counts[name] = sum(row["_n"] for row in hit)
+                touched[name] = [tuple(row[c] for c in by) for row in hit]
                 frame = frame.where(_one_of(by, touched[name]))
+            elif part.changed:
+                counts[name] = part.affected.count()
+            else:
+                before[name] = self.store.read(name).count()  # from file footers
             frames[name] = self.physical(name, frame)
-        self.store.replace(frames, touched)
+        after = self.store.replace(frames, touched)
+        counts |= {name: n - after[name] for name, n in before.items()}
         return counts
 
     def close(self) -> None:
@@ -200,11 +206,12 @@ class Workspace:
         return self.catalog[name]
 
 
-def _one_of(columns: Sequence[str], values: list[Row]) -> Column:
+def _one_of(columns: Sequence[str], values: list[tuple]) -> Column:
     """The columns hold one of the listed rows. A balanced tree, since there may be thousands."""
     tests = [
         functools.reduce(
-            Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in columns]
+            Column.__and__,
+            [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(columns, row, strict=True)],
         )
         for row in values
     ] or [F.lit(False)]
