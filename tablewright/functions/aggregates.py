@@ -10,41 +10,42 @@ from tablewright.functions.fields import Expr, as_field
 
 def max_(prop) -> Expr:
     f = as_field(prop)
-    return Expr(lambda scope: F.max(f.build(scope)))
+    return Expr(lambda scope: F.max(f.build(scope)), aggregate=True)
 
 
 def min_(prop) -> Expr:
     f = as_field(prop)
-    return Expr(lambda scope: F.min(f.build(scope)))
+    return Expr(lambda scope: F.min(f.build(scope)), aggregate=True)
 
 
 def sum_(prop, distinct: bool = False) -> Expr:
     f = as_field(prop)
     agg = F.sum_distinct if distinct else F.sum
-    return Expr(lambda scope: agg(f.build(scope)))
+    return Expr(lambda scope: agg(f.build(scope)), aggregate=True)
 
 
 def count(prop, distinct: bool = False) -> Expr:
     f = as_field(prop)
     agg = F.count_distinct if distinct else F.count
-    return Expr(lambda scope: agg(f.build(scope)))
+    return Expr(lambda scope: agg(f.build(scope)), aggregate=True)
 
 
 def avg(prop, distinct: bool = False) -> Expr:
     f = as_field(prop)
     if not distinct:
-        return Expr(lambda scope: F.avg(f.build(scope)))
+        return Expr(lambda scope: F.avg(f.build(scope)), aggregate=True)
     return Expr(
         lambda scope: F.try_divide(
             F.sum_distinct(f.build(scope)), F.count_distinct(f.build(scope))
-        )
+        ),
+        aggregate=True,
     )
 
 
 def rows(alias: str | None = None) -> Expr:
     """Number of rows, or the number in which the aliased side of an outer join exists."""
     if alias is None:
-        return Expr(lambda scope: F.count(F.lit(1)))
+        return Expr(lambda scope: F.count(F.lit(1)), aggregate=True)
 
     def build(scope):
         source = scope.sources[alias]
@@ -55,10 +56,10 @@ def rows(alias: str | None = None) -> Expr:
         )
         return F.count(present)
 
-    return Expr(build)
+    return Expr(build, aggregate=True)
 
 
 def aggregate(name: str, prop) -> Expr:
     """Any aggregate Spark knows by name."""
     f = as_field(prop)
-    return Expr(lambda scope: F.call_function(name, f.build(scope)))
+    return Expr(lambda scope: F.call_function(name, f.build(scope)), aggregate=True)

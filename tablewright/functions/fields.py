@@ -22,18 +22,29 @@ DATES = (dt.date, dt.datetime)
 
 
 class Expr:
-    """A column that still has to be looked up in a scope."""
-
-    def __init__(self, build: Callable[[Scope], Column], label: str | None = None, prop: str = ""):
+    """A column that still has to be looked up in a scope. `prop` is the property it stands for,
+    if it is no more than that; `aggregate` tells that it combines rows."""
+
+    def __init__(
+        self,
+        build: Callable[[Scope], Column],
+        label: str | None = None,
+        prop: str = "",
+        aggregate: bool = False,
+    ):
         self.build = build
         self.label = label
         self.prop = prop
+        self.aggregate = aggregate
 
     def as_(self, label: str) -> Expr:
-        return Expr(self.build, label, self.prop)
+        return Expr(self.build, label, self.prop, self.aggregate)
 
     def _with(self, other: Any, combine: Callable[[Column, Column], Column]) -> Expr:
-        return Expr(lambda scope: combine(self.build(scope), to_col(other, scope)))
+        return Expr(
+            lambda scope: combine(self.build(scope), to_col(other, scope)),
+            aggregate=self.aggregate,
+        )
 
     def add(self, other) -> Expr:
         return self._with(other, lambda a, b: a + b)
@@ -199,7 +210,11 @@ def concat(prop, *others) -> Expr:
 
 def func(name: str, *args) -> Expr:
     """Any function Spark knows by name, built in or registered."""
-    return Expr(lambda scope: F.call_function(name, *[argument(a, scope) for a in args]))
+    combines = any(isinstance(a, Expr) and a.aggregate for a in args)
+    return Expr(
+        lambda scope: F.call_function(name, *[argument(a, scope) for a in args]),
+        aggregate=combines,
+    )
 
 
 def template(pattern: str, *args) -> Expr:

@@ -111,7 +111,7 @@ def _operand(value: Any, scope: Scope) -> Column:
     """Right side of a comparison: a subquery's one value, a field, or a bound value."""
     if isinstance(value, Expr | Column):
         return to_col(value, scope)
-    return value.scalar() if hasattr(value, "scalar") else lit(value)
+    return value.scalar(scope) if hasattr(value, "scalar") else lit(value)
 
 
 def _compare(prop, value, apply: Callable[[Column, Column], Column]) -> Condition:

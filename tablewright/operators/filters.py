@@ -2,7 +2,8 @@
 
 EXISTS and IN standing alone are semi and anti joins. Within OR, under a negation of something
 larger, or as a flag of an update, Spark would turn them into a join kind whose hot keys stay on
-one task. There the distinct keys are joined as a flag instead, by a left join that can be split.
+one task; and so it would do with an aggregate that depends on the row. There the distinct keys
+are joined as a flag, or the aggregate by its keys, with a left join that can be split.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tablewright.functions.scope import Scope
 
 
 def where(df: DataFrame, condition: Condition, scope: Scope) -> DataFrame:
-    """The rows for which the condition is true. Columns named `_flag...` and `_key...` may
-    come in addition."""
+    """The rows for which the condition is true. Columns named `_flag...`, `_key...` and
+    `_value...` may come in addition."""
     for part in condition.parts:
         if part.is_subquery:
             df = df.where(part.holds(scope))
@@ -33,7 +34,12 @@ def flagged(df: DataFrame, condition: Condition, scope: Scope) -> tuple[DataFram
     """The frame and a column that is true where the condition is true."""
     collecting = replace(scope, flags=[])
     hit = condition.holds(collecting)
-    for keys, names, values in collecting.flags:
+    return join_flags(df, collecting), hit
+
+
+def join_flags(df: DataFrame, scope: Scope) -> DataFrame:
+    """Add what the columns built in this scope count on. Each flag has a key once at most."""
+    for keys, names, values in scope.flags:
         same = [F.col(n) == v for n, v in zip(names, values, strict=True)]
         df = df.join(keys, functools.reduce(Column.__and__, same), "left")
-    return df, hit
+    return df

@@ -23,6 +23,7 @@ from tablewright.operators import setops
 from tablewright.operators.filters import where
 from tablewright.operators.ids import dense_index
 from tablewright.operators.joins import apart, split_outer_join, thin
+from tablewright.operators.subqueries import linked_value
 
 if TYPE_CHECKING:
     from tablewright.workspace import Workspace
@@ -411,9 +412,10 @@ class Query:
             keys += [root.spec.primary_key, *root.spec.unique.values()]
         return [tuple(key) for key in keys if key]
 
-    def scalar(self) -> Column:
+    def scalar(self, scope: Scope | None = None) -> Column:
         """The query as one value; more than one row is an error when it runs."""
-        return self.frame().scalar()
+        linked = linked_value(self, scope) if scope and scope.flags is not None else None
+        return self.frame().scalar() if linked is None else linked
 
     # ---- ends: these run the query and bring rows to the driver --------------------------
 

@@ -92,6 +92,32 @@ def _related_match(query, scope: Scope) -> Column:
     return _matching(thin(keys, *[F.col(c) for c in keys.columns]), values)
 
 
+def linked_value(query, scope: Scope) -> Column | None:
+    """One aggregate of the subquery's rows with the enclosing row's keys, as a join that the
+    filter adds: grouped by the keys once, and without a match the aggregate of no rows. None if
+    the subquery is anything else."""
+    if query.groups or query.is_distinct or query.page or len(query.items) != 1:
+        return None
+    item, _ = query.items[0]
+    pairs, rest = _links(query)
+    watched = query.scope.watched()
+    item.build(watched)
+    for condition in rest:
+        condition.holds(watched)
+    if not item.aggregate or not pairs or watched.outer_names:
+        return None
+    n = next(_flag_numbers)
+    names = [f"_key{n}_{i}" for i in range(len(pairs))]
+    rows = replace(query, conditions=tuple(rest)).rows_frame()
+    keys = [query.scope.resolve(own).alias(k) for (own, _), k in zip(pairs, names, strict=True)]
+    value = item.build(query.scope)
+    grouped = rows.groupBy(*keys).agg(value.alias(f"_value{n}"), F.lit(True).alias(f"_flag{n}"))
+    outer_values = [scope.resolve(name) for _, name in pairs]
+    scope.flags.append((apart(grouped, *[F.col(k) for k in names]), names, outer_values))
+    of_none = rows.where(F.lit(False)).agg(value.alias("value")).scalar()
+    return F.when(F.col(f"_flag{n}"), F.col(f"_value{n}")).otherwise(of_none)
+
+
 def _links(query) -> tuple[list[tuple[str, str]], list[Condition]]:
     """The equalities of the query's filters that tie an own property to one of the enclosing
     query, and the other conditions."""

@@ -17,7 +17,7 @@ from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.change import Change, TableChange
 from tablewright.operators.checks import require_keys
-from tablewright.operators.filters import flagged, where
+from tablewright.operators.filters import flagged, join_flags, where
 from tablewright.operators.joins import apart
 from tablewright.schema import TableSpec
 from tablewright.session import settle
@@ -62,8 +62,9 @@ class Update:
         target = self.tables.table(self.spec.name).alias(self.alias)
         scope = Scope(self.alias, {self.alias: Source(tuple(target.columns), self.spec)})
         condition = and_(*self.conditions)
-        new = {prop: self._value(v, scope) for prop, v in self.sets.items()}
-        joined, hit = flagged(target, condition, scope)
+        values = replace(scope, flags=[])
+        new = {prop: self._value(v, values) for prop, v in self.sets.items()}
+        joined, hit = flagged(join_flags(target, values), condition, scope)
         for i, lookup in enumerate(self.lookups):
             joined, new[lookup.prop] = self._looked_up(joined, lookup, i, scope)
         columns = []
@@ -81,7 +82,7 @@ class Update:
     def _value(value: Any, scope: Scope) -> Column:
         if isinstance(value, Expr | Column):
             return to_col(value, scope)
-        return value.scalar() if hasattr(value, "scalar") else lit(value)
+        return value.scalar(scope) if hasattr(value, "scalar") else lit(value)
 
     def _looked_up(self, joined: DataFrame, lookup: Lookup, i: int, scope: Scope):
         frame, source = self.tables.source(lookup.query)

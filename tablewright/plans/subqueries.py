@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.functions import and_, eq, gt, gte, lt, lte, multiply, ne, or_
+from tablewright.functions import and_, avg, eq, eq_property, gt, gte, lt, lte, multiply, ne, or_
 from tablewright.operators.subqueries import (
     exists,
     gt_all,
@@ -55,12 +55,14 @@ for _name, _parts in SCALAR.items():
     """
 )
 def scalar_sub_correlated(ws):
-    # One value per key: the grouped subquery is joined, which leaves a hot key splittable.
-    mean = ws.query("orders").group("o_custkey").column("o_custkey").avg("o_totalprice", "mean")
+    mean = (
+        ws.query("orders", "i")
+        .filter(eq_property("i.o_custkey", "o.o_custkey"))
+        .column(multiply(avg("i.o_totalprice"), 1.5), "v")
+    )
     return (
         ws.query("orders", "o")
-        .inner_join(mean, "i", [("o.o_custkey", "i.o_custkey")])
-        .filter(gt("o.o_totalprice", multiply("i.mean", 1.5)))
+        .filter(gt("o.o_totalprice", mean))
         .columns("o.o_orderkey", "o.o_totalprice")
     )
 

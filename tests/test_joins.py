@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import FOLDER, rows
 
-from tablewright.functions import gt, is_null, or_
+from tablewright.functions import eq_property, gt, gte, is_null, or_
 from tablewright.operators import subqueries as sub
 from tablewright.plans.all import QUERIES
 from tablewright.plans.driver_tables import workspace
@@ -100,7 +100,7 @@ def no_broadcast(spark):
 
 def final_plan(df):
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 JOINING = [
@@ -159,7 +159,10 @@ def test_hot_keys_are_split(spark, no_broadcast):
         either = ws.query(big, "a").filter(
             or_(sub.exists(ws.query(few), on=[("a.k", "k")]), gt("a.v", 50_000))
         )
+        highest = ws.query(big, "i").filter(eq_property("i.k", "a.k")).max("v", "m")
+        last = ws.query(big, "a").filter(gte("a.v", highest))
         cases = (
+            (last, "a.v", 40_001),
             (either, "a.v", 29_999),
             (left_hot, "a.v", 60_000),
             (right_hot, "b.v", 20_099),

@@ -6,8 +6,10 @@ import pytest
 from conftest import rows
 
 from tablewright.functions import (
+    add,
     and_,
     between,
+    count,
     eq,
     eq_property,
     false,
@@ -118,11 +120,31 @@ def test_same_table_inside_and_outside(small):
     assert got == [(4,), (7,), (8,)]
 
 
-def test_correlated_scalar_and_relation(small):
-    ws = small({VALS: VALS_ROWS, PICK: SETS["plain"]})
-    highest = ws.query("pick", "p").filter(eq_property("g", "t.k")).max("w", "m")
-    got = rows(ws.query("vals", "t").filter(eq("v", highest)).columns("id").frame())
-    assert got == [(1,), (2,), (5,)]
+def test_correlated_aggregates(small):
+    picked = [(1, 10.0), (1, 7.5), (3, 20.0), (None, 5.0), (2, None)]
+    ws, con = small({VALS: VALS_ROWS, PICK: picked}), duck(picked)
+
+    def linked():
+        return ws.query("pick", "p").filter(eq_property("g", "t.k"))
+
+    cases = [
+        (eq("v", linked().max("w", "m")), "v = (SELECT max(w) FROM pick WHERE g = k)"),
+        (eq("id", linked().rows("n")), "id = (SELECT count(*) FROM pick WHERE g = k)"),
+        (lte_property("id", "k") & gt("k", linked().rows("n")), "id <= k AND k > (SELECT count(*) FROM pick WHERE g = k)"),
+        (~gt("k", linked().count("w", "n")), "NOT (k > (SELECT count(w) FROM pick WHERE g = k))"),
+        (or_(gt("v", linked().filter(gt("w", 8)).avg("w", "a")), is_null("k")), "v > (SELECT avg(w) FROM pick WHERE g = k AND w > 8) OR k IS NULL"),
+        (gt("v", linked().column(add(count("w"), 6), "n")), "v > (SELECT count(w) + 6 FROM pick WHERE g = k)"),
+    ]
+    for condition, sql in cases:
+        got = rows(ws.query("vals", "t").filter(condition).columns("id").frame())
+        want = con.execute(f"SELECT id FROM vals t WHERE {sql}").fetchall()
+        assert got == sorted(want), sql
+    plan = ws.update("vals", "t").filter(gt("id", 2)).set("v", linked().rows("n")).plan()
+    want = con.execute(
+        """SELECT id, k, CASE WHEN id > 2 THEN (SELECT count(*) FROM pick WHERE g = k) ELSE v END
+           FROM vals"""
+    ).fetchall()
+    assert sorted(r[0::2] for r in rows(plan.frame("vals"))) == sorted(r[0::2] for r in want)
 
 
 CONDITIONS = [
