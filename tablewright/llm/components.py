@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import settle
+from tablewright.llm.stages import settle
 
 
 def _mark(links: DataFrame) -> tuple:

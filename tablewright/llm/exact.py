@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.stages import settle
 from tablewright.llm.text import one_space, whole_row
-from tablewright.session import settle
 
 HEAD = 48  # characters of the text that splitters hold
 
-
 def _sorted_runs(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[DataFrame, bool]:
     """Rows with their place in the run of equal texts, and whether any text had to be dealt out."""
     norm = one_space(F.col("body"))
@@ -52,7 +51,6 @@ def _sorted_runs(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[Dat
         .withColumn("group_size", F.count(F.lit(1)).over(equal))
     ), dealt
 
-
 def _merged(heads: DataFrame) -> DataFrame:
     """Of the runs of a text that was dealt out: the whole group's id and size, per run."""
     whole = Window.partitionBy("text_sha256", "norm")
@@ -64,7 +62,6 @@ def _merged(heads: DataFrame) -> DataFrame:
         (first == 1).alias("leads"),
     )
 
-
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
 ) -> DataFrame:
@@ -96,7 +93,6 @@ def exact_groups(
         "text_sha256",
     )
 
-
 def drop_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
 ) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.spread import cell_sums, random_key, sum_before
+from tablewright.llm.stages import settle
 from tablewright.llm.text import first_words, whole_row, word_count
-from tablewright.session import settle
 
 
 def _group(source: Column) -> Column:

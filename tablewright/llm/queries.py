@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.codes import top_k
 from tablewright.llm.exact import exact_groups
+from tablewright.llm.grammar import token_files, token_index
+from tablewright.llm.language import identify
 from tablewright.llm.mixing import mix
+from tablewright.llm.packing import pack_documents
+from tablewright.llm.quality import quality_scores
+from tablewright.llm.repeats import remove_repeats
 from tablewright.llm.simhash import near_groups
+from tablewright.llm.stages import settle, ship
+
+#: The tokenizer file of the queries; every executor has it at this place.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +32,7 @@ def _query(function):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +77,44 @@ FROM e
 """
 
 
+@_query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 100 bytes that occur earlier."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and place of each piece of each document."""
+    return pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@_query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
+    rows, _ = identify(_table(spark, sf_dir, "documents"))
+    return rows
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document, learned from the labels that are not held out."""
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_scores(docs, labels)
+
+
+@_query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows by code of every embedding whose id is divisible by 20."""
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the token files, read back from them."""
+    return token_index(settle(token_files(_table(spark, sf_dir, "documents"), TOKENIZER), "files"))
+
+
 @_query
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that each document's equal texts keep."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import connected
-from tablewright.session import settle
+from tablewright.llm.stages import settle
 
 BITS = 64
 SEED = 42

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.session import settle
+from tablewright.llm.stages import settle
 
 KEY_BITS = 60
 
