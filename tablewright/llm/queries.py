@@ -16,6 +16,7 @@ from tablewright.llm.mixing import mix
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import quality_scores
 from tablewright.llm.repeats import remove_repeats
+from tablewright.llm.scoring import backoff_scores
 from tablewright.llm.simhash import near_groups
 from tablewright.llm.stages import settle, ship
 
@@ -83,6 +84,12 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
 
 
+@_query
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents by the counts of all documents."""
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence and place of each piece of each document."""

@@ -77,3 +77,26 @@ def nearest(ids: list, codes: list[int | None], k: int, every: int) -> dict:
         ]
         out[q] = [(d, i) for d, _, i in sorted(others, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
     return out
+
+
+def backoff(rows: list[tuple], least: int = 2, alpha: float = 0.4) -> list[tuple]:
+    """(doc_id, text) -> (doc_id, words, pairs found, log score)."""
+    from collections import Counter
+    from math import log
+
+    split = [(d, (t or "").encode().lower().split()) for d, t in rows]
+    word = Counter(w for _, ws in split for w in ws)
+    pair = Counter(p for _, ws in split for p in zip(ws, ws[1:], strict=False))
+    total = sum(word.values())
+    out = []
+    for d, ws in split:
+        score = log(word[ws[0]] / total) if ws else 0.0
+        found = 0
+        for a, b in zip(ws, ws[1:], strict=False):
+            if pair[a, b] >= least:
+                found += 1
+                score += log(pair[a, b] / word[a])
+            else:
+                score += log(alpha * word[b] / total)
+        out.append((d, len(ws), found, score))
+    return out
