@@ -5,6 +5,9 @@
   join broadcasts the set, so here it is an ordinary anti join plus two counts of the set.
 * ANY and ALL need the smallest and largest value of the set and how many values are NULL: one
   row, computed once and compared with every row.
+* A subquery that names the enclosing row by equalities is grouped by its own side of them, and
+  these groups are joined by key: its own GROUP BY, HAVING and aggregates then hold per key. What
+  ties it by anything else, and by no equality, is refused: it would compare all pairs of rows.
 
 Each condition states when it is true and when it is false, see `functions.predicates`.
 """
@@ -77,21 +80,84 @@ def _flag(frame: DataFrame, source: Source, labels, values, scope: Scope) -> Col
 
 def _related_match(query, scope: Scope) -> Column:
     pairs, rest = _links(query)
-    watched = query.scope.watched()
-    for condition in rest:
-        condition.holds(watched)
-    if not pairs or watched.outer_names:
+    plain = not (query.groups or query.havings or query.page or _aggregates(query))
+    more = _names_outer(query, rest)
+    if not pairs and not more:
+        rows = query.rows_frame() if plain else query.frame()
+        return rows.select(F.lit(1)).exists()
+    if not pairs:
+        raise ValueError("a subquery needs an equality with the enclosing row")
+    if more:
+        if not plain:
+            raise ValueError("a grouped or limited subquery is tied by equalities only")
         return query.rows_frame().select(F.lit(1)).exists()
-    rows = replace(query, conditions=tuple(rest)).rows_frame()
-    keys = rows.select(
-        *[query.scope.resolve(own).alias(f"_k{i}") for i, (own, _) in enumerate(pairs)]
-    )
+    offset, count = query.page or (0, 1)
+    if count == 0:
+        return F.lit(False)
+    if _aggregates(query) and not query.groups:
+        return F.lit(offset == 0)  # one row, whatever it counts
+    keys = _by_key(query, pairs, rest, with_items=offset > 0 and query.is_distinct)
+    names = [f"_k{i}" for i in range(len(pairs))]
+    if offset:
+        keys = keys.distinct() if query.is_distinct else keys
+        keys = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > offset)
+    keys = keys.select(*names)
     values = [scope.resolve(name) for _, name in pairs]
     if scope.flags is not None:
         return _flag(keys, Source(tuple(keys.columns)), keys.columns, values, scope)
     return _matching(thin(keys, *[F.col(c) for c in keys.columns]), values)
 
 
+def _aggregates(query) -> bool:
+    return any(f.aggregate for f, _ in query.items)
+
+
+def _names_outer(query, conditions) -> bool:
+    """Whether anything in the conditions, or else in the subquery, names the enclosing row."""
+    watched = query.scope.watched()
+    for condition in (*conditions, *query.havings):
+        condition.holds(watched)
+    for f, _ in query.items:
+        f.build(watched)
+    return bool(watched.outer_names)
+
+
+def _by_key(query, pairs, rest, with_items: bool) -> DataFrame:
+    """The subquery's rows, or groups, for all keys at once: its own side of the equalities as
+    `_k0`, `_k1`, ..., after its columns if they are wanted."""
+    keys = tuple((as_field(own), f"_k{i}") for i, (own, _) in enumerate(pairs))
+    own = tuple(name for name, _ in pairs)
+    items = query.items if with_items else ()
+    grouped = query.groups or _aggregates(query)
+    return replace(
+        query,
+        conditions=tuple(rest),
+        items=(*items, *keys),
+        groups=(*own, *query.groups) if grouped else (),
+        orders=(),
+        page=None,
+        is_distinct=False,
+    ).frame()
+
+
+def _values_by_key(query) -> tuple[list[tuple[str, str]], DataFrame | None]:
+    """The equalities that tie a subquery of one column to the enclosing row, and its values by
+    key: `_value`, `_k0`, ... No equalities and no frame for one that stands alone."""
+    pairs, rest = _links(query)
+    more = _names_outer(query, rest)
+    if not pairs and not more:
+        return [], None
+    if more or not pairs:
+        raise ValueError("a subquery for IN, ANY or ALL is tied to the enclosing row by equalities")
+    if query.page or (_aggregates(query) and not query.groups):
+        raise ValueError("a subquery for IN, ANY or ALL that names the enclosing row has no page, "
+                         "and no aggregate without a group")
+    label = query.only_label()
+    frame = _by_key(query, pairs, rest, with_items=True)
+    names = [f"_k{i}" for i in range(len(pairs))]
+    return pairs, frame.select(F.col(f"`{label}`").alias("_value"), *names)
+
+
 def linked_value(query, scope: Scope) -> Column | None:
     """One aggregate of the subquery's rows with the enclosing row's keys, as a join that the
     filter adds: grouped by the keys once, and without a match the aggregate of no rows. None if
@@ -135,12 +201,22 @@ def in_query(prop, query) -> Condition:
     """The value is among those of the subquery's only column."""
     on = [(prop, query.only_label())]
 
+    def holds(scope: Scope) -> Column:
+        pairs, frame = _values_by_key(query)
+        if frame is None:
+            return _key_match(query, on, scope)
+        outer_values = [as_field(prop).build(scope), *[scope.resolve(name) for _, name in pairs]]
+        source = Source(tuple(frame.columns))
+        if scope.flags is not None:
+            return _flag(frame, source, frame.columns, outer_values, scope)
+        return _matching(lookup(frame, source, *frame.columns), outer_values)
+
     def fails(scope: Scope) -> Column:
-        s, x = _sizes(query), as_field(prop).build(scope)
+        s, x = _summary(query, scope), as_field(prop).build(scope)
         decided = (s["n"] == 0) | (x.isNotNull() & (s["n"] == s["present"]))
-        return ~_key_match(query, on, scope) & decided
+        return ~holds(scope) & decided
 
-    return Condition(lambda scope: _key_match(query, on, scope), fails, is_subquery=True)
+    return Condition(holds, fails, is_subquery=not _links(query)[0])
 
 
 def not_in_query(prop, query) -> Condition:
@@ -151,23 +227,35 @@ def ne_all(prop, query) -> Condition:
     return not_in_query(prop, query)
 
 
-def _sizes(query) -> Column:
-    """Size of the subquery's column and its number of non-NULL values."""
-    value = F.col(f"`{query.only_label()}`")
-    packed = F.struct(F.count(F.lit(1)).alias("n"), F.count(value).alias("present"))
-    return query.frame().agg(packed.alias("sizes")).scalar()
-
-
-def _summary(query) -> Column:
-    """Size, number of non-NULL values, smallest and largest value of the subquery's column."""
-    value = F.col(f"`{query.only_label()}`")
-    packed = F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.count(value).alias("present"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
+def _summary(query, scope: Scope) -> Column:
+    """Size, number of non-NULL values, smallest and largest value of the subquery's column; of a
+    subquery that names the enclosing row, those of the row's keys."""
+
+    def packed(value: Column) -> Column:
+        return F.struct(
+            F.count(F.lit(1)).alias("n"),
+            F.count(value).alias("present"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+        )
+
+    pairs, frame = _values_by_key(query)
+    if frame is None:
+        value = F.col(f"`{query.only_label()}`")
+        return query.frame().agg(packed(value).alias("summary")).scalar()
+    if scope.flags is None:
+        raise ValueError("a subquery that names the enclosing row cannot stand here")
+    n = next(_flag_numbers)
+    names = [f"_key{n}_{i}" for i in range(len(pairs))]
+    keys = [F.col(f"_k{i}").alias(name) for i, name in enumerate(names)]
+    grouped = frame.groupBy(*keys).agg(packed(F.col("_value")).alias(f"_value{n}"))
+    outer_values = [scope.resolve(name) for _, name in pairs]
+    scope.flags.append((apart(grouped, *[F.col(k) for k in names]), names, outer_values))
+    none, nothing = F.lit(0).cast("long"), F.lit(None).cast(frame.schema["_value"].dataType)
+    empty = F.struct(
+        none.alias("n"), none.alias("present"), nothing.alias("low"), nothing.alias("high")
     )
-    return query.frame().agg(packed.alias("summary")).scalar()
+    return F.coalesce(F.col(f"_value{n}"), empty)
 
 
 # For each comparison: the end of the set that decides ANY, the end that decides ALL, the test,
@@ -182,12 +270,12 @@ _TESTS = {
 
 def _any_holds(prop, symbol, query, scope) -> Column:
     end, _, test, _ = _TESTS[symbol]
-    return test(as_field(prop).build(scope), _summary(query)[end])
+    return test(as_field(prop).build(scope), _summary(query, scope)[end])
 
 
 def _all_holds(prop, symbol, query, scope) -> Column:
     _, end, test, _ = _TESTS[symbol]
-    s = _summary(query)
+    s = _summary(query, scope)
     whole = (s["n"] == s["present"]) & test(as_field(prop).build(scope), s[end])
     return (s["n"] == 0) | whole
 
@@ -242,11 +330,11 @@ def ne_any(prop, query) -> Condition:
     """Some value of the set differs: false only if the set holds no value but this one."""
 
     def holds(scope: Scope) -> Column:
-        x, s = as_field(prop).build(scope), _summary(query)
+        x, s = as_field(prop).build(scope), _summary(query, scope)
         return (x != s["low"]) | (x != s["high"])
 
     def fails(scope: Scope) -> Column:
-        x, s = as_field(prop).build(scope), _summary(query)
+        x, s = as_field(prop).build(scope), _summary(query, scope)
         same = (x == s["low"]) & (x == s["high"]) & (s["n"] == s["present"])
         return (s["n"] == 0) | same
 

@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.functions import and_, avg, eq, eq_property, gt, gte, lt, lte, multiply, ne, or_
+from tablewright.functions import (
+    add,
+    and_,
+    avg,
+    eq,
+    eq_property,
+    gt,
+    gte,
+    lt,
+    lte,
+    multiply,
+    ne,
+    or_,
+    rows,
+)
 from tablewright.operators.subqueries import (
     exists,
     gt_all,
@@ -234,3 +248,118 @@ def not_quantified(ws):
         .filter(~lt_any("c_acctbal", lower))
         .columns("c_custkey")
     )
+
+
+def _orders_of(ws):
+    return ws.query("orders", "o").filter(eq_property("o.o_custkey", "c.c_custkey"))
+
+
+def _customers(ws, condition):
+    return ws.query("customer", "c").filter(condition).columns("c_custkey", "c_name")
+
+
+BUSY = """
+    SELECT c_custkey, c_name FROM customer c WHERE {} EXISTS (
+      SELECT o.o_orderstatus FROM orders o WHERE o.o_custkey = c.c_custkey
+      GROUP BY o.o_orderstatus HAVING count(*) > 5)
+"""
+
+
+@query(BUSY.format(""))
+def exists_having(ws):
+    busy = _orders_of(ws).group("o.o_orderstatus").having(gt(rows(), 5))
+    return _customers(ws, exists(busy))
+
+
+@query(BUSY.format("NOT"))
+def not_exists_having(ws):
+    busy = _orders_of(ws).group("o.o_orderstatus").having(gt(rows(), 5))
+    return _customers(ws, not_exists(busy))
+
+
+@query(
+    """
+    SELECT c_custkey, c_name FROM customer c
+    WHERE (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) > 12
+      AND EXISTS (SELECT 1 FROM region LIMIT 1)
+      AND NOT EXISTS (SELECT 1 FROM region LIMIT 0)
+    """
+)
+def exists_limit(ws):
+    beyond = _orders_of(ws).columns("o.o_orderkey").limit(12, 5)
+    one, none = ws.query("region").limit(1), ws.query("region").limit(0)
+    return _customers(ws, and_(exists(beyond), exists(one), not_exists(none)))
+
+
+@query(
+    """
+    SELECT c_custkey, c_name FROM customer c
+    WHERE EXISTS (SELECT max(o_totalprice) FROM orders o
+                  WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'none')
+    """
+)
+def exists_aggregate(ws):
+    return _customers(
+        ws, exists(_orders_of(ws).filter(eq("o.o_orderstatus", "none")).max("o.o_totalprice", "m"))
+    )
+
+
+def _lines(ws):
+    linked = ws.query("lineitem", "l").filter(eq_property("l.l_orderkey", "o.o_orderkey"))
+    return linked.filter(gt("l.l_tax", 0.05)).columns("l.l_extendedprice")
+
+
+@query(
+    """
+    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l
+    WHERE l.l_linenumber IN (SELECT m.l_linenumber + 1 FROM lineitem m
+                             WHERE m.l_orderkey = l.l_orderkey AND m.l_quantity > 45)
+    """
+)
+def in_sub_correlated(ws):
+    before = (
+        ws.query("lineitem", "m")
+        .filter(eq_property("m.l_orderkey", "l.l_orderkey"))
+        .filter(gt("m.l_quantity", 45))
+        .column(add("m.l_linenumber", 1), "v")
+    )
+    return (
+        ws.query("lineitem", "l")
+        .filter(in_query("l.l_linenumber", before))
+        .columns("l.l_orderkey", "l.l_linenumber", "l.l_partkey")
+    )
+
+
+@query(
+    """
+    SELECT o.o_orderkey FROM orders o
+    WHERE o.o_orderstatus NOT IN (SELECT l.l_linestatus FROM lineitem l
+                                  WHERE l.l_orderkey = o.o_orderkey AND l.l_tax > 0.05)
+    """
+)
+def not_in_sub_correlated(ws):
+    linked = ws.query("lineitem", "l").filter(eq_property("l.l_orderkey", "o.o_orderkey"))
+    states = linked.filter(gt("l.l_tax", 0.05)).columns("l.l_linestatus")
+    return ws.query("orders", "o").filter(not_in_query("o.o_orderstatus", states)).columns("o.o_orderkey")
+
+
+@query(
+    """
+    SELECT o.o_orderkey FROM orders o
+    WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_tax > 0.05
+                  AND o.o_totalprice > l.l_extendedprice)
+    """
+)
+def gt_any_correlated(ws):
+    return ws.query("orders", "o").filter(gt_any("o.o_totalprice", _lines(ws))).columns("o.o_orderkey")
+
+
+@query(
+    """
+    SELECT o.o_orderkey FROM orders o
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_tax > 0.05
+                      AND o.o_totalprice >= l.l_extendedprice)
+    """
+)
+def lt_all_correlated(ws):
+    return ws.query("orders", "o").filter(lt_all("o.o_totalprice", _lines(ws))).columns("o.o_orderkey")
