@@ -50,7 +50,7 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 class Condition:
-    """`pair` names the two properties of an equality; `parts` are the conditions that AND ties
+    """`pair` names the two properties of an equality, `sides` are the two fields of one; `parts` are the conditions that AND ties
     together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
     own is a semi or anti join."""
 
@@ -60,6 +60,7 @@ class Condition:
         self.holds = holds
         self.fails = fails or (lambda scope: ~holds(scope))
         self.pair: tuple[str, str] | None = None
+        self.sides: tuple[Expr, Expr] | None = None
         self.is_subquery = is_subquery
         self.parts: tuple[Condition, ...] = parts or (self,)
 
@@ -147,6 +148,7 @@ def eq_property(prop, other) -> Condition:
     a, b = as_field(prop), as_field(other)
     equal = eq(a, b)
     equal.pair = (a.prop, b.prop) if a.prop and b.prop else None
+    equal.sides = (a, b)
     return equal
 
 
@@ -259,6 +261,7 @@ def not_(condition) -> Condition:
     return ~as_condition(condition)
 
 
+# The selector names below.
 def selected(value: Any, selector: str) -> bool:
     """Whether a property value of an example takes part: `ALL`, `NON_NULL`, or
     `NON_NULL_OR_ZERO`, which leaves out NULLs and zeros."""

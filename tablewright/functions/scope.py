@@ -78,13 +78,16 @@ class Scope:
 
 
 class WatchedScope(Scope):
-    """A scope that notes which names of the enclosing query were looked up."""
+    """A scope that notes which names were looked up, and which of them are the enclosing query's."""
 
     def __init__(self, root: str, sources: dict[str, Source]):
         super().__init__(root, sources)
         object.__setattr__(self, "outer_names", [])
+        object.__setattr__(self, "aliases", set())
 
     def resolve(self, name: str) -> Column:
+        alias, prop = self.split(name)
+        self.aliases.add(alias or self.owner(prop) or self.root)
         if self.is_outer(name):
             self.outer_names.append(name)
         return super().resolve(name)

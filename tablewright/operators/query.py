@@ -21,8 +21,8 @@ from tablewright.functions.predicates import Condition, as_condition, eq_propert
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
 from tablewright.operators.filters import where
-from tablewright.operators.ids import dense_index
-from tablewright.operators.joins import apart, split_outer_join, thin
+from tablewright.operators.joins import apart, completed, split_outer_join, thin, written
+from tablewright.operators.paging import Sort, page
 from tablewright.operators.subqueries import linked_value
 
 if TYPE_CHECKING:
@@ -30,11 +30,6 @@ if TYPE_CHECKING:
 
 ROOT = "this"
 
-# Up to this many rows a page is a top-k: each task keeps its best rows and one task merges them.
-# Beyond it rows are numbered in parallel and the page is a range of numbers.
-TOP_K_ROWS = 10_000
-
-
 @dataclass(frozen=True)
 class Order:
     field: Any
@@ -46,6 +41,24 @@ class Order:
         suffix = f"_nulls_{self.nulls}" if self.nulls else ""
         return getattr(column, direction + suffix)()
 
+    def by(self, column: str) -> Sort:
+        first = self.nulls == "first" if self.nulls else not self.descending
+        return Sort(column, self.descending, first)
+
+
+def _tied(scope: Scope, conditions) -> set[frozenset]:
+    """Pairs of aliases that an equality among the conditions ties, each side naming one alias."""
+    ties = set()
+    for part in [p for c in conditions for p in as_condition(c).parts if p.sides]:
+        named = []
+        for side in part.sides:
+            watched = scope.watched()
+            side.build(watched)
+            named.append(watched.aliases)
+        if [len(n) for n in named] == [1, 1] and named[0] != named[1]:
+            ties.add(frozenset(named[0] | named[1]))
+    return ties
+
 
 @dataclass(frozen=True)
 class Query:
@@ -58,7 +71,9 @@ class Query:
     havings: tuple[Condition, ...] = ()
     orders: tuple[Order, ...] = ()
     is_distinct: bool = False
-    unlinked: bool = False
+    frames: tuple[tuple[str, DataFrame], ...] = ()  # by alias, for the keys a table may hold
+    loose: tuple[str, ...] = ()  # tables in FROM that filters must tie to the others
+    ties: tuple[frozenset, ...] = ()  # aliases that joins tie by an equality
     page: tuple[int, int] | None = None  # offset, limit
 
     # ---- sources -------------------------------------------------------------------------
@@ -67,17 +82,26 @@ class Query:
     def over(tables: Workspace, source, alias: str = ROOT) -> Query:
         """A query over a declared table (by name), another query, or any DataFrame."""
         frame, described = tables.source(source)
-        return Query(tables, frame.alias(alias), Scope(alias, {alias: described}))
+        root = frame.alias(alias)
+        return Query(tables, root, Scope(alias, {alias: described}), frames=((alias, root),))
+
+    @staticmethod
+    def over_frame(tables: Workspace, frame: DataFrame, described: Source) -> Query:
+        root = frame.alias(ROOT)
+        return Query(tables, root, Scope(ROOT, {ROOT: described}), frames=((ROOT, root),))
 
     def from_(self, source, alias: str) -> Query:
-        """One more table in FROM. A later `filter` must tie it to the others; without any, the
-        query is refused, since all pairs of two tables are never what is wanted at scale."""
+        """One more table in FROM. A filter must tie it to the others by an equality of two
+        properties; without, the query is refused, since all pairs of two tables are never what is
+        wanted at scale."""
         frame, described = self.tables.source(source)
+        more = frame.alias(alias)
         return replace(
             self,
-            base=self.base.join(frame.alias(alias)),
+            base=self.base.join(more),
             scope=self._scope_with(alias, described),
-            unlinked=True,
+            frames=(*self.frames, (alias, more)),
+            loose=(*self.loose, alias),
         )
 
     def _scope_with(self, alias: str, described: Source) -> Scope:
@@ -89,35 +113,61 @@ class Query:
 
     def join(self, source, alias: str, on, how: str = "inner", split: bool = True) -> Query:
         """Join a table, query or frame. `on` is a condition, or a list of key pairs
-        `("left_prop", "alias.prop")` with further conditions.
-
-        With pairs, an outer join to a side that can repeat its key is split into matched and
-        unmatched rows, which keeps a hot key off a single task and reads the inputs twice; in a
-        chain of such joins, once more per join for each. `split=False` leaves it to Spark.
+        `("left_prop", "alias.prop")` and conditions. An equality of two properties is a key pair
+        however it is spelt, and one at least is needed: a join without any compares all pairs.
+
+        A left join to a side that can repeat its key becomes an inner join to that side, completed
+        by a row of NULLs for each key it lacks, which Spark can split at a hot key on either side
+        and which reads a table of a chain once more for its keys. A right or full join, and one with
+        further conditions, is split into matched and unmatched rows; in a chain, the rows
+        joined so far are written once for it. `split=False` leaves it all to Spark.
         """
         frame, described = self.tables.source(source)
         scope = self._scope_with(alias, described)
-        parts = list(on) if isinstance(on, list | tuple) else [on]
-        pairs = [p for p in parts if isinstance(p, tuple)]
-        if described.grouped and pairs and not self._left_once(scope, pairs):
+        pairs, rest = self._key_pairs(list(on) if isinstance(on, list | tuple) else [on], alias)
+        ties = {frozenset((self._alias_of(a), alias)) for a, _ in pairs} | _tied(scope, rest)
+        if not any(alias in tie for tie in ties):
+            raise ValueError(f"the join of {alias!r} needs an equality of two properties")
+        if described.grouped and not self._left_once(scope, pairs):
             frame = apart(frame, *[F.col(f"`{scope.split(b)[1]}`") for _, b in pairs])
         right = frame.alias(alias)
         equal = [scope.resolve(a) == scope.resolve(b) for a, b in pairs]
-        more = [as_condition(p).holds(scope) for p in parts if not isinstance(p, tuple)]
+        more = [as_condition(p).holds(scope) for p in rest]
         condition = functools.reduce(Column.__and__, equal + more)
         right_once = described.covers_key(scope.split(b)[1] for _, b in pairs)
         left_once = self._left_once(scope, pairs)
+        owners = [self._alias_of(a) for a, _ in pairs]
         # with each key once on the null-extended sides, Spark can split the plain join
         plain = (right_once or how == "right") and (left_once or how == "left")
-        if how == "inner" or not split or not pairs or plain:
+        if how == "inner" or not split or plain or not pairs:
             joined = self.base.join(right, condition, how)
+        elif how == "left" and not more and len(set(owners)) == 1:
+            owner = dict(self.frames)[owners[0]]
+            keys = owner.select(*[scope.resolve(a) for a, _ in pairs])
+            joined = completed(
+                self.base,
+                frame,
+                alias,
+                [scope.resolve(a) for a, _ in pairs],
+                keys,
+                [scope.split(b)[1] for _, b in pairs],
+            )
         else:
-            left_lookup, right_lookup = self.base, right
+            base, own = self.base, [scope.resolve(a) for a, _ in pairs]
+            if len(self.scope.sources) > 1:
+                base = written(base, {a: s.props for a, s in self.scope.sources.items()})
+                # there an alias is a struct, and stays one where only its keys are wanted
+                own = [
+                    F.struct(*[scope.resolve(a).alias(scope.split(a)[1]) for a, _ in pairs
+                               if self._alias_of(a) == o]).alias(o)
+                    for o in dict.fromkeys(owners)
+                ]
+            left_lookup, right_lookup = base, right
             if not more:
-                left_lookup = thin(self.base, *[scope.resolve(a) for a, _ in pairs])
+                left_lookup = thin(base, *own)
                 right_lookup = thin(right, *[scope.resolve(b) for _, b in pairs])
             joined = split_outer_join(
-                self.base,
+                base,
                 right,
                 condition,
                 how,
@@ -126,7 +176,33 @@ class Query:
                 left_once,
                 right_once,
             )
-        return replace(self, base=joined, scope=scope)
+        return replace(
+            self,
+            base=joined,
+            scope=scope,
+            frames=(*self.frames, (alias, right)),
+            ties=(*self.ties, *ties),
+        )
+
+    def _alias_of(self, name: str) -> str:
+        alias, prop = self.scope.split(name)
+        return alias or self.scope.owner(prop) or self.scope.root
+
+    def _key_pairs(self, parts, alias: str) -> tuple[list[tuple[str, str]], list]:
+        """Pairs of an own property and one of the joined table, and the other conditions."""
+        pairs, rest = [], []
+        for part in parts:
+            if isinstance(part, tuple):
+                pairs.append(part)
+                continue
+            for c in as_condition(part).parts:
+                there = [name.startswith(f"{alias}.") for name in c.pair or ()]
+                known = [self.scope.split(n)[0] in (None, *self.scope.sources) for n in c.pair or ()]
+                if sorted(there) == [False, True] and known[there.index(False)]:
+                    pairs.append((c.pair[there.index(False)], c.pair[there.index(True)]))
+                else:
+                    rest.append(c)
+        return pairs, rest
 
     def _left_once(self, scope: Scope, pairs) -> bool:
         if len(self.scope.sources) > 1:
@@ -147,7 +223,7 @@ class Query:
         return self.join(source, alias, on, "full")
 
     def cross_join(self, source, alias: str, on) -> Query:
-        """A cross join always comes with a condition, which makes it an inner join."""
+        """A cross join always comes with an equality, which makes it an inner join."""
         return self.join(source, alias, on, "inner")
 
     def relate(self, table: str, alias: str, how: str = "inner") -> Query:
@@ -175,8 +251,7 @@ class Query:
     # ---- clauses -------------------------------------------------------------------------
 
     def filter(self, condition) -> Query:
-        added = (*self.conditions, as_condition(condition))
-        return replace(self, conditions=added, unlinked=False)
+        return replace(self, conditions=(*self.conditions, as_condition(condition)))
 
     def column(self, prop, label: str | None = None) -> Query:
         f = as_field(prop)
@@ -273,23 +348,37 @@ class Query:
         combined = operation(self.frame(), frame)
         labels = tuple(combined.columns)
         described = Source(labels, None, (labels,) if grouped else (), grouped)
-        return Query(self.tables, combined.alias(ROOT), Scope(ROOT, {ROOT: described}))
+        return Query.over_frame(self.tables, combined, described)
 
     # ---- the plan ------------------------------------------------------------------------
 
     def rows_frame(self) -> DataFrame:
         """The joined and filtered rows, before projection."""
-        if self.unlinked:
-            raise ValueError("tables in FROM need a filter that ties them together")
+        self._check_ties()
         df = self.base
         for condition in self.conditions:
             df = where(df, condition, self.scope)
         return df
 
+    def _check_ties(self) -> None:
+        """Every table in FROM is reached from the first by equalities of properties."""
+        if not self.loose:
+            return
+        ties = [*self.ties, *_tied(self.scope, self.conditions)]
+        reached, size = {self.scope.root}, 0
+        while len(reached) > size:
+            size = len(reached)
+            reached = reached.union(*[tie for tie in ties if tie & reached])
+        if missing := set(self.loose) - reached:
+            raise ValueError(f"no equality ties {sorted(missing)} in FROM to the other tables")
+
     def frame(self) -> DataFrame:
         return self._grouped() if self.groups else self._plain()
 
     def _selected(self) -> list[Column]:
+        props = self.scope.sources[self.scope.root].props
+        if not self.items and len(set(props)) < len(props):  # equal labels: by place only
+            return [F.col(f"{self.scope.root}.*")]
         items = self.items or self.star().items
         columns = []
         for f, label in items:
@@ -304,16 +393,14 @@ class Query:
         if self.is_distinct:
             df = df.select(*self._selected()).distinct()
             return self._paged(df, self._orders_by_label())
-        orders = [o.apply(self._order_column(o)) for o in self.orders]
-        if self._deep_page():
-            sort = [F.col(f"_o{i}") for i in range(len(orders))]
-            keys = [self._order_column(o).alias(f"_o{i}") for i, o in enumerate(self.orders)]
-            df = df.select(*self._selected(), *keys)
-            sort = [o.apply(c) for o, c in zip(self.orders, sort, strict=True)]
-            return self._paged(df, sort).drop(*[f"_o{i}" for i in range(len(keys))])
-        if orders:
-            df = df.orderBy(*orders)
-        return self._paged(df.select(*self._selected()), [])
+        if self.page is None:
+            orders = [o.apply(self._order_column(o)) for o in self.orders]
+            df = df.orderBy(*orders) if orders else df
+            return df.select(*self._selected())
+        names = [f"_o{i}" for i in range(len(self.orders))]
+        keys = [self._order_column(o).alias(n) for o, n in zip(self.orders, names, strict=True)]
+        sorts = [o.by(n) for o, n in zip(self.orders, names, strict=True)]
+        return self._paged(df.select(*self._selected(), *keys), sorts).drop(*names)
 
     def _grouped(self) -> DataFrame:
         fields = [to_col(g, self.scope) for g in self.groups]
@@ -329,10 +416,10 @@ class Query:
         sort_keys, sort = [], []
         for i, o in enumerate(self.orders):
             if isinstance(o.field, str) and o.field in labels:
-                sort.append(o.apply(F.col(f"`{o.field}`")))
+                sort.append(o.by(o.field))
             else:
                 sort_keys.append(to_col(o.field, self.scope).alias(f"_o{i}"))
-                sort.append(o.apply(F.col(f"_o{i}")))
+                sort.append(o.by(f"_o{i}"))
         df = self.rows_frame().groupBy(*keys).agg(*items, *having, *sort_keys)
         for i in range(len(having)):
             df = df.where(f"_h{i}")
@@ -351,24 +438,13 @@ class Query:
                     return f.build(self.scope)
         return to_col(o.field, self.scope)
 
-    def _orders_by_label(self) -> list[Column]:
-        return [o.apply(F.col(f"`{as_field(o.field).label}`")) for o in self.orders]
+    def _orders_by_label(self) -> list[Sort]:
+        return [o.by(as_field(o.field).label) for o in self.orders]
 
-    def _deep_page(self) -> bool:
-        return self.page is not None and sum(self.page) > TOP_K_ROWS
-
-    def _paged(self, df: DataFrame, orders: list[Column]) -> DataFrame:
-        if self._deep_page():
-            offset, count = self.page
-            numbered = dense_index(df, orders, "_row")
-            row = F.col("_row")
-            return numbered.where((row >= offset) & (row < offset + count)).drop("_row")
-        if orders:
-            df = df.orderBy(*orders)
-        if self.page is None:
-            return df
-        offset, count = self.page
-        return (df.offset(offset) if offset else df).limit(count)
+    def _paged(self, df: DataFrame, sorts: list[Sort]) -> DataFrame:
+        if self.page is not None:
+            return page(df, sorts, *self.page)
+        return df.orderBy(*[s.apply() for s in sorts]) if sorts else df
 
     # ---- description ---------------------------------------------------------------------
 

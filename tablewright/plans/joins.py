@@ -243,3 +243,31 @@ def join_left_on_filter(ws):
         .column("l.l_returnflag")
         .rows("n")
     )
+
+
+@query(
+    """
+    SELECT c.c_mktsegment, count(*) AS n, count(o.o_orderkey) AS orders, count(l.l_orderkey) AS lines,
+           count(n.n_nationkey) AS nations, count(s.s_suppkey) AS suppliers
+    FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+    LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+    LEFT JOIN nation n ON l.l_linenumber = n.n_regionkey
+    LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey
+    GROUP BY c.c_mktsegment
+    """
+)
+def join_left_chain(ws):
+    return (
+        ws.query("customer", "c")
+        .left_join("orders", "o", eq_property("c.c_custkey", "o.o_custkey"))
+        .left_join("lineitem", "l", [("o.o_orderkey", "l.l_orderkey")])
+        .left_join("nation", "n", [("l.l_linenumber", "n.n_regionkey")])
+        .left_join("supplier", "s", [("n.n_nationkey", "s.s_nationkey")])
+        .group("c.c_mktsegment")
+        .column("c.c_mktsegment")
+        .rows("n")
+        .count("o.o_orderkey", "orders")
+        .count("l.l_orderkey", "lines")
+        .count("n.n_nationkey", "nations")
+        .count("s.s_suppkey", "suppliers")
+    )

@@ -88,20 +88,41 @@ def page(ws):
     )
 
 
-# A page whose end lies beyond what one task should sort: rows are numbered in parallel.
+# Pages whose ends lie beyond what one task should merge, and within the table.
 @query(
     """
-    SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id
-    LIMIT 200000 OFFSET 2500
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey
+    LIMIT 20000 OFFSET 15000
     """
 )
 def page_deep(ws):
     return (
-        ws.query("events")
-        .columns("event_id", "user_id", "value")
-        .desc("value")
-        .asc("event_id")
-        .limit(2500, 200000)
+        ws.query("lineitem")
+        .columns("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        .desc("l_extendedprice")
+        .asc("l_orderkey")
+        .asc("l_linenumber")
+        .asc("l_partkey")
+        .asc("l_suppkey")
+        .limit(15_000, 20_000)
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders
+    ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 9000 OFFSET 4000
+    """
+)
+def page_deep_text(ws):
+    return (
+        ws.query("orders")
+        .columns("o_orderkey", "o_orderpriority", "o_orderdate")
+        .asc("o_orderpriority")
+        .desc("o_orderdate")
+        .asc("o_orderkey")
+        .limit(4_000, 9_000)
     )
 
 

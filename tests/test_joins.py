@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import FOLDER, rows
 
-from tablewright.functions import eq_property, gt, gte, is_null, or_
+from tablewright.functions import eq_property, gt, gte, is_null, lt_property, or_
 from tablewright.operators import subqueries as sub
 from tablewright.plans.all import QUERIES
 from tablewright.plans.driver_tables import workspace
@@ -62,6 +62,59 @@ def test_chain_of_outer_joins(small):
     assert ordered(got) == ordered(duck().execute(sql).fetchall())
 
 
+def scans(query):
+    plan = query.frame()._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"LogicalRDD|Relation ", plan))
+
+
+def test_a_chain_of_left_joins_reads_linearly(small):
+    ws = small({LEFT: LEFT_ROWS, RIGHT: RIGHT_ROWS})
+    query, seen = ws.query("l", "a0"), []
+    for i in range(1, 5):
+        query = query.left_join("r" if i % 2 else "l", f"a{i}", [(f"a{i - 1}.k", f"a{i}.k")])
+        seen.append(scans(query))
+    assert {b - a for a, b in zip(seen, seen[1:], strict=False)} == {3}  # the side, its keys, the keys looked up
+    got = rows(query.columns(*[f"a{i}.id" for i in range(5)]).frame().toDF(*"abcde"))
+    sql = """SELECT a.id, b.id, c.id, d.id, e.id FROM l a LEFT JOIN r b ON a.k = b.k LEFT JOIN l c ON b.k = c.k
+             LEFT JOIN r d ON c.k = d.k LEFT JOIN l e ON d.k = e.k"""
+    assert ordered(got) == ordered(duck().execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_either_spelling_and_further_conditions(small, how):
+    ws = small({LEFT: LEFT_ROWS, RIGHT: RIGHT_ROWS})
+    first = ws.query("l", "a").left_join("r", "b", eq_property("a.k", "b.k"))
+    for on, sql in (
+        (eq_property("b.id", "c.id"), "b.id = c.id"),
+        ([("b.id", "c.id"), gt("a.id", 1)], "b.id = c.id AND a.id > 1"),
+        ([("a.k", "c.k"), ("b.id", "c.id")], "a.k = c.k AND b.id = c.id"),
+    ):
+        query = first.join("l", "c", on, how)
+        got = rows(query.column("a.id", "a").column("b.id", "b").column("c.id", "c").frame())
+        want = f"SELECT a.id, b.id, c.id FROM l a LEFT JOIN r b ON a.k = b.k {how} JOIN l c ON {sql}"
+        assert ordered(got) == ordered(duck().execute(want).fetchall())
+
+
+def test_joins_without_an_equality_are_refused(small):
+    ws = small({LEFT: LEFT_ROWS, RIGHT: RIGHT_ROWS})
+    query = ws.query("l", "a")
+    for refused in (
+        lambda: query.from_("r", "b").filter(gt("b.id", 1)).frame(),
+        lambda: query.from_("r", "b").filter(lt_property("a.id", "b.id")).frame(),
+        lambda: query.cross_join("r", "b", True),
+        lambda: query.inner_join("r", "b", lt_property("a.id", "b.id")),
+        lambda: query.left_join("r", "b", lt_property("a.id", "b.id")),
+        lambda: query.inner_join("r", "b", eq_property("a.id", "a.k")),
+        lambda: query.filter(sub.exists(ws.query("r", "b").filter(lt_property("b.id", "a.id")))).frame(),
+    ):
+        with pytest.raises(ValueError, match="equality"):
+            refused()
+    tied = query.from_("r", "b").from_("l", "c").filter(eq_property("a.k", "b.k"))
+    with pytest.raises(ValueError, match="'c'"):
+        tied.frame()
+    assert tied.filter(eq_property("c.id", "b.id")).count_rows() >= 0
+
+
 def test_declared_key_keeps_the_plain_outer_join(small):
     plan = lambda q: q.frame()._jdf.queryExecution().optimizedPlan().toString()
     keyed = small({LEFT: LEFT_ROWS, KEYED: RIGHT_ROWS[2:3]})
@@ -83,7 +136,7 @@ def test_unqualified_names_mean_the_root(small):
 
 def test_comma_join_needs_a_link(small):
     ws = small({LEFT: LEFT_ROWS, RIGHT: RIGHT_ROWS})
-    with pytest.raises(ValueError, match="ties them together"):
+    with pytest.raises(ValueError, match="no equality ties"):
         ws.query("l", "a").from_("r", "b").frame()
     with pytest.raises(ValueError, match="taken"):
         ws.query("l", "a").from_("r", "a")

@@ -32,7 +32,6 @@ from tablewright.functions import (
     template,
     text,
 )
-from tablewright.operators import query as query_module
 from tablewright.schema import Column, TableSpec
 
 NUMS = TableSpec(
@@ -161,7 +160,7 @@ def test_distinct_and_aggregates(ws):
 @pytest.mark.parametrize("deep", [False, True])
 def test_pages(ws, bounds, deep, monkeypatch):
     if deep:
-        monkeypatch.setattr(query_module, "TOP_K_ROWS", -1)
+        monkeypatch.setattr("tablewright.operators.paging.ONE_TASK", -1)
     offset, n = bounds if len(bounds) == 2 else (0, bounds[0])
     want = [1, 2, 3, 4, 5, 6][offset : offset + n]
     got = ws.query("nums").columns("id").asc("id").limit(*bounds).frame()

@@ -91,8 +91,11 @@ def test_relate_uses_only_keys_to_that_table(ws):
 
 
 def test_cross_join_with_a_condition(ws):
-    q = ws.query("album", "a").cross_join("owner", "o", lt_property("a.id", "o.id"))
-    assert q.count_rows() == 6
+    on = and_(eq_property(add("a.id", 5), "o.id"), lt_property("a.id", "o.id"))
+    q = ws.query("album", "a").cross_join("owner", "o", on)
+    assert q.count_rows() == 2
+    with pytest.raises(ValueError, match="equality"):
+        ws.query("album", "a").cross_join("owner", "o", lt_property("a.id", "o.id"))
 
 
 def test_outer_and_derived_aliases(ws):
