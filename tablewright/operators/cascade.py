@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tablewright.functions.fields import Expr, to_col
 from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
-from tablewright.operators.change import Change, TableChange
-from tablewright.operators.filters import flagged, where
+from tablewright.operators.change import Change, TableChange, planned
+from tablewright.operators.filters import flagged, has_subquery, where
+from tablewright.operators.generators import default_value
 from tablewright.operators.joins import apart, lookup, thin
 from tablewright.schema import ForeignKey, TableSpec
 from tablewright.session import settle
@@ -142,6 +143,8 @@ class Delete:
         pairs = [p for p in parts if isinstance(p, tuple)]
         more = [as_condition(p) for p in parts if not isinstance(p, tuple)]
         more += self.conditions
+        if any(has_subquery(c, scope) for c in more):
+            return None  # a semi or anti join of its own, which is no part of another's condition
         here, there = [[scope.split(p[i])[1] for p in pairs] for i in (0, 1)]
         repeats = not described.covers_key(there)
         if more and repeats and pairs and self.spec.covers_key(here):
@@ -164,7 +167,7 @@ class Delete:
     def plan(self) -> Change:
         """Only this table."""
         stay, go = self._split()
-        return Change({self.spec.name: TableChange(stay, go)})
+        return planned(self.tables, {self.spec.name: TableChange(stay, go)})
 
     def cascade(self) -> Change:
         """Also all rows that refer to a deleted row, at every level, whatever the declared
@@ -215,7 +218,7 @@ class Delete:
             if taken:
                 removed = functools.reduce(DataFrame.union, taken)
                 gone[name] = _kept_for_children(self.tables, spec, removed)
-        return Change(parts)
+        return planned(self.tables, parts)
 
 
 def _reached(catalog, root: str) -> list[str] | None:
@@ -273,8 +276,8 @@ def _reset(
     for f in child.schema:
         value = F.col(f"`{f.name}`")
         if f.name in fk.props:
-            default = spec.column(f.name).default if action == "SET_DEFAULT" else None
-            fresh = F.lit(default).cast(f.dataType)
+            fresh = default_value(spec.column(f.name)) if action == "SET_DEFAULT" else F.lit(None)
+            fresh = fresh.cast(f.dataType)
             value = F.when(F.col("_reset"), fresh).otherwise(value).alias(f.name)
         columns.append(value)
     return joined.select(*columns)
@@ -320,7 +323,7 @@ def _cascade_cycle(delete: Delete) -> Change:
             table.join(gone, key, "left_anti").select(*table.columns),
             table.join(gone, key, "left_semi").select(*table.columns),
         )
-    return Change(parts)
+    return planned(delete.tables, parts)
 
 
 @dataclass(frozen=True)
@@ -359,7 +362,7 @@ class KeyUpdate:
         )
         parts = {self.spec.name: TableChange(frame, affected, frozenset(new))}
         self._propagate(self.spec, moved, set(new), parts, (self.spec.name,))
-        return Change(parts)
+        return planned(self.tables, parts)
 
     def _propagate(self, spec: TableSpec, moved: DataFrame, props: set[str], parts, path) -> None:
         """Apply the `on_update` actions below `spec`, given its changed rows with the new value
@@ -419,6 +422,6 @@ class KeyUpdate:
         if fk.on_update == "CASCADE":
             fresh = F.col(f"_to{i}")
         else:
-            default = spec.column(prop).default if fk.on_update == "SET_DEFAULT" else None
-            fresh = F.lit(default)
+            set_default = fk.on_update == "SET_DEFAULT"
+            fresh = default_value(spec.column(prop)) if set_default else F.lit(None)
         return F.when(F.col("_moved"), fresh).otherwise(F.col(f"`{prop}`"))

@@ -1,7 +1,7 @@
 """A planned change of one or more tables: the new contents, and the rows it affects.
 
 Files are not updated in place. A change is a pure function of the tables it reads, and
-`Workspace.apply` writes and switches to the result.
+`Workspace.apply` writes and switches to the result, unless a table it changes has moved on since.
 """
 
 from __future__ import annotations
@@ -25,9 +25,15 @@ class TableChange:
 @dataclass(frozen=True)
 class Change:
     parts: dict[str, TableChange] = field(default_factory=dict)
+    versions: dict[str, str | None] = field(default_factory=dict)  # of the tables as planned
 
     def frame(self, table: str) -> DataFrame:
         return self.parts[table].frame
 
     def affected(self, table: str) -> DataFrame:
         return self.parts[table].affected
+
+
+def planned(tables, parts: dict[str, TableChange]) -> Change:
+    """A change with the versions that its tables had when they were last read, for this plan."""
+    return Change(parts, {name: tables.versions[name] for name in parts if name in tables.versions})

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.checks import schema_diff
+from tablewright.operators.generators import default_value
 from tablewright.schema import TableSpec, can_widen
 
+# What may be done about a table that does not match its declaration.
 POLICIES = ("DEFAULT", "VALIDATE", "CREATE", "UPDATE", "CREATE_DROP")
 
 
@@ -24,7 +26,7 @@ def evolve(df: DataFrame, spec: TableSpec) -> DataFrame:
     found = {f.name: f.dataType for f in df.schema}
     columns = []
     for c in spec.columns:
-        default = c.default() if callable(c.default) else F.lit(c.default)
+        default = default_value(c)
         if c.prop not in found:
             value = default
         else:
@@ -46,7 +48,7 @@ def evolve(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def validate(tables, spec: TableSpec) -> None:
-    problems = schema_diff(tables.found(spec.name), spec).take(20)
+    problems = schema_diff(tables.found(spec.name), spec).collect()  # a row per property at most
     if problems:
         raise SchemaMismatch(f"{spec.name}: {[tuple(p) for p in problems]}")
 

@@ -43,3 +43,11 @@ def join_flags(df: DataFrame, scope: Scope) -> DataFrame:
         same = [F.col(n) == v for n, v in zip(names, values, strict=True)]
         df = df.join(keys, functools.reduce(Column.__and__, same), "left")
     return df
+
+
+def has_subquery(condition: Condition, scope: Scope) -> bool:
+    """Whether rows of another query decide the condition."""
+    collecting = replace(scope, flags=[])
+    built = condition.holds(collecting)
+    text = built._jc.toString()
+    return bool(collecting.flags) or any(p.is_subquery for p in condition.parts) or "subquery" in text.lower()

@@ -82,10 +82,12 @@ def generate(
     return df.where(value.isNotNull()).unionByName(empty)
 
 
+def default_value(column: Column) -> SparkColumn:
+    """The declared default: a value, or what a function makes."""
+    return column.default() if callable(column.default) else F.lit(column.default)
+
+
 def fill_default(df: DataFrame, column: Column) -> DataFrame:
     """The declared default replaces NULL and never a given value."""
-    default = column.default
-    value = default() if callable(default) else F.lit(default)
-    return df.withColumn(
-        column.prop, F.coalesce(F.col(f"`{column.prop}`"), value.cast(column.data_type))
-    )
+    value = default_value(column).cast(column.data_type)
+    return df.withColumn(column.prop, F.coalesce(F.col(f"`{column.prop}`"), value))

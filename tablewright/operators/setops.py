@@ -7,7 +7,7 @@ a hot row to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,17 +20,20 @@ def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sides(a, b).where("_in_a and _in_b").drop("_in_a", "_in_b")
+    return _sides(a, b, F.col("_in_a") & F.col("_in_b"))
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sides(a, b).where("_in_a and not _in_b").drop("_in_a", "_in_b")
+    return _sides(a, b, F.col("_in_a") & ~F.col("_in_b"))
 
 
-def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each distinct row with whether either side has it."""
-    tagged = a.withColumn("_from_a", F.lit(True)).union(b.withColumn("_from_a", F.lit(False)))
-    return tagged.groupBy(*[f"`{c}`" for c in a.columns]).agg(
+def _sides(a: DataFrame, b: DataFrame, kept: Column) -> DataFrame:
+    """The distinct rows that are kept by which side has them, under the names of the first."""
+    names = [f"_s{i}" for i in range(len(a.columns))]
+    tagged = a.toDF(*names).withColumn("_from_a", F.lit(True))
+    tagged = tagged.union(b.toDF(*names).withColumn("_from_a", F.lit(False)))
+    found = tagged.groupBy(*names).agg(
         F.bool_or("_from_a").alias("_in_a"),
         F.bool_or(~F.col("_from_a")).alias("_in_b"),
     )
+    return found.where(kept).select(*names).toDF(*a.columns)

@@ -15,7 +15,7 @@ from pyspark.sql.types import NumericType
 from tablewright.functions.fields import Expr, as_field, lit, to_col
 from tablewright.functions.predicates import Condition, and_, as_condition
 from tablewright.functions.scope import Scope, Source
-from tablewright.operators.change import Change, TableChange
+from tablewright.operators.change import Change, TableChange, planned
 from tablewright.operators.checks import require_keys
 from tablewright.operators.filters import flagged, join_flags, where
 from tablewright.operators.joins import apart
@@ -76,7 +76,9 @@ class Update:
             columns.append(old.alias(f.name))
         frame = joined.select(*columns)
         affected = where(target, condition, scope).select(f"{self.alias}.*")
-        return Change({self.spec.name: TableChange(frame, affected, frozenset(new))})
+        return planned(
+            self.tables, {self.spec.name: TableChange(frame, affected, frozenset(new))}
+        )
 
     @staticmethod
     def _value(value: Any, scope: Scope) -> Column:
@@ -145,4 +147,4 @@ def update_by_key(
         columns.append(old.alias(f.name))
     frame = target.join(fresh, on, "left").select(*columns)
     affected = target.join(fresh, on, "left_semi")
-    return Change({spec.name: TableChange(frame, affected, frozenset(props))})
+    return planned(tables, {spec.name: TableChange(frame, affected, frozenset(props))})

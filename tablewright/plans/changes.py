@@ -21,6 +21,7 @@ from tablewright.operators.query import Query
 from tablewright.plans.registry import query
 from tablewright.schema import Catalog, Column, TableSpec
 from tablewright.session import fresh_path
+from tablewright.sources.tables import Conflict
 from tablewright.streaming.ingest import ingest, read_ingested
 from tablewright.workspace import Workspace
 
@@ -584,3 +585,66 @@ def apply_to_partitions(ws):
     long_french = and_(eq("lang", "fr"), gt("nChars", 1000))
     target.apply(target.delete("note").filter(or_(eq("lang", "es"), long_french)).plan())
     return target.store.read("note")
+
+
+# Two changes planned on the same table: the second one is refused once the first is applied, and
+# planned anew, so neither undoes the other.
+@query(
+    """
+    SELECT doc_id, lang, n_chars, CASE WHEN lang = 'en' THEN 'read' ELSE 'new' END AS status,
+           NULL::DOUBLE AS score
+    FROM documents WHERE lang <> 'fr'
+    """
+)
+def apply_two_plans(ws):
+    target = scratch(ws, NOTE)
+    target.insert("note").values_from(_notes(ws)).execute()
+    update = target.update("note").filter(eq("lang", "en")).set("status", "read")
+    removal = target.delete("note").filter(eq("lang", "fr"))
+    first, second = update.plan(), removal.plan()
+    target.apply(first)
+    try:
+        target.apply(second)
+    except Conflict:
+        target.apply(removal.plan())
+    return target.store.read("note")
+
+
+@query("SELECT doc_id, lang, n_chars, 'new' AS status, NULL::DOUBLE AS score FROM documents")
+def export_and_read(ws):
+    target = scratch(ws, NOTE)
+    target.insert("note").values_from(_notes(ws)).execute()
+    path = fresh_path(ws.spark, "export")
+    target.store.export("note", path, "orc")
+    return ws.spark.read.orc(path)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang <> 'en'")
+def create_table_as(ws):
+    target = scratch(ws)
+    kept = ws.query("documents").filter(ne("lang", "en"))
+    target.store.create_as("kept", kept.column("docId", "doc_id").column("lang").frame())
+    return target.store.read("kept")
+
+
+STAMPED = TableSpec(
+    "stamped",
+    (
+        Column("guid", "VARCHAR", generator="guid"),
+        Column("docId", "BIGINT"),
+        Column("madeAt", "TIMESTAMP", generator="now"),
+    ),
+    ("guid",),
+)
+
+
+@query("SELECT count(*) AS n, count(*) AS guids, 1::BIGINT AS times FROM documents")
+def generated_values(ws):
+    target = scratch(ws, STAMPED)
+    target.insert("stamped").values_from(ws.query("documents").columns("docId")).execute()
+    return (
+        target.query("stamped")
+        .rows("n")
+        .count("guid", "guids", distinct=True)
+        .count("madeAt", "times", distinct=True)
+    )

@@ -63,6 +63,7 @@ WIDENING_CHAINS = (
     ("float", "double"),
 )
 
+# What happens to a child row whose parent goes or changes its key.
 FK_ACTIONS = ("NO_ACTION", "CASCADE", "SET_NULL", "SET_DEFAULT")
 
 

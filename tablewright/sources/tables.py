@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
@@ -35,23 +37,105 @@ class FolderStore:
         return True
 
 
+class Conflict(RuntimeError):
+    """A table has changed since the change about to be applied was planned."""
+
+
+VERSION = "tablewright.version"
+
+
 class TableStore:
     """Parquet tables in a Spark database.
 
     A table's files are never changed. A rewrite goes to a new folder, and the table is then
     pointed at it, so running readers keep the old files and a failed job leaves no trace. Of a
     partitioned table only the partitions that a change affects are rewritten.
+
+    Every change of a table gives it a new version. All statements that switch the tables of one change
+    are first written to a journal. One writer at a time holds the store's lock, compares versions and
+    runs the journal; if it dies in between, the next one to open or change the store runs the journal
+    again to its end, so the tables are switched together or not at all.
     """
 
-    def __init__(self, spark: SparkSession, database: str, location: str):
+    def __init__(self, spark: SparkSession, database: str, location: str, wait: float = 60.0):
         self.spark = spark
         self.database = database
         self.location = location
+        self.wait = wait  # seconds to wait for the lock
         self._temporary: list[str] = []
+        self._journal = os.path.join(location, "_journal.json")
+        self._lock = os.path.join(location, "_lock")
         spark.sql(
             f"CREATE DATABASE IF NOT EXISTS `{database}` "
             f"LOCATION {sql_literal(os.path.join(location, 'database'))}"
         )
+        if self._files().exists(self._path(self._journal)):
+            self._recover()
+
+    # ---- one change at a time ------------------------------------------------------------
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._path(self.location).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> str | None:
+        """The table's version; None before its first change here."""
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.full(name)}").collect()
+        return next((r["value"] for r in rows if r["key"] == VERSION), None)
+
+    def _stamp(self, name: str) -> str:
+        return (
+            f"ALTER TABLE {self.full(name)} "
+            f"SET TBLPROPERTIES ({sql_literal(VERSION)} = {sql_literal(uuid.uuid4().hex)})"
+        )
+
+    def _acquire(self) -> None:
+        files, lock, end = self._files(), self._path(self._lock), time.monotonic() + self.wait
+        while not files.createNewFile(lock):
+            if time.monotonic() > end:
+                raise Conflict(f"another writer holds {self._lock}; if it has died, remove that file")
+            time.sleep(0.2)
+
+    def _commit(self, names: Sequence[str], expected: Mapping[str, str | None], statements) -> None:
+        """Run the statements that `statements()` gives, if the tables still have the expected
+        versions, and give the named tables new ones."""
+        files = self._files()
+        self._acquire()
+        try:
+            if files.exists(self._path(self._journal)):
+                self._run_journal()
+            moved = [n for n, v in expected.items() if self.version(n) != v]
+            if moved:
+                raise Conflict(f"{', '.join(moved)} changed since this change was planned")
+            listed = [*statements(), *[self._stamp(n) for n in names]]
+            draft = self._path(f"{self._journal}.{uuid.uuid4().hex}")
+            out = files.create(draft, True)
+            out.write(bytearray(json.dumps({"names": list(names), "sql": listed}).encode()))
+            out.close()
+            files.rename(draft, self._path(self._journal))
+            self._run_journal()
+        finally:
+            if not files.exists(self._path(self._journal)):
+                files.delete(self._path(self._lock), False)
+
+    def _run_journal(self) -> None:
+        """Every statement can be run again. The journal goes last."""
+        files, path = self._files(), self._path(self._journal)
+        stream = files.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        journal = json.loads(text)
+        for statement in journal["sql"]:
+            self.spark.sql(statement)
+        for name in journal["names"]:
+            self.spark.catalog.refreshTable(self.full(name))
+        files.delete(path, False)
+
+    def _recover(self) -> None:
+        self._run_journal()
+        self._files().delete(self._path(self._lock), False)
 
     def full(self, name: str) -> str:
         return f"`{self.database}`.`{name}`"
@@ -89,6 +173,7 @@ class TableStore:
         aligned = df.select(*[f"`{c}`" for c in self.read(name).columns])
         counted, seen = _counting(self._gathered(name, aligned))
         counted.write.option("maxRecordsPerFile", rows_per_file).insertInto(self.full(name))
+        self._commit([name], {}, list)  # the rows are there; plans made before them are out of date
         return seen()
 
     def _gathered(self, name: str, df: DataFrame) -> DataFrame:
@@ -98,10 +183,14 @@ class TableStore:
         return df.hint("rebalance", *[f"`{c}`" for c in columns]) if columns else df
 
     def replace(
-        self, frames: dict[str, DataFrame], touched: Mapping[str, list[tuple]] | None = None
+        self,
+        frames: dict[str, DataFrame],
+        touched: Mapping[str, list[tuple]] | None = None,
+        expected: Mapping[str, str | None] | None = None,
     ) -> dict[str, int]:
-        """Give tables new contents, in the given order, once all of them are written; returns
-        the number of rows written.
+        """Give tables new contents, all in one switch once all of them are written; returns the
+        number of rows written. A table whose version is not the expected one is a `Conflict`, and
+        then none is switched.
 
         For a table in `touched`, the frame holds these partitions only, and the others stay.
         """
@@ -111,25 +200,32 @@ class TableStore:
             counted, seen = _counting(self._gathered(name, df))
             counted.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
             counts[name] = seen()
-        for name, path in written.items():
-            schema = frames[name].schema
-            old = {f.name: f.dataType for f in self.read(name).schema}
-            partitions = self.partition_columns(name)
-            if old != {f.name: f.dataType for f in schema}:
-                self._declare_at(name, path, schema, partitions)
-            elif partitions:
-                gone = (touched or {}).get(name)
-                if gone is None:
-                    gone = [tuple(r) for r in self.read(name).select(*partitions).distinct().collect()]
-                self._switch_partitions(name, path, schema, partitions, gone)
-            else:
-                self.spark.sql(f"ALTER TABLE {self.full(name)} SET LOCATION {sql_literal(path)}")
-            self.spark.catalog.refreshTable(self.full(name))
+
+        def statements() -> list[str]:
+            listed = []
+            for name, path in written.items():
+                schema = frames[name].schema
+                old = {f.name: f.dataType for f in self.read(name).schema}
+                partitions = self.partition_columns(name)
+                if old != {f.name: f.dataType for f in schema}:
+                    listed += self._declare_at(name, path, schema, partitions)
+                elif partitions:
+                    gone = (touched or {}).get(name)
+                    if gone is None:
+                        rows = self.read(name).select(*partitions).distinct().collect()
+                        gone = [tuple(r) for r in rows]
+                    listed += self._switch_partitions(name, path, schema, partitions, gone)
+                else:
+                    place = sql_literal(path)
+                    listed.append(f"ALTER TABLE {self.full(name)} SET LOCATION {place}")
+            return listed
+
+        self._commit(list(frames), expected or {}, statements)
         return counts
 
     def _switch_partitions(
         self, name: str, path: str, schema: T.StructType, columns: list[str], gone: list[tuple]
-    ) -> None:
+    ) -> list[str]:
         """Point partitions at their new folders, and drop those that have no rows any more."""
         file_path = F.col("_metadata.file_path")
         folder = F.regexp_extract(file_path, "^(.*)/[^/]*$", 1)
@@ -138,30 +234,29 @@ class TableStore:
             tuple(row[c] for c in columns): unquote(row["folder"])
             for row in found.agg(F.any_value(folder).alias("folder")).collect()
         }
-        for key in set(gone) - fresh.keys():
-            self.spark.sql(
-                f"ALTER TABLE {self.full(name)} DROP IF EXISTS {_partition(columns, key)}"
-            )
+        table = f"ALTER TABLE {self.full(name)}"
+        listed = [
+            f"{table} DROP IF EXISTS {_partition(columns, key)}" for key in set(gone) - fresh.keys()
+        ]
         for key, place in fresh.items():
             where = _partition(columns, key)
-            self.spark.sql(f"ALTER TABLE {self.full(name)} ADD IF NOT EXISTS {where}")
-            self.spark.sql(
-                f"ALTER TABLE {self.full(name)} {where} SET LOCATION {sql_literal(place)}"
-            )
+            listed.append(f"{table} ADD IF NOT EXISTS {where}")
+            listed.append(f"{table} {where} SET LOCATION {sql_literal(place)}")
+        return listed
 
     def _declare_at(
         self, name: str, path: str, schema: T.StructType, partitions: list[str]
-    ) -> None:
-        """Point the table at files of another schema. The old files stay where they are."""
-        self.spark.sql(f"DROP TABLE {self.full(name)}")
+    ) -> list[str]:
+        """Declare the table anew over files of another schema. The old files stay where they are."""
         text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         by = f"PARTITIONED BY ({', '.join(f'`{p}`' for p in partitions)})" if partitions else ""
-        self.spark.sql(
-            f"CREATE TABLE {self.full(name)} ({text}) USING parquet {by} "
-            f"LOCATION {sql_literal(path)}"
-        )
+        listed = [
+            f"DROP TABLE IF EXISTS {self.full(name)}",
+            f"CREATE TABLE {self.full(name)} ({text}) USING parquet {by} LOCATION {sql_literal(path)}",
+        ]
         if partitions:
-            self.spark.catalog.recoverPartitions(self.full(name))
+            listed.append(f"MSCK REPAIR TABLE {self.full(name)}")
+        return listed
 
     def truncate(self, name: str) -> None:
         self.replace({name: self.read(name).where(F.lit(False))})

@@ -29,6 +29,7 @@ class Workspace:
         self.store = store
         self.queries: dict[str, Query] = {}
         self._results: dict[str, DataFrame] = {}
+        self.versions: dict[str, str | None] = {}  # of the tables when last read
 
     @staticmethod
     def over_files(spark: SparkSession, catalog: Catalog, folder: str) -> Workspace:
@@ -46,6 +47,8 @@ class Workspace:
 
     def table(self, name: str) -> DataFrame:
         """A table under its property names, with the declared types if it is declared."""
+        if hasattr(self.store, "version") and self.store.exists(name):
+            self.versions[name] = self.store.version(name)
         if name not in self.catalog:
             return self.store.read(name)
         spec = self.catalog[name]
@@ -74,8 +77,10 @@ class Workspace:
         spec = self.catalog[table]
         if isinstance(key, Mapping):
             condition = by_identity(spec, key)
-        else:
+        elif len(spec.primary_key) == 1:
             condition = eq(spec.primary_key[0], key)
+        else:
+            raise ValueError(f"the key of {table} has the parts {spec.primary_key}: give a mapping")
         return self.query(table).filter(condition).limit(1).frame()
 
     def by_examples(
@@ -170,8 +175,9 @@ class Workspace:
     def apply(self, change) -> dict[str, int]:
         """Write a planned change; returns the number of affected rows per table.
 
-        All new tables are written before any is switched to, children before parents, so a
-        reader never sees a child whose parent is gone.
+        All new tables are written before any is switched to, and then all together, children before
+        parents. If one of them has changed since the plan was made, nothing is switched and a
+        `Conflict` is raised: plan the change anew.
         """
         order = self.catalog.parents_first(change.parts)[::-1]
         counts, before, frames, touched = {}, {}, {}, {}
@@ -188,7 +194,7 @@ class Workspace:
             else:
                 before[name] = self.store.read(name).count()  # from file footers
             frames[name] = self.physical(name, frame)
-        after = self.store.replace(frames, touched)
+        after = self.store.replace(frames, touched, change.versions)
         counts |= {name: n - after[name] for name, n in before.items()}
         return counts
 
