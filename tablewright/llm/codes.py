@@ -28,7 +28,8 @@ from tablewright.llm.stages import settle
 
 BITS = 64
 JOB = 2500  # lookups per query that one job makes at most, but for a single larger step
-PAIRS = 1 << 20  # distances that the kernel holds at once
+PAIRS = 1 << 18  # distances that the kernel holds at once
+SAMPLE = 4096  # codes that give every query a first bound on its k-th distance
 
 
 def code_of(embedding: Column, seed: int = 11) -> Column:
@@ -139,7 +140,7 @@ def _meet(k: int, segments: int):
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
             size += batch.num_rows
-            if size >= PAIRS // 4:
+            if size >= PAIRS:
                 rows = np.concatenate(held, axis=1)
                 cut = int(np.searchsorted(rows[0], rows[0, -1]))  # whole slots only
                 if cut:
@@ -151,14 +152,44 @@ def _meet(k: int, segments: int):
     return met
 
 
-def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, segments: int = 4) -> DataFrame:
+def _first_bound(sample: list, k: int) -> Column:
+    """The distance within which a sample of (code, n) holds `k` rows, as far as it does."""
+    codes = np.array([r["code"] for r in sample], np.int64)
+    n = np.array([r["n"] for r in sample], np.int64)
+
+    @F.arrow_udf("int")
+    def of(queries: pa.Array) -> pa.Array:
+        asked = queries.to_numpy(zero_copy_only=False)
+        out = np.full(len(asked), BITS, np.int32)
+        for at in range(0, len(asked), 64):
+            d = np.bitwise_count((asked[at : at + 64, None] ^ codes).view(np.uint64))
+            for i, row in enumerate(d):
+                held = np.cumsum(np.bincount(row, n, BITS + 1))
+                if held[-1] >= k:
+                    out[at + i] = np.searchsorted(held, k)
+        return pa.array(out)
+
+    return of(F.col("query"))
+
+
+def nearest_codes(
+    codes: DataFrame, queries: DataFrame, k: int, segments: int | None = None
+) -> DataFrame:
     """(query, code, d, first_id, n): for each distinct `query`, its nearest codes that hold the `k`
-    nearest ids, from distinct (code, first_id, n), n the number of rows with the code."""
+    nearest ids, from distinct (code, first_id, n), n the number of rows with the code.
+
+    Unless given, there are as many segments as leave a slot one code or less on average.
+    """
+    size, total = codes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if segments is None:
+        segments = max(2, BITS // max(4, size.bit_length()))
     widths = _widths(segments)
-    total = codes.agg(F.sum("n")).first()[0] or 0
-    wanted = min(k, total)
+    wanted = min(k, total or 0)
+    # The k-th distance within a fixed number of codes is one that the k-th of all cannot exceed.
+    sample = codes.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("code", "n").collect()
     open_ = settle(
-        queries.select("query").distinct().select("query", F.lit(BITS).alias("bound")), "open"
+        queries.select("query").distinct().select("query", _first_bound(sample, wanted).alias("bound")),
+        "open",
     )
     best = None
     for job, covered in _jobs(segments):
@@ -231,7 +262,7 @@ def top_k(
     every: int = 20,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    segments: int = 4,
+    segments: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, distance): the `k` nearest rows by code of each row whose id is
     divisible by `every`."""
