@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 class TableChange:
     """New contents, affected old rows, and the properties that get other values (none for a
     delete). A table partitioned by other properties is rewritten in the affected rows'
-    partitions only."""
+    partitions only. `marked`, if given, is the new contents with a column that is true for affected
+    rows, so that the job that writes them counts them."""
 
     frame: DataFrame
     affected: DataFrame
     changed: frozenset[str] = frozenset()
+    marked: DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -56,24 +56,39 @@ NAMED = {
 }
 
 
+def _made(column: Column):
+    made = column.generator
+    return NAMED[made] if isinstance(made, str) else made
+
+
+def _rises(made) -> bool:
+    return getattr(made, "interval", getattr(made, "increment_by", 1)) > 0
+
+
+def rising_ids(column: Column) -> bool:
+    """Whether inserts number the column upwards, so that the highest id is the last."""
+    made = _made(column)
+    return column.auto_increment or (hasattr(made, "number") and _rises(made))
+
+
 def generate(
     df: DataFrame,
     column: Column,
     existing: Callable[[], DataFrame],
     order: Sequence[SparkColumn] = (),
     given: bool = True,
+    known: Callable[[str], int | None] = lambda prop: None,
 ) -> DataFrame:
     """Fill the column's NULLs from its generator. Only rows without a value take an id, and
-    ids go on from the last one that exists."""
-    made = column.generator
-    if isinstance(made, str):
-        made = NAMED[made]
+    ids go on from the last one that is `known`, or else exists."""
+    made = _made(column)
     prop = column.prop
     value = F.col(f"`{prop}`")
     if not hasattr(made, "number"):
         return df.withColumn(prop, F.coalesce(value, made().cast(column.data_type)))
-    rising = getattr(made, "interval", getattr(made, "increment_by", 1)) > 0
-    last = existing().agg((F.max if rising else F.min)(value)).first()[0]
+    last = known(prop) if _rises(made) else None
+    if last is None:
+        last = existing().agg((F.max if _rises(made) else F.min)(value)).first()[0]
     if not given:
         return made.number(df.drop(prop), prop, order, last)
     df = settle(df, "given")  # read twice below, and must be the same rows both times

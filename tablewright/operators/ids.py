@@ -7,7 +7,7 @@ cannot number them differently.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,8 +103,15 @@ def sequence_ids(
 
 
 def auto_increment(
-    df: DataFrame, table: DataFrame, prop: str, order: Sequence[Column] = ()
+    df: DataFrame,
+    table: DataFrame | Callable[[], DataFrame],
+    prop: str,
+    order: Sequence[Column] = (),
+    highest: int | None = None,
 ) -> DataFrame:
-    """Fill `prop` of the new rows with ids that follow the highest one in `table`."""
-    highest = table.agg(F.max(prop)).first()[0]
+    """Fill `prop` of the new rows with ids that follow the highest one, looked up in `table` if it is
+    not given."""
+    if highest is None:
+        rows = table if isinstance(table, DataFrame) else table()
+        highest = rows.agg(F.max(prop)).first()[0]
     return number_rows(df.drop(prop), prop, (highest or 0) + 1, order=order)

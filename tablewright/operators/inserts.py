@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.generators import fill_default, generate
+from tablewright.operators.generators import fill_default, generate, rising_ids
 from tablewright.operators.ids import auto_increment
 from tablewright.schema import TableSpec
 from tablewright.session import settle
@@ -22,10 +22,11 @@ def align(
     existing: Callable[[], DataFrame],
     exclude: Sequence[str] = (),
     order: Sequence[Column] = (),
+    last: Callable[[str], int | None] = lambda prop: None,
 ) -> DataFrame:
     """Shape a frame like the table: missing properties become NULL, then generators, defaults
-    and types apply, and a NULL where none is allowed fails the write. Generated ids follow those
-    of the `existing` rows."""
+    and types apply, and a NULL where none is allowed fails the write. Generated ids follow the
+    last one of a property, which is looked up in the `existing` rows only if `last` does not know."""
     given = set(df.columns) - set(exclude)
     aligned = df.select(
         *[
@@ -39,9 +40,9 @@ def align(
     sort = [F.col(f"_order{i}") for i in range(len(order))]
     for c in spec.columns:
         if c.auto_increment:
-            aligned = auto_increment(aligned, existing(), c.prop, sort)
+            aligned = auto_increment(aligned, existing, c.prop, sort, last(c.prop))
         elif c.generator is not None:
-            aligned = generate(aligned, c, existing, sort, c.prop in given)
+            aligned = generate(aligned, c, existing, sort, c.prop in given, last)
         if c.default is not None:
             aligned = fill_default(aligned, c)
     return aligned.select(
@@ -108,20 +109,29 @@ class Insert:
         df = self.parts[0]
         for more in self.parts[1:]:
             df = df.unionByName(more, allowMissingColumns=True)
+        name, store = self.spec.name, self.tables.store
+
+        def last(prop: str) -> int | None:
+            known = hasattr(store, "last_id")
+            return store.last_id(name, self.spec.column(prop).column_name) if known else None
+
         return align(
-            self.spec, df, lambda: self.tables.table(self.spec.name), self.excluded, self.order
+            self.spec, df, lambda: self.tables.table(name), self.excluded, self.order, last
         )
 
+    def _append(self, rows: DataFrame) -> int:
+        name = self.spec.name
+        numbered = [c.column_name for c in self.spec.columns if rising_ids(c)]
+        return self.tables.store.append(name, self.tables.physical(name, rows), numbered=numbered)
+
     def execute(self) -> int:
-        return self.tables.store.append(
-            self.spec.name, self.tables.physical(self.spec.name, self.frame())
-        )
+        return self._append(self.frame())
 
     def execute_returning(self) -> DataFrame:
         """Insert and return the keys. The rows are written once before the insert, so that
         generated values are the same in the table and in the result."""
         rows = settle(self.frame(), "inserted")
-        self.tables.store.append(self.spec.name, self.tables.physical(self.spec.name, rows))
+        self._append(rows)
         return rows.select(*(self.spec.primary_key or self.spec.props))
 
     def batch(self, flush_size: int = 100) -> Batch:

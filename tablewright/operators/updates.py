@@ -21,6 +21,7 @@ from tablewright.operators.filters import flagged, join_flags, where
 from tablewright.operators.joins import apart
 from tablewright.schema import TableSpec
 from tablewright.session import settle
+from tablewright.sources.tables import HIT
 
 
 @dataclass(frozen=True)
@@ -74,11 +75,10 @@ class Update:
                 fresh = new[f.name].cast(f.dataType)
                 old = F.when(hit, fresh).otherwise(old)
             columns.append(old.alias(f.name))
-        frame = joined.select(*columns)
+        marked = joined.select(*columns, F.coalesce(hit, F.lit(False)).alias(HIT))
         affected = where(target, condition, scope).select(f"{self.alias}.*")
-        return planned(
-            self.tables, {self.spec.name: TableChange(frame, affected, frozenset(new))}
-        )
+        part = TableChange(marked.drop(HIT), affected, frozenset(new), marked)
+        return planned(self.tables, {self.spec.name: part})
 
     @staticmethod
     def _value(value: Any, scope: Scope) -> Column:
@@ -145,6 +145,8 @@ def update_by_key(
             else:
                 raise ValueError(f"unknown selector {selector!r}")
         columns.append(old.alias(f.name))
-    frame = target.join(fresh, on, "left").select(*columns)
+    hit = F.coalesce("c._matched", F.lit(False)).alias(HIT)
+    marked = target.join(fresh, on, "left").select(*columns, hit)
     affected = target.join(fresh, on, "left_semi")
-    return planned(tables, {spec.name: TableChange(frame, affected, frozenset(props))})
+    part = TableChange(marked.drop(HIT), affected, frozenset(props), marked)
+    return planned(tables, {spec.name: part})

@@ -42,6 +42,8 @@ class Conflict(RuntimeError):
 
 
 VERSION = "tablewright.version"
+HIT = "_hit"  # marks rows that a change affects; it is counted and not stored
+LAST = "tablewright.last."  # and a column: the highest id that its rows hold
 
 
 class TableStore:
@@ -80,10 +82,35 @@ class TableStore:
     def _files(self):
         return self._path(self.location).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _properties(self, name: str) -> dict[str, str]:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.full(name)}").collect()
+        return {r["key"]: r["value"] for r in rows}
+
     def version(self, name: str) -> str | None:
         """The table's version; None before its first change here."""
-        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.full(name)}").collect()
-        return next((r["value"] for r in rows if r["key"] == VERSION), None)
+        return self._properties(name).get(VERSION)
+
+    def last_id(self, name: str, column: str) -> int | None:
+        """The highest id in a column that inserts number, None if no insert has noted it."""
+        value = self._properties(name).get(LAST + column)
+        return None if value is None else int(value)
+
+    def _note_last(self, name: str, highest: Mapping[str, int | None]) -> list[str]:
+        """Statements that note the highest ids after an insert; `highest` are those of its rows."""
+        known = self._properties(name)
+        listed = []
+        for column, value in highest.items():
+            if LAST + column in known:
+                ids = [int(known[LAST + column]), *([] if value is None else [value])]
+            else:  # the one time that all rows are looked at
+                self.spark.catalog.refreshTable(self.full(name))
+                ids = [v for v in [self.read(name).agg(F.max(f"`{column}`")).first()[0]] if v is not None]
+            if ids:
+                listed.append(
+                    f"ALTER TABLE {self.full(name)} SET TBLPROPERTIES "
+                    f"({sql_literal(LAST + column)} = {sql_literal(str(max(ids)))})"
+                )
+        return listed
 
     def _stamp(self, name: str) -> str:
         return (
@@ -168,13 +195,22 @@ class TableStore:
         writer.option("path", self._new_folder(name)).saveAsTable(self.full(name))
         return seen()
 
-    def append(self, name: str, df: DataFrame, rows_per_file: int = 0) -> int:
-        """Add rows, columns by name; returns their number."""
+    def append(
+        self, name: str, df: DataFrame, rows_per_file: int = 0, numbered: Sequence[str] = ()
+    ) -> int:
+        """Add rows, columns by name; returns their number. Of the `numbered` columns the highest id
+        is noted, so the next insert need not look for it."""
         aligned = df.select(*[f"`{c}`" for c in self.read(name).columns])
-        counted, seen = _counting(self._gathered(name, aligned))
+        seen = Observation()
+        highest = [F.max(f"`{c}`").alias(f"_{c}") for c in numbered]
+        counted = self._gathered(name, aligned).observe(seen, F.count(F.lit(1)).alias("n"), *highest)
         counted.write.option("maxRecordsPerFile", rows_per_file).insertInto(self.full(name))
-        self._commit([name], {}, list)  # the rows are there; plans made before them are out of date
-        return seen()
+        found = seen.get
+        # The rows are there; plans made before them are out of date.
+        self._commit(
+            [name], {}, lambda: self._note_last(name, {c: found[f"_{c}"] for c in numbered})
+        )
+        return found["n"]
 
     def _gathered(self, name: str, df: DataFrame) -> DataFrame:
         """For a partitioned table, rows of a partition come together before they are written,
@@ -189,7 +225,7 @@ class TableStore:
         expected: Mapping[str, str | None] | None = None,
     ) -> dict[str, int]:
         """Give tables new contents, all in one switch once all of them are written; returns the
-        number of rows written. A table whose version is not the expected one is a `Conflict`, and
+        number of rows written, of a frame with a column `HIT` of those for which it is true. A table whose version is not the expected one is a `Conflict`, and
         then none is switched.
 
         For a table in `touched`, the frame holds these partitions only, and the others stay.
@@ -197,14 +233,20 @@ class TableStore:
         written, counts = {}, {}
         for name, df in frames.items():
             written[name] = self._new_folder(name)
-            counted, seen = _counting(self._gathered(name, df))
+            seen = Observation()
+            hits = F.col(HIT) if HIT in df.columns else F.lit(False)
+            counted = df.observe(
+                seen, F.count(F.lit(1)).alias("n"), F.count_if(hits).alias("hits")
+            ).drop(HIT)
+            counted = self._gathered(name, counted)
             counted.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
-            counts[name] = seen()
+            found = seen.get
+            counts[name] = found["hits"] if HIT in df.columns else found["n"]
 
         def statements() -> list[str]:
             listed = []
             for name, path in written.items():
-                schema = frames[name].schema
+                schema = frames[name].drop(HIT).schema
                 old = {f.name: f.dataType for f in self.read(name).schema}
                 partitions = self.partition_columns(name)
                 if old != {f.name: f.dataType for f in schema}:
@@ -218,6 +260,12 @@ class TableStore:
                 else:
                     place = sql_literal(path)
                     listed.append(f"ALTER TABLE {self.full(name)} SET LOCATION {place}")
+                noted = [sql_literal(k) for k in self._properties(name) if k.startswith(LAST)]
+                if noted:  # the new contents may hold other ids
+                    keys = ", ".join(noted)
+                    listed.append(
+                        f"ALTER TABLE {self.full(name)} UNSET TBLPROPERTIES IF EXISTS ({keys})"
+                    )
             return listed
 
         self._commit(list(frames), expected or {}, statements)

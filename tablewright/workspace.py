@@ -189,6 +189,8 @@ class Workspace:
                 counts[name] = sum(row["_n"] for row in hit)
                 touched[name] = [tuple(row[c] for c in by) for row in hit]
                 frame = frame.where(_one_of(by, touched[name]))
+            elif part.marked is not None:
+                frame = part.marked
             elif part.changed:
                 counts[name] = part.affected.count()
             else:
@@ -196,7 +198,7 @@ class Workspace:
             frames[name] = self.physical(name, frame)
         after = self.store.replace(frames, touched, change.versions)
         counts |= {name: n - after[name] for name, n in before.items()}
-        return counts
+        return {name: counts.get(name, after[name]) for name in order}
 
     def close(self) -> None:
         """Drop cached results, and the tables that exist only for this workspace."""

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions import eq
 from tablewright.operators import checks, ids
 from tablewright.operators.evolve import SchemaMismatch, ensure, ensure_all, evolve
 from tablewright.schema import (
@@ -239,17 +240,21 @@ def test_stream_survives_a_failure(spark, tmp_path, monkeypatch):
     for i in range(5):
         data.where(F.col("eventId") % 5 == i).coalesce(1).write.mode("append").parquet(source)
     ws = Workspace(spark, Catalog(EVENT), None)
-    align, calls = module.align, []
+    align, calls, looked = module.align, [], []
+
+    def failing(spec, batch, existing, **given):
+        def watched():
+            looked.append(1)
+            return existing()
 
-    def failing(spec, batch, existing):
         calls.append(1)
         if len(calls) == 3:
             # the batch has written its rows, and dies before the stream notes it
-            align(spec, batch, existing).withColumnsRenamed(spec.to_physical).write.mode(
+            align(spec, batch, watched, **given).withColumnsRenamed(spec.to_physical).write.mode(
                 "overwrite"
             ).parquet(f"{path}/batch_id=2")
             raise RuntimeError("executor lost")
-        return align(spec, batch, existing)
+        return align(spec, batch, watched, **given)
 
     monkeypatch.setattr(module, "align", failing)
 
@@ -268,3 +273,21 @@ def test_stream_survives_a_failure(spark, tmp_path, monkeypatch):
         (i, "even" if i % 2 == 0 else "none") for i in range(100)
     ]
     assert sorted(r.id for r in out.collect()) == list(range(1, 101))
+    assert looked == [1]  # only the first batch, which has none before it
+
+
+def test_ids_go_on_without_a_scan(spark, tmp_path, monkeypatch):
+    ws = Workspace.over_tables(spark, Catalog(EVENT), "i_" + tmp_path.name, str(tmp_path))
+    ensure_all(ws, "CREATE")
+    events = spark.range(10).select(F.col("id").alias("eventId"))
+    ws.insert("event").values(events).execute()
+    assert ws.store.last_id("event", "id") == 10
+    with monkeypatch.context() as patched:
+        patched.setattr(Workspace, "table", lambda *a: pytest.fail("the table was read"))
+        ws.insert("event").values(events).execute()
+    assert sorted(r.id for r in ws.table("event").collect()) == list(range(1, 21))
+    assert ws.apply(ws.update("event").filter(eq("id", 20)).set("id", 50).plan()) == {"event": 1}
+    assert ws.store.last_id("event", "id") is None  # an update may have changed it
+    ws.insert("event").values(events.limit(1)).execute()
+    assert ws.store.last_id("event", "id") == 51
+    ws.close()
