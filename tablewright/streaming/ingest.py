@@ -61,6 +61,8 @@ def _last_folder(path: str, batch_id: int) -> str:
 
 def _last_ids(spark: SparkSession, path: str, batch_id: int) -> dict[str, int]:
     """The last ids after a batch, a row per numbered property; none if it left none."""
+    if batch_id < 0:
+        return {}
     try:
         return dict(spark.read.parquet(_last_folder(path, batch_id)).collect())
     except AnalysisException:
