@@ -199,6 +199,8 @@ def repeated(data, anchor, reach, count, key, rank, window):
     Row i stands for the windows that begin o bytes before anchor[i], for `count` values of o up to
     `reach`. Rows are in the order of `key`; a smaller `rank` is earlier.
     """
+    if not len(key):
+        return np.zeros((2, 0), np.int64)
     group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     right = _Strings(data, anchor, window - reach + count - 1, True)
     left = _Strings(data, anchor, reach, False)
