@@ -41,15 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     if folder:
         return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
     return _local_folders[context.applicationId]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all that this application has settled."""
+    return os.path.join(shared_dir(spark), f"run-{spark.sparkContext.applicationId}")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(run_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has settled. Frames that still read it can no longer run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:

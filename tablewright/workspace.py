@@ -19,6 +19,7 @@ from tablewright.operators.query import ROOT, Query
 from tablewright.operators.subqueries import exists
 from tablewright.operators.updates import Update, update_by_key
 from tablewright.schema import Catalog, TableSpec
+from tablewright.session import clear_scratch
 from tablewright.sources.tables import FolderStore, TableStore
 
 
@@ -200,12 +201,16 @@ class Workspace:
         counts |= {name: n - after[name] for name, n in before.items()}
         return {name: counts.get(name, after[name]) for name in order}
 
-    def close(self) -> None:
-        """Drop cached results, and the tables that exist only for this workspace."""
+    def close(self, scratch: bool = False) -> None:
+        """Drop cached results, and the tables that exist only for this workspace. With `scratch`
+        also the rows that operators of this application have written in between: for when no frame
+        is read any more."""
         for name in list(self._results):
             self.evict(name)
         if hasattr(self.store, "close"):
             self.store.close()
+        if scratch:
+            clear_scratch(self.spark)
 
     def physical(self, name: str, df: DataFrame) -> DataFrame:
         return df.withColumnsRenamed(self.catalog[name].to_physical)

@@ -291,3 +291,13 @@ def test_ids_go_on_without_a_scan(spark, tmp_path, monkeypatch):
     ws.insert("event").values(events.limit(1)).execute()
     assert ws.store.last_id("event", "id") == 51
     ws.close()
+
+
+def test_scratch_goes_when_a_workspace_closes(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "run"
+    monkeypatch.setattr("tablewright.session.run_folder", lambda spark: str(folder))
+    ws = Workspace.over_tables(spark, Catalog(EVENT), "s_" + tmp_path.name, str(tmp_path / "tables"))
+    settle(spark.range(3))
+    assert any(folder.iterdir())
+    ws.close(scratch=True)
+    assert not folder.exists()
