@@ -42,7 +42,7 @@ def ws(spark, tmp_path):
 # ---- declarations --------------------------------------------------------------------------
 
 
-def test_types_and_names():
+def test_types_and_names(spark):
     assert spark_type("DECIMAL", 10, 2) == T.DecimalType(10, 2)
     assert spark_type("INTEGER", unsigned=True) == T.LongType()
     assert spark_type("BIGINT", unsigned=True) == T.DecimalType(20, 0)
