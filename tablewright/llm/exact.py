@@ -20,6 +20,7 @@ from tablewright.llm.text import one_space, whole_row
 
 HEAD = 48  # characters of the text that splitters hold
 
+
 def _sorted_runs(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[DataFrame, bool]:
     """Rows with their place in the run of equal texts, and whether any text had to be dealt out."""
     norm = one_space(F.col("body"))
@@ -33,17 +34,16 @@ def _sorted_runs(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[Dat
         "copies",
     )
     dealt = not copies.isEmpty()
+    key = ["head", "text_sha256", *["salt"] * dealt]
     if dealt:
         base = base.join(copies, "text_sha256", "left").withColumn(
             "salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), "salts")).otherwise(0)
         )
     else:
         base = base.withColumn("salts", F.lit(None).cast("long")).withColumn("salt", F.lit(0))
-    ranged = base.withColumn("head", F.substring(norm, 1, HEAD)).repartitionByRange(
-        "head", "text_sha256", "salt"
-    )
+    ranged = base.withColumn("head", F.substring(norm, 1, HEAD)).repartitionByRange(*key)
     by_id = F.col("doc_id").asc_nulls_last()
-    equal = Window.partitionBy("head", "text_sha256", "salt", "norm")
+    equal = Window.partitionBy(*key, "norm")  # met by the ranges as they are
     return (
         ranged.withColumn("norm", norm)
         .withColumn("place", F.row_number().over(equal.orderBy(by_id)))
@@ -51,6 +51,7 @@ def _sorted_runs(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[Dat
         .withColumn("group_size", F.count(F.lit(1)).over(equal))
     ), dealt
 
+
 def _merged(heads: DataFrame) -> DataFrame:
     """Of the runs of a text that was dealt out: the whole group's id and size, per run."""
     whole = Window.partitionBy("text_sha256", "norm")
@@ -62,6 +63,7 @@ def _merged(heads: DataFrame) -> DataFrame:
         (first == 1).alias("leads"),
     )
 
+
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
 ) -> DataFrame:
@@ -93,6 +95,7 @@ def exact_groups(
         "text_sha256",
     )
 
+
 def drop_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
 ) -> DataFrame:
