@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-SLOTS = 21  # bits of the table's size
-POOL = 12_000_000  # ids that a worker keeps; past that it starts afresh
-CHUNK = 2 << 20  # bytes of text cut into pieces at once
+SLOTS = 19  # bits of the table's size
+POOL = 3_000_000  # ids that a worker keeps; past that it starts afresh
+CHUNK = 1 << 20  # bytes of text cut into pieces at once
 WIDE = 24  # bytes of the pieces that the table holds; longer ones are asked for each time
 
 _loaded: dict[str, Pieces] = {}
