@@ -21,15 +21,16 @@ from tablewright.session import build_session  # noqa: E402
 HEADLINE = """
     comma_join derived_table column_field cmp_property logic_tree like_any by_example_frame
     scalar_sub_correlated exists not_exists in_sub not_in_sub gt_any gt_all ne_all
-    join_inner join_left join_left_many join_full join_theta join_chain join_self relate_fk
+    exists_having in_sub_correlated not_in_sub_correlated lt_all_correlated
+    join_inner join_left join_left_many join_left_chain join_full join_theta join_chain join_self relate_fk
     agg_distinct agg_distinct_several agg_expr agg_global group_by having
-    order_multi top_k page page_deep
+    order_multi top_k page page_deep page_deep_text
     set_union set_intersect set_minus set_nested
     math_basic math_bits template
     check_pk check_fk check_length identity_ids
     update_multi update_by_key update_subquery delete_where delete_join delete_join_chain
     delete_by_key cascade_delete cascade_delete_rows fk_set_null fk_update_cascade
-    insert_rows insert_select batch_insert apply_changes
+    insert_rows insert_select batch_insert apply_changes apply_two_plans
 """.split()
 
 

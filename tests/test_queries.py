@@ -1,7 +1,7 @@
 """Every registered query against its SQL."""
 
 import pytest
-from compare import compare, connect
+from compare import _plain, compare, connect
 from conftest import FOLDER
 
 from tablewright.plans.all import QUERIES, SQL
@@ -26,3 +26,14 @@ def test_entry_runs(spark):
     assert df.columns == ["c_mktsegment", "n", "total", "mean"]
     assert df.count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+ORDERED = "order_multi order_expr top_k top_k_grouped page page_deep page_deep_text page_after".split()
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_come_in_order(spark, duck, name):
+    relation = duck.sql(SQL[name])
+    df = QUERIES[name](spark, FOLDER).select(*relation.columns)
+    got = [[_plain(v) for v in row] for row in df.collect()]
+    assert got == [[_plain(v) for v in row] for row in relation.fetchall()]
