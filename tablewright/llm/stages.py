@@ -13,18 +13,21 @@ import tablewright
 from tablewright.session import settle as _settle
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CODEC = "spark.sql.parquet.compression.codec"
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """`df` written to the shared folder and read back. Its shuffle files go once it is written, so
-    the stages of a job do not add up on the executors' disks."""
+    the stages of a job do not add up on the executors' disks; what is written is packed tightly."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
+    before = {CLEANUP: conf.get(CLEANUP, "false"), CODEC: conf.get(CODEC, "snappy")}
     conf.set(CLEANUP, "true")
+    conf.set(CODEC, "zstd")
     try:
         return _settle(df, label)
     finally:
-        conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 _shipped: set[str] = set()
