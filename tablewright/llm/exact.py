@@ -65,7 +65,7 @@ def _merged(heads: DataFrame) -> DataFrame:
 
 
 def exact_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 1_000
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     runs, dealt = _sorted_runs(docs, doc_id, text, hot)
@@ -97,7 +97,7 @@ def exact_groups(
 
 
 def drop_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 1_000
 ) -> DataFrame:
     """The documents without copies, all their columns unchanged."""
     runs, dealt = _sorted_runs(docs, doc_id, text, hot)
