@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ONE_TASK = 10_000
-CUTS = 500
+CUTS = 64
 BYTES = 6  # of a text that one number holds without rounding
 
 
@@ -75,7 +75,13 @@ def _place(df: DataFrame, sorts: list[Sort], position: int) -> _Place:
     types = {f.name: f.dataType for f in df.schema}
     before, inside, rank = F.lit(False), F.lit(True), 0
     for sort in sorts:
-        for number in _numbers(sort, types[sort.column]):
+        longest = None
+        for number, end in _numbers(sort, types[sort.column]):
+            if end and longest is None:
+                size = F.max(F.octet_length(F.col(f"`{sort.column}`")))
+                longest = df.where(inside).agg(size).first()[0] or 0
+            if end and end - BYTES >= max(longest, 1):
+                break  # no text goes on here
             held = None
             while True:
                 rows = df.where(inside).select(number.alias("x"))
@@ -91,7 +97,6 @@ def _place(df: DataFrame, sorts: list[Sort], position: int) -> _Place:
                     break  # the next bytes or the next key tell these rows apart
                 held = n
                 cuts = sorted({*cuts, low} - {high})  # the highest interval is never empty
-                interval = _interval(number, cuts)
                 counts = dict(
                     rows.select(_interval(F.col("x"), cuts).alias("i")).groupBy("i").count().collect()
                 )
@@ -100,8 +105,11 @@ def _place(df: DataFrame, sorts: list[Sort], position: int) -> _Place:
                     if rank + size > position or i == len(cuts):
                         break
                     rank += size
-                before = before | (inside & (interval < i))
-                inside = inside & (interval == i)
+                above = number > cuts[i - 1] if i else F.lit(True)
+                before = before | (inside & ~above)
+                inside = inside & above
+                if i < len(cuts):
+                    inside = inside & (number <= cuts[i])
     return _Place(before, inside, rank)
 
 
@@ -112,21 +120,22 @@ def _interval(x: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x))
 
 
-def _numbers(sort: Sort, kind: T.DataType) -> Iterator[Column]:
-    """Numbers that rise, if not always strictly, in the order of the key; a text in slices."""
+def _numbers(sort: Sort, kind: T.DataType) -> Iterator[tuple[Column, int]]:
+    """Numbers that rise, if not always strictly, in the order of the key, and 0; of a text one for
+    each slice, and where the slice ends."""
     c = F.col(f"`{sort.column}`")
     if isinstance(kind, T.StringType | T.BinaryType):
         for at in range(0, 256, BYTES):
             part = F.rpad(F.hex(F.substring(c.cast("binary"), at + 1, BYTES)), 2 * BYTES, "0")
-            yield _placed(sort, c, F.conv(part, 16, 10).cast("double"))
+            yield _placed(sort, c, F.conv(part, 16, 10).cast("double")), at + BYTES
     elif isinstance(kind, T.DateType):
-        yield _placed(sort, c, F.unix_date(c).cast("double"))
+        yield _placed(sort, c, F.unix_date(c).cast("double")), 0
     elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        yield _placed(sort, c, F.unix_micros(c.cast("timestamp")).cast("double"))
+        yield _placed(sort, c, F.unix_micros(c.cast("timestamp")).cast("double")), 0
     elif isinstance(kind, T.BooleanType):
-        yield _placed(sort, c, c.cast("int").cast("double"))
+        yield _placed(sort, c, c.cast("int").cast("double")), 0
     elif isinstance(kind, T.NumericType):
-        yield _placed(sort, c, c.cast("double"))
+        yield _placed(sort, c, c.cast("double")), 0
 
 
 def _placed(sort: Sort, c: Column, x: Column) -> Column:
