@@ -225,13 +225,15 @@ def nearest_codes(
             met = met.unionByName(best)
         met = met.distinct()
         near = Window.partitionBy("query").orderBy("d", "first_id", "code")
-        held = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        # Ties go by id across codes, so a code goes only once strictly nearer ones hold k rows.
+        by_distance = Window.partitionBy("query").orderBy("d")
+        nearer = F.sum("n").over(by_distance.rangeBetween(Window.unboundedPreceding, -1))
         best = settle(
             met.withColumn("nth", F.row_number().over(near))
             .where(F.col("nth") <= k)
-            .withColumn("held", held)
-            .where(F.col("held") - F.col("n") < k)
-            .drop("nth", "held"),
+            .withColumn("nearer", F.coalesce(nearer, F.lit(0)))
+            .where(F.col("nearer") < k)
+            .drop("nth", "nearer"),
             "best",
         )
         if covered >= BITS:

@@ -206,6 +206,24 @@ def test_nearest(spark):
     assert sorted((r.query_id, r["rank"]) for r in few) == [(20, 1), (20, 2), (40, 1), (40, 2)]
 
 
+def test_nearest_takes_tied_codes_by_id(spark):
+    """Many copies of one code tie with single codes and with copies of another, in front and behind."""
+    def vector(*flipped):
+        return [-1.0 if i in flipped else 1.0 for i in range(64)]
+
+    rows = [(0, vector(), 0), (20, vector(0, 1, 2, 3, 4), 0), (40, vector(60, 61), 0)]
+    rows += [(i, vector(1, 2, 3), 0) for i in [5, *range(901, 914)]]
+    rows += [(10, vector(4, 5, 6), 0), (11, vector(7, 8, 9), 0)]
+    rows += [(i, vector(40, 41, 42), 0) for i in (903_000, 7, 30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    codes = [sum(1 << i for i, x in enumerate(v) if x > 0) for _, v, _ in rows]
+    for k in (1, 4, 10):
+        got = defaultdict(list)
+        for r in top_k(vectors, k=k).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.distance, r.vec_id))
+        assert got == brute.nearest([r[0] for r in rows], codes, k, 20)
+
+
 def test_codes_of_longer_embeddings(spark):
     vectors = spark.createDataFrame(_vectors(120, 100, 3), "vec_id long, embedding array<double>, label int")
     found = top_k(vectors, k=3).where("query_id = 0").orderBy("rank").collect()
