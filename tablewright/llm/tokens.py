@@ -4,7 +4,8 @@ Byte-level BPE never merges across the borders at which its pattern cuts a text:
 white space ahead of something visible, and between letters, digits, signs and line ends. A text is the sequence
 of pieces between the borders that two bytes suffice to tell. Words repeat, so a worker keeps the ids of pieces that it has met in a
 table of fixed size, and asks the library only for those it does not hold. Pieces are always compared
-in full, never by hash alone.
+in full, never by hash alone. The tokenizer's added tokens (such as <|endoftext|>) have their own ids
+wherever a text holds them, as in the library's default call.
 """
 
 from __future__ import annotations
@@ -67,7 +68,13 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        added.pop(b"", None)
+        longest_first = sorted(added, key=len, reverse=True)
+        self.added = regex.compile(b"|".join(map(regex.escape, longest_first))) if added else None
+        self.added_ids = {content: i for content, (i, _) in added.items()}
+        # Tokens that take blanks along or stand at word ends only are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
         self.word = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
         self.letters = dict(enumerate(_byte_letters()))
         self._forget()
@@ -108,6 +115,33 @@ class Pieces:
         return at
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text: added tokens are cut out first, what lies between is text by itself."""
+        if self.added is None or not any(map(self.added.search, texts)):
+            return self._ids_between(texts)
+        sections: list[bytes] = []
+        plan: list[list[int | np.ndarray]] = []  # per text places in `sections`, and ids
+        for text in texts:
+            parts: list[int | np.ndarray] = []
+            if self.plain:
+                at = 0
+                for found in self.added.finditer(text):
+                    parts += [len(sections), np.array([self.added_ids[found.group()]], "<u4")]
+                    sections.append(text[at : found.start()])
+                    at = found.end()
+                parts.append(len(sections))
+                sections.append(text[at:])
+            elif self.added.search(text):
+                whole = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+                parts.append(np.array(whole, "<u4"))
+            else:
+                parts.append(len(sections))
+                sections.append(text)
+            plan.append(parts)
+        between = self._ids_between(sections)
+        return [np.concatenate([between[p] if isinstance(p, int) else p for p in parts]) for parts in plan]
+
+    def _ids_between(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts without added tokens."""
         data_bytes = b"".join(texts)
         if not data_bytes:
             return [np.zeros(0, "<u4") for _ in texts]

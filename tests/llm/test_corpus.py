@@ -87,6 +87,31 @@ def test_tokens_are_the_library_s():
     assert [g.tolist() for g in got] == [encode(t) for t in texts]
 
 
+def _with_added_tokens():
+    end, rng = "<|endoftext|>", random.Random(6)
+    texts = [f"a{end}b", end, f"{end}{end}", f"{end[:-1]}{end}", f"a  {end}  b\n", f" {end}\n\n c", f"é{end}é"]
+    texts += [f"<|{end}|>", "<|endoftext|", "no token", "", f"it{end}'s", f"12{end}34", end.upper()]
+    return texts + ["".join(rng.choice([end, " ", "\n", "ab", "'s", "é", "1", "<|"]) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+
+
+def test_added_tokens_are_the_library_s():
+    untouched, texts = Tokenizer.from_file(FILE), _with_added_tokens()
+    got = list(tokens.encode(pa.array([t.encode() for t in texts], pa.binary()), FILE))
+    assert got[0].tolist() == [64, 50256, 65]
+    assert [g.tolist() for g in got] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word"])
+def test_added_tokens_with_rules_are_the_library_s(tmp_path, flag):
+    from tokenizers import AddedToken
+
+    untouched, texts = Tokenizer.from_file(FILE), _with_added_tokens()
+    untouched.add_tokens([AddedToken("ab", normalized=False, **{flag: True})])
+    untouched.save(str(tmp_path / "more.json"))
+    got = list(tokens.encode(pa.array([t.encode() for t in texts], pa.binary()), str(tmp_path / "more.json")))
+    assert [g.tolist() for g in got] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_packing(spark, capacity):
     rows = documents()
