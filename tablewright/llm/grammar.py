@@ -1,15 +1,16 @@
 """Token ids as files of Re-Pair grammars.
 
 Documents are range-sorted by id and cut into blocks. Within a block frequent pairs of neighbouring ids
-are replaced by nonterminals, in rounds: a round finds the frequent pairs, replaces their occurrences
-from left to right, and the next one works on what came of it. No pair reaches over the end of a
+are replaced by nonterminals, in rounds: a round counts all pairs exactly and replaces each frequent one
+wherever no more frequent pair overlaps it, and the next one works on what came of it, until no pair
+occurs often enough to pay for its rule. No pair reaches over the end of a
 document. A block's file holds the rules, each symbol's expansion length, and per document its number
 of symbols, so one document, or a span of it, is decoded without the rest.
 
 A file has a header of little-endian 32-bit numbers (mark, version, documents, rules, symbols, first
-nonterminal, bytes per symbol), then as arrays: symbols per document (32-bit), the rules' pairs
-(32-bit), expansion lengths of nonterminals (64-bit), and the symbols, byte by byte from the lowest on:
-first all lowest bytes, then all second ones, and so on. Files are values of a binary column, which
+nonterminal, bytes per symbol), then as arrays: symbols per document, the ids that the terminals stand
+for, the rules' pairs, expansion lengths of nonterminals (all 32-bit), and the symbols, byte by byte from
+the lowest on: first all lowest bytes, then all second ones, and so on. Files are values of a binary column, which
 Spark writes to and reads from any store.
 
 Defined results: a null text counts as empty and is a document with the end id alone; null ids come
@@ -30,61 +31,79 @@ from pyspark.sql import functions as F
 from tablewright.llm.stages import settle
 from tablewright.llm.tokens import encode
 
-MARK, VERSION = 0x52504731, 1
+MARK, VERSION = 0x52504731, 2
 BLOCK = 1 << 20  # ids of a block, but for one longer document
-ROUNDS = 4
-LEAST = 16  # occurrences in a block that make a pair frequent
-CELLS = 18  # bits of the cells in which pairs are counted
-
-
-def _frequent(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose pair occurs often, and the pair's cell; a cell has one pair.
-
-    Pairs are counted in hashed cells. A cell stands for the last pair that fell into it, and only
-    that pair's occurrences count, so different pairs are never mixed. A frequent pair that shares its
-    cell may miss a round; the next one has other cells for what is left.
-    """
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    cell = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int32)
-    shown = np.zeros(1 << CELLS, np.uint64)
-    shown[cell] = pair
-    same = (shown[cell] == pair) & ~last[:-1]
-    often = np.bincount(cell[same], minlength=1 << CELLS) >= LEAST
-    at = np.flatnonzero(same & often[cell])
-    return at, cell[at]
-
-
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Of positions, those left when each taken one excludes the next, from the left on."""
-    run = np.concatenate(([True], np.diff(at) > 1))
+LEAST = 7  # occurrences in a block that make a pair frequent: a rule takes 12 bytes, a place saves 2 or more
+
+
+def _counted(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs that start `at` these positions, which of them each position has, and counts."""
+    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
+    order = np.argsort(pair)
+    sorted_ = pair[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    kind = np.empty(len(at), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return sorted_[start], kind, np.diff(start, append=len(at))
+
+
+def _apart(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether each position remains when, in a run of one pair (a a a), each taken one excludes the
+    next, from the left on."""
+    run = np.concatenate(([True], (np.diff(at) > 1) | (kind[1:] != kind[:-1])))
     start = np.flatnonzero(run)
     return (np.arange(len(at)) - start[np.cumsum(run) - 1]) % 2 == 0
 
 
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether each position's pair ranks above the pairs that it overlaps."""
+    beside = np.diff(at) == 1
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~beside | (rank[1:] > rank[:-1])
+    wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+    return wins
+
+
 def compress(ids: list[np.ndarray]) -> bytes:
     """The file of some documents' ids, none of them empty."""
     sizes = np.array([len(i) for i in ids], np.int64)
     seq = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes) - 1] = True
-    first = int(seq.max()) + 1 if len(seq) else 0
+    present = np.zeros(int(seq.max()) + 1 if len(seq) else 0, bool)
+    present[seq] = True
+    alphabet = np.flatnonzero(present)
+    seq = (np.cumsum(present) - 1)[seq]  # terminals are places in the alphabet, so symbols stay short
+    first = len(alphabet)
     rules, lengths, count = [], [], first
     weight = np.ones(first, np.int64)  # expansion lengths by symbol
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    fresh = ~last  # positions whose pair may be frequent; one that has been rare stays rare
+    while True:
+        at = np.flatnonzero(fresh)
+        if len(at) < LEAST:
             break
-        at, cell = _frequent(seq, last)
+        pairs, kind, often = _counted(seq, at)
+        frequent = often[kind] >= LEAST
+        fresh[at[~frequent]] = False
+        at, kind = at[frequent], kind[frequent]
         if not len(at):
             break
-        take = _apart(at)
-        at, cell = at[take], cell[take]
-        # Sharing places between overlapping pairs may have made some of them rare.
-        worth = np.bincount(cell, minlength=1 << CELLS) >= LEAST // 2
-        take = worth[cell]
-        at, cell = at[take], cell[take]
+        # A pair's own overlaps go first, and count for nothing; then frequent pairs go before rare ones.
+        own = _apart(at, kind)
+        often = np.bincount(kind[own], minlength=len(pairs))
+        few = often[kind] < LEAST
+        fresh[at[few]] = False
+        at, kind = at[own & ~few], kind[own & ~few]
         if not len(at):
-            break
-        kind = (np.cumsum(worth) - 1)[cell]
+            continue
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.lexsort((pairs * np.uint64(0x9E3779B97F4A7C15), often))] = np.arange(len(pairs))
+        take = _winners(at, rank[kind])
+        # The first of all pairs wins at all its places, so every round makes a rule.
+        worth = np.bincount(kind[take], minlength=len(pairs)) >= LEAST
+        take &= worth[kind]
+        at, kind = at[take], (np.cumsum(worth) - 1)[kind[take]]
         two = np.zeros((int(worth.sum()), 2), np.int64)
         two[kind, 0], two[kind, 1] = seq[at], seq[at + 1]
         rules.append(two)
@@ -93,16 +112,20 @@ def compress(ids: list[np.ndarray]) -> bytes:
         seq[at] = count + kind
         last[at] |= last[at + 1]
         count += len(two)
+        # New pairs stand at the new symbols and right before them.
+        fresh[at] = True
+        fresh[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, fresh = seq[keep], last[keep], fresh[keep]
+        fresh &= ~last
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     symbols = np.diff(np.flatnonzero(last), prepend=-1)
     wide = max(1, (max(count - 1, 0).bit_length() + 7) // 8)
     planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].T
     header = np.array([MARK, VERSION, len(ids), len(rule), len(seq), first, wide], "<u4")
-    parts = (header, symbols.astype("<u4"), rule.astype("<u4"), length.astype("<i8"), planes)
+    parts = (header, symbols.astype("<u4"), alphabet.astype("<u4"), rule.astype("<u4"), length.astype("<u4"), planes)
     return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
 
@@ -123,8 +146,9 @@ class Block:
             return out
 
         self.symbols = np.concatenate(([0], np.cumsum(array("<u4", docs), dtype=np.int64)))
+        self.alphabet = array("<u4", self.first)
         self.rules = array("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = array("<i8", rules)
+        self.lengths = array("<u4", rules)
         planes = np.zeros((symbols, 4), np.uint8)
         planes[:, :wide] = array("u1", symbols * wide).reshape(wide, symbols).T
         self.seq = planes.view("<u4").ravel()
@@ -140,17 +164,17 @@ class Block:
         return out
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        """All ids of some symbols, one level of rules at a time."""
-        while True:
+        """All ids of some symbols; a level of rules at a time, each only where it is not yet done."""
+        sizes = self.sizes(seq)
+        place = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), "<u4")
+        while len(seq):
             rule = seq >= self.first
-            if not rule.any():
-                return seq
-            place = np.cumsum(rule + 1) - 1 - rule  # where each symbol's expansion starts
-            out = np.empty(len(seq) + int(rule.sum()), "<u4")
-            out[place[~rule]] = seq[~rule]
-            two = self.rules[seq[rule] - self.first]
-            out[place[rule]], out[place[rule] + 1] = two[:, 0], two[:, 1]
-            seq = out
+            out[place[~rule]] = self.alphabet[seq[~rule]]
+            two, at = self.rules[seq[rule] - self.first], place[rule]
+            seq = np.concatenate((two[:, 0], two[:, 1]))
+            place = np.concatenate((at, at + self.sizes(two[:, 0])))
+        return out
 
     def document(self, nth: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of a document, or of a span of it: only the symbols that reach into it are

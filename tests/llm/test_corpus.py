@@ -283,6 +283,29 @@ def test_blocks_decode_at_any_place():
         grammar.Block(bytes(64))
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 50_000, 1000)
+    often = [np.concatenate((passage, rng.integers(0, 50_000, 20))).astype(np.uint32) for _ in range(40)]
+    rising = [np.arange(1000, dtype=np.uint32)] * 10
+    few = [np.array([1, 2, 3, 1, 1, 1], np.uint32)] * grammar.LEAST
+    natural = [np.minimum(rng.zipf(1.3, 3000), 5000).astype(np.uint32) for _ in range(20)]
+    wide = [rng.integers(0, 700, 400_000).astype(np.uint32)]
+    for ids in (often, rising, few, natural, wide, [np.zeros(5000, np.uint32)]):
+        block = grammar.Block(grammar.compress(ids))
+        assert all((a == b).all() for a, b in zip(ids, block.documents(), strict=True))
+        places = defaultdict(int)
+        for i in range(len(block)):
+            seq, taken = block.seq[block.symbols[i] : block.symbols[i + 1]].tolist(), {}
+            for at, pair in enumerate(zip(seq, seq[1:], strict=False)):
+                if taken.get(pair) != at - 1:
+                    taken[pair] = at
+                    places[pair] += 1
+        assert max(places.values(), default=0) < grammar.LEAST
+    block = grammar.Block(grammar.compress(often))
+    assert np.diff(block.symbols).max() <= 25
+
+
 @pytest.mark.parametrize("seed", [3, 8])
 def test_backoff(spark, seed):
     rows = documents(seed) + [(None, "a b a b", None, None, 0)] * 2
