@@ -32,17 +32,22 @@ TILE = 2048  # members of a slot that meet in one tile
 BATCH = 1 << 16  # rows or words that the kernel holds at once
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The majority of each bit over the hashes of all `width`-word shingles."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of all `width`-word shingles; a shorter text is one shingle."""
     words = text.lower().split()  # on bytes both are ASCII only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """The majority of each bit over the hashes of all `width`-word shingles."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         block = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -286,8 +291,13 @@ def near_groups(
         ),
         "fingerprints",
     )
+    return grouped(rows, fingerprint_links(rows.select("fp").distinct(), radius))
+
+
+def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, fp) with the components that links (a, b) between fps make."""
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected(fingerprint_links(fps.select("fp"), radius))
+    roots = connected(links)
     placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -303,9 +313,13 @@ def drop_near_copies(
 
     Of rows with one id the one with the least text hash stays; rows that agree in both stay together.
     """
+    return first_of_groups(docs, near_groups(docs, doc_id, text, width, radius), doc_id, text)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents that `drop_near_copies` keeps of such groups."""
     keep = (
-        near_groups(docs, doc_id, text, width, radius)
-        .where("doc_id <=> component_id")
+        groups.where("doc_id <=> component_id")
         .groupBy("root")
         .agg(F.min("text_hash").alias("__keep_hash"), F.first("component_id").alias("__keep_id"))
     )
