@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,13 +13,16 @@ from tablewright.llm.codes import top_k
 from tablewright.llm.exact import exact_groups
 from tablewright.llm.grammar import token_files, token_index
 from tablewright.llm.language import identify
+from tablewright.llm.minhash import near_duplicates
 from tablewright.llm.mixing import mix
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.periods import periodic_runs
 from tablewright.llm.quality import quality_scores
 from tablewright.llm.repeats import remove_repeats
 from tablewright.llm.scoring import backoff_scores
 from tablewright.llm.simhash import near_groups
 from tablewright.llm.stages import settle, ship
+from tablewright.llm.whitening import whiten
 
 #: The tokenizer file of the queries; every executor has it at this place.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -145,3 +149,52 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@_query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least id that each document reaches by links of 0.8 or more of their four-word shingles."""
+    groups = near_duplicates(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _with_period(key: str | None, words: list[bytes]) -> list[bytes]:
+    """The words of op12: every tenth document repeats a stretch of its own to its end."""
+    h, n = zlib.crc32((key or "").encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@_query
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document's words, and a digest of what is left without the repeats."""
+    found = periodic_runs(_table(spark, sf_dir, "documents"), rewrite=_with_period)
+    best = F.array_sort(
+        "runs",
+        lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"])
+        .when(a["start"] != b["start"], a["start"] - b["start"])
+        .otherwise(a["period"] - b["period"])
+        .cast("int"),
+    )
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.get(best, F.lit(0))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        longest["length"].alias("length"),
+        longest["period"].alias("period"),
+        F.floor(longest["length"] * 1000 / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the sixteen main directions of their distinct vectors, each with variance one."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
