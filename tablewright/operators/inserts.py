@@ -106,32 +106,34 @@ class Insert:
 
     def frame(self) -> DataFrame:
         """The rows as they will be stored, under property names."""
+        return self._numbered()[0]
+
+    def _numbered(self) -> tuple[DataFrame, dict[str, int | None]]:
+        """The rows, and by column the last ids that the table had noted when they were numbered."""
         df = self.parts[0]
         for more in self.parts[1:]:
             df = df.unionByName(more, allowMissingColumns=True)
         name, store = self.spec.name, self.tables.store
-
-        def last(prop: str) -> int | None:
-            known = hasattr(store, "last_id")
-            return store.last_id(name, self.spec.column(prop).column_name) if known else None
-
-        return align(
-            self.spec, df, lambda: self.tables.table(name), self.excluded, self.order, last
+        rising = [c for c in self.spec.columns if rising_ids(c)] if hasattr(store, "last_id") else []
+        lasts = {c.prop: store.last_id(name, c.column_name) for c in rising}
+        rows = align(
+            self.spec, df, lambda: self.tables.table(name), self.excluded, self.order, lasts.get
         )
+        return rows, {c.column_name: lasts[c.prop] for c in rising}
 
-    def _append(self, rows: DataFrame) -> int:
+    def _append(self, rows: DataFrame, lasts: Mapping[str, int | None]) -> int:
         name = self.spec.name
-        numbered = [c.column_name for c in self.spec.columns if rising_ids(c)]
-        return self.tables.store.append(name, self.tables.physical(name, rows), numbered=numbered)
+        return self.tables.store.append(name, self.tables.physical(name, rows), lasts=lasts)
 
     def execute(self) -> int:
-        return self._append(self.frame())
+        return self._append(*self._numbered())
 
     def execute_returning(self) -> DataFrame:
         """Insert and return the keys. The rows are written once before the insert, so that
         generated values are the same in the table and in the result."""
-        rows = settle(self.frame(), "inserted")
-        self._append(rows)
+        rows, lasts = self._numbered()
+        rows = settle(rows, "inserted")
+        self._append(rows, lasts)
         return rows.select(*(self.spec.primary_key or self.spec.props))
 
     def batch(self, flush_size: int = 100) -> Batch:

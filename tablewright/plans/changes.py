@@ -610,6 +610,48 @@ def apply_two_plans(ws):
     return target.store.read("note")
 
 
+PARTED = replace(NOTE, name="parted", partition_by=("lang",))
+
+
+def _parted(ws) -> Workspace:
+    """The documents as notes, a partition per language."""
+    target = scratch(ws, PARTED)
+    target.insert("parted").values_from(_notes(ws)).execute()
+    return target
+
+
+@query(
+    "SELECT doc_id, lang, n_chars, 'new' AS status, NULL::DOUBLE AS score FROM documents WHERE lang <> 'fr'"
+)
+def delete_partition(ws):
+    """All rows of a partition go, and rows of other partitions are not read."""
+    target = _parted(ws)
+    target.apply(target.delete("parted").filter(eq("lang", "fr")).plan())
+    return target.table("parted").withColumnsRenamed(PARTED.to_physical)
+
+
+@query(
+    """
+    SELECT doc_id, lang, n_chars, 'new' AS status, NULL::DOUBLE AS score FROM documents WHERE lang = 'de'
+    """
+)
+def truncate_partitioned(ws):
+    """Rows that come in after a truncate are the only ones."""
+    target = _parted(ws)
+    target.store.truncate("parted")
+    german = ws.query("documents").filter(eq("lang", "de")).columns("docId", "lang", "nChars")
+    target.insert("parted").values_from(german).execute()
+    return target.table("parted").withColumnsRenamed(PARTED.to_physical)
+
+
+@query("SELECT doc_id, lang, n_chars, 'new' AS status, NULL::DOUBLE AS score FROM documents")
+def update_none(ws):
+    """A change that hits no row leaves all of them."""
+    target = _parted(ws)
+    target.apply(target.update("parted").filter(eq("docId", -1)).set("status", "read").plan())
+    return target.table("parted").withColumnsRenamed(PARTED.to_physical)
+
+
 @query("SELECT doc_id, lang, n_chars, 'new' AS status, NULL::DOUBLE AS score FROM documents")
 def export_and_read(ws):
     target = scratch(ws, NOTE)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import os
-import time
 import uuid
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
@@ -42,6 +40,7 @@ class Conflict(RuntimeError):
 
 
 VERSION = "tablewright.version"
+CONTENTS = "tablewright.contents"  # noted anew whenever rows are replaced, not when they are added
 HIT = "_hit"  # marks rows that a change affects; it is counted and not stored
 LAST = "tablewright.last."  # and a column: the highest id that its rows hold
 
@@ -53,39 +52,32 @@ class TableStore:
     pointed at it, so running readers keep the old files and a failed job leaves no trace. Of a
     partitioned table only the partitions that a change affects are rewritten.
 
-    Every change of a table gives it a new version. All statements that switch the tables of one change
-    are first written to a journal. One writer at a time holds the store's lock, compares versions and
-    runs the journal; if it dies in between, the next one to open or change the store runs the journal
-    again to its end, so the tables are switched together or not at all.
+    Every change of a table gives it a new version, and a change planned on another version is a
+    `Conflict`. Versions are compared right before the switch, without a lock, and tables are switched one
+    after the other: writers that meet within that moment, or a driver that dies in it, are for a
+    table format with transactions to deal with.
     """
 
-    def __init__(self, spark: SparkSession, database: str, location: str, wait: float = 60.0):
+    def __init__(self, spark: SparkSession, database: str, location: str):
         self.spark = spark
         self.database = database
         self.location = location
-        self.wait = wait  # seconds to wait for the lock
         self._temporary: list[str] = []
-        self._journal = os.path.join(location, "_journal.json")
-        self._lock = os.path.join(location, "_lock")
         spark.sql(
             f"CREATE DATABASE IF NOT EXISTS `{database}` "
             f"LOCATION {sql_literal(os.path.join(location, 'database'))}"
         )
-        if self._files().exists(self._path(self._journal)):
-            self._recover()
 
-    # ---- one change at a time ------------------------------------------------------------
-
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _files(self):
-        return self._path(self.location).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    # ---- versions ------------------------------------------------------------------------
 
     def _properties(self, name: str) -> dict[str, str]:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.full(name)}").collect()
         return {r["key"]: r["value"] for r in rows}
 
+    def _note(self, name: str, values: Mapping[str, str]) -> None:
+        listed = ", ".join(f"{sql_literal(k)} = {sql_literal(v)}" for k, v in values.items())
+        self.spark.sql(f"ALTER TABLE {self.full(name)} SET TBLPROPERTIES ({listed})")
+
     def version(self, name: str) -> str | None:
         """The table's version; None before its first change here."""
         return self._properties(name).get(VERSION)
@@ -95,74 +87,28 @@ class TableStore:
         value = self._properties(name).get(LAST + column)
         return None if value is None else int(value)
 
-    def _note_last(self, name: str, highest: Mapping[str, int | None]) -> list[str]:
-        """Statements that note the highest ids after an insert; `highest` are those of its rows."""
-        known = self._properties(name)
-        listed = []
-        for column, value in highest.items():
-            if LAST + column in known:
-                ids = [int(known[LAST + column]), *([] if value is None else [value])]
-            else:  # the one time that all rows are looked at
-                self.spark.catalog.refreshTable(self.full(name))
-                ids = [v for v in [self.read(name).agg(F.max(f"`{column}`")).first()[0]] if v is not None]
+    def _reserve(self, name: str, df: DataFrame, lasts: Mapping[str, int | None]) -> None:
+        """Note the highest ids of rows about to be added, if no other insert has done so since `lasts`
+        were read: the next insert goes on behind them from now on, whether this one ends or not."""
+        found = df.agg(*[F.max(f"`{c}`").alias(f"_{c}") for c in lasts]).first()
+        noted = {}
+        for column, last in lasts.items():
+            ids = [v for v in (last, found[f"_{column}"]) if v is not None]
+            if last is None:  # the one time that all rows are looked at
+                ids += [v for v in self.read(name).agg(F.max(f"`{column}`")).first() if v is not None]
             if ids:
-                listed.append(
-                    f"ALTER TABLE {self.full(name)} SET TBLPROPERTIES "
-                    f"({sql_literal(LAST + column)} = {sql_literal(str(max(ids)))})"
-                )
-        return listed
-
-    def _stamp(self, name: str) -> str:
-        return (
-            f"ALTER TABLE {self.full(name)} "
-            f"SET TBLPROPERTIES ({sql_literal(VERSION)} = {sql_literal(uuid.uuid4().hex)})"
-        )
-
-    def _acquire(self) -> None:
-        files, lock, end = self._files(), self._path(self._lock), time.monotonic() + self.wait
-        while not files.createNewFile(lock):
-            if time.monotonic() > end:
-                raise Conflict(f"another writer holds {self._lock}; if it has died, remove that file")
-            time.sleep(0.2)
-
-    def _commit(self, names: Sequence[str], expected: Mapping[str, str | None], statements) -> None:
-        """Run the statements that `statements()` gives, if the tables still have the expected
-        versions, and give the named tables new ones."""
-        files = self._files()
-        self._acquire()
-        try:
-            if files.exists(self._path(self._journal)):
-                self._run_journal()
-            moved = [n for n, v in expected.items() if self.version(n) != v]
-            if moved:
-                raise Conflict(f"{', '.join(moved)} changed since this change was planned")
-            listed = [*statements(), *[self._stamp(n) for n in names]]
-            draft = self._path(f"{self._journal}.{uuid.uuid4().hex}")
-            out = files.create(draft, True)
-            out.write(bytearray(json.dumps({"names": list(names), "sql": listed}).encode()))
-            out.close()
-            files.rename(draft, self._path(self._journal))
-            self._run_journal()
-        finally:
-            if not files.exists(self._path(self._journal)):
-                files.delete(self._path(self._lock), False)
-
-    def _run_journal(self) -> None:
-        """Every statement can be run again. The journal goes last."""
-        files, path = self._files(), self._path(self._journal)
-        stream = files.open(path)
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        journal = json.loads(text)
-        for statement in journal["sql"]:
-            self.spark.sql(statement)
-        for name in journal["names"]:
-            self.spark.catalog.refreshTable(self.full(name))
-        files.delete(path, False)
+                noted[LAST + column] = str(max(ids))
+        known = self._properties(name)
+        for column, last in lasts.items():
+            if known.get(LAST + column) != (None if last is None else str(last)):
+                raise Conflict(f"another insert has taken ids of {name}.{column}: insert again")
+        if noted:
+            self._note(name, noted)
 
-    def _recover(self) -> None:
-        self._run_journal()
-        self._files().delete(self._path(self._lock), False)
+    def _expect(self, expected: Mapping[str, str | None]) -> None:
+        moved = [n for n, v in expected.items() if self.version(n) != v]
+        if moved:
+            raise Conflict(f"{', '.join(moved)} changed since this change was planned")
 
     def full(self, name: str) -> str:
         return f"`{self.database}`.`{name}`"
@@ -196,21 +142,25 @@ class TableStore:
         return seen()
 
     def append(
-        self, name: str, df: DataFrame, rows_per_file: int = 0, numbered: Sequence[str] = ()
+        self,
+        name: str,
+        df: DataFrame,
+        rows_per_file: int = 0,
+        lasts: Mapping[str, int | None] | None = None,
     ) -> int:
-        """Add rows, columns by name; returns their number. Of the `numbered` columns the highest id
-        is noted, so the next insert need not look for it."""
+        """Add rows, columns by name; returns their number. `lasts` are the columns that the rows number,
+        with the last ids they go on from; ids that another insert has taken meanwhile are a `Conflict`,
+        and so is a table whose rows are replaced while rows are added: they may be in its old files."""
         aligned = df.select(*[f"`{c}`" for c in self.read(name).columns])
-        seen = Observation()
-        highest = [F.max(f"`{c}`").alias(f"_{c}") for c in numbered]
-        counted = self._gathered(name, aligned).observe(seen, F.count(F.lit(1)).alias("n"), *highest)
+        contents = self._properties(name).get(CONTENTS)
+        if lasts:
+            self._reserve(name, aligned, lasts)
+        counted, seen = _counting(self._gathered(name, aligned))
         counted.write.option("maxRecordsPerFile", rows_per_file).insertInto(self.full(name))
-        found = seen.get
-        # The rows are there; plans made before them are out of date.
-        self._commit(
-            [name], {}, lambda: self._note_last(name, {c: found[f"_{c}"] for c in numbered})
-        )
-        return found["n"]
+        if self._properties(name).get(CONTENTS) != contents:
+            raise Conflict(f"the rows of {name} were replaced while others were added: look which are there")
+        self._note(name, {VERSION: uuid.uuid4().hex})  # plans made before are out of date
+        return seen()
 
     def _gathered(self, name: str, df: DataFrame) -> DataFrame:
         """For a partitioned table, rows of a partition come together before they are written,
@@ -224,53 +174,52 @@ class TableStore:
         touched: Mapping[str, list[tuple]] | None = None,
         expected: Mapping[str, str | None] | None = None,
     ) -> dict[str, int]:
-        """Give tables new contents, all in one switch once all of them are written; returns the
-        number of rows written, of a frame with a column `HIT` of those for which it is true. A table whose version is not the expected one is a `Conflict`, and
-        then none is switched.
+        """Give tables new contents, one after the other once all of them are written; returns the
+        number of rows written, of a frame with a column `HIT` of those for which it is true. A table
+        whose version is not the expected one is a `Conflict`, and then none is switched.
 
         For a table in `touched`, the frame holds these partitions only, and the others stay.
         """
+        self._expect(expected or {})
         written, counts = {}, {}
         for name, df in frames.items():
             written[name] = self._new_folder(name)
             seen = Observation()
             hits = F.col(HIT) if HIT in df.columns else F.lit(False)
-            counted = df.observe(
+            # Counted behind the rebalance: adaptive plans drop what is in front of one without rows.
+            counted = self._gathered(name, df).observe(
                 seen, F.count(F.lit(1)).alias("n"), F.count_if(hits).alias("hits")
-            ).drop(HIT)
-            counted = self._gathered(name, counted)
-            counted.write.partitionBy(*self.partition_columns(name)).parquet(written[name])
+            )
+            writer = counted.drop(HIT).write.partitionBy(*self.partition_columns(name))
+            writer.parquet(written[name])
             found = seen.get
             counts[name] = found["hits"] if HIT in df.columns else found["n"]
-
-        def statements() -> list[str]:
-            listed = []
-            for name, path in written.items():
-                schema = frames[name].drop(HIT).schema
-                old = {f.name: f.dataType for f in self.read(name).schema}
-                partitions = self.partition_columns(name)
-                if old != {f.name: f.dataType for f in schema}:
-                    listed += self._declare_at(name, path, schema, partitions)
-                elif partitions:
-                    gone = (touched or {}).get(name)
-                    if gone is None:
-                        rows = self.read(name).select(*partitions).distinct().collect()
-                        gone = [tuple(r) for r in rows]
-                    listed += self._switch_partitions(name, path, schema, partitions, gone)
-                else:
-                    place = sql_literal(path)
-                    listed.append(f"ALTER TABLE {self.full(name)} SET LOCATION {place}")
-                noted = [sql_literal(k) for k in self._properties(name) if k.startswith(LAST)]
-                if noted:  # the new contents may hold other ids
-                    keys = ", ".join(noted)
-                    listed.append(
-                        f"ALTER TABLE {self.full(name)} UNSET TBLPROPERTIES IF EXISTS ({keys})"
-                    )
-            return listed
-
-        self._commit(list(frames), expected or {}, statements)
+        self._expect(expected or {})
+        for name, path in written.items():
+            self._switch(name, path, frames[name].drop(HIT).schema, (touched or {}).get(name))
         return counts
 
+    def _switch(self, name: str, path: str, schema: T.StructType, gone: list[tuple] | None) -> None:
+        """Point a table, or those of its partitions that are written anew, at a new folder."""
+        old = {f.name: f.dataType for f in self.read(name).schema}
+        partitions = self.partition_columns(name)
+        noted = [k for k in self._properties(name) if k.startswith(LAST)]
+        if old != {f.name: f.dataType for f in schema}:
+            statements, noted = self._declare_at(name, path, schema, partitions), []
+        elif partitions:
+            if gone is None:
+                gone = [tuple(r) for r in self.read(name).select(*partitions).distinct().collect()]
+            statements = self._switch_partitions(name, path, schema, partitions, gone)
+        else:
+            statements = [f"ALTER TABLE {self.full(name)} SET LOCATION {sql_literal(path)}"]
+        if noted:  # the new contents may hold other ids
+            keys = ", ".join(sql_literal(k) for k in noted)
+            statements.append(f"ALTER TABLE {self.full(name)} UNSET TBLPROPERTIES IF EXISTS ({keys})")
+        for statement in statements:
+            self.spark.sql(statement)
+        self._note(name, {VERSION: uuid.uuid4().hex, CONTENTS: uuid.uuid4().hex})
+        self.spark.catalog.refreshTable(self.full(name))
+
     def _switch_partitions(
         self, name: str, path: str, schema: T.StructType, columns: list[str], gone: list[tuple]
     ) -> list[str]:
@@ -282,14 +231,18 @@ class TableStore:
             tuple(row[c] for c in columns): unquote(row["folder"])
             for row in found.agg(F.any_value(folder).alias("folder")).collect()
         }
+        known = {tuple(r) for r in self.read(name).select(*columns).distinct().collect()} & fresh.keys()
         table = f"ALTER TABLE {self.full(name)}"
         listed = [
-            f"{table} DROP IF EXISTS {_partition(columns, key)}" for key in set(gone) - fresh.keys()
+            f"{table} {_partition(columns, key)} SET LOCATION {sql_literal(fresh[key])}" for key in known
         ]
-        for key, place in fresh.items():
-            where = _partition(columns, key)
-            listed.append(f"{table} ADD IF NOT EXISTS {where}")
-            listed.append(f"{table} {where} SET LOCATION {sql_literal(place)}")
+        if added := fresh.keys() - known:
+            places = [f"{_partition(columns, key)} LOCATION {sql_literal(fresh[key])}" for key in added]
+            listed.append(f"{table} ADD IF NOT EXISTS {' '.join(places)}")
+        if emptied := set(gone) - fresh.keys():
+            listed.append(f"{table} DROP IF EXISTS {', '.join(_partition(columns, k) for k in emptied)}")
+        # Partitions added from now on lie here, and not where dropped ones have left their files.
+        listed.append(f"{table} SET LOCATION {sql_literal(path)}")
         return listed
 
     def _declare_at(

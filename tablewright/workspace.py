@@ -176,8 +176,8 @@ class Workspace:
     def apply(self, change) -> dict[str, int]:
         """Write a planned change; returns the number of affected rows per table.
 
-        All new tables are written before any is switched to, and then all together, children before
-        parents. If one of them has changed since the plan was made, nothing is switched and a
+        All new tables are written before any is switched to, and then one after the other, children
+        before parents. If one of them has changed since the plan was made, nothing is switched and a
         `Conflict` is raised: plan the change anew.
         """
         order = self.catalog.parents_first(change.parts)[::-1]
@@ -189,7 +189,7 @@ class Workspace:
                 hit = part.affected.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()
                 counts[name] = sum(row["_n"] for row in hit)
                 touched[name] = [tuple(row[c] for c in by) for row in hit]
-                frame = frame.where(_one_of(by, touched[name]))
+                frame = frame.where(_one_of(frame, by, touched[name]))
             elif part.marked is not None:
                 frame = part.marked
             elif part.changed:
@@ -219,16 +219,12 @@ class Workspace:
         return self.catalog[name]
 
 
-def _one_of(columns: Sequence[str], values: list[tuple]) -> Column:
-    """The columns hold one of the listed rows. A balanced tree, since there may be thousands."""
-    tests = [
-        functools.reduce(
-            Column.__and__,
-            [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(columns, row, strict=True)],
-        )
-        for row in values
-    ] or [F.lit(False)]
-    while len(tests) > 1:
-        pairs = zip(tests[::2], tests[1::2])
-        tests = [a | b for a, b in pairs] + (tests[-1:] if len(tests) % 2 else [])
-    return tests[0]
+def _one_of(df: DataFrame, columns: Sequence[str], values: list[tuple]) -> Column:
+    """The columns hold one of the listed rows, NULLs being equal. One set, however many there are; it
+    names partition columns only, so that a scan is cut to these partitions before it starts."""
+
+    def packed(cells) -> Column:
+        return F.struct(*[v.cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, cells, strict=True)])
+
+    listed = [packed(map(F.lit, row)) for row in values]
+    return packed(F.col(f"`{c}`") for c in columns).isin(listed) if listed else F.lit(False)

@@ -1,4 +1,4 @@
-"""Changes that meet: conflicts, a crash in the middle of a switch, and the small repairs."""
+"""Changes that meet, changes of partitioned tables, and the small repairs."""
 
 import pytest
 from conftest import rows
@@ -62,52 +62,106 @@ def test_a_change_of_several_tables_is_one(ws):
     assert len(table(ws, "p")) == 4 and len(table(ws, "c")) == 5
 
 
-@pytest.mark.parametrize("after", [0, 1, 2])
-def test_a_crash_between_two_tables_is_finished_later(spark, ws, monkeypatch, after):
-    cascade, ran = ws.delete("p").filter(eq("id", 1)).cascade(), []
-    sql = spark.sql
+def test_a_change_that_comes_in_while_rows_are_written(ws, monkeypatch):
+    removal = ws.delete("p").filter(eq("id", 2)).plan()
+    gathered, other = ws.store._gathered, ws.update("p").filter(eq("id", 1)).set("name", "new").plan()
 
-    def dying(text, *args, **kwargs):
-        if text.startswith("ALTER"):
-            if len(ran) == after:
-                raise KeyboardInterrupt
-            ran.append(text)
-        return sql(text, *args, **kwargs)
+    def meanwhile(name, df):
+        monkeypatch.undo()
+        ws.apply(other)
+        return gathered(name, df)
 
-    monkeypatch.setattr(ws.store.spark, "sql", dying)
-    with pytest.raises(KeyboardInterrupt):
-        ws.apply(cascade)
-    monkeypatch.undo()
-    again = Workspace(spark, ws.catalog, TableStore(spark, ws.store.database, ws.store.location))
-    assert [r[0] for r in table(again, "p")] == [0, 2, 3]
-    assert table(again, "c") == [(10, 0), (12, 2), (13, 3)]
-    again.apply(again.delete("p").filter(eq("id", 0)).cascade())
-    assert [r[0] for r in table(again, "c")] == [12, 13]
-
-
-def test_a_crash_in_a_new_declaration_loses_no_table(spark, ws, monkeypatch):
-    wider = TableSpec("p", (*PARENT.columns, Column("more", "INTEGER", default=5)), ("id",))
-    evolved = Workspace(spark, Catalog(CHILD, wider), ws.store)
-    sql = spark.sql
-
-    def dying(text, *args, **kwargs):
-        if text.startswith("CREATE TABLE"):
-            raise KeyboardInterrupt
-        return sql(text, *args, **kwargs)
-
-    monkeypatch.setattr(ws.store.spark, "sql", dying)
-    with pytest.raises(KeyboardInterrupt):
-        ensure_all(evolved, "UPDATE")
-    monkeypatch.undo()
-    again = Workspace(spark, evolved.catalog, TableStore(spark, ws.store.database, ws.store.location))
-    assert table(again, "p") == [(i, "n", 5) for i in range(4)]
-
-
-def test_a_lock_that_is_held_stops_a_writer(ws):
-    ws.store.wait = 0.1
-    ws.store._acquire()
-    with pytest.raises(Conflict, match="another writer"):
-        ws.apply(ws.delete("p").plan())
+    monkeypatch.setattr(ws.store, "_gathered", meanwhile)
+    with pytest.raises(Conflict, match="p changed"):
+        ws.apply(removal)
+    assert table(ws, "p") == [(0, "n"), (1, "new"), (2, "n"), (3, "n")]
+
+
+def test_an_insert_beside_a_change_is_told(ws, monkeypatch):
+    change, gathered = ws.update("p").filter(eq("id", 1)).set("name", "new").plan(), ws.store._gathered
+
+    def meanwhile(name, df):
+        monkeypatch.undo()
+        ws.apply(change)
+        return gathered(name, df)
+
+    monkeypatch.setattr(ws.store, "_gathered", meanwhile)
+    with pytest.raises(Conflict, match="replaced while"):
+        ws.insert("p").values({"id": 9, "name": "late"}).execute()
+
+
+def test_two_inserts_do_not_take_the_same_ids(spark, tmp_path):
+    log = TableSpec("log", (Column("id", "BIGINT", auto_increment=True), Column("v", "INTEGER")), ("id",))
+    ws = Workspace.over_tables(spark, Catalog(log), "l_" + tmp_path.name, str(tmp_path))
+    ensure_all(ws, "CREATE")
+    ws.insert("log").values([{"v": 1}, {"v": 2}]).execute()
+    early = ws.insert("log").values([{"v": 3}])
+    rows_, lasts = early._numbered()
+    ws.insert("log").values([{"v": 4}]).execute()
+    with pytest.raises(Conflict, match="taken ids"):
+        early._append(rows_, lasts)
+    early.execute()
+    assert table(ws, "log") == [(1, 1), (2, 2), (3, 4), (4, 3)]
+
+
+# ---- partitioned tables --------------------------------------------------------------------
+
+DAY = TableSpec(
+    "day",
+    (Column("id", "INTEGER"), Column("v", "INTEGER"), Column("theDay", "DATE"), Column("kind", "VARCHAR")),
+    ("id",),
+    partition_by=("theDay", "kind"),
+)
+
+
+@pytest.fixture
+def days(spark, tmp_path):
+    from datetime import date
+
+    made = Workspace.over_tables(spark, Catalog(DAY), "d_" + tmp_path.name, str(tmp_path))
+    ensure_all(made, "CREATE")
+    made.insert("day").values([
+        {"id": i, "v": i, "theDay": [date(2024, 1, 1), date(2024, 1, 2), None][i % 3], "kind": "ab"[i % 2]}
+        for i in range(12)
+    ]).execute()
+    yield made
+    made.close()
+
+
+def test_a_delete_that_hits_nothing(days):
+    before = table(days, "day")
+    assert days.apply(days.delete("day").filter(eq("id", 99)).plan()) == {"day": 0}
+    assert table(days, "day") == before
+
+
+def test_an_update_that_hits_nothing(days):
+    before = table(days, "day")
+    assert days.apply(days.update("day").filter(eq("id", 99)).set("v", 0).plan()) == {"day": 0}
+    assert days.apply(days.update("day").filter(eq("id", 99)).set("kind", "z").plan()) == {"day": 0}
+    assert table(days, "day") == before
+
+
+@pytest.mark.parametrize("column,value,left", [("kind", "a", 6), ("theDay", "2024-01-02", 8)])
+def test_a_delete_of_whole_partitions(days, column, value, left):
+    removal = days.delete("day").filter(eq(column, value)).plan()
+    assert days.apply(removal) == {"day": 12 - left}
+    assert days.table("day").count() == left and days.table("day").where(f"{column} = '{value}'").isEmpty()
+    days.insert("day").values({"id": 50, "v": 1, "theDay": None, "kind": "a"}).execute()
+    assert days.table("day").count() == left + 1
+
+
+def test_a_delete_of_a_null_partition(days):
+    from tablewright.functions import is_null
+
+    assert days.apply(days.delete("day").filter(is_null("theDay")).plan()) == {"day": 4}
+    assert [r[0] for r in table(days, "day")] == [0, 1, 3, 4, 6, 7, 9, 10]
+
+
+def test_truncate_of_a_partitioned_table(days):
+    days.store.truncate("day")
+    assert table(days, "day") == []
+    days.insert("day").values({"id": 50, "v": 1, "kind": "a"}).execute()
+    assert table(days, "day") == [(50, 1, None, "a")]
 
 
 # ---- small repairs -------------------------------------------------------------------------
