@@ -36,16 +36,29 @@ BLOCK = 1 << 20  # ids of a block, but for one longer document
 LEAST = 7  # occurrences in a block that make a pair frequent: a rule takes 12 bytes, a place saves 2 or more
 
 
-def _counted(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs that start `at` these positions, which of them each position has, and counts."""
-    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
-    order = np.argsort(pair)
-    sorted_ = pair[order]
-    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+def _frequent(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the positions whose pair occurs `LEAST` times, which pair each has, and the pairs."""
+    bits = max(1, int(seq.max()).bit_length()) if len(seq) else 1
+    pair = seq[at].astype(np.int64) << bits | seq[at + 1]
+    # What shares a cell with few others is rare; the rest is sorted and counted exactly.
+    cells = len(at).bit_length() + 1
+    cell = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cells)).view(np.int64)
+    often = np.bincount(cell, minlength=1 << cells)[cell] >= LEAST
+    at, pair = at[often], pair[often]
+    places = max(1, len(at).bit_length())
+    if 2 * bits + places < 64:  # numbers sort faster than an order is found
+        packed = np.sort(pair << places | np.arange(len(at)))
+        order, pair = packed & (1 << places) - 1, packed >> places
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
+    count = np.diff(start, append=len(pair))
+    stays = count >= LEAST
     kind = np.empty(len(at), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
-    return sorted_[start], kind, np.diff(start, append=len(at))
+    kind[order] = np.repeat(np.where(stays, np.cumsum(stays) - 1, -1), count)
+    frequent = kind >= 0
+    return at[frequent], kind[frequent], pair[start[stays]]
 
 
 def _apart(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -74,19 +87,18 @@ def compress(ids: list[np.ndarray]) -> bytes:
     present = np.zeros(int(seq.max()) + 1 if len(seq) else 0, bool)
     present[seq] = True
     alphabet = np.flatnonzero(present)
-    seq = (np.cumsum(present) - 1)[seq]  # terminals are places in the alphabet, so symbols stay short
+    seq = (np.cumsum(present) - 1).astype(np.int32)[seq]  # terminals are places in the alphabet, so symbols stay short
     first = len(alphabet)
     rules, lengths, count = [], [], first
     weight = np.ones(first, np.int64)  # expansion lengths by symbol
     fresh = ~last  # positions whose pair may be frequent; one that has been rare stays rare
     while True:
-        at = np.flatnonzero(fresh)
-        if len(at) < LEAST:
+        begun = np.flatnonzero(fresh)
+        if len(begun) < LEAST:
             break
-        pairs, kind, often = _counted(seq, at)
-        frequent = often[kind] >= LEAST
-        fresh[at[~frequent]] = False
-        at, kind = at[frequent], kind[frequent]
+        at, kind, pairs = _frequent(seq, begun)
+        fresh[begun] = False
+        fresh[at] = True
         if not len(at):
             break
         # A pair's own overlaps go first, and count for nothing; then frequent pairs go before rare ones.
@@ -98,7 +110,8 @@ def compress(ids: list[np.ndarray]) -> bytes:
         if not len(at):
             continue
         rank = np.empty(len(pairs), np.int64)
-        rank[np.lexsort((pairs * np.uint64(0x9E3779B97F4A7C15), often))] = np.arange(len(pairs))
+        mixed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rank[np.lexsort((mixed, often))] = np.arange(len(pairs))
         take = _winners(at, rank[kind])
         # The first of all pairs wins at all its places, so every round makes a rule.
         worth = np.bincount(kind[take], minlength=len(pairs)) >= LEAST

@@ -12,7 +12,7 @@ No slot is paired out. First each member of a slot meets the slot's least member
 slots whose members are not all connected yet are dealt into parts, and a part proposes, among the
 survivors between unconnected members, no more pairs than would connect it. When a round connects
 hardly any more, the members outside of a slot's largest group meet all members of their slot, a block of
-each at a time, and all that survives is verified.
+each at a time; what survives is verified there, and no more links come out than connect groups.
 
 A pair at the least similarity shares no slot once in 300,000 times (0.8, BANDS, ROWS), or less above it; a
 batch gives it up with a probability of at most `miss` over all batches.
@@ -37,13 +37,16 @@ from pyspark.sql import functions as F
 from tablewright.llm.components import connected
 from tablewright.llm.stages import settle
 from tablewright.llm.text import whole_row
+from tablewright.operators.joins import apart
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 20  # min-hashes that are compared at once
 PART = 256  # members of a slot that propose pairs among themselves
 GAIN = 50  # rounds go on while they link more than one in so many of the open members
-STREAM = 1 << 14  # members of a slot that a part meets in one task
+QUERIES = 1 << 10  # members of a slot that all others are compared with in one task
+HELD = 1 << 20  # their shingles, but for one larger set
+STREAM = 1 << 14  # members that pass by them in one task
 SEED = 42
 _RNG = np.random.default_rng(11)
 _FACTOR = _RNG.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -236,43 +239,119 @@ def survivors_at(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, needed: l
     return open_
 
 
-def _crossings(least: float, needed: list[int]):
-    """For a partition sorted by slot, part and block, the block's queries in front: all surviving pairs."""
+class _Queries:
+    """The members of a slot that others are compared with, in one task."""
+
+    def __init__(self, key: tuple, band: int):
+        self.key, self.band = key, band
+        self.c, self.root, self.n = (np.zeros(0, np.int64) for _ in range(3))
+        self.signatures = np.zeros((0, HASHES), np.uint32)
+        self.sets: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}  # groups that verified links have joined here
+
+    def add(self, c, root, n, signatures, sets) -> None:
+        self.c, self.root = np.append(self.c, c), np.append(self.root, root)
+        self.n, self.sets = np.append(self.n, n), self.sets + sets
+        self.signatures = np.concatenate((self.signatures, signatures))
+
+    def group(self, root: int) -> int:
+        while root in self.parent:
+            root = self.parent[root]
+        return root
+
+    def surviving(self, root, n, signatures, least: float, needed: list[int]):
+        """(query, member) indexes that may be links, for which this slot is the first that they share."""
+        i, j = (x.reshape(-1) for x in np.indices((len(self.c), len(n))))
+        small, big = np.minimum(self.n[i], n[j]), np.maximum(self.n[i], n[j])
+        fits = (self.root[i] != root[j]) & (small >= least * big - 1e-9)
+        i, j = i[fits], j[fits]
+        both = np.concatenate((self.signatures, signatures))
+        stay = survivors_at(both, i, j + len(self.c), needed)
+        i, j = i[stay], j[stay]
+        earlier = np.zeros(len(i), bool)
+        for k in range(self.band):
+            columns = slice(k * ROWS, (k + 1) * ROWS)
+            earlier |= (self.signatures[i, columns] == signatures[j, columns]).all(axis=1)
+        return i[~earlier], j[~earlier]
+
+    def links(self, at: np.ndarray, c: int, root: int, body: bytes, width: int, per_mille: int):
+        """Verified links of a member with the queries `at`, one per group that is not linked yet."""
+        at = np.array([i for i in at.tolist() if self.group(int(self.root[i])) != self.group(root)], np.int64)
+        if not len(at):
+            return
+        own = shingle_set(body, width)
+        sets = [self.sets[i] for i in at]
+        sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        common = np.add.reduceat(own[place] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
+        for i in at[1000 * common >= per_mille * (sizes + len(own) - common)].tolist():
+            x, y = self.group(int(self.root[i])), self.group(root)
+            if x != y:
+                self.parent[x] = y
+                yield min(c, int(self.c[i])), max(c, int(self.c[i]))
+
+
+def _crossings(least: float, needed: list[int], width: int | None = None):
+    """For a partition sorted by slot, part and block, the block's queries in front: which rows have a partner
+    that survives, or, with their bodies, the verified links."""
+    per_mille = round(least * 1000)
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, c, root, n, signatures = None, [], [], [], []
+        queries: _Queries | None = None
+        hits: set[int] = set()
+
+        def asked() -> pa.RecordBatch:
+            """The queries of the tile that is done which had a partner."""
+            return named(queries.key, True, queries.c[sorted(hits)])
+
+        def named(key: tuple, query: bool, c: np.ndarray) -> pa.RecordBatch:
+            n = len(c)
+            fixed = [pa.array(np.full(n, v), t) for v, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [*fixed, pa.array(np.full(n, query)), pa.array(c, pa.int64())], names=["slot", "part", "block", "query", "c"]
+            )
+
         for batch in batches:
             slot, part, block, query = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            cuts = np.flatnonzero((slot[1:] != slot[:-1]) | (part[1:] != part[:-1]) | (block[1:] != block[:-1])
-                                  | (query[1:] != query[:-1])) + 1
-            cuts = [0, *cuts.tolist(), batch.num_rows]
+            new = (slot[1:] != slot[:-1]) | (part[1:] != part[:-1]) | (block[1:] != block[:-1])
+            cuts = [0, *(np.flatnonzero(new | (query[1:] != query[:-1])) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                here = batch.slice(a, b - a)
-                new_c, new_root, new_n = (here.column(k).to_numpy() for k in (4, 5, 6))
-                new_s = _signatures(here.column(7))
-                if key != (slot[a], part[a], block[a]):
-                    key, c, root, n, signatures = (slot[a], part[a], block[a]), [], [], [], []
+                here, key = batch.slice(a, b - a), (slot[a], part[a], block[a])
+                if queries is None or queries.key != key:
+                    if hits:
+                        yield asked()
+                    queries, hits = _Queries(key, here.column(4)[0].as_py()), set()
+                c, root, n = (here.column(k).to_numpy() for k in (5, 6, 7))
+                signatures = _signatures(here.column(8))
+                bodies = here.column(9) if width else None
                 if query[a]:
-                    c, root, n = np.append(c, new_c), np.append(root, new_root), np.append(n, new_n)
-                    signatures = np.concatenate((signatures, new_s)) if len(signatures) else new_s
-                    c, root = c.astype(np.int64), root.astype(np.int64)
+                    sets = [shingle_set(t.as_py(), width) for t in bodies] if width else []
+                    queries.add(c, root, n, signatures, sets)
                     continue
-                if not len(c):
-                    continue
-                both = np.concatenate((signatures, new_s))
-                for at in range(0, len(new_c), 1024):
-                    some = slice(at, at + 1024)
-                    i, j = (x.reshape(-1) for x in np.indices((len(c), len(new_c[some]))))
-                    small, big = np.minimum(n[i], new_n[some][j]), np.maximum(n[i], new_n[some][j])
-                    fits = (root[i] != new_root[some][j]) & (small >= least * big - 1e-9)
-                    i, j = i[fits], j[fits]
-                    stay = survivors_at(both, i, j + len(c) + at, needed)
-                    x, y = c[i[stay]], new_c[some][j[stay]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
-                    )
+                for at in range(0, len(c) if len(queries.c) else 0, 512):
+                    some = slice(at, at + 512)
+                    i, j = queries.surviving(root[some], n[some], signatures[some], least, needed)
+                    if not len(i):
+                        continue
+                    if not width:
+                        hits.update(np.unique(i).tolist())
+                        yield named(key, False, c[some][np.unique(j)])
+                        continue
+                    order = np.argsort(j, kind="stable")
+                    i, j = i[order], j[order]
+                    links = []
+                    starts = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])))
+                    for first, end in zip(starts, np.append(starts[1:], len(j)), strict=True):
+                        m = at + int(j[first])
+                        body = bodies[m].as_py()
+                        links += queries.links(i[first:end], int(c[m]), int(root[m]), body, width, per_mille)
+                    ab = np.array(links, np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+        if hits:
+            yield asked()
 
     return crossed
 
@@ -285,23 +364,24 @@ def _slots() -> Column:
 
 
 def _shared_slots(classes: DataFrame) -> DataFrame:
-    """(slot, c, size, hub) of all slots with several members; of slots with the same members one is left."""
-    members = classes.select("c", F.explode(_slots()).alias("slot"))
+    """(slot, c, band, size, hub) of all slots with several members. Of slots with the same members the one
+    of the first band is left, so every candidate pair keeps the first slot that it shares."""
+    members = classes.select("c", F.posexplode(_slots()).alias("band", "slot"))
     mark = [F.bit_xor(F.xxhash64(F.lit(k), "c")).alias(f"m{k}") for k in range(2)]
-    crowds = members.groupBy("slot").agg(
+    crowds = members.groupBy("slot", "band").agg(
         F.count(F.lit(1)).alias("size"), F.min("c").alias("hub"), F.max("c").alias("last"), *mark
     )
-    lists = (
-        crowds.where("size > 1").groupBy("size", "hub", "last", "m0", "m1").agg(F.min("slot").alias("slot"))
-    )
-    return settle(members.join(lists.select("slot", "size", "hub"), "slot"), "slots")
+    lists = crowds.where("size > 1").groupBy("size", "hub", "last", "m0", "m1").agg(F.min("band").alias("band"))
+    kept = crowds.join(lists, ["size", "hub", "last", "m0", "m1", "band"]).select("slot", "band", "size", "hub")
+    return settle(members.join(apart(kept, F.col("slot")), ["slot", "band"]), "slots")
 
 
 def _open_members(slots: DataFrame, roots: DataFrame) -> DataFrame:
-    """(slot, c, size, hub, root, groups) of the slots whose members are in several groups."""
+    """(slot, band, c, size, root) of the slots whose members are in several groups."""
     placed = slots.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     ends = placed.groupBy("slot").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    return placed.join(ends.where("least <> most").select("slot"), "slot")
+    open_ = ends.where("least <> most").select("slot")
+    return placed.join(apart(open_, F.col("slot")), "slot")
 
 
 def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float, miss: float) -> DataFrame:
@@ -315,7 +395,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float,
 
     hubs = slots.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     links = confirm(_likely(hubs, classes, least, needed))
-    large = slots.where("size > 2").select("slot", "c", "size", "hub")  # a slot of two has met its hub
+    large = slots.where("size > 2").drop("hub")  # a slot of two has met its hub
     sides = classes.select("c", "n", "signature")
     tried = hubs
     turn, gained = 0, not large.isEmpty()
@@ -334,40 +414,62 @@ def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float,
         more = confirm(pairs)
         gained = more.count() * GAIN > open_.count()
         links, tried = links.unionByName(more), tried.unionByName(pairs)
-    open_ = _open_members(large, connected(links)) if turn else None
-    if open_ is None or open_.isEmpty():
-        return links
-    return links.unionByName(confirm(_remaining(open_, sides, least, needed).join(tried, ["a", "b"], "left_anti")))
+    if turn:
+        open_ = settle(_open_members(large, connected(links)), "open")
+        links = links.unionByName(_remaining(open_, rows, sides, width, least, needed))
+    return links
+
 
+def _remaining(open_, rows, sides, width: int, least: float, needed: list[int]) -> DataFrame:
+    """Verified links between all members of a slot that are not in one group.
 
-def _remaining(open_: DataFrame, sides: DataFrame, least: float, needed: list[int]) -> DataFrame:
-    """All surviving pairs between unconnected members of a slot, each once."""
-    open_ = settle(open_.join(sides, "c"), "open")
-    sizes = open_.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("held"))
-    # The largest group of a slot by size, then root: its members need not meet each other.
+    The members outside of a slot's largest group are its queries. They are dealt into parts and copied
+    to each block of members, and the members to each part; a task holds the queries' sets, at most `PART`
+    of them or `HELD` shingles, and the members pass by. Texts are only sent where signatures survive.
+    """
+    held = open_.join(sides, "c")
+    sizes = held.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     main = sizes.groupBy("slot").agg(
-        F.max(F.struct("held", "root"))["root"].alias("main"), F.sum("held").alias("all"), F.max("held").alias("most")
+        F.max_by("root", "members").alias("main"),
+        F.sum("members").alias("all"),
+        F.max("members").alias("most"),
+        F.sum("shingles").alias("shingles"),
     )
-    placed = open_.join(main, "slot").withColumns({
-        "query": F.col("root") != F.col("main"),
-        "parts": F.ceil((F.col("all") - F.col("most")) / PART).cast("int"),
-        "blocks": F.ceil(F.col("all") / STREAM).cast("int"),
-    })
-    columns = ["slot", "part", "block", "query", "c", "root", "n", "signature"]
+    columns = ["slot", "part", "block", "query", "band", "c", "root", "n", "signature"]
+    placed = settle(
+        held.join(apart(main, F.col("slot")), "slot").select(
+            "slot", "band", "c", "root", "n", "signature",
+            (F.col("root") != F.col("main")).alias("query"),
+            F.ceil(F.greatest((F.col("all") - F.col("most")) / QUERIES, F.col("shingles") / HELD)).cast("int").alias("parts"),
+            F.ceil(F.col("all") / STREAM).cast("int").alias("blocks"),
+        ),
+        "placed",
+    )
     mix = F.xxhash64("c", F.lit("remaining"))
-    queries = placed.where("query").withColumn("part", F.pmod(mix, F.col("parts")).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    queries = (
+        placed.where("query")
+        .withColumn("part", F.pmod(mix, F.col("parts")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    others = (
+        placed.withColumn("query", F.lit(False))
+        .withColumn("block", F.pmod(mix, F.col("blocks")).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    others = placed.withColumn("query", F.lit(False)).withColumn(
-        "block", F.pmod(mix, F.col("blocks")).cast("int")
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = queries.select(columns).unionByName(others.select(columns))
-    return (
-        tiles.repartition("slot", "part", "block")
-        .sortWithinPartitions("slot", "part", "block", F.desc("query"), "c")
-        .mapInArrow(_crossings(least, needed), "a long, b long")
-        .distinct()
+
+    def dealt(tiles: DataFrame) -> DataFrame:
+        place = ["slot", "part", "block"]
+        return tiles.repartition(*place).sortWithinPartitions(*place, F.desc("query"), "c")
+
+    asked = dealt(tiles).mapInArrow(
+        _crossings(least, needed), "slot long, part int, block int, query boolean, c long"
     )
+    asked = settle(asked, "asked")
+    bodies = rows.select(F.col("row").alias("c"), "body")
+    whole = asked.join(placed.select("slot", "band", "c", "root", "n", "signature"), ["slot", "c"]).join(bodies, "c")
+    links = dealt(whole.select(*columns, "body")).mapInArrow(_crossings(least, needed, width), "a long, b long")
+    return settle(links.distinct(), "links")
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, least: float, miss: float, whole: bool):
