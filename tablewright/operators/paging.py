@@ -1,26 +1,29 @@
 """Pages of ordered rows.
 
 A page is always in order. If it ends within the first `ONE_TASK` rows, each task keeps its best rows and
-one task merges them. A later page is found by counting: the first sort key is cut at quantiles, rows are
-counted per interval, the interval that holds the page's first or last row is cut again, by the next bytes
-or the next key where the first one no longer tells rows apart. What remains are conditions on
-the sort keys: rows between the two ends, sorted in parallel, and at each end the rows of one short
-interval, of which the page takes a part. Nothing is written, and only counts and quantiles, at most
-`CUTS` numbers a step, come to the driver.
+one task merges them. A later page is found by one range shuffle of the sort keys alone: the sorted keys
+are written with their partition and position, the partitions' sizes tell where the page's first and last row
+lie, and the keys found there bound the page. The rows between the two bounds are then selected by
+comparing the real keys and sorted in parallel. Rows that tie with a bound and belong to the page in part
+are chosen among their equals, in one task, never more of them than the page holds.
+
+Keys that many rows share are spread over partitions by a random last key. To the driver come one size per
+partition, and the two bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.operators.ids import POSITION_MASK
+from tablewright.session import settle
+
 ONE_TASK = 10_000
-CUTS = 64
-BYTES = 6  # of a text that one number holds without rounding
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,7 @@ class Sort:
     column: str
     descending: bool = False
     nulls_first: bool = True
+    floating: bool = False  # the key may be NaN
 
     def apply(self) -> Column:
         c = F.col(f"`{self.column}`")
@@ -37,109 +41,139 @@ class Sort:
             return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
         return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
 
+    def same(self, value: Column) -> Column:
+        c = F.col(f"`{self.column}`")
+        if self.floating:  # statistics leave NaN out, and a plain comparison would be decided by them
+            return F.coalesce(F.isnan(c) & F.isnan(value), F.lit(False)) | c.eqNullSafe(value)
+        return c.eqNullSafe(value)
+
+    def before(self, value: Column) -> Column:
+        """Whether the key comes strictly before a value."""
+        c = F.col(f"`{self.column}`")
+        smaller = F.coalesce(c > value if self.descending else c < value, F.lit(False))
+        if self.nulls_first:
+            return value.isNotNull() & (c.isNull() | smaller)
+        return c.isNotNull() & (value.isNull() | smaller)
+
+    def after(self, value: Column) -> Column:
+        return ~self.before(value) & ~self.same(value)
+
 
 def page(df: DataFrame, sorts: list[Sort], offset: int, count: int) -> DataFrame:
     """`count` rows from `offset` on, in order; without sort keys any such rows, as they come."""
     order = [s.apply() for s in sorts]
-    if not sorts or offset + count <= ONE_TASK:
+    if not sorts or offset + count <= ONE_TASK or not count or not _comparable(df, sorts):
         ordered = df.orderBy(*order) if order else df
         return (ordered.offset(offset) if offset else ordered).limit(count)
-    first, last = _place(df, sorts, offset), _place(df, sorts, offset + count)
-    if first.rank == last.rank:  # both ends in one interval
-        inside = df.where(first.inside).orderBy(*order)
-        return inside.offset(offset - first.rank).limit(count)
-    between = df.where(~first.before & ~first.inside & last.before)
-    if offset > first.rank:
-        head = df.where(first.inside).orderBy(*order).offset(offset - first.rank)
-    else:
-        head = df.where(first.inside)
-    rows = head.union(between)
-    if offset + count > last.rank:
-        rows = rows.union(
-            df.where(last.inside).orderBy(*order).limit(offset + count - last.rank)
-        )
-    return rows.orderBy(*order)
-
-
-@dataclass(frozen=True)
-class _Place:
-    """Where a position lies: conditions for the rows surely before it and for the interval that
-    holds it, and the number of rows before the interval."""
-
-    before: Column
-    inside: Column
-    rank: int
-
-
-def _place(df: DataFrame, sorts: list[Sort], position: int) -> _Place:
-    types = {f.name: f.dataType for f in df.schema}
-    before, inside, rank = F.lit(False), F.lit(True), 0
-    for sort in sorts:
-        longest = None
-        for number, end in _numbers(sort, types[sort.column]):
-            if end and longest is None:
-                size = F.max(F.octet_length(F.col(f"`{sort.column}`")))
-                longest = df.where(inside).agg(size).first()[0] or 0
-            if end and end - BYTES >= max(longest, 1):
-                break  # no text goes on here
-            held = None
-            while True:
-                rows = df.where(inside).select(number.alias("x"))
-                low, high, n, cuts = rows.agg(
-                    F.min("x"),
-                    F.max("x"),
-                    F.count(F.lit(1)),
-                    F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 10_000),
-                ).first()
-                if n <= ONE_TASK or (held and n == held):
-                    return _Place(before, inside, rank)
-                if low == high:
-                    break  # the next bytes or the next key tell these rows apart
-                held = n
-                cuts = sorted({*cuts, low} - {high})  # the highest interval is never empty
-                counts = dict(
-                    rows.select(_interval(F.col("x"), cuts).alias("i")).groupBy("i").count().collect()
-                )
-                for i in range(len(cuts) + 1):
-                    size = counts.get(i, 0)
-                    if rank + size > position or i == len(cuts):
-                        break
-                    rank += size
-                above = number > cuts[i - 1] if i else F.lit(True)
-                before = before | (inside & ~above)
-                inside = inside & above
-                if i < len(cuts):
-                    inside = inside & (number <= cuts[i])
-    return _Place(before, inside, rank)
-
-
-def _interval(x: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below `x`."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x))
-
-
-def _numbers(sort: Sort, kind: T.DataType) -> Iterator[tuple[Column, int]]:
-    """Numbers that rise, if not always strictly, in the order of the key, and 0; of a text one for
-    each slice, and where the slice ends."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    sorts = [replace(s, floating=isinstance(kinds[s.column], T.FloatType | T.DoubleType)) for s in sorts]
+    ranks = _ranked(df, sorts)
+    sizes = sorted(ranks.groupBy("_part").count().collect())
+    total = sum(n for _, n in sizes)
+    last = min(offset + count, total) - 1
+    if offset > last:
+        return df.limit(0)
+    first_at, last_at = _place(sizes, offset), _place(sizes, last)
+    (low, high), plain = _keys_at(ranks, sorts, df.schema, first_at, last_at)
+    at = F.struct("_part", "_pos")
+    ties = [(_same(sorts, low), at >= _pair(first_at)), (_same(sorts, high), at <= _pair(last_at))]
+    found = [F.count_if(c) for same, inside in ties for c in (same, same & inside)]
+    all_low, own_low, all_high, own_high, both = ranks.agg(*found, F.count_if(ties[0][0] & ties[1][0])).first()
+    ends = []
+    if all_low > own_low or all_high > own_high:  # a tie reaches over an end of the page
+        if both:
+            return df.where(_same(sorts, low)).limit(last - offset + 1)
+        ends = [df.where(_same(sorts, low)).limit(own_low), df.where(_same(sorts, high)).limit(own_high)]
+    beyond = [_before(sorts, low), _after(sorts, high)]
+    if ends:
+        beyond += [_same(sorts, low), _same(sorts, high)]
+    inside = df.where(_range(sorts[0], low[0], high[0])) if plain else df
+    inside = inside.where(~functools.reduce(Column.__or__, beyond))
+    return functools.reduce(DataFrame.union, [inside, *ends]).orderBy(*order)
+
+
+def _comparable(df: DataFrame, sorts: list[Sort]) -> bool:
+    """Whether all keys have values that a condition can name."""
+    nested = T.ArrayType | T.StructType | T.MapType | T.VariantType
+    return not any(isinstance(df.schema[s.column].dataType, nested) for s in sorts)
+
+
+def _ranked(df: DataFrame, sorts: list[Sort]) -> DataFrame:
+    """The keys of all rows, sorted, with their partition and their position in it, written."""
+    order = [*[s.apply() for s in sorts], F.col("_spread")]
+    keys = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(s.column for s in sorts)])
+    return settle(
+        keys.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(
+            *keys.columns,
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(POSITION_MASK)).alias("_pos"),
+        ),
+        "ranks",
+    )
+
+
+def _place(sizes: list[tuple[int, int]], rank: int) -> tuple[int, int]:
+    """Partition and position of the row with this rank."""
+    for part, n in sizes:
+        if rank < n:
+            break
+        rank -= n
+    return part, rank
+
+
+def _pair(place: tuple[int, int]) -> Column:
+    return F.struct(F.lit(place[0]).alias("_part"), F.lit(place[1]).cast("long").alias("_pos"))
+
+
+def _keys_at(ranks, sorts, schema, *places: tuple[int, int]) -> tuple[list[list[Column]], bool]:
+    """The keys at some places, as literals, and whether all their first keys are neither NULL nor NaN, which
+    the statistics that scans go by leave out. Times travel as numbers or text, free of time zones."""
+    kinds = [schema[s.column].dataType for s in sorts]
+    sent = []
+    for s, kind in zip(sorts, kinds, strict=True):
+        c = F.col(f"`{s.column}`")
+        if isinstance(kind, T.TimestampType):
+            c = F.unix_micros(c)
+        elif not isinstance(kind, T.StringType | T.BinaryType):
+            c = c.cast("string")
+        sent.append(c)
+    there = [(F.col("_part") == part) & (F.col("_pos") == pos) for part, pos in places]
+    rows = ranks.where(functools.reduce(Column.__or__, there)).select("_part", "_pos", *sent).collect()
+    found = {(r[0], r[1]): r[2:] for r in rows}
+
+    def literal(value, kind: T.DataType) -> Column:
+        if isinstance(kind, T.TimestampType) and value is not None:
+            return F.timestamp_micros(F.lit(value))
+        return F.lit(value).cast(kind)
+
+    literals = [[literal(v, k) for v, k in zip(found[p], kinds, strict=True)] for p in places]
+    return literals, not {None, "NaN"} & {found[p][0] for p in places}
+
+
+def _same(sorts: list[Sort], bound: list[Column]) -> Column:
+    return functools.reduce(Column.__and__, [s.same(v) for s, v in zip(sorts, bound, strict=True)])
+
+
+def _ordered(sorts: list[Sort], bound: list[Column], test) -> Column:
+    """The first key that differs decides."""
+    decided, equal = F.lit(False), F.lit(True)
+    for s, v in zip(sorts, bound, strict=True):
+        decided, equal = decided | (equal & test(s, v)), equal & s.same(v)
+    return decided
+
+
+def _before(sorts: list[Sort], bound: list[Column]) -> Column:
+    return _ordered(sorts, bound, Sort.before)
+
+
+def _after(sorts: list[Sort], bound: list[Column]) -> Column:
+    return _ordered(sorts, bound, Sort.after)
+
+
+def _range(sort: Sort, low: Column, high: Column) -> Column:
+    """What the bounds say of the first key alone, in a form that scans can take."""
     c = F.col(f"`{sort.column}`")
-    if isinstance(kind, T.StringType | T.BinaryType):
-        for at in range(0, 256, BYTES):
-            part = F.rpad(F.hex(F.substring(c.cast("binary"), at + 1, BYTES)), 2 * BYTES, "0")
-            yield _placed(sort, c, F.conv(part, 16, 10).cast("double")), at + BYTES
-    elif isinstance(kind, T.DateType):
-        yield _placed(sort, c, F.unix_date(c).cast("double")), 0
-    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        yield _placed(sort, c, F.unix_micros(c.cast("timestamp")).cast("double")), 0
-    elif isinstance(kind, T.BooleanType):
-        yield _placed(sort, c, c.cast("int").cast("double")), 0
-    elif isinstance(kind, T.NumericType):
-        yield _placed(sort, c, c.cast("double")), 0
-
-
-def _placed(sort: Sort, c: Column, x: Column) -> Column:
-    """Nulls at their end, NaN above all numbers, and the order turned around if it descends."""
-    beyond = F.lit(float("-inf") if sort.nulls_first else float("inf"))
-    x = F.when(F.isnan(x), F.lit(1.7e308)).otherwise(x)
-    return F.when(c.isNull(), beyond).otherwise(-x if sort.descending else x)
+    return c.between(high, low) if sort.descending else c.between(low, high)

@@ -1,6 +1,8 @@
 """Sorting and pages. Sort keys end with the primary key, so a page is the same every time."""
 
-from tablewright.functions import eq, func, gt, multiply, sum_
+from pyspark.sql import functions as F
+
+from tablewright.functions import add, eq, func, gt, multiply, sum_
 from tablewright.plans.registry import query
 
 
@@ -126,6 +128,36 @@ def page_deep_text(ws):
     )
 
 
+# Keys that differ only where a double no longer tells them apart.
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority FROM orders
+    ORDER BY CAST(4611686018427387904 AS BIGINT) + o_orderkey DESC LIMIT 9000 OFFSET 4000
+    """
+)
+def page_deep_long(ws):
+    return (
+        ws.query("orders")
+        .columns("o_orderkey", "o_orderpriority")
+        .order(add("o_orderkey", 4611686018427387904), descending=True)
+        .limit(4_000, 9_000)
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey, o_totalprice FROM orders
+    ORDER BY CAST(CAST(o_custkey AS DECIMAL(20, 0)) * 1000000000000 AS DECIMAL(38, 0)) + o_orderkey
+    LIMIT 9000 OFFSET 4000
+    """
+)
+def page_deep_decimal(ws):
+    wide = F.col("o_custkey").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("o_orderkey")
+    return (
+        ws.query("orders").columns("o_orderkey", "o_totalprice").order(wide).limit(4_000, 9_000)
+    )
+
+
 # The next page after a known last row, without counting the rows before it.
 @query(
     """

@@ -28,7 +28,7 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-ORDERED = "order_multi order_expr top_k top_k_grouped page page_deep page_deep_text page_after".split()
+ORDERED = "order_multi order_expr top_k top_k_grouped page page_deep page_deep_text page_deep_long page_deep_decimal page_after".split()
 
 
 @pytest.mark.parametrize("name", ORDERED)
