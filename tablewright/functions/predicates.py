@@ -50,8 +50,8 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 class Condition:
-    """`pair` names the two properties of an equality, `sides` are the two fields of one; `parts` are the conditions that AND ties
-    together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
+    """`pair` names the two properties of an equality, `sides` are the two fields of one, `order` the fields
+    and the symbol of a `<`, `<=`, `>` or `>=`; `parts` are the conditions that AND ties together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
     own is a semi or anti join."""
 
     def __init__(
@@ -61,6 +61,7 @@ class Condition:
         self.fails = fails or (lambda scope: ~holds(scope))
         self.pair: tuple[str, str] | None = None
         self.sides: tuple[Expr, Expr] | None = None
+        self.order: tuple[Expr, str, Expr] | None = None
         self.is_subquery = is_subquery
         self.parts: tuple[Condition, ...] = parts or (self,)
 
@@ -120,6 +121,13 @@ def _compare(prop, value, apply: Callable[[Column, Column], Column]) -> Conditio
     return Condition(lambda scope: apply(left.build(scope), _operand(value, scope)))
 
 
+def _ordered(prop, symbol: str, value) -> Condition:
+    compared = _compare(prop, value, OPERATORS[symbol])
+    if isinstance(value, Expr):
+        compared.order = (as_field(prop), symbol, value)
+    return compared
+
+
 def eq(prop, value) -> Condition:
     return _compare(prop, value, lambda a, b: a == b)
 
@@ -129,19 +137,19 @@ def ne(prop, value) -> Condition:
 
 
 def lt(prop, value) -> Condition:
-    return _compare(prop, value, lambda a, b: a < b)
+    return _ordered(prop, "<", value)
 
 
 def gt(prop, value) -> Condition:
-    return _compare(prop, value, lambda a, b: a > b)
+    return _ordered(prop, ">", value)
 
 
 def lte(prop, value) -> Condition:
-    return _compare(prop, value, lambda a, b: a <= b)
+    return _ordered(prop, "<=", value)
 
 
 def gte(prop, value) -> Condition:
-    return _compare(prop, value, lambda a, b: a >= b)
+    return _ordered(prop, ">=", value)
 
 
 def eq_property(prop, other) -> Condition:
@@ -182,10 +190,7 @@ def is_not_null(prop) -> Condition:
 
 
 def between(prop, low, high) -> Condition:
-    f = as_field(prop)
-    return Condition(
-        lambda scope: f.build(scope).between(_operand(low, scope), _operand(high, scope))
-    )
+    return gte(prop, low) & lte(prop, high)
 
 
 def in_(prop, values: Iterable) -> Condition:

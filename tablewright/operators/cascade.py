@@ -143,6 +143,8 @@ class Delete:
         pairs = [p for p in parts if isinstance(p, tuple)]
         more = [as_condition(p) for p in parts if not isinstance(p, tuple)]
         more += self.conditions
+        if not pairs and not any(p.sides for c in more for p in c.parts):
+            return None  # tied by a range alone: the pairs are found first, and the rows by their keys
         if any(has_subquery(c, scope) for c in more):
             return None  # a semi or anti join of its own, which is no part of another's condition
         here, there = [[scope.split(p[i])[1] for p in pairs] for i in (0, 1)]

@@ -94,13 +94,18 @@ def completed(
     return left.join(whole, functools.reduce(Column.__and__, on))
 
 
-def written(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
+def written(
+    df: DataFrame, aliases: Mapping[str, Sequence[str]], number: str | None = None
+) -> DataFrame:
     """Joined rows, written once and read back. Each alias becomes a struct of its properties, under
-    which `alias.property` still names the same; only the fields in use are read."""
+    which `alias.property` still names the same; only the fields in use are read. `number` names a column
+    that tells all rows apart."""
     parts = [
         F.struct(*[F.col(f"{a}.`{p}`").alias(p) for p in props]).alias(a)
         for a, props in aliases.items()
     ]
+    if number:
+        parts.append(F.monotonically_increasing_id().alias(number))
     return settle(df.select(*parts), "joined")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.ids import POSITION_MASK
+from tablewright.operators.values import literal, sent
 from tablewright.session import settle
 
 ONE_TASK = 10_000
@@ -130,25 +131,12 @@ def _pair(place: tuple[int, int]) -> Column:
 
 def _keys_at(ranks, sorts, schema, *places: tuple[int, int]) -> tuple[list[list[Column]], bool]:
     """The keys at some places, as literals, and whether all their first keys are neither NULL nor NaN, which
-    the statistics that scans go by leave out. Times travel as numbers or text, free of time zones."""
+    the statistics that scans go by leave out."""
     kinds = [schema[s.column].dataType for s in sorts]
-    sent = []
-    for s, kind in zip(sorts, kinds, strict=True):
-        c = F.col(f"`{s.column}`")
-        if isinstance(kind, T.TimestampType):
-            c = F.unix_micros(c)
-        elif not isinstance(kind, T.StringType | T.BinaryType):
-            c = c.cast("string")
-        sent.append(c)
+    keys = [sent(F.col(f"`{s.column}`"), kind) for s, kind in zip(sorts, kinds, strict=True)]
     there = [(F.col("_part") == part) & (F.col("_pos") == pos) for part, pos in places]
-    rows = ranks.where(functools.reduce(Column.__or__, there)).select("_part", "_pos", *sent).collect()
+    rows = ranks.where(functools.reduce(Column.__or__, there)).select("_part", "_pos", *keys).collect()
     found = {(r[0], r[1]): r[2:] for r in rows}
-
-    def literal(value, kind: T.DataType) -> Column:
-        if isinstance(kind, T.TimestampType) and value is not None:
-            return F.timestamp_micros(F.lit(value))
-        return F.lit(value).cast(kind)
-
     literals = [[literal(v, k) for v, k in zip(found[p], kinds, strict=True)] for p in places]
     return literals, not {None, "NaN"} & {found[p][0] for p in places}
 

@@ -14,6 +14,7 @@ from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tablewright.functions import aggregates
 from tablewright.functions.fields import Expr, as_field, outer, to_col
@@ -21,8 +22,16 @@ from tablewright.functions.predicates import Condition, as_condition, eq_propert
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
 from tablewright.operators.filters import where
-from tablewright.operators.joins import apart, completed, split_outer_join, thin, written
+from tablewright.operators.joins import (
+    apart,
+    completed,
+    split_outer_join,
+    thin,
+    without_partner,
+    written,
+)
 from tablewright.operators.paging import Sort, page
+from tablewright.operators.ranges import range_join, reaches
 from tablewright.operators.subqueries import linked_value
 
 if TYPE_CHECKING:
@@ -46,6 +55,10 @@ class Order:
         return Sort(column, self.descending, first)
 
 
+# Each comparison with its sides exchanged.
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
 def _tied(scope: Scope, conditions) -> set[frozenset]:
     """Pairs of aliases that an equality among the conditions ties, each side naming one alias."""
     ties = set()
@@ -114,7 +127,9 @@ class Query:
     def join(self, source, alias: str, on, how: str = "inner", split: bool = True) -> Query:
         """Join a table, query or frame. `on` is a condition, or a list of key pairs
         `("left_prop", "alias.prop")` and conditions. An equality of two properties is a key pair
-        however it is spelt, and one at least is needed: a join without any compares all pairs.
+        however it is spelt. Without any, the conditions must compare a property of each side by
+        `<`, `<=`, `>` or `>=`, and rows meet in bins of these values, see `operators.ranges`; a join
+        without either compares all pairs and is refused.
 
         A left join to a side that can repeat its key becomes an inner join to that side, completed
         by a row of NULLs for each key it lacks, which Spark can split at a hot key on either side
@@ -127,7 +142,7 @@ class Query:
         pairs, rest = self._key_pairs(list(on) if isinstance(on, list | tuple) else [on], alias)
         ties = {frozenset((self._alias_of(a), alias)) for a, _ in pairs} | _tied(scope, rest)
         if not any(alias in tie for tie in ties):
-            raise ValueError(f"the join of {alias!r} needs an equality of two properties")
+            return self._range_join(frame.alias(alias), alias, scope, rest, how)
         if described.grouped and not self._left_once(scope, pairs):
             frame = apart(frame, *[F.col(f"`{scope.split(b)[1]}`") for _, b in pairs])
         right = frame.alias(alias)
@@ -184,6 +199,60 @@ class Query:
             ties=(*self.ties, *ties),
         )
 
+    def _range_join(self, right: DataFrame, alias: str, scope: Scope, conditions, how: str) -> Query:
+        """A join whose conditions compare the two sides without any equality. Rows that an outer join
+        keeps are numbered and written first, so that those without a partner are found by number."""
+        compared = [c for c in (p for c in conditions for p in as_condition(c).parts) if c.order]
+        ties, aliases = [], set()
+        for c in compared:
+            a, symbol, b = c.order
+            sides = []
+            for field in (a, b):
+                watched = scope.watched()
+                field.build(watched)
+                sides.append(watched.aliases)
+            if sides[0] == {alias} and sides[1] and alias not in sides[1]:
+                a, symbol, b, sides = b, _TURNED[symbol], a, sides[::-1]
+            if sides[1] == {alias} and sides[0] and alias not in sides[0]:
+                one, two = a.build(scope), b.build(scope)
+                kinds = [df.select(v.alias("v")).schema["v"].dataType for df, v in ((self.base, one), (right, two))]
+                kinds = ["number" if isinstance(k, NumericType) else k.simpleString() for k in kinds]
+                if kinds[0] == kinds[1]:
+                    ties.append((one, symbol, two, kinds[0]))
+                    aliases |= sides[0]
+        if not ties:
+            raise ValueError(f"the join of {alias!r} needs a comparison of two properties of one type")
+        condition = functools.reduce(Column.__and__, [as_condition(c).holds(scope) for c in conditions])
+        base, keeps = self.base, {"left": (True, False), "right": (False, True), "full": (True, True)}
+        left_kept, right_kept = keeps.get(how, (False, False))
+        if left_kept:
+            base = written(base, {a: s.props for a, s in self.scope.sources.items()}, f"_row_{alias}_l")
+        if right_kept:
+            right = written(right, {alias: scope.sources[alias].props}, f"_row_{alias}_r")
+        found = [
+            range_join(base, right, reach, condition if own is None else condition & own)
+            for reach, own in reaches(ties)
+        ]
+        inner = functools.reduce(DataFrame.unionAll, found)
+        joined = inner
+        if left_kept:
+            number = F.col(f"_row_{alias}_l")
+            met = inner.select(number.alias("_met")).distinct()
+            joined = joined.union(without_partner(base, met, number == F.col("_met"), right, front=False))
+        if right_kept:
+            number = F.col(f"_row_{alias}_r")
+            met = inner.select(number.alias("_met")).distinct()
+            joined = joined.union(without_partner(right, met, number == F.col("_met"), base, front=True))
+        if left_kept or right_kept:
+            joined = joined.drop(f"_row_{alias}_l", f"_row_{alias}_r")
+        return replace(
+            self,
+            base=joined,
+            scope=scope,
+            frames=(*self.frames, (alias, right)),
+            ties=(*self.ties, *[frozenset((a, alias)) for a in aliases]),
+        )
+
     def _alias_of(self, name: str) -> str:
         alias, prop = self.scope.split(name)
         return alias or self.scope.owner(prop) or self.scope.root

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tablewright.functions import (
     add,
     and_,
+    between,
     eq,
+    field,
     gt,
     gte,
     is_null,
@@ -610,6 +612,17 @@ def apply_two_plans(ws):
     return target.store.read("note")
 
 
+@query(
+    """
+    SELECT * FROM customer c WHERE NOT EXISTS (
+      SELECT 1 FROM supplier s WHERE c.c_acctbal BETWEEN s.s_acctbal AND s.s_acctbal + 20)
+    """
+)
+def delete_range_join(ws):
+    near = between("c.c_acctbal", field("s.s_acctbal"), add("s.s_acctbal", 20))
+    return ws.delete("customer", "c").inner_join("supplier", "s", near).plan().frame("customer")
+
+
 PARTED = replace(NOTE, name="parted", partition_by=("lang",))
 
 

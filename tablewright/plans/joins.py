@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import (
     add,
+    between,
     eq,
     eq_property,
+    field,
     func,
     gt,
     gt_property,
@@ -13,6 +15,7 @@ from tablewright.functions import (
     is_null,
     lt,
     lt_property,
+    lte_property,
     ne_property,
 )
 from tablewright.plans.registry import query
@@ -271,3 +274,59 @@ def join_left_chain(ws):
         .count("n.n_nationkey", "nations")
         .count("s.s_suppkey", "suppliers")
     )
+
+
+# Joins without any equality: a band around a value, a value between two columns, overlapping intervals.
+@query(
+    """
+    SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c
+      ON s.s_acctbal < c.c_acctbal AND c.c_acctbal <= s.s_acctbal + 5
+    """
+)
+def join_range(ws):
+    near = [
+        lt_property("s.s_acctbal", "c.c_acctbal"),
+        lte_property("c.c_acctbal", add("s.s_acctbal", 5)),
+    ]
+    return ws.query("supplier", "s").inner_join("customer", "c", near).columns("s.s_suppkey", "c.c_custkey")
+
+
+@query(
+    """
+    SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s
+      ON c.c_acctbal BETWEEN s.s_acctbal AND s.s_acctbal + s.s_nationkey
+    """
+)
+def join_between_columns(ws):
+    end = add(field("s.s_acctbal"), field("s.s_nationkey"))
+    inside = between("c.c_acctbal", field("s.s_acctbal"), end)
+    return ws.query("customer", "c").inner_join("supplier", "s", inside).columns("c.c_custkey", "s.s_suppkey")
+
+
+@query(
+    """
+    SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s
+      ON c.c_acctbal <= s.s_acctbal + s.s_nationkey AND s.s_acctbal <= c.c_acctbal + c.c_nationkey
+    """
+)
+def join_overlap(ws):
+    both = [
+        lte_property("c.c_acctbal", add(field("s.s_acctbal"), field("s.s_nationkey"))),
+        lte_property("s.s_acctbal", add(field("c.c_acctbal"), field("c.c_nationkey"))),
+    ]
+    return ws.query("customer", "c").inner_join("supplier", "s", both).columns("c.c_custkey", "s.s_suppkey")
+
+
+@query(
+    """
+    SELECT s.s_suppkey, c.c_custkey FROM supplier s LEFT JOIN customer c
+      ON c.c_acctbal BETWEEN s.s_acctbal AND s.s_acctbal + 2 AND c.c_mktsegment = 'BUILDING'
+    """
+)
+def join_range_left(ws):
+    near = between("c.c_acctbal", field("s.s_acctbal"), add("s.s_acctbal", 2))
+    return (
+        ws.query("supplier", "s")
+        .left_join("customer", "c", [near, eq("c.c_mktsegment", "BUILDING")])
+        .columns("s.s_suppkey", "c.c_custkey")
+    )
