@@ -141,7 +141,7 @@ def outer(name: str) -> Expr:
 
     def build(scope: Scope) -> Column:
         alias, _ = scope.split(name)
-        if alias is None or alias in scope.sources:
+        if alias is None or (alias in scope.sources and not scope.enclosing):
             raise ValueError(f"{name!r} does not name an alias of the enclosing query")
         return scope.resolve(name)
 

@@ -51,7 +51,7 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 class Condition:
     """`pair` names the two properties of an equality, `sides` are the two fields of one, `order` the fields
-    and the symbol of a `<`, `<=`, `>` or `>=`; `parts` are the conditions that AND ties together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
+    and the symbol of a `<`, `<=`, `>`, `>=` or `<>`; `parts` are the conditions that AND ties together; `is_subquery` marks a bare EXISTS or IN, or its negation, which as a filter of its
     own is a semi or anti join."""
 
     def __init__(
@@ -133,7 +133,7 @@ def eq(prop, value) -> Condition:
 
 
 def ne(prop, value) -> Condition:
-    return _compare(prop, value, lambda a, b: a != b)
+    return _ordered(prop, "<>", value)
 
 
 def lt(prop, value) -> Condition:

@@ -34,11 +34,13 @@ class Scope:
     """The aliases in reach of a query. The first one is the root and owns unqualified names.
 
     `flags`, if given, collects the subqueries of a condition as joins, see `operators.filters`.
+    `enclosing` marks the scope in which a subquery's mentions of the enclosing row are built.
     """
 
     root: str
     sources: dict[str, Source]
     flags: list | None = None
+    enclosing: bool = False
 
     def qualified(self, alias: str, prop: str) -> Column:
         return F.col(f"{alias}.`{prop}`")

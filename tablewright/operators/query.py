@@ -202,7 +202,8 @@ class Query:
     def _range_join(self, right: DataFrame, alias: str, scope: Scope, conditions, how: str) -> Query:
         """A join whose conditions compare the two sides without any equality. Rows that an outer join
         keeps are numbered and written first, so that those without a partner are found by number."""
-        compared = [c for c in (p for c in conditions for p in as_condition(c).parts) if c.order]
+        parts = [p for c in conditions for p in as_condition(c).parts]
+        compared = [c for c in parts if c.order and c.order[1] in _TURNED]
         ties, aliases = [], set()
         for c in compared:
             a, symbol, b = c.order

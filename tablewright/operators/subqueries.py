@@ -6,8 +6,11 @@
 * ANY and ALL need the smallest and largest value of the set and how many values are NULL: one
   row, computed once and compared with every row.
 * A subquery that names the enclosing row by equalities is grouped by its own side of them, and
-  these groups are joined by key: its own GROUP BY, HAVING and aggregates then hold per key. What
-  ties it by anything else, and by no equality, is refused: it would compare all pairs of rows.
+  these groups are joined by key: its own GROUP BY, HAVING, aggregates and page then hold per key. An
+  aggregate without a group is one value per key, also for a key without rows.
+* EXISTS tied by one `<`, `<=`, `>`, `>=` or `<>` holds if it holds for the smallest or largest value: one
+  row, or one per key. What ties it by more than that, and by no equality, is refused: it would
+  compare all pairs of rows.
 
 Each condition states when it is true and when it is false, see `functions.predicates`.
 """
@@ -17,11 +20,11 @@ from __future__ import annotations
 import itertools
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.fields import as_field
-from tablewright.functions.predicates import Condition
+from tablewright.functions.predicates import OPERATORS, Condition
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators.joins import apart, lookup, thin
 
@@ -37,6 +40,9 @@ def exists(query, on=None) -> Condition:
     """
     if on is not None:
         return Condition(lambda scope: _key_match(query, on, scope), is_subquery=True)
+    extremum = _extremum(query)
+    if extremum is not None:
+        return Condition(extremum)
     return Condition(lambda scope: _related_match(query, scope), is_subquery=True)
 
 
@@ -108,16 +114,63 @@ def _related_match(query, scope: Scope) -> Column:
     return _matching(thin(keys, *[F.col(c) for c in keys.columns]), values)
 
 
+def _extremum(query):
+    """EXISTS of plain rows that one comparison ties to the enclosing row, with or without equalities:
+    the test of the row against the subquery's smallest or largest value. None for any other."""
+    if query.groups or query.havings or query.page or _aggregates(query):
+        return None
+    pairs, rest = _links(query)
+    tying = [c for c in rest if _names_outer(query, [c], items=False)]
+    if len(tying) != 1 or not tying[0].order or _names_outer(query, []):
+        return None
+    a, symbol, b = tying[0].order
+    own = [_owners(query, side) for side in (a, b)]
+    if own == [False, True]:
+        a, b, symbol = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(symbol, symbol)
+    elif own != [True, False]:
+        return None
+    inner = replace(query, conditions=tuple(c for c in rest if c is not tying[0]))
+
+    def holds(scope: Scope) -> Column:
+        value, x = a.build(query.scope), b.build(replace(scope, enclosing=True))
+        packed = F.struct(F.min(value).alias("low"), F.max(value).alias("high"))
+        rows = inner.rows_frame()
+        if pairs:
+            n = next(_flag_numbers)
+            names = [f"_key{n}_{i}" for i in range(len(pairs))]
+            keys = [query.scope.resolve(o).alias(k) for (o, _), k in zip(pairs, names, strict=True)]
+            grouped = apart(rows.groupBy(*keys).agg(packed.alias(f"_value{n}")), *[F.col(k) for k in names])
+            scope.flags.append((grouped, names, [scope.resolve(name) for _, name in pairs]))
+            ends = F.col(f"_value{n}")
+        else:
+            ends = rows.agg(packed.alias("ends")).scalar()
+        if symbol == "<>":
+            hit = (ends["low"] != x) | (ends["high"] != x)
+        else:
+            hit = OPERATORS[symbol](ends["low" if symbol in ("<", "<=") else "high"], x)
+        return F.coalesce(hit, F.lit(False))
+
+    return holds
+
+
+def _owners(query, side) -> bool | None:
+    """Whether a field is made of the subquery's properties (True), of the enclosing row's (False)."""
+    watched = query.scope.watched()
+    side.build(watched)
+    own = {alias in query.scope.sources for alias in watched.aliases}
+    return own.pop() if len(own) == 1 else None
+
+
 def _aggregates(query) -> bool:
     return any(f.aggregate for f, _ in query.items)
 
 
-def _names_outer(query, conditions) -> bool:
+def _names_outer(query, conditions, items: bool = True) -> bool:
     """Whether anything in the conditions, or else in the subquery, names the enclosing row."""
     watched = query.scope.watched()
-    for condition in (*conditions, *query.havings):
+    for condition in (*conditions, *(query.havings if items else ())):
         condition.holds(watched)
-    for f, _ in query.items:
+    for f, _ in query.items if items else ():
         f.build(watched)
     return bool(watched.outer_names)
 
@@ -149,13 +202,42 @@ def _values_by_key(query) -> tuple[list[tuple[str, str]], DataFrame | None]:
         return [], None
     if more or not pairs:
         raise ValueError("a subquery for IN, ANY or ALL is tied to the enclosing row by equalities")
-    if query.page or (_aggregates(query) and not query.groups):
-        raise ValueError("a subquery for IN, ANY or ALL that names the enclosing row has no page, "
-                         "and no aggregate without a group")
     label = query.only_label()
-    frame = _by_key(query, pairs, rest, with_items=True)
     names = [f"_k{i}" for i in range(len(pairs))]
-    return pairs, frame.select(F.col(f"`{label}`").alias("_value"), *names)
+    value = F.col(f"`{label}`").alias("_value")
+    if not query.page:
+        return pairs, _by_key(query, pairs, rest, with_items=True).select(value, *names)
+    sorts = tuple((as_field(o.field), f"_o{i}") for i, o in enumerate(query.orders))
+    by_label = [o.field == label for o in query.orders]
+    shown = replace(query, items=(*query.items, *[s for s, own in zip(sorts, by_label, strict=True) if not own]))
+    frame = _by_key(shown, pairs, rest, with_items=True)
+    order = [
+        o.apply(F.col(f"`{label}`" if own else s[1]))
+        for o, s, own in zip(query.orders, sorts, by_label, strict=True)
+    ]
+    if query.is_distinct:
+        frame = frame.distinct()
+    # Each task keeps the first rows of a key before the rows of a key meet (WindowGroupLimit).
+    offset, count = query.page
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*(order or [F.col(f"`{label}`")])))
+    numbered = frame.withColumn("_nth", nth).where(F.col("_nth") <= offset + count)
+    return pairs, numbered.where(F.col("_nth") > offset).select(value, *names)
+
+
+def _one_value(query, scope: Scope) -> Column | None:
+    """The value of an aggregate without a group that names the enclosing row: a set of one value,
+    also where no row is counted. None for any other subquery, and for a page that shows no row."""
+    if not _aggregates(query) or query.groups or not _links(query)[0]:
+        return None
+    offset, count = query.page or (0, 1)
+    if offset or not count:
+        return None
+    if scope.flags is None:
+        raise ValueError("a subquery that names the enclosing row cannot stand here")
+    value = linked_value(replace(query, page=None, is_distinct=False, orders=()), scope)
+    if value is None:
+        raise ValueError("a subquery for IN, ANY or ALL is tied to the enclosing row by equalities")
+    return value
 
 
 def linked_value(query, scope: Scope) -> Column | None:
@@ -202,6 +284,9 @@ def in_query(prop, query) -> Condition:
     on = [(prop, query.only_label())]
 
     def holds(scope: Scope) -> Column:
+        one = _one_value(query, scope)
+        if one is not None:
+            return F.coalesce(as_field(prop).build(scope) == one, F.lit(False))
         pairs, frame = _values_by_key(query)
         if frame is None:
             return _key_match(query, on, scope)
@@ -239,6 +324,10 @@ def _summary(query, scope: Scope) -> Column:
             F.max(value).alias("high"),
         )
 
+    one = _one_value(query, scope)
+    if one is not None:
+        present = F.when(one.isNull(), 0).otherwise(1).cast("long").alias("present")
+        return F.struct(F.lit(1).cast("long").alias("n"), present, one.alias("low"), one.alias("high"))
     pairs, frame = _values_by_key(query)
     if frame is None:
         value = F.col(f"`{query.only_label()}`")

@@ -10,12 +10,16 @@ from tablewright.functions import (
     eq_property,
     gt,
     gte,
+    gte_property,
     lt,
+    lt_property,
     lte,
     multiply,
     ne,
+    ne_property,
     or_,
     rows,
+    subtract,
 )
 from tablewright.operators.subqueries import (
     exists,
@@ -363,3 +367,150 @@ def gt_any_correlated(ws):
 )
 def lt_all_correlated(ws):
     return ws.query("orders", "o").filter(lt_all("o.o_totalprice", _lines(ws))).columns("o.o_orderkey")
+
+
+# Tied to the enclosing row by a comparison alone: one smallest or largest value decides.
+@query(
+    """
+    SELECT s_suppkey FROM supplier s
+    WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND c.c_acctbal < s.s_acctbal - 9000)
+    """
+)
+def exists_inequality(ws):
+    poorer = (
+        ws.query("customer", "c")
+        .filter(eq("c.c_mktsegment", "BUILDING"))
+        .filter(lt_property("c.c_acctbal", subtract("s.s_acctbal", 9000)))
+    )
+    return ws.query("supplier", "s").filter(exists(poorer)).columns("s.s_suppkey")
+
+
+@query(
+    """
+    SELECT c_custkey FROM customer c
+    WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_acctbal >= c.c_acctbal)
+      AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_acctbal < c.c_acctbal - 10000)
+    """
+)
+def not_exists_inequality(ws):
+    richer = (
+        ws.query("supplier", "s")
+        .filter(eq_property("s.s_nationkey", "c.c_nationkey"))
+        .filter(gte_property("s.s_acctbal", "c.c_acctbal"))
+    )
+    far = ws.query("supplier", "s").filter(lt_property("s.s_acctbal", subtract("c.c_acctbal", 10_000)))
+    return (
+        ws.query("customer", "c")
+        .filter(not_exists(richer))
+        .filter(not_exists(far))
+        .columns("c.c_custkey")
+    )
+
+
+@query(
+    """
+    SELECT DISTINCT l_orderkey FROM lineitem l
+    WHERE EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_suppkey <> l.l_suppkey)
+    """
+)
+def exists_other(ws):
+    other = (
+        ws.query("lineitem", "m")
+        .filter(eq_property("m.l_orderkey", "l.l_orderkey"))
+        .filter(ne_property("m.l_suppkey", "l.l_suppkey"))
+    )
+    return ws.query("lineitem", "l").filter(exists(other)).column("l.l_orderkey").distinct()
+
+
+# The first rows of each key, and one aggregate per key.
+@query(
+    """
+    WITH r AS (SELECT o_custkey, o_orderpriority, row_number() OVER (
+        PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
+    SELECT o_orderkey FROM orders o WHERE o.o_orderpriority NOT IN (
+      SELECT r.o_orderpriority FROM r WHERE r.o_custkey = o.o_custkey AND r.n BETWEEN 2 AND 3)
+    """
+)
+def not_in_sub_correlated_limit(ws):
+    return ws.query("orders", "o").filter(not_in_query("o.o_orderpriority", _largest(ws, 1, 2))).columns("o.o_orderkey")
+
+
+@query(
+    """
+    WITH r AS (SELECT o_custkey, o_orderpriority, row_number() OVER (
+        PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
+    SELECT o_orderkey FROM orders o WHERE o.o_orderpriority IN (
+      SELECT r.o_orderpriority FROM r WHERE r.o_custkey = o.o_custkey AND r.n <= 3)
+    """
+)
+def in_sub_correlated_limit(ws):
+    return ws.query("orders", "o").filter(in_query("o.o_orderpriority", _largest(ws, 0, 3))).columns("o.o_orderkey")
+
+
+def _largest(ws, offset: int, count: int):
+    return (
+        ws.query("orders", "p")
+        .filter(eq_property("p.o_custkey", "o.o_custkey"))
+        .columns("p.o_orderpriority")
+        .desc("p.o_totalprice")
+        .asc("p.o_orderkey")
+        .limit(offset, count)
+    )
+
+
+@query(
+    """
+    WITH r AS (SELECT l_orderkey, l_extendedprice, row_number() OVER (
+        PARTITION BY l_orderkey ORDER BY l_extendedprice) AS n FROM lineitem)
+    SELECT o_orderkey FROM orders o WHERE EXISTS (
+      SELECT 1 FROM r WHERE r.l_orderkey = o.o_orderkey AND r.n BETWEEN 2 AND 3 AND o.o_totalprice > r.l_extendedprice)
+    """
+)
+def gt_any_correlated_limit(ws):
+    cheap = (
+        ws.query("lineitem", "l")
+        .filter(eq_property("l.l_orderkey", "o.o_orderkey"))
+        .columns("l.l_extendedprice")
+        .asc("l.l_extendedprice")
+        .limit(1, 2)
+    )
+    return ws.query("orders", "o").filter(gt_any("o.o_totalprice", cheap)).columns("o.o_orderkey")
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l
+    WHERE l.l_quantity IN (SELECT max(m.l_quantity) FROM lineitem m
+                           WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = 'R')
+    """
+)
+def in_sub_correlated_max(ws):
+    most = (
+        ws.query("lineitem", "m")
+        .filter(eq_property("m.l_orderkey", "l.l_orderkey"))
+        .filter(eq("m.l_returnflag", "R"))
+        .max("m.l_quantity", "v")
+    )
+    return (
+        ws.query("lineitem", "l")
+        .filter(in_query("l.l_quantity", most))
+        .columns("l.l_orderkey", "l.l_linenumber", "l.l_partkey")
+    )
+
+
+@query(
+    """
+    SELECT c_custkey FROM customer c
+    WHERE c.c_nationkey >= ALL (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey)
+      AND c.c_nationkey NOT IN (SELECT count(*) FROM orders o
+                                WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
+    """
+)
+def gte_all_correlated_count(ws):
+    finished = _orders_of(ws).filter(eq("o.o_orderstatus", "F")).rows("n")
+    return (
+        ws.query("customer", "c")
+        .filter(gte_all("c.c_nationkey", _orders_of(ws).rows("n")))
+        .filter(not_in_query("c.c_nationkey", finished))
+        .columns("c.c_custkey")
+    )

@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from conftest import rows
 
-from tablewright.functions import and_, eq, eq_property, gt, max_, or_, outer
+from tablewright import functions
+from tablewright.functions import add, and_, eq, eq_property, gt, max_, or_, outer
 from tablewright.functions import rows as count_rows
 from tablewright.operators import subqueries as sub
 from tablewright.schema import Column, TableSpec
@@ -85,11 +86,70 @@ def test_exists_of_any_query(case):
     check(case, sub.exists(alone.columns("w").limit(2, 1)), f"{n} > 2")
 
 
+SYMBOLS = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "ne": "<>"}
+
+
+@pytest.mark.parametrize("name", SYMBOLS)
+def test_exists_by_one_comparison(case, name):
+    ws, _ = case
+    compare, symbol = getattr(functions, f"{name}_property"), SYMBOLS[name]
+    alone = ws.query("i", "i").filter(compare("i.w", outer("o.v")))
+    check(case, sub.exists(alone), f"EXISTS (SELECT 1 FROM i WHERE i.w {symbol} o.v)")
+    turned = ws.query("i", "i").filter(compare("o.v", "i.w")).filter(eq("i.g", 1))
+    check(case, sub.exists(turned), f"EXISTS (SELECT 1 FROM i WHERE o.v {symbol} i.w AND i.g = 1)")
+    keyed = linked(ws).filter(compare("i.w", add("o.v", 1)))
+    check(case, sub.exists(keyed), f"EXISTS (SELECT 1 FROM i WHERE i.k = o.k AND i.w {symbol} o.v + 1)")
+
+
+def test_values_of_a_page_per_key(case):
+    ws, _ = case
+    for offset, count in ((0, 1), (1, 2), (0, 0), (2, 5)):
+        sql = f"""SELECT w FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w DESC NULLS LAST) AS n FROM i) t
+                  WHERE t.k = o.k AND n > {offset} AND n <= {offset + count}"""
+        page = linked(ws).columns("i.w").desc("i.w").limit(offset, count)
+        check(case, sub.in_query("o.v", page), f"o.v IN ({sql})")
+        check(case, sub.gt_any("o.v", page), f"o.v > ANY ({sql})")
+        check(case, sub.lte_all("o.v", page), f"o.v <= ALL ({sql})")
+    sql = """SELECT w FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w NULLS FIRST) AS n
+             FROM (SELECT DISTINCT k, w FROM i)) t WHERE t.k = o.k AND n = 2"""
+    second = linked(ws).distinct("i.w").asc("i.w").limit(1, 1)
+    check(case, sub.in_query("o.v", second), f"o.v IN ({sql})")
+    sql = """SELECT m FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m NULLS FIRST) AS n
+             FROM (SELECT k, g, max(w) AS m FROM i GROUP BY k, g)) t WHERE t.k = o.k AND n = 1"""
+    least = linked(ws).group("i.g").column(max_("i.w"), "m").asc("m").limit(1)
+    check(case, sub.in_query("o.v", least), f"o.v IN ({sql})")
+
+
+def test_an_aggregate_is_a_set_of_one_value(case):
+    ws, _ = case
+    for made, text in ((linked(ws).max("i.w", "m"), "max(w)"), (linked(ws).rows("n"), "count(*)"),
+                       (linked(ws).filter(eq("i.g", 1)).count("i.w", "n"), "count(w) FILTER (g = 1)")):
+        sql = f"SELECT {text} FROM i WHERE i.k = o.k"
+        check(case, sub.in_query("o.v", made), f"o.v IN ({sql})")
+        check(case, sub.gt_any("o.v", made), f"o.v > ANY ({sql})")
+        check(case, sub.lt_all("o.v", made.limit(3)), f"o.v < ALL ({sql})")
+        check(case, sub.ne_any("o.v", made), f"o.v <> ANY ({sql})")
+    nothing = linked(ws).max("i.w", "m").limit(1, 1)
+    check(case, sub.in_query("o.v", nothing), "1 = 0")
+    check(case, sub.lt_all("o.v", nothing), "1 = 1")
+
+
+def test_a_hot_key_is_reduced_before_it_meets(case):
+    ws, _ = case
+    page = linked(ws).columns("i.w").desc("i.w").limit(0, 2)
+    df = ws.query("o", "o").filter(sub.gt_any("o.v", page)).frame()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    extremum = ws.query("i", "i").filter(functions.gt_property("i.w", outer("o.v")))
+    plan = ws.query("o", "o").filter(sub.exists(extremum)).frame()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_what_cannot_be_joined_by_key_is_refused(case):
     ws, _ = case
     unequal = ws.query("i", "i").filter(gt("i.k", outer("o.k")))
-    for bad in (sub.exists(unequal), sub.in_query("o.v", unequal.columns("i.w")),
-                sub.in_query("o.v", linked(ws).columns("i.w").limit(1)),
-                sub.gt_all("o.v", linked(ws).max("i.w", "m"))):
+    twice = unequal.filter(gt("i.g", outer("o.v")))
+    for bad in (sub.exists(twice), sub.exists(unequal.limit(3)), sub.in_query("o.v", unequal.columns("i.w")),
+                sub.gt_all("o.v", unequal.max("i.w", "m"))):
         with pytest.raises(ValueError):
             ws.query("o", "o").filter(bad).frame()
