@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.stages import settle
+from tablewright.llm.stages import releasing, settle
 from tablewright.llm.tokens import encode
 
 MARK, VERSION = 0x52504731, 2
@@ -250,7 +250,7 @@ def token_files(
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "body")
-        .mapInArrow(files, f"part int, nth int, doc_ids array<{kind}>, data binary")
+        .mapInArrow(releasing(files), f"part int, nth int, doc_ids array<{kind}>, data binary")
     )
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.stages import release, releasing
+
 UNKNOWN = "und"
 SHIFT = 21  # bits of a character
 PIECE = 1 << 20  # characters counted at once
@@ -30,7 +32,7 @@ _letters: list[np.ndarray] = []
 def _letter_table() -> np.ndarray:
     """For each character its lower-case letter, and 0 for what is no letter."""
     if not _letters:
-        table = np.zeros(0x110000, np.int64)
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             if chr(c).isalpha():
                 lower = chr(c).lower()
@@ -49,7 +51,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text as packed characters, with counts; an edge of a word is character 0."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     letters = _letter_table()[codes]
-    letters = np.concatenate(([0], letters, [0]))
+    letters = np.concatenate(([0], letters, [0])).astype(np.int64)
     real = letters > 0
     real[1:] |= letters[:-1] > 0  # one edge is left between words
     real[0] = True
@@ -113,7 +115,7 @@ def learn_profiles(
     counts = (
         docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
         .where("text IS NOT NULL AND lang IS NOT NULL")
-        .mapInArrow(counted, "lang string, gram long, n long")
+        .mapInArrow(releasing(counted), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -157,6 +159,7 @@ def predict(text: Column, profiles: pd.DataFrame, size: int = 400) -> Column:
     @F.arrow_udf("lang_pred string, score double")
     def of(texts: pa.Array) -> pa.Array:
         found = [one(t.as_py()) for t in texts]
+        release()
         return pa.StructArray.from_arrays(
             [
                 pa.array([f[0] for f in found], pa.string()),

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import connected
-from tablewright.llm.stages import settle
+from tablewright.llm.stages import release, releasing, settle
 from tablewright.llm.text import whole_row
 from tablewright.operators.joins import apart
 
@@ -89,6 +89,7 @@ def _sketches(text: Column, width: int) -> Column:
             n.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             signatures.append(signature(shingles).tobytes())
+        release()
         halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         columns = [pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(signatures, pa.binary())]
         return pa.StructArray.from_arrays(columns, names=["n", "hi", "lo", "signature"])
@@ -407,7 +408,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float,
         pairs = (
             dealt.repartition("slot", "part")
             .sortWithinPartitions("slot", "part", "c")
-            .mapInArrow(_proposals(least, needed), "a long, b long")
+            .mapInArrow(releasing(_proposals(least, needed)), "a long, b long")
             .distinct()
         )
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -463,12 +464,12 @@ def _remaining(open_, rows, sides, width: int, least: float, needed: list[int])
         return tiles.repartition(*place).sortWithinPartitions(*place, F.desc("query"), "c")
 
     asked = dealt(tiles).mapInArrow(
-        _crossings(least, needed), "slot long, part int, block int, query boolean, c long"
+        releasing(_crossings(least, needed)), "slot long, part int, block int, query boolean, c long"
     )
     asked = settle(asked, "asked")
     bodies = rows.select(F.col("row").alias("c"), "body")
     whole = asked.join(placed.select("slot", "band", "c", "root", "n", "signature"), ["slot", "c"]).join(bodies, "c")
-    links = dealt(whole.select(*columns, "body")).mapInArrow(_crossings(least, needed, width), "a long, b long")
+    links = dealt(whole.select(*columns, "body")).mapInArrow(releasing(_crossings(least, needed, width)), "a long, b long")
     return settle(links.distinct(), "links")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.spread import cell_sums, random_key, sum_before
-from tablewright.llm.stages import settle
+from tablewright.llm.stages import releasing, settle
 from tablewright.llm.tokens import encode
 
 ROUNDS = 400  # of the least-squares fit
@@ -76,7 +76,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary")).mapInArrow(
-        cut,
+        releasing(cut),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
         + (", ids binary" if with_ids else ""),
     )

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.stages import releasing
+
 BUFFER = 1 << 17  # words resolved at once, but for one longer text
 LEVELS = 12  # fragments of up to 2^12 words are kept for the extension of proposals
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -280,4 +282,4 @@ def periodic_runs(
         F.col(doc_id).cast("string").alias("key"),
     )
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, runs {fields}, collapsed binary"
-    return rows.mapInArrow(resolved, kinds)
+    return rows.mapInArrow(releasing(resolved), kinds)

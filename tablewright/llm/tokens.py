@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a byte-level BPE of the tokenizers library.
+"""Token ids of whole texts by a tokenizer of the tokenizers library, most of all a byte-level BPE.
 
 Byte-level BPE never merges across the borders at which its pattern cuts a text: before the last
 white space ahead of something visible, and between letters, digits, signs and line ends. A text is the sequence
@@ -10,6 +10,7 @@ wherever a text holds them, as in the library's default call.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import chain
 
@@ -50,6 +51,17 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
 _KIND, _BORDER = _kinds()
 
 
+def _cuttable(tokenizer) -> bool:
+    """Whether the borders above hold for a tokenizer: a byte-level BPE that changes no text before,
+    adds no space, cuts by the byte-level pattern and marks no ends of words."""
+    file = json.loads(tokenizer.to_str())
+    cut, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    marks = ("continuing_subword_prefix", "end_of_word_suffix", "dropout")
+    whole = model.get("type") == "BPE" and not any(model.get(m) for m in marks) and not model.get("ignore_merges")
+    return bool(plain and whole and not file.get("normalizer") and not file.get("truncation") and not file.get("padding"))
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for
     themselves, all others for the letters from 256 on."""
@@ -68,6 +80,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuttable = _cuttable(self.tokenizer)
         added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         added.pop(b"", None)
         longest_first = sorted(added, key=len, reverse=True)
@@ -115,7 +128,11 @@ class Pieces:
         return at
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text: added tokens are cut out first, what lies between is text by itself."""
+        """The ids of each text: added tokens are cut out first, what lies between is text by itself.
+        A tokenizer that cuts in other ways gets whole texts."""
+        if not self.cuttable:
+            whole = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4") for e in whole]
         if self.added is None or not any(map(self.added.search, texts)):
             return self._ids_between(texts)
         sections: list[bytes] = []

@@ -60,6 +60,51 @@ def repeats(rows: list[tuple], length: int = 100) -> dict:
     return out
 
 
+def language_grams(text: str | None):
+    """Counts of 1 to 3 letters in a row, an edge of a word being 0, as packed numbers."""
+    from collections import Counter
+
+    counts, word = Counter(), []
+    for c in (text or "") + "\n":
+        if c.isalpha():
+            lower = c.lower()
+            word.append(ord(lower) if len(lower) == 1 else ord(c))
+            continue
+        padded = [0, *word, 0]
+        for a, b, e in zip(padded, padded[1:], padded[2:]):
+            counts[a << 42 | b << 21 | e] += 1
+            counts[-1 - (a << 21 | b)] += 1
+            counts[-(1 << 60) - b] += 1
+            if not e:
+                counts[-1 - (b << 21)] += 1
+        word = []
+    return counts
+
+
+def language_profiles(rows: list[tuple], size: int = 400) -> dict:
+    from collections import Counter
+
+    counts: dict = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(language_grams(text))
+    return {
+        lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size])}
+        for lang, c in sorted(counts.items()) if c
+    }
+
+
+def language(text: str | None, profiles: dict, size: int = 400) -> tuple[str, float]:
+    own = sorted(language_grams(text).items(), key=lambda x: (-x[1], x[0]))[:size]
+    if not own or not profiles:
+        return "und", 0.0
+    far = {
+        lang: sum(abs(p[g] - i) if g in p else size for i, (g, _) in enumerate(own))
+        for lang, p in profiles.items()
+    }
+    best = min(profiles, key=lambda lang: (far[lang], lang))
+    return best, 1 - far[best] / (size * len(own))
+
+
 def crc(ids) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 

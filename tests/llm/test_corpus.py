@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import defaultdict
 from math import isclose
 
@@ -112,6 +113,34 @@ def test_added_tokens_with_rules_are_the_library_s(tmp_path, flag):
     assert [g.tolist() for g in got] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def _changed(tmp_path, change):
+    import json
+
+    with open(FILE) as file:
+        content = json.load(file)
+    change(content)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(content))
+    return str(path)
+
+
+@pytest.mark.parametrize("change", [
+    lambda f: f.update(normalizer={"type": "Lowercase"}),
+    lambda f: f["pre_tokenizer"].update(add_prefix_space=True),
+    lambda f: f["pre_tokenizer"].update(use_regex=False),
+    lambda f: f["model"].update(ignore_merges=True),
+])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    path, texts = _changed(tmp_path, change), ["Ab  c'S \n d", "", "x 12 é", "Ünïcode  Straße <|endoftext|>!"]
+    untouched = Tokenizer.from_file(path)
+    got = list(tokens.encode(pa.array([t.encode() for t in texts], pa.binary()), path))
+    assert [g.tolist() for g in got] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    words = public_tokenizers.path("word_bpe_49k.json")
+    got = list(tokens.encode(pa.array([t.encode() for t in texts], pa.binary()), words))
+    untouched = Tokenizer.from_file(words)
+    assert [g.tolist() for g in got] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_packing(spark, capacity):
     rows = documents()
@@ -155,6 +184,20 @@ def test_plan_uses_every_piece_once():
     assert plan_sequences({}, 256) == []
 
 
+def test_language_scores_are_plain_out_of_place_distances(spark):
+    rows = [r for r in documents() if len(r[1] or "") < 30_000]
+    rows += [(500 + i, t, lang, None, 0) for i, (t, lang) in enumerate(
+        [("Das ist ein Haus, die Straße", "de"), ("the house and the street", "en"), ("ÀÉ x", None), ("Ωμέγα", "el")] * 9
+    )]
+    train = [(t, lang) for d, t, lang, *_ in rows if zlib.crc32(str(d).encode()) % 3 != 1 and t and lang]
+    profiles = brute.language_profiles(train)
+    got = {r.doc_id: r for r in identify(frame(spark, rows))[0].collect()}
+    for d, text, *_ in rows:
+        lang, score = brute.language(text, profiles)
+        assert got[d].lang_pred == lang and isclose(got[d].score, score, abs_tol=1e-12)
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
 def test_language(spark):
     rng = random.Random(1)
     letters = {"one": "abcdeo", "two": "xyzuvi", "ру": "абвгдя"}
@@ -203,6 +246,17 @@ def test_quality(spark):
     assert all(isclose(r.score, 1) for r in one)
 
 
+def test_quality_is_plain_ridge_on_the_same_kernel(spark):
+    """The scores against the ridge solution in one matrix, and the pool-adjacent-violators fit of its bins."""
+    rows, rng = documents(), random.Random(8)
+    labels = [(r[0], int(rng.random() < (0.8 if len(r[1] or "") > 200 else 0.3)), 0) for r in rows]
+    got = {r.doc_id: r for r in quality_scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    want = brute.quality(rows, labels)
+    assert set(got) == set(want)
+    assert max(abs(got[d].score - want[d]) for d in want) < 1e-6
+    assert all(got[d].predicted == int(got[d].score >= 0.7) for d in want)
+
+
 def test_isotonic():
     n, t = np.array([1, 2, 1, 4]), np.array([1.0, 0.0, 1.0, 2.0])
     assert np.allclose(isotonic(n, t), [1 / 3, 1 / 3, 3 / 5, 3 / 5]) or np.allclose(isotonic(n, t), [1 / 3] * 2 + [3 / 5] * 2)

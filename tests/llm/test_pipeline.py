@@ -1,8 +1,12 @@
+import zlib
+
 import brute
 import corpus_pipeline
 import duckdb
 import pytest
 from compare import compare, connect
+from data import frame
+from test_minhash import components, planted
 
 from tablewright.llm import queries
 
@@ -28,15 +32,17 @@ def test_stages(spark, tmp_path):
         stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
         if name == "language ID":
-            left = {d: t for d, t in left.items() if any(c.isalpha() for c in t or "")}
+            train = [(r[1], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[1] and r[2]]
+            profiles = brute.language_profiles(train)
+            left = {d: t for d, t in left.items() if brute.language(t, profiles)[1] >= corpus_pipeline.LEAST_SCORE}
         elif name == "exact dedup":
             first = {}
             for d in sorted(left):
                 first.setdefault(b" ".join(left[d].encode().split()), d)
             left = {d: left[d] for d in first.values()}
         elif name == "near dedup":
-            ids = sorted(left)
-            left = {d: left[d] for d in set(brute.components(ids, [brute.fingerprint(left[d]) for d in ids]))}
+            pairs = components([(d, left[d]) for d in sorted(left)], 5)
+            left = {d: left[d] for d in {first for _, first in pairs.values()}}
         if name in ("language ID", "exact dedup", "near dedup"):
             assert {r.doc_id: r.text for r in docs.collect()} == left
             assert docs.columns == columns and docs.count() == len(left)
@@ -53,3 +59,19 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    noise = ["Жщфю ыэъё", "kqxzj wqxjk zzqxv", "漢字漢字漢字", "0123 4567 !!", "", None]
+    more = frame(spark, [(10_000 + i, t, "en", "s", 0) for i, t in enumerate(noise)], docs.schema.simpleString()[7:-1].replace(":", " "))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), FOLDER).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_near_stage_keeps_one_of_each_group(spark):
+    rows = planted(9)
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    text = {r[0]: r[1] for r in rows}
+    assert sorted(r.doc_id for r in got) == sorted({first for _, first in components(rows, 5).values()})
+    assert all(r.text == text[r.doc_id] for r in got)
