@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.checks import schema_diff
 from tablewright.operators.generators import default_value
@@ -81,10 +82,47 @@ def ensure(tables, name: str, policy: str = "DEFAULT") -> None:
         by = [spec.column(p).column_name for p in spec.partition_by]
         store.create(name, spec.struct(physical=True), by)
     elif policy == "UPDATE":
-        found = tables.found(name)
-        types = {f.name: f.dataType for f in found.schema}
-        if any(types.get(c.prop) != c.data_type for c in spec.columns):
-            store.replace({name: tables.physical(name, evolve(found, spec))})
+        _update(tables, spec)
+
+
+def _update(tables, spec: TableSpec) -> None:
+    """Evolve a table. Missing columns are added, and types widened, in the declaration alone, and old
+    files are read through it, unless a default is no constant, a NULL stands where none is allowed
+    any more, or the files cannot be read as the wider type: only then are the rows written anew."""
+    store, found = tables.store, tables.found(spec.name)
+    types = {f.name: f.dataType for f in found.schema}
+    added = [c for c in spec.columns if c.prop not in types]
+    wider = [c for c in spec.columns if c.prop in types and types[c.prop] != c.data_type]
+    comments = {f.name: f.metadata.get("comment", "") for f in found.schema}
+    noted = {c.column_name: c.comment for c in spec.columns if c.prop in types and c.comment and c.comment != comments[c.prop]}
+    if noted:
+        store.comment(spec.name, noted)
+    if not added and not wider:
+        return
+    evolved = evolve(found, spec)  # refuses what does not fit
+    filled = [c.prop for c in spec.columns if c.prop in types and not spec.is_nullable(c.prop)]
+    plain = all(not callable(c.default) and (c.default is not None or spec.is_nullable(c.prop)) for c in added)
+    plain = plain and all(_readable(types[c.prop], c.data_type) for c in wider)
+    plain = plain and not (wider and store.partition_columns(spec.name))
+    if plain and filled:
+        nulls = found.agg(*[F.count_if(F.col(f"`{p}`").isNull()).alias(p) for p in filled]).first()
+        plain = not any(nulls)
+    if not plain:
+        store.replace({spec.name: tables.physical(spec.name, evolved)})
+        return
+    if wider:
+        store.widen(spec.name, {c.column_name: c.data_type for c in wider})
+    if added:
+        listed = [(c.column_name, c.data_type, c.default, c.comment) for c in added]
+        store.add_columns(spec.name, listed)
+
+
+def _readable(old: T.DataType, new: T.DataType) -> bool:
+    """Whether Parquet files of one type can be read as the other."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(old, whole) and isinstance(new, whole):
+        return whole.index(type(old)) <= whole.index(type(new))
+    return isinstance(old, T.FloatType) and isinstance(new, T.DoubleType)
 
 
 def ensure_all(tables, policy: str = "DEFAULT") -> None:

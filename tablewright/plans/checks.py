@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import func, gte, lt
 from tablewright.operators import checks, ids
-from tablewright.operators.evolve import evolve
+from tablewright.operators.evolve import ensure, evolve
 from tablewright.operators.generators import fill_default
+from tablewright.plans.changes import scratch
 from tablewright.plans.registry import query
-from tablewright.schema import Column, ForeignKey
+from tablewright.schema import Catalog, Column, ForeignKey
+from tablewright.workspace import Workspace
 
 
 # Lineitem repeats (order, line) pairs, so this key is violated.
@@ -134,6 +136,23 @@ def schema_evolve(ws):
     return evolve(ws.found("part"), _next_part(ws))
 
 
+@query(
+    """
+    SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice,
+           1.5::DOUBLE AS p_weight
+    FROM part
+    """
+)
+def policy_update(ws):
+    """A table of an older declaration is brought up to the next one, and no row is written for it."""
+    target = scratch(ws, ws.spec("part"))
+    target.insert("part").values(ws.table("part")).execute()
+    later = _next_part(ws)
+    target = Workspace(ws.spark, Catalog(later), target.store)
+    ensure(target, "part", "UPDATE")
+    return target.table("part")
+
+
 @query(
     """
     SELECT o_orderkey, (100 + 5 * (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1))::BIGINT

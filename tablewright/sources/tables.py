@@ -259,6 +259,39 @@ class TableStore:
             listed.append(f"MSCK REPAIR TABLE {self.full(name)}")
         return listed
 
+    # ---- declarations --------------------------------------------------------------------
+
+    def add_columns(
+        self, name: str, columns: Sequence[tuple[str, T.DataType, object, str | None]]
+    ) -> None:
+        """Declare more columns: name, type, default and comment. Rows written before have the default;
+        no file is written."""
+        self.spark.sql(f"ALTER TABLE {self.full(name)} ADD COLUMNS ({_declared(columns)})")
+        self._note(name, {VERSION: uuid.uuid4().hex})
+        self.spark.catalog.refreshTable(self.full(name))
+
+    def comment(self, name: str, comments: Mapping[str, str]) -> None:
+        for column, text in comments.items():
+            self.spark.sql(
+                f"ALTER TABLE {self.full(name)} ALTER COLUMN `{column}` COMMENT {sql_literal(text)}"
+            )
+
+    def widen(self, name: str, types: Mapping[str, T.DataType]) -> None:
+        """Declare a table without partitions anew, over the same files, with wider types for some
+        columns. The files are read as the wider types and not written."""
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.full(name)}").collect()
+        place = next(r["data_type"] for r in described if r["col_name"] == "Location")
+        known = {k: v for k, v in self._properties(name).items() if k.startswith("tablewright.")}
+        columns = [
+            (f.name, types.get(f.name, f.dataType), _Raw(f.metadata.get("EXISTS_DEFAULT")), f.metadata.get("comment"))
+            for f in self.read(name).schema
+        ]
+        self.spark.sql(f"DROP TABLE {self.full(name)}")  # the files stay
+        self.spark.sql(
+            f"CREATE TABLE {self.full(name)} ({_declared(columns)}) USING parquet LOCATION {sql_literal(place)}"
+        )
+        self._note(name, known | {VERSION: uuid.uuid4().hex})
+
     def truncate(self, name: str) -> None:
         self.replace({name: self.read(name).where(F.lit(False))})
 
@@ -277,6 +310,28 @@ class TableStore:
         self.read(name).write.format(file_format).save(path)
 
 
+class _Raw(str):
+    """SQL text of a default as a table has noted it."""
+
+    def __new__(cls, text: str | None):
+        return None if text is None else super().__new__(cls, text)
+
+
+def _declared(columns) -> str:
+    listed = []
+    for column, kind, default, comment in columns:
+        kind = kind.simpleString()
+        text = f"`{column}` {kind}"
+        if isinstance(default, _Raw):
+            text += f" DEFAULT {default}"
+        elif default is not None:
+            text += f" DEFAULT CAST({sql_literal(default)} AS {kind})"
+        if comment:
+            text += f" COMMENT {sql_literal(comment)}"
+        listed.append(text)
+    return ", ".join(listed)
+
+
 def _partition(columns: Sequence[str], values: Sequence) -> str:
     pairs = [f"`{c}` = {sql_literal(v)}" for c, v in zip(columns, values, strict=True)]
     return f"PARTITION ({', '.join(pairs)})"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
@@ -10,13 +9,14 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 
-from tablewright.functions.predicates import by_identity, eq, false, or_
+from tablewright.functions.predicates import by_identity, eq
 from tablewright.functions.scope import Source
 from tablewright.operators.cascade import Delete, KeyUpdate
 from tablewright.operators.inserts import Insert
+from tablewright.operators.joins import thin
 from tablewright.operators.query import ROOT, Query
-from tablewright.operators.subqueries import exists
 from tablewright.operators.updates import Update, update_by_key
 from tablewright.schema import Catalog, TableSpec
 from tablewright.session import clear_scratch
@@ -85,24 +85,37 @@ class Workspace:
         return self.query(table).filter(condition).limit(1).frame()
 
     def by_examples(
-        self, table: str, examples: DataFrame, exclude: Sequence[str] = ()
+        self,
+        table: str,
+        examples: DataFrame,
+        exclude: Sequence[str] = (),
+        selector: str = "NON_NULL",
     ) -> Query:
-        """Rows like any of a frame of examples; a NULL in an example matches every value.
+        """Rows like any of a frame of examples; a NULL in an example matches every value, with the
+        selector `NON_NULL_OR_ZERO` a zero too, and with `ALL` NULL matches NULL only.
 
-        Examples with the same properties set make one semi join on these properties. The driver
-        only learns which combinations occur.
+        An example's shape is the set of properties that it gives. Every row is looked up once per shape
+        that occurs, by that shape and its own values of these properties, in one semi join; rows that
+        more than one example matches are then reduced to one. The shapes stay in Spark.
         """
         props = [p for p in examples.columns if p not in set(exclude)]
-        given = [F.col(f"`{p}`").isNotNull().alias(p) for p in props]
-        conditions = []
-        for shape in examples.select(*given).distinct().collect():
-            used = [p for p in props if shape[p]]
-            if not used:
-                return self.query(table)
-            fits = [F.col(f"`{p}`").isNotNull() == F.lit(shape[p]) for p in props]
-            same = examples.where(functools.reduce(Column.__and__, fits)).select(*used)
-            conditions.append(exists(self.query(same, "examples"), on=[(p, p) for p in used]))
-        return self.query(table).filter(or_(*conditions) if conditions else false())
+        frame, described = self.source(table)
+        names = [f"_example{i}" for i in range(len(props))]
+        given = [_is_given(F.col(f"`{p}`"), examples.schema[p].dataType, selector) for p in props]
+        shape = F.concat(F.lit("s"), *[F.when(g, "1").otherwise("0") for g in given])
+        wanted = examples.select(
+            shape.alias("_shape"),
+            *[F.when(g, F.col(f"`{p}`")).alias(n) for g, p, n in zip(given, props, names, strict=True)],
+        )
+        shapes = wanted.select(F.collect_set("_shape").alias("shapes")).scalar()
+        rows = frame.withColumn("_row", F.monotonically_increasing_id()).withColumn("_wanted", F.explode(shapes))
+        wanted = thin(wanted, F.col("_shape"), *[F.col(n) for n in names])
+        same = F.col("_wanted") == F.col("_shape")
+        for i, (p, n) in enumerate(zip(props, names, strict=True)):
+            own = F.when(F.substring("_wanted", i + 2, 1) == "1", F.col(f"`{p}`"))
+            same &= own.eqNullSafe(F.col(n))
+        found = rows.join(wanted, same, "left_semi").dropDuplicates(["_row"])
+        return Query.over_frame(self, found.select(*[f"`{c}`" for c in frame.columns]), described)
 
     def sql(self, text: str, args: Mapping[str, Any] | Sequence[Any] = ()) -> DataFrame:
         """SQL text with bound parameters. Declared tables it names are views under their name."""
@@ -219,6 +232,17 @@ class Workspace:
         return self.catalog[name]
 
 
+def _is_given(value: Column, kind: DataType, selector: str) -> Column:
+    """Whether an example asks for this value."""
+    if selector == "ALL":
+        return F.lit(True)
+    if selector == "NON_NULL_OR_ZERO" and isinstance(kind, NumericType):
+        return F.coalesce(value != 0, F.lit(False))
+    if selector not in ("NON_NULL", "NON_NULL_OR_ZERO"):
+        raise ValueError(f"unknown selector {selector!r}")
+    return value.isNotNull()
+
+
 def _one_of(df: DataFrame, columns: Sequence[str], values: list[tuple]) -> Column:
     """The columns hold one of the listed rows, NULLs being equal. One set, however many there are; it
     names partition columns only, so that a scan is cut to these partitions before it starts."""

@@ -210,6 +210,36 @@ def test_examples(ws, spark):
     assert ws.by_examples("nums", frame.limit(0)).count_rows() == 0
 
 
+SELECTORS = {
+    "NON_NULL": lambda e, r: e is None or e == r,
+    "NON_NULL_OR_ZERO": lambda e, r: e in (None, 0) or e == r,
+    "ALL": lambda e, r: e == r,
+}
+
+
+@pytest.mark.parametrize("selector", SELECTORS)
+def test_frames_of_examples(small, spark, selector):
+    import itertools
+    import random
+
+    from tablewright.schema import Column, TableSpec
+
+    spec = TableSpec("t", tuple(Column(c, "INTEGER") for c in "iabc"))
+    rng = random.Random(3)
+    data = [(i, *[rng.choice([None, 0, 1, 2]) for _ in "abc"]) for i in range(60)] + [(1, 1, 1, 1)] * 2
+    every = list(itertools.product([None, 0, 1], repeat=3))
+    for examples in (rng.sample(every, 4), [(None, 1, 2), (1, None, None), (1, 1, 1), (1, 1, 1)], [(None,) * 3], []):
+        frame = spark.createDataFrame(examples, "a int, b int, c int")
+        found = small({spec: data}).by_examples("t", frame, selector=selector)
+        fits = SELECTORS[selector]
+        want = [r for r in data if any(all(fits(e, v) for e, v in zip(x, r[1:], strict=True)) for x in examples)]
+        assert rows(found.frame()) == sorted(want, key=lambda r: tuple((v is None, v or 0) for v in r))
+    plan = found.frame()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") == 1
+    with pytest.raises(ValueError, match="selector"):
+        small({spec: data}).by_examples("t", frame, selector="SOME")
+
+
 def test_get_and_named(ws):
     assert ws.get("nums", 3).first()["b"] == 0
     assert ws.get("nums", {"id": 99}).first() is None

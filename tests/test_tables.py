@@ -104,6 +104,54 @@ def test_policies(ws, spark):
         ensure(ws, "p", "SOMETIMES")
 
 
+def _files(spark, ws, name):
+    return sorted(spark.read.table(ws.store.full(name)).inputFiles())
+
+
+def test_evolution_in_the_declaration_alone(ws, spark, monkeypatch):
+    ensure_all(ws, "CREATE")
+    ws.insert("p").values([{"id": 1, "name": "a'\\b"}, {"id": 2}]).execute()
+    before = _files(spark, ws, "p")
+    statements, sql = [], spark.sql
+    monkeypatch.setattr(ws.store.spark, "sql", lambda text, *a, **k: (statements.append(text), sql(text, *a, **k))[1])
+    more = (Column("extra", "VARCHAR", default="e'x", comment="it's new"), Column("n", "DECIMAL", precision=8, scale=2, default=1.5),
+            Column("day", "DATE"))
+    columns = (Column("id", "INTEGER"), Column("name", "VARCHAR", length=4, comment="the name"))
+    ws.catalog = ws.catalog.with_spec(TableSpec("p", (*columns, *more), ("id",)))
+    ensure(ws, "p", "UPDATE")
+    assert not any(s.startswith(("DROP", "CREATE")) for s in statements)
+    assert _files(spark, ws, "p") == before
+    from decimal import Decimal
+
+    assert rows(ws.table("p")) == [(1, "a'\\b", "e'x", Decimal("1.50"), None), (2, None, "e'x", Decimal("1.50"), None)]
+    assert spark.table(ws.store.full("p")).schema["extra"].metadata["comment"] == "it's new"
+    assert spark.table(ws.store.full("p")).schema["name"].metadata["comment"] == "the name"
+    ws.insert("p").values([{"id": 3, "extra": "own"}]).execute()
+    wide = TableSpec("p", (Column("id", "BIGINT"), *columns[1:], *more), ("id",))
+    ws.catalog = ws.catalog.with_spec(wide)
+    files = _files(spark, ws, "p")
+    ensure(ws, "p", "UPDATE")
+    assert _files(spark, ws, "p") == files
+    ws.insert("p").values([{"id": 2**40, "extra": None}]).execute()
+    assert [(r[0], r[2]) for r in rows(ws.table("p"))] == [(1, "e'x"), (2, "e'x"), (3, "own"), (2**40, "e'x")]
+    ensure(ws, "p", "VALIDATE")
+    ws.apply(ws.delete("p").filter(eq("id", 1)).plan())
+    assert [(r[0], r[2]) for r in rows(ws.table("p"))] == [(2, "e'x"), (3, "own"), (2**40, "e'x")]
+
+
+def test_evolution_that_must_write(ws, spark):
+    ensure_all(ws, "CREATE")
+    ws.insert("p").values([{"id": 1, "name": None}, {"id": 2, "name": "x"}]).execute()
+    before = _files(spark, ws, "p")
+    strict = TableSpec(
+        "p", (Column("id", "INTEGER"), Column("name", "VARCHAR", nullable=False, default="?"), Column("v", "INTEGER")), ("id",)
+    )
+    ws.catalog = ws.catalog.with_spec(strict)
+    ensure(ws, "p", "UPDATE")
+    assert rows(ws.table("p")) == [(1, "?", None), (2, "x", None)]
+    assert not set(_files(spark, ws, "p")) & set(before)
+
+
 def test_truncate_and_export(ws, spark, tmp_path):
     ensure_all(ws, "CREATE")
     ws.insert("p").values([{"id": 1, "name": "体育"}, {"id": 2}]).execute()
