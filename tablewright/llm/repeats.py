@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.stages import settle
+from tablewright.operators.joins import apart
 
 GRAM = 32  # bytes whose hash makes an anchor
 SHALLOW = 5  # steps of eight bytes that multikey quicksort makes
@@ -448,6 +449,22 @@ def _apply(with_kept: bool):
     return of
 
 
+def _told_apart(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The texts with a number `twin` that tells rows of one id apart and follows a hash of their texts.
+    Rows whose id occurs once have 0; the others are numbered in sorted ranges, so neither an id nor a
+    text that many rows share meets in one task, and written, so that the numbers stay."""
+    once = texts.join(repeated, "id", "left_anti").withColumn("twin", F.lit(0).cast("long"))
+    order = ["_hash", "_spread"]
+    several = (
+        texts.join(repeated, "id", "left_semi")
+        .withColumns({"_hash": F.xxhash64("body"), "_spread": F.xxhash64(F.monotonically_increasing_id())})
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("twin", F.monotonically_increasing_id())
+    )
+    return once.unionByName(settle(several.drop(*order), "twins").select(*once.columns))
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = 100,
@@ -468,16 +485,14 @@ def remove_repeats(
     several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if several.isEmpty():
         texts = texts.withColumn("twin", F.lit(0).cast("long"))
-    else:  # rows with one id are told apart by the order of their texts
-        by_text = Window.partitionBy("id").orderBy(F.xxhash64("body"), "body")
-        texts = texts.withColumn("twin", F.row_number().over(by_text).cast("long") - 1)
+    else:
+        texts = _told_apart(texts, several.select("id"))
     first = settle(texts.select("id", "twin", "body").mapInArrow(_runs(length), _ROW), "runs")
     spans = first.where("stop >= 0").select("id", "twin", "at", "stop")
-    of_key = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    runs = first.where("stop < 0")
+    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = settle(
-        first.where("stop < 0")
-        .withColumn("n", of_key)
-        .where("n > 1")
+        runs.join(apart(several, F.col("key")), "key")  # adaptive plans split a key of many runs
         .withColumn(
             "salt",
             F.when(F.col("n") > hot, F.pmod(F.xxhash64("id", "at"), F.ceil(F.col("n") / hot)))

@@ -231,7 +231,7 @@ _SENT = (
 )
 
 
-def _send(common, parts: int, total: int):
+def _send(common, parts: int, total: int, alpha: float):
     """Of each buffer, a row per part with its pairs, and a row with its pieces and what is known of
     their scores already."""
 
@@ -272,6 +272,10 @@ def _send(common, parts: int, total: int):
             b, piece = np.concatenate((b, alone)), np.concatenate((piece, alone_piece))
             part = (_pair(a, b) % np.uint64(parts)).astype(np.int64)
             number_a, number_b = words.find(a), words.find(b)
+            # As if no pair were found; the parts send what the found ones change.
+            gain = np.where(number_b >= 0, np.log(words.n[number_b]), 0.0) if len(words.n) else np.zeros(len(b))
+            gain[: len(b) - len(alone)] += np.log(alpha) - log_n
+            base += np.bincount(piece, gain, n)
             order = np.lexsort((number_b, number_a, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -309,13 +313,15 @@ _GAINS = "uid long, piece int, word long, times int, rows binary, words binary,
 
 
 def _meet(common, total: int, least: int, alpha: float):
-    """Over a partition sorted by part: pairs are counted, and per buffer the gains of its pieces go
-    on, dense; the rarer words whose counts a piece still needs go on as rows of their own."""
+    """Over a partition sorted by part: pairs are counted, and per buffer the gains of those of its
+    pieces that have pairs found there go on; the rarer words whose counts a piece still needs go on as rows
+    of their own. So there are no more gains than pairs found, however many buffers and parts meet."""
 
     names = ["uid", "piece", "word", "times", "rows", "words", "base", "ids"]
 
-    def dense(uid: int, words: np.ndarray, base: np.ndarray, id_type) -> pa.RecordBatch:
-        values = [uid, None, None, None, None, words.astype("<i8").tobytes(), base.tobytes()]
+    def sparse(uid: int, piece: np.ndarray, found: np.ndarray, gain: np.ndarray, id_type) -> pa.RecordBatch:
+        words = piece.astype("<u2").tobytes() + found.astype("<u4").tobytes()
+        values = [uid, None, None, None, None, words, gain.astype("<f8").tobytes()]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
         arrays = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*arrays, pa.nulls(1, id_type)], names=names)
@@ -356,18 +362,22 @@ def _meet(common, total: int, least: int, alpha: float):
         nothing = edge + np.searchsorted(rare, 0) if len(rare) and rare[0] == 0 else -1
         first = left == nothing
         found = (count >= least) & ~first
-        gain = np.where(found, np.log(count), np.log(alpha) - log_n)
-        gain[first] = 0.0  # its constant is in the buffer's base
         word = np.where(found, left, right)
         times = np.where(found, -1, 1)
         plain = word < edge
-        gain[plain] += times[plain] * log_word[word[plain]]
         width = int(piece.max()) + 1
         place = buffer * width + piece
-        sums = np.bincount(place, gain, len(rows) * width).reshape(-1, width)
-        pairs = np.bincount(place[found], minlength=len(rows) * width).reshape(-1, width)
-        for r, s, f in zip(rows, sums, pairs, strict=True):
-            yield dense(r["uid"], np.stack((np.zeros(width, np.int64), f)), s, id_type)
+        # The buffer's base has the gain of a pair that is not found.
+        gain = np.log(count[found]) - (np.log(alpha) - log_n)
+        for side in (left[found], right[found]):
+            gain[side < edge] -= log_word[side[side < edge]]
+        met, at = np.unique(place[found], return_inverse=True)
+        sums = np.bincount(at, gain, len(met))
+        pairs = np.bincount(at, minlength=len(met))
+        cuts = np.searchsorted(met, np.arange(len(rows) + 1) * width)
+        for r, a, b in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                yield sparse(r["uid"], met[a:b] % width, pairs[a:b], sums[a:b], id_type)
         ask = np.flatnonzero(~plain)
         key = (word[ask] - edge) * (len(rows) * width) + place[ask]
         key, index = np.unique(key, return_inverse=True)
@@ -430,15 +440,15 @@ def _gather():
                 if held and held["uid"] != uid:
                     yield pieces()
                     held = {}
-                words = np.frombuffer(words.as_py(), "<i8").reshape(2, -1)
-                base = np.frombuffer(base.as_py(), "<f8")
+                words, base = words.as_py(), np.frombuffer(base.as_py(), "<f8")
                 if not held:  # the buffer's own row comes first
-                    held = {"uid": uid, "ids": ids.values, "words": words.copy(), "base": base.copy()}
+                    own = np.frombuffer(words, "<i8").reshape(2, -1)
+                    held = {"uid": uid, "ids": ids.values, "words": own.copy(), "base": base.copy()}
                     held["rows"] = np.frombuffer(rows.as_py(), "<i8")
-                else:
-                    size = min(len(base), len(held["base"]))  # as wide as the widest buffer met
-                    held["words"][:, :size] += words[:, :size]
-                    held["base"][:size] += base[:size]
+                else:  # a part's pieces, each once, with their pairs found and gains
+                    piece = np.frombuffer(words, "<u2", len(base))
+                    held["words"][1, piece] += np.frombuffer(words, "<u4", len(base), 2 * len(base))
+                    held["base"][piece] += base
         if held:
             yield pieces()
 
@@ -486,7 +496,7 @@ def backoff_scores(
     parts = max(1, -(-pairs // PART))
     gains = settle(
         texts.mapInArrow(
-            _send(shared, parts, max(total, 1)), _SENT + f"ids array<{kind}>"
+            _send(shared, parts, max(total, 1), alpha), _SENT + f"ids array<{kind}>"
         )
         .repartition("part")
         .sortWithinPartitions("part")

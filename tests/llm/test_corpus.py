@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from data import SCHEMA, documents, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewright.llm import grammar, tokens
@@ -373,6 +374,29 @@ def test_backoff(spark, seed):
     assert backoff_scores(frame(spark, [])).count() == 0
 
 
+def test_gains_grow_with_the_pairs_and_not_with_parts_times_documents(spark, monkeypatch):
+    """Twice the documents at a fixed size of a part: twice the bytes that parts send back."""
+    from tablewright.llm import scoring
+
+    monkeypatch.setattr(scoring, "PART", 40)
+    monkeypatch.setattr(scoring, "BUFFER", 3000)
+    written, settle_ = [], scoring.settle
+
+    def measured(df, label):
+        out = settle_(df, label)
+        if label == "gains":
+            written.append(out.agg(F.sum(F.octet_length("base") + F.octet_length("words"))).first()[0])
+        return out
+
+    monkeypatch.setattr(scoring, "settle", measured)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(160)]
+    rows = [(i, texts[i // 2], None, None, 0) for i in range(320)]  # all pairs are found
+    for n in (80, 160, 320):
+        backoff_scores(frame(spark, rows[:n])).count()
+    assert written[1] < 2.3 * written[0] and written[2] < 2.3 * written[1]
+
+
 def test_backoff_cuts_long_texts_between_words(monkeypatch):
     from tablewright.llm import scoring
 

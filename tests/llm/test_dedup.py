@@ -149,6 +149,25 @@ def test_repeats_of_equal_and_null_ids(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_with_a_null_id_in_a_third_of_the_rows(spark):
+    rows = documents()
+    several = [(None if i % 3 == 0 else r[0], *r[1:]) for i, r in enumerate(rows)]
+    got = remove_repeats(frame(spark, several)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == -(-len(rows) // 3)
+    # Rows without an id come last: the others are as they would be by themselves.
+    want = brute.repeats([r[:2] for r in several if r[0] is not None])
+    known = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None}
+    assert known == want
+
+
+def test_repeats_with_one_anchor_in_every_row(spark):
+    phrase = "the very same words stand in each of all these documents here and there, " * 2
+    rows = [(i, f"{i * 7919:07d} {phrase}{i:05d}" + "x" * (i % 7), None, None, 0) for i in range(90)]
+    for hot in (50_000, 5):
+        got = remove_repeats(frame(spark, rows), hot=hot).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats([r[:2] for r in rows])
+
+
 def test_blind_trie_orders_like_sorting():
     import random
 
