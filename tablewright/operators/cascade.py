@@ -223,8 +223,8 @@ class Delete:
         return planned(self.tables, parts)
 
 
-def _reached(catalog, root: str) -> list[str] | None:
-    """The root and all tables below it, parents first; None if they form a cycle."""
+def _below(catalog, root: str) -> set[str]:
+    """The root and all tables that refer to it, by others too."""
     below: set[str] = set()
     todo = [root]
     while todo:
@@ -232,6 +232,12 @@ def _reached(catalog, root: str) -> list[str] | None:
         if name not in below:
             below.add(name)
             todo += [spec.name for spec, _ in catalog.children(name)]
+    return below
+
+
+def _reached(catalog, root: str) -> list[str] | None:
+    """The root and all tables below it, parents first; None if they form a cycle."""
+    below = _below(catalog, root)
     order: list[str] = []
     while len(order) < len(below):
         ready = [
@@ -286,10 +292,15 @@ def _reset(
 
 
 def _cascade_cycle(delete: Delete) -> Change:
-    """Cascade over foreign keys that form a cycle: follow references from the newly doomed rows
-    until a round finds none. Each round is written out, so the plan does not grow with the
-    number of rounds."""
+    """Cascade over foreign keys that form a cycle. If every table refers to one other, or to itself, a
+    row's references are a chain, which is followed by doubling. Else follow references from the
+    newly doomed rows until a round finds none. Each round is written out, so the plan does not
+    grow with the number of rounds."""
     tables, catalog = delete.tables, delete.tables.catalog
+    below = _below(catalog, delete.spec.name)
+    upward = {n: [fk for fk in catalog[n].foreign_keys if fk.ref_table in below] for n in below}
+    if all(len(keys) <= 1 for keys in upward.values()):
+        return _cascade_chains(delete, {n: keys[0] for n, keys in upward.items() if keys})
     _, go = delete._split()
 
     def handles(spec: TableSpec, rows: DataFrame) -> DataFrame:
@@ -328,6 +339,71 @@ def _cascade_cycle(delete: Delete) -> Change:
     return planned(delete.tables, parts)
 
 
+def _node(spec: TableSpec, values: Sequence[Column]) -> Column:
+    """A row's table and primary key as text; NULL if a part of the key is."""
+    if not spec.primary_key:
+        raise ValueError(f"{spec.name} is on a cycle and needs a primary key")
+    kinds = [spec.column(p).data_type for p in spec.primary_key]
+    key = F.to_json(F.struct(*[v.cast(k).alias(f"k{i}") for i, (v, k) in enumerate(zip(values, kinds, strict=True))]))
+    known = functools.reduce(Column.__and__, [v.isNotNull() for v in values])
+    return F.when(known, F.concat(F.lit(f"{spec.name}:"), key))
+
+
+def _cascade_chains(delete: Delete, upward: dict[str, ForeignKey]) -> Change:
+    """Every row points to the row it refers to. A round lets each row that is not doomed look at the row
+    it points to, take over its doom, and point to where that one points: after n rounds a row has
+    looked 2^n references up. When a round dooms none, no row is left that has a doomed one above it. Rows
+    that point nowhere any more drop out."""
+    tables, catalog = delete.tables, delete.tables.catalog
+    _, go = delete._split()
+    root = delete.spec
+    pointers = []
+    for name, fk in upward.items():
+        spec, parent = catalog[name], catalog[fk.ref_table]
+        rows = tables.table(name)
+        node = _node(spec, _cols(spec.primary_key)).alias("node")
+        if set(fk.ref_props) == set(parent.primary_key):
+            at = dict(zip(fk.ref_props, fk.props, strict=True))
+            pointers.append(rows.select(node, _node(parent, _cols([at[p] for p in parent.primary_key])).alias("up")))
+            continue
+        referred = tables.table(fk.ref_table)
+        keys = referred.select(
+            *[F.col(f"`{p}`").alias(f"_ref{i}") for i, p in enumerate(fk.ref_props)],
+            _node(parent, _cols(parent.primary_key)).alias("_up"),
+        )
+        own = [c.alias(f"_own{i}") for i, c in enumerate(_cols(fk.props))]
+        on = _same([F.col(f"_own{i}") for i in range(len(own))], [F.col(f"_ref{i}") for i in range(len(own))])
+        pointers.append(rows.select(node, *own).join(keys, on).select("node", "_up"))
+    first = go.select(_node(root, _cols(root.primary_key)).alias("node")).distinct()
+    first = settle(first, "doomed")
+    links = functools.reduce(DataFrame.union, pointers).where("up IS NOT NULL")
+    links = links.join(first, "node", "left_anti").withColumn("doomed", F.lit(False))
+    ends = first.select("node", F.lit(None).cast("string").alias("up"), F.lit(True).alias("doomed"))
+    state, found, more = settle(ends.unionByName(links), "chains"), first.count(), True
+    while more:
+        above = state.toDF("_node", "_up", "_doomed")
+        state = settle(
+            state.join(above, F.col("up") == F.col("_node"), "left")
+            .select(
+                "node",
+                F.when(F.coalesce("_doomed", F.lit(False)), None).otherwise(F.col("_up")).alias("up"),
+                (F.col("doomed") | F.coalesce("_doomed", F.lit(False))).alias("doomed"),
+            )
+            .where("doomed OR up IS NOT NULL"),
+            "chains",
+        )
+        hits = state.where("doomed").count()
+        more, found = hits > found, hits
+    doomed = state.where("doomed").select(F.col("node").alias("_node"))
+    hit = {r[0] for r in doomed.select(F.substring_index("_node", ":", 1)).distinct().collect()}  # tables
+    parts = {}
+    for name in {root.name, *(n for n in upward if n.partition(":")[0] in hit)}:
+        spec, table = catalog[name], tables.table(name)
+        on = _node(spec, _cols(spec.primary_key)) == F.col("_node")
+        parts[name] = TableChange(table.join(doomed, on, "left_anti"), table.join(doomed, on, "left_semi"))
+    return planned(tables, parts)
+
+
 @dataclass(frozen=True)
 class KeyUpdate:
     """New values for columns that other tables refer to."""

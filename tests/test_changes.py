@@ -371,6 +371,42 @@ def test_cascade_over_a_cycle(small):
         ws.delete("tree").with_actions()
 
 
+def test_a_long_chain_takes_few_rounds(small, monkeypatch):
+    from tablewright.operators import cascade
+
+    tree = TableSpec(
+        "tree",
+        (Column("id", "INTEGER"), Column("code", "VARCHAR"), Column("up", "VARCHAR")),
+        ("id",),
+        unique={"c": ("code",)},
+        foreign_keys=(ForeignKey(("up",), "tree", ("code",)),),
+    )
+    leaf = TableSpec(
+        "leaf", (Column("id", "INTEGER"), Column("tree", "INTEGER")), ("id",),
+        foreign_keys=(ForeignKey(("tree",), "tree", ("id",)),),
+    )
+    levels = 1000
+    chain = [(i, f"c{i}", f"c{i - 1}" if i else None) for i in range(levels)]
+    ring = [(5000 + i, f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [(6000, "alone", "nobody"), (6001, None, None)]
+    ws = small({tree: chain + ring, leaf: [(1, 990), (2, 5), (3, 5001), (4, None), (5, 77777)]})
+    written, settle = [], cascade.settle
+    monkeypatch.setattr(cascade, "settle", lambda df, label: (written.append(label), settle(df, label))[1])
+    plan = ws.delete("tree").filter(eq("id", 10)).cascade()
+    assert {r.id for r in plan.frame("tree").collect()} == {*range(10), *range(5000, 5007), 6000, 6001}
+    assert {r.id for r in plan.frame("leaf").collect()} == {2, 3, 4, 5}
+    assert written.count("chains") <= 12
+
+
+def test_a_cycle_with_several_references_goes_level_by_level(small):
+    node = TableSpec(
+        "node", (Column("id", "INTEGER"), Column("a", "INTEGER"), Column("b", "INTEGER")), ("id",),
+        foreign_keys=(ForeignKey(("a",), "node", ("id",)), ForeignKey(("b",), "node", ("id",))),
+    )
+    ws = small({node: [(1, None, None), (2, 1, None), (3, None, 2), (4, 9, 9), (9, 4, None), (5, 9, 3), (6, None, None)]})
+    plan = ws.delete("node").filter(eq("id", 1)).cascade()
+    assert {r.id for r in plan.frame("node").collect()} == {4, 9, 6}
+
+
 # ---- applying ------------------------------------------------------------------------------
 
 
