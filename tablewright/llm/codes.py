@@ -5,7 +5,9 @@ looks up the values at distance 0 from its own segments, then 1, and so on, one
 Once segments 0 to j have been searched to radius s and the others to s - 1, every code within
 `segments * s + j` has been met, so a query ends as soon as its k nearest lie within that.
 Lookups and codes meet by hash of segment and value; distances are verified there, and only what beats a
-query's k-th best so far goes on.
+query's k-th best so far goes on. A value that many codes share is dealt into cells, each of which meets
+all of its lookups. A step that would make more lookups for a query than there are codes is not taken:
+the queries still open are then compared with all codes, a block of each at a time.
 
 Codes that many rows share are searched once, with their first ids. Defined results: rows without an
 embedding have no code and are neither found nor asked for; nulls and NaN within one count as not
@@ -30,6 +32,8 @@ BITS = 64
 JOB = 2500  # lookups per query that one job makes at most, but for a single larger step
 PAIRS = 1 << 18  # distances that the kernel holds at once
 SAMPLE = 4096  # codes that give every query a first bound on its k-th distance
+CROWD = 1 << 16  # codes of a slot that one task compares with its queries
+BLOCK = 1 << 12  # queries that one task compares with `CROWD` codes when no lookups are left to save
 
 
 def code_of(embedding: Column, seed: int = 11) -> Column:
@@ -172,6 +176,38 @@ def _first_bound(sample: list, k: int) -> Column:
     return of(F.col("query"))
 
 
+def _all_pairs_in_blocks(codes: DataFrame, queries: DataFrame, n_codes: int, n_queries: int) -> DataFrame:
+    """Rows as `_meet` takes them, a slot for each block of queries and each of codes."""
+    parts, cells = (max(1, -(-n // size)) for n, size in ((n_queries, BLOCK), (n_codes, CROWD)))
+
+    def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), key), F.lit(n)))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    asked = dealt(queries, "query", parts).select("*", every(cells))
+    held = dealt(codes, "code", cells).select("*", every(parts))
+    return held.select(
+        (F.col("other") * cells + F.col("own")).alias("slot"), zero.alias("side"), "code",
+        F.col("first_id").alias("extra"), "n",
+    ).unionByName(asked.select(
+        (F.col("own") * cells + F.col("other")).alias("slot"), one.alias("side"), F.col("query").alias("code"),
+        F.col("bound").cast("long").alias("extra"), zero.alias("n"),
+    ))
+
+
+def _in_cells(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The rows with those of crowded slots dealt out: a code to one cell, a lookup to all of them."""
+    sized = rows.join(crowded, "slot", "left").withColumn("cells", F.coalesce("cells", F.lit(1)).cast("long"))
+    zero = F.lit(0).cast("long")
+    own = F.array(F.pmod(F.xxhash64(F.lit("cell"), "code"), F.col("cells")))
+    cells = F.when(F.col("side") == 0, own).otherwise(F.sequence(zero, F.col("cells") - 1))
+    slot = F.when(F.col("cell") == 0, F.col("slot")).otherwise(F.xxhash64("slot", "cell"))
+    return sized.withColumn("cell", F.explode(cells)).select(slot.alias("slot"), "side", "code", "extra", "n")
+
+
 def nearest_codes(
     codes: DataFrame, queries: DataFrame, k: int, segments: int | None = None
 ) -> DataFrame:
@@ -191,9 +227,20 @@ def nearest_codes(
         queries.select("query").distinct().select("query", _first_bound(sample, wanted).alias("bound")),
         "open",
     )
-    best = None
+    crowded = settle(
+        codes.select(F.explode(F.array(*[_slot(F.col("code"), j, widths) for j in range(segments)])).alias("slot"))
+        .groupBy("slot")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .where(F.col("held") > CROWD)
+        .select("slot", F.ceil(F.col("held") / CROWD).alias("cells")),
+        "crowded",
+    )
+    dealt = not crowded.isEmpty()
+    best, made = None, 0
     for job, covered in _jobs(segments):
-        lookups = [
+        made += sum(comb(widths[j][1], radius) for j, radius in job)
+        last = made > max(size, JOB)
+        lookups = [] if last else [
             open_.select(
                 "query", "bound", F.explode(_masks(widths[j][1], radius)).alias("mask")
             ).select(
@@ -216,6 +263,10 @@ def nearest_codes(
         )
         for part in lookups:
             rows = rows.unionByName(part)
+        if last:
+            rows = _all_pairs_in_blocks(codes, open_, size, open_.count())
+        elif dealt:
+            rows = _in_cells(rows, crowded)
         met = (
             rows.repartition("slot")
             .sortWithinPartitions("slot", "side")
@@ -236,7 +287,7 @@ def nearest_codes(
             .drop("nth", "nearer"),
             "best",
         )
-        if covered >= BITS:
+        if last or covered >= BITS:
             break
         reached = best.groupBy("query").agg(
             F.sum(F.when(F.col("d") <= covered, F.col("n"))).alias("sure"),

@@ -271,7 +271,14 @@ def _vectors(n: int, dims: int, seed: int = 0):
     return rows
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("job,crowd", [(2500, 1 << 16), (20, 8), (100_000, 3)])
+def test_nearest(spark, monkeypatch, job, crowd):
+    """Also where few lookups are made before all codes are compared, and where every slot is crowded."""
+    from tablewright.llm import codes as module
+
+    monkeypatch.setattr(module, "JOB", job)
+    monkeypatch.setattr(module, "CROWD", crowd)
+    monkeypatch.setattr(module, "BLOCK", 4)
     rows = _vectors(300, 64)
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     codes = {r.vec_id: r.c for r in vectors.select("vec_id", code_of(vectors.embedding).alias("c")).collect()}
