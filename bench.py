@@ -22,9 +22,11 @@ HEADLINE = """
     comma_join derived_table column_field cmp_property logic_tree like_any by_example_frame
     scalar_sub_correlated exists not_exists in_sub not_in_sub gt_any gt_all ne_all
     exists_having in_sub_correlated not_in_sub_correlated lt_all_correlated
+    exists_inequality in_sub_correlated_limit in_sub_correlated_max
+    join_range join_between_columns join_overlap
     join_inner join_left join_left_many join_full join_theta join_chain join_self relate_fk
     agg_distinct agg_distinct_several agg_expr agg_global group_by having
-    order_multi top_k page page_deep
+    order_multi top_k page page_deep page_deep_long
     set_union set_intersect set_minus set_nested
     math_basic math_bits template
     check_pk check_fk check_length identity_ids
