@@ -7,7 +7,8 @@ the longest way for one that the profile lacks. The nearest profile names the la
 
 Defined results: a null text or one without a letter is `und` with score 0, and so is every text
 if there is nothing to learn from; rows with a null language teach nothing; ties between n-grams go
-by letters, ties between languages by name; repeated rows count as often as they come.
+by letters, ties between languages by name; repeated rows count as often as they come. A text's letters are counted a
+million at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tablewright.llm.stages import release, releasing
 
 UNKNOWN = "und"
 SHIFT = 21  # bits of a character
-PIECE = 1 << 20  # characters counted at once
+PIECE = 1 << 20  # characters counted at once, of a text or of several short ones
 
 _letters: list[np.ndarray] = []
 
@@ -49,24 +50,23 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text as packed characters, with counts; an edge of a word is character 0."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    letters = _letter_table()[codes]
-    letters = np.concatenate(([0], letters, [0])).astype(np.int64)
-    real = letters > 0
-    real[1:] |= letters[:-1] > 0  # one edge is left between words
-    real[0] = True
-    letters = letters[real]
-    keys, counts = [], []
-    for at in range(0, max(len(letters) - 2, 0), PIECE):
-        part = letters[at : at + PIECE + 2]
-        inner = part[1:-1] > 0
-        three = (part[:-2] << 2 * SHIFT | part[1:-1] << SHIFT | part[2:])[inner]
-        key, n = np.unique(three, return_counts=True)
-        keys.append(key)
-        counts.append(n)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, n = _merged(keys, counts) if len(keys) > 1 else (keys[0], counts[0])
+    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tail = np.zeros(1, np.int64)
+    for at in range(0, max(len(text), 1), PIECE):
+        codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        end = np.zeros(int(at + PIECE >= len(text)), np.int64)
+        letters = np.concatenate((tail, _letter_table()[codes], end))
+        real = letters > 0
+        real[1:] |= letters[:-1] > 0  # one edge is left between words
+        real[0] = True
+        letters = letters[real]
+        tail = letters[-2:]
+        inner = letters[1:-1] > 0
+        three = (letters[:-2] << 2 * SHIFT | letters[1:-1] << SHIFT | letters[2:])[inner]
+        own, times = np.unique(three, return_counts=True)
+        key, n = _merged([key, own], [n, times]) if len(key) else (own, times)
+    if not len(key):
+        return key, n
     # Shorter n-grams are sums of the longer: each letter is the middle of one.
     middle = key >> SHIFT & (1 << SHIFT) - 1
     last = key & (1 << SHIFT) - 1

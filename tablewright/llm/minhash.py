@@ -17,6 +17,8 @@ each at a time; what survives is verified there, and no more links come out than
 A pair at the least similarity shares no slot once in 300,000 times (0.8, BANDS, ROWS), or less above it; a
 batch gives it up with a probability of at most `miss` over all batches.
 
+A text is read whole; its task holds some 100 bytes for each of its words.
+
 Defined results: a null or empty text, or one without words, has the empty set, which is linked with
 nothing; a null id is never a component's id unless all ids of the component are null, and such a row is
 kept; repeated rows are of one class; an empty table gives an empty result. Shingles are known by

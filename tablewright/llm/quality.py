@@ -5,6 +5,8 @@ of random directions, whose products approximate a Gaussian kernel. Every partit
 the normal equations, per fold of the learning rows. Scores of each fold by the equations of the others
 are counted in bins, and isotonic regression over the bins turns scores into probabilities.
 
+A text is read whole; its task holds some 100 bytes for each of its words.
+
 Defined results: a null text counts as empty and is scored like any other; labels without an id or a
 quality teach nothing; repeated labels count as often as they come; with nothing to learn from,
 every score is 0.5; if all labels agree, every score is that label.

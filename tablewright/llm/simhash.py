@@ -7,6 +7,8 @@ counters add up the differing planes for 64 distances at once; words of which al
 radius are abandoned. A crowded slot is cut into tiles that any task can take, and each tile
 returns the links that hold its groups together rather than all of their pairs.
 
+A text is read whole; its task holds some 100 bytes for each of its words.
+
 Defined results: a null text counts as empty; texts without words have fingerprint 0 and are linked
 like any other; a null id is never a component's id unless all ids are null; repeated rows share a
 fingerprint; an empty table gives an empty result.

@@ -5,7 +5,8 @@ white space ahead of something visible, and between letters, digits, signs and l
 of pieces between the borders that two bytes suffice to tell. Words repeat, so a worker keeps the ids of pieces that it has met in a
 table of fixed size, and asks the library only for those it does not hold. Pieces are always compared
 in full, never by hash alone. The tokenizer's added tokens (such as <|endoftext|>) have their own ids
-wherever a text holds them, as in the library's default call.
+wherever a text holds them, as in the library's default call. Texts go through in chunks of a megabyte;
+a longer text is not cut, and its task holds some ten times its bytes.
 """
 
 from __future__ import annotations

@@ -199,6 +199,19 @@ def test_language_scores_are_plain_out_of_place_distances(spark):
         assert got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_grams_of_texts_in_pieces(monkeypatch, piece):
+    from tablewright.llm import language
+
+    monkeypatch.setattr(language, "PIECE", piece)
+    rng = random.Random(3)
+    texts = ["", " ", "a", " a", "ab", "  ab  c", "É1é"]
+    texts += ["".join(rng.choice("abÉ .1") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for text in texts:
+        key, n = language.gram_counts(text)
+        assert dict(zip(key.tolist(), n.tolist(), strict=True)) == dict(brute.language_grams(text))
+
+
 def test_language(spark):
     rng = random.Random(1)
     letters = {"one": "abcdeo", "two": "xyzuvi", "ру": "абвгдя"}
