@@ -298,7 +298,7 @@ def _cascade_cycle(delete: Delete) -> Change:
     grow with the number of rounds."""
     tables, catalog = delete.tables, delete.tables.catalog
     below = _below(catalog, delete.spec.name)
-    upward = {n: [fk for fk in catalog[n].foreign_keys if fk.ref_table in below] for n in below}
+    upward = {n: [fk for fk in catalog[n].foreign_keys if fk.ref_table in below] for n in sorted(below)}
     if all(len(keys) <= 1 for keys in upward.values()):
         return _cascade_chains(delete, {n: keys[0] for n, keys in upward.items() if keys})
     _, go = delete._split()
@@ -373,7 +373,7 @@ def _cascade_chains(delete: Delete, upward: dict[str, ForeignKey]) -> Change:
         )
         own = [c.alias(f"_own{i}") for i, c in enumerate(_cols(fk.props))]
         on = _same([F.col(f"_own{i}") for i in range(len(own))], [F.col(f"_ref{i}") for i in range(len(own))])
-        pointers.append(rows.select(node, *own).join(keys, on).select("node", "_up"))
+        pointers.append(rows.select(node, *own).join(keys, on).select("node", F.col("_up").alias("up")))
     first = go.select(_node(root, _cols(root.primary_key)).alias("node")).distinct()
     first = settle(first, "doomed")
     links = functools.reduce(DataFrame.union, pointers).where("up IS NOT NULL")
@@ -397,7 +397,7 @@ def _cascade_chains(delete: Delete, upward: dict[str, ForeignKey]) -> Change:
     doomed = state.where("doomed").select(F.col("node").alias("_node"))
     hit = {r[0] for r in doomed.select(F.substring_index("_node", ":", 1)).distinct().collect()}  # tables
     parts = {}
-    for name in {root.name, *(n for n in upward if n.partition(":")[0] in hit)}:
+    for name in dict.fromkeys([root.name, *(n for n in upward if n.partition(":")[0] in hit)]):
         spec, table = catalog[name], tables.table(name)
         on = _node(spec, _cols(spec.primary_key)) == F.col("_node")
         parts[name] = TableChange(table.join(doomed, on, "left_anti"), table.join(doomed, on, "left_semi"))
