@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.stages import settle
-from tablewright.operators.joins import apart
 
 GRAM = 32  # bytes whose hash makes an anchor
 SHALLOW = 5  # steps of eight bytes that multikey quicksort makes
@@ -489,10 +488,11 @@ def remove_repeats(
         texts = _told_apart(texts, several.select("id"))
     first = settle(texts.select("id", "twin", "body").mapInArrow(_runs(length), _ROW), "runs")
     spans = first.where("stop >= 0").select("id", "twin", "at", "stop")
-    runs = first.where("stop < 0")
-    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    of_key = F.count(F.lit(1)).over(Window.partitionBy("key"))
     open_ = settle(
-        runs.join(apart(several, F.col("key")), "key")  # adaptive plans split a key of many runs
+        first.where("stop < 0")
+        .withColumn("n", of_key)
+        .where("n > 1")
         .withColumn(
             "salt",
             F.when(F.col("n") > hot, F.pmod(F.xxhash64("id", "at"), F.ceil(F.col("n") / hot)))
