@@ -222,7 +222,7 @@ class Query:
                     ties.append((one, symbol, two, kinds[0]))
                     aliases |= sides[0]
         if not ties:
-            raise ValueError(f"the join of {alias!r} needs a comparison of two properties of one type")
+            raise ValueError(f"the join of {alias!r} needs an equality or comparison of two properties of one type")
         condition = functools.reduce(Column.__and__, [as_condition(c).holds(scope) for c in conditions])
         base, keeps = self.base, {"left": (True, False), "right": (False, True), "full": (True, True)}
         left_kept, right_kept = keeps.get(how, (False, False))

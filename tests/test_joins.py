@@ -102,10 +102,10 @@ def test_joins_without_an_equality_are_refused(small):
         lambda: query.from_("r", "b").filter(gt("b.id", 1)).frame(),
         lambda: query.from_("r", "b").filter(lt_property("a.id", "b.id")).frame(),
         lambda: query.cross_join("r", "b", True),
-        lambda: query.inner_join("r", "b", lt_property("a.id", "b.id")),
-        lambda: query.left_join("r", "b", lt_property("a.id", "b.id")),
+        lambda: query.inner_join("r", "b", lt_property("a.id", "a.k")),
         lambda: query.inner_join("r", "b", eq_property("a.id", "a.k")),
-        lambda: query.filter(sub.exists(ws.query("r", "b").filter(lt_property("b.id", "a.id")))).frame(),
+        lambda: query.filter(sub.exists(
+            ws.query("r", "b").filter(lt_property("b.id", "a.id")).filter(lt_property("b.k", "a.k")))).frame(),
     ):
         with pytest.raises(ValueError, match="equality"):
             refused()

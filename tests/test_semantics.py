@@ -95,7 +95,7 @@ def test_cross_join_with_a_condition(ws):
     q = ws.query("album", "a").cross_join("owner", "o", on)
     assert q.count_rows() == 2
     with pytest.raises(ValueError, match="equality"):
-        ws.query("album", "a").cross_join("owner", "o", lt_property("a.id", "o.id"))
+        ws.query("album", "a").cross_join("owner", "o", lt_property("a.id", "a.name"))
 
 
 def test_outer_and_derived_aliases(ws):
