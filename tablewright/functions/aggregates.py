@@ -26,8 +26,9 @@ def sum_(prop, distinct: bool = False) -> Expr:
 
 def count(prop, distinct: bool = False) -> Expr:
     f = as_field(prop)
-    agg = F.count_distinct if distinct else F.count
-    return Expr(lambda scope: agg(f.build(scope)), aggregate=True)
+    if distinct:
+        return Expr(lambda scope: F.count_distinct(f.build(scope)), aggregate=True)
+    return Expr(lambda scope: F.count(f.build(scope)), aggregate=True, counted=(f,))
 
 
 def avg(prop, distinct: bool = False) -> Expr:
@@ -45,7 +46,7 @@ def avg(prop, distinct: bool = False) -> Expr:
 def rows(alias: str | None = None) -> Expr:
     """Number of rows, or the number in which the aliased side of an outer join exists."""
     if alias is None:
-        return Expr(lambda scope: F.count(F.lit(1)), aggregate=True)
+        return Expr(lambda scope: F.count(F.lit(1)), aggregate=True, counted=(None,))
 
     def build(scope):
         source = scope.sources[alias]

@@ -23,7 +23,8 @@ DATES = (dt.date, dt.datetime)
 
 class Expr:
     """A column that still has to be looked up in a scope. `prop` is the property it stands for,
-    if it is no more than that; `aggregate` tells that it combines rows."""
+    if it is no more than that; `aggregate` tells that it combines rows, and `counted` what it counts, if it
+    is a plain count: a field, or None within a tuple for rows."""
 
     def __init__(
         self,
@@ -31,14 +32,16 @@ class Expr:
         label: str | None = None,
         prop: str = "",
         aggregate: bool = False,
+        counted: tuple | None = None,
     ):
         self.build = build
         self.label = label
         self.prop = prop
         self.aggregate = aggregate
+        self.counted = counted
 
     def as_(self, label: str) -> Expr:
-        return Expr(self.build, label, self.prop, self.aggregate)
+        return Expr(self.build, label, self.prop, self.aggregate, self.counted)
 
     def _with(self, other: Any, combine: Callable[[Column, Column], Column]) -> Expr:
         return Expr(

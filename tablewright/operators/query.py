@@ -21,6 +21,7 @@ from tablewright.functions.fields import Expr, as_field, outer, to_col
 from tablewright.functions.predicates import Condition, as_condition, eq_property
 from tablewright.functions.scope import Scope, Source
 from tablewright.operators import setops
+from tablewright.operators.counted import ROWS, Link, counted
 from tablewright.operators.filters import where
 from tablewright.operators.joins import (
     apart,
@@ -87,6 +88,7 @@ class Query:
     frames: tuple[tuple[str, DataFrame], ...] = ()  # by alias, for the keys a table may hold
     loose: tuple[str, ...] = ()  # tables in FROM that filters must tie to the others
     ties: tuple[frozenset, ...] = ()  # aliases that joins tie by an equality
+    links: tuple[Link, ...] = ()  # joins by equal keys alone
     page: tuple[int, int] | None = None  # offset, limit
 
     # ---- sources -------------------------------------------------------------------------
@@ -191,12 +193,17 @@ class Query:
                 left_once,
                 right_once,
             )
+        links = self.links
+        if not more and split and len(set(owners)) == 1 and owners[0] in self.scope.sources:
+            sides = tuple((scope.resolve(a), scope.resolve(b)) for a, b in pairs)
+            links = (*links, Link(alias, owners[0], sides, how, right_once))
         return replace(
             self,
             base=joined,
             scope=scope,
             frames=(*self.frames, (alias, right)),
             ties=(*self.ties, *ties),
+            links=links,
         )
 
     def _range_join(self, right: DataFrame, alias: str, scope: Scope, conditions, how: str) -> Query:
@@ -490,7 +497,12 @@ class Query:
             else:
                 sort_keys.append(to_col(o.field, self.scope).alias(f"_o{i}"))
                 sort.append(o.by(f"_o{i}"))
-        df = self.rows_frame().groupBy(*keys).agg(*items, *having, *sort_keys)
+        only = None if having or sort_keys else self._counts()
+        if only:
+            df, items = only[0].groupBy(*keys), only[1]
+        else:
+            df = self.rows_frame().groupBy(*keys)
+        df = df.agg(*items, *having, *sort_keys)
         for i in range(len(having)):
             df = df.where(f"_h{i}")
         extra = [f"_g{i}" for i in range(len(keys))] + [f"_h{i}" for i in range(len(having))]
@@ -500,6 +512,33 @@ class Query:
             return self._paged(df.drop(*helpers).distinct(), self._orders_by_label())
         return self._paged(df, sort).drop(*helpers)
 
+    def _counts(self) -> tuple[DataFrame, list[Column]] | None:
+        """The first table's rows with numbers of joined rows, and the items over them, where the query only
+        counts per properties of that table what joins by equal keys multiply; see `operators.counted`."""
+        hows = {link.how for link in self.links}
+        chained = len(self.links) == len(self.frames) - 1 and hows in ({"left"}, {"inner"})
+        if not chained or self.conditions or all(link.once for link in self.links):
+            return None
+        root, values, items = self.scope.root, {}, []
+        named = [as_field(g).prop for g in self.groups]
+        for i, (f, label) in enumerate(self.items):
+            if f.counted is None:
+                named.append(f.prop)
+                items.append(f.build(self.scope))
+            elif f.counted == (None,):
+                items.append(F.sum(F.col(ROWS)))
+            else:
+                watched = self.scope.watched()
+                value = f.counted[0].build(watched)
+                if len(watched.aliases) != 1 or watched.outer_names:
+                    return None
+                values[f"_n{i}"] = (*watched.aliases, value)
+                items.append(F.sum(F.col(f"_n{i}")))
+            items[-1] = items[-1].alias(label) if label else items[-1]
+        if len(named) == len(items) + len(self.groups) or not all(n and self._alias_of(n) == root for n in named):
+            return None
+        return counted(dict(self.frames), self.links, root, values), items
+
     def _order_column(self, o: Order) -> Column:
         """An order by label means the selected item, an order by name the property."""
         if isinstance(o.field, str):

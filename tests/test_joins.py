@@ -1,6 +1,7 @@
 """Outer joins with NULL, repeated and hot keys, and the plans behind them."""
 
 import itertools
+import random
 import re
 
 import duckdb
@@ -247,3 +248,40 @@ def test_rows_without_partner_on_hot_right_side(spark):
     assert got == want
     alone = query.filter(is_null("b.v")).column("a.k", "k").frame()
     assert alone.count() == sum(1 for _, v in want if v is None)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_counts_over_a_chain_join_one_row_per_key(small, how):
+    """As many joined rows as no job could go through: a thousand per key and join."""
+    many = [(i, None if i % 50 == 7 else i % 3, None) for i in range(3000)]
+    ws = small({LEFT: many, RIGHT: many})
+    query = (
+        ws.query("l", "a").join("r", "b", [("a.k", "b.k")], how).join("l", "c", [("b.k", "c.k")], how)
+        .join("r", "d", [("c.k", "d.k")], how).join("r", "e", [("a.id", "e.id")], how)
+        .group("a.k").column("a.k", "k").rows("n").count("b.k", "b").count("d.id", "d").count("a.id", "a").asc("k")
+    )
+    size = {k: sum(1 for r in many if r[1] == k) for k in (0, 1, 2)}
+    want = [(k, n**4, n**4, n**4, n**4) for k, n in size.items()]
+    lost = 3000 - sum(size.values())
+    assert query.list() == ([(None, lost, 0, 0, lost)] if how == "left" else []) + want
+
+
+def test_counts_over_joins_against_sql(small):
+    rng = random.Random(5)
+    left, right = (
+        [(i, rng.choice([None, 1, 2, 3, 4]), rng.choice([None, v])) for i in range(n)] for n, v in ((20, "x"), (17, 1.5))
+    )
+    ws, con = small({LEFT: left, RIGHT: right}), duck()
+    for name, data in (("l", left), ("r", right)):
+        con.execute(f"DELETE FROM {name}")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?, ?)", data)
+    for how in ("left", "inner"):
+        query = (
+            ws.query("l", "a").join("r", "b", [("a.k", "b.k")], how).join("l", "c", [("b.id", "c.k"), ("b.k", "c.id")], how)
+            .join("r", "d", [("a.k", "d.id")], how).group("a.k", "a.x").column("a.x", "t")
+            .rows("n").count("b.y", "b").count("c.id", "c").count("d.k", "d").count("a.x", "own")
+        )
+        sql = f"""SELECT a.x, count(*), count(b.y), count(c.id), count(d.k), count(a.x) FROM l a
+                  {how} JOIN r b ON a.k = b.k {how} JOIN l c ON b.id = c.k AND b.k = c.id {how} JOIN r d ON a.k = d.id
+                  GROUP BY a.k, a.x"""
+        assert ordered(rows(query.frame())) == ordered(con.execute(sql).fetchall())
