@@ -101,8 +101,9 @@ class Delete:
             if split:
                 return split
         query = self.tables.query(self.spec.name, self.alias)
+        alone = len(self.joins) == 1 and not self.conditions
         for source, alias, on, how in self.joins:
-            query = query.join(source, alias, on, how)
+            query = query.met(source, alias, on) if alone and how == "inner" else query.join(source, alias, on, how)
         for condition in self.conditions:
             query = query.filter(condition)
         key = [F.col(f"{self.alias}.`{p}`") for p in self._key()]

@@ -32,7 +32,7 @@ from tablewright.operators.joins import (
     written,
 )
 from tablewright.operators.paging import Sort, page
-from tablewright.operators.ranges import range_join, reaches
+from tablewright.operators.ranges import met_rows, range_join, reaches
 from tablewright.operators.subqueries import linked_value
 
 if TYPE_CHECKING:
@@ -145,6 +145,7 @@ class Query:
         ties = {frozenset((self._alias_of(a), alias)) for a, _ in pairs} | _tied(scope, rest)
         if not any(alias in tie for tie in ties):
             return self._range_join(frame.alias(alias), alias, scope, rest, how)
+        how = "inner" if how == "met" else how
         if described.grouped and not self._left_once(scope, pairs):
             frame = apart(frame, *[F.col(f"`{scope.split(b)[1]}`") for _, b in pairs])
         right = frame.alias(alias)
@@ -208,7 +209,9 @@ class Query:
 
     def _range_join(self, right: DataFrame, alias: str, scope: Scope, conditions, how: str) -> Query:
         """A join whose conditions compare the two sides without any equality. Rows that an outer join
-        keeps are numbered and written first, so that those without a partner are found by number."""
+        keeps are numbered and written first, so that those without a partner are found by number. For `met`
+        rows only the joined ones of this query matter: where they can be told without pairs, they come
+        without columns of the other side, and once or twice each."""
         parts = [p for c in conditions for p in as_condition(c).parts]
         compared = [c for c in parts if c.order and c.order[1] in _TURNED]
         ties, aliases = [], set()
@@ -231,6 +234,9 @@ class Query:
         if not ties:
             raise ValueError(f"the join of {alias!r} needs an equality or comparison of two properties of one type")
         condition = functools.reduce(Column.__and__, [as_condition(c).holds(scope) for c in conditions])
+        found = met_rows(self.base, right, ties) if how == "met" and len(ties) == len(parts) else None
+        if found is not None:
+            return replace(self, base=found)
         base, keeps = self.base, {"left": (True, False), "right": (False, True), "full": (True, True)}
         left_kept, right_kept = keeps.get(how, (False, False))
         if left_kept:
@@ -287,6 +293,10 @@ class Query:
         root = self.scope.sources[self.scope.root]
         return root.covers_key(scope.split(a)[1] for a, _ in pairs)
 
+    def met(self, source, alias: str, on) -> Query:
+        """An inner join of which only this query's rows are wanted, however often each."""
+        return self.join(source, alias, on, "met")
+
     def inner_join(self, source, alias: str, on) -> Query:
         return self.join(source, alias, on, "inner")
 

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tablewright.functions import add, between, eq, field, gt_property, gte_property, lt_property, lte_property
 from tablewright.operators import ranges
@@ -124,3 +125,53 @@ def test_empty_sides_and_what_is_refused(small):
     assert ws.query("b", "b").left_join("a", "a", on()).column("b.id").list() == [(1,)]
     with pytest.raises(ValueError, match="comparison"):
         ws.query("a", "a").inner_join("b", "b", eq("a.id", 1))
+
+
+DELETES = {
+    **{name: CASES[name] for name in ("value between columns", "one comparison", "turned", "overlap")},
+    "inside": (lambda: between("a.lo", field("b.x"), field("b.y")), lambda a, b: le(b.x, a.lo) and le(a.lo, b.y)),
+    "strictly inside": (
+        lambda: [gt_property("a.lo", "b.x"), lt_property("a.lo", "b.y")],
+        lambda a, b: lt(b.x, a.lo) and lt(a.lo, b.y)),
+    "open below": (
+        lambda: [gt_property("a.lo", "b.x"), lte_property("a.lo", add("b.x", 40))],
+        lambda a, b: lt(b.x, a.lo) and a.lo <= b.x + 40),
+    "open above": (
+        lambda: [gte_property("a.lo", "b.x"), lt_property("a.lo", add("b.x", 1))],
+        lambda a, b: a.lo is not None and a.lo == b.x),
+}
+
+
+@pytest.mark.parametrize("name", DELETES)
+def test_delete_by_any_range(small, monkeypatch, name):
+    """Few rows on the joined side, so that some rows stay; intervals that nest, touch and leave gaps."""
+    monkeypatch.setattr(ranges, "BIN", 2)
+    on, test = DELETES[name]
+    rng, left = random.Random(3), 0
+    for spread in (60, 400):
+        b = [(i, x, x + rng.choice([-2, 0, 1, 5, 30]), None, None) for i in range(25) for x in [rng.randrange(spread)]]
+        a = [(i, rng.choice([None, *range(spread + 40)]), i % 90, None, None) for i in range(200)]
+        made = small({A: a, B: [*b, (99, None, 5, None, None), (98, 5, None, None, None)]})
+        change = made.delete("a", "a").inner_join("b", "b", on()).plan()
+        there = made.table("b").collect()
+        want = [r.id for r in made.table("a").collect() if not any(test(r, o) for o in there)]
+        assert [r[0] for r in rows(change.frame("a"))] == want
+        left += len(want)
+    assert left
+
+
+def test_rows_with_a_partner_take_no_pairs(small):
+    """A million pairs, of which a row needs one."""
+    made = small({A: [(i, i % 40, 0, None, None) for i in range(1000)], B: [(i, i % 20, 60, None, None) for i in range(1000)]})
+    met = made.query("a", "a").met("b", "b", between("a.lo", field("b.x"), field("b.y"))).rows_frame()
+    assert 1000 <= met.count() <= 2000
+
+
+def test_tasks_follow_from_the_pairs(ws, monkeypatch):
+    monkeypatch.setattr(ranges, "PAIRS", 50)
+    on, test = CASES["band"]
+    df = ws.query("a", "a").inner_join("b", "b", on()).columns("a.id", "b.id").frame()
+    pairs = sum(test(a, b) for a in ws.a for b in ws.b)
+    used = df.select(F.spark_partition_id().alias("p"), "*").groupBy("p").count().collect()
+    assert len(used) > 8 and df.rdd.getNumPartitions() > pairs / 50  # 8: the session's shuffle partitions
+    assert max(r[1] for r in used) < pairs / 4
