@@ -38,9 +38,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 or more of their five-word shingles, the one with the
-    smallest doc_id stays."""
+    smallest doc_id stays. SimHash fingerprints within three bits propose links first, MinHash finds those that
+    are further apart, and every link is verified on the full sets."""
     ship(spark)
-    return drop_near_duplicates(docs, width=5, least=0.8)
+    return drop_near_duplicates(docs, width=5, least=0.8, radius=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

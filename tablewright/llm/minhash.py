@@ -14,6 +14,9 @@ survivors between unconnected members, no more pairs than would connect it. When
 hardly any more, the members outside of a slot's largest group meet all members of their slot, a block of
 each at a time; what survives is verified there, and no more links come out than connect groups.
 
+With a radius given, classes whose SimHash fingerprints are that close are verified before all this; what they
+connect needs no pairs of signatures any more.
+
 A pair at the least similarity shares no slot once in 300,000 times (0.8, BANDS, ROWS), or less above it; a
 batch gives it up with a probability of at most `miss` over all batches.
 
@@ -37,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.components import connected
+from tablewright.llm.simhash import fingerprint_links, fingerprints
 from tablewright.llm.stages import release, releasing, settle
 from tablewright.llm.text import whole_row
 from tablewright.operators.joins import apart
@@ -387,8 +391,23 @@ def _open_members(slots: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(apart(open_, F.col("slot")), "slot")
 
 
-def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float, miss: float) -> DataFrame:
-    """(a, b): verified links between classes; they connect what all links at `least` or more connect."""
+def fingerprint_pairs(rows: DataFrame, classes: DataFrame, width: int, least: float, radius: int) -> DataFrame:
+    """(a, b): verified links between classes that bit-sliced comparison of their fingerprints proposes."""
+    heads = rows.join(classes.select(F.col("c").alias("row")), "row")
+    known = settle(heads.select(F.col("row").alias("c"), fingerprints(F.col("body"), width).alias("fp")), "fingerprints")
+    hubs = known.groupBy("fp").agg(F.min("c").alias("hub"))
+    same = known.join(apart(hubs, F.col("fp")), "fp").where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    close = fingerprint_links(hubs.select("fp"), radius).distinct()
+    close = close.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b")
+    close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return settle(_verified(settle(same.unionByName(close).distinct(), "close"), rows, width, least), "links")
+
+
+def similar_links(
+    rows: DataFrame, classes: DataFrame, width: int, least: float, miss: float, given: DataFrame | None = None
+) -> DataFrame:
+    """(a, b): verified links between classes, the `given` ones among them; they connect what all links at
+    `least` or more connect."""
     needed = needed_matches(least, miss)
     slots = _shared_slots(classes)
     spark = rows.sparkSession
@@ -398,6 +417,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, width: int, least: float,
 
     hubs = slots.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     links = confirm(_likely(hubs, classes, least, needed))
+    links = links if given is None else links.unionByName(given)
     large = slots.where("size > 2").drop("hub")  # a slot of two has met its hub
     sides = classes.select("c", "n", "signature")
     tried = hubs
@@ -475,7 +495,7 @@ def _remaining(open_, rows, sides, width: int, least: float, needed: list[int])
     return settle(links.distinct(), "links")
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, least: float, miss: float, whole: bool):
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, least: float, miss: float, radius: int | None, whole: bool):
     """The written rows, with all columns of `docs` if `whole`, and the groups as `near_duplicates` gives them."""
     given = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")]
     if whole:
@@ -492,7 +512,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, least: float,
     heads = known.select(F.col("c").alias("row"))
     classes = rows.select("row", "n", "signature").join(heads, "row").withColumnRenamed("row", "c")
     classes = settle(classes, "classes")
-    roots = connected(similar_links(rows, classes, width, least, miss)).toDF("c", "root")
+    given = None if radius is None else fingerprint_pairs(rows, classes, width, least, radius)
+    roots = connected(similar_links(rows, classes, width, least, miss, given)).toDF("c", "root")
     placed = known.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     placed = settle(placed.join(ids, "root").select("hi", "lo", "root", "component_id"), "placed")
@@ -522,7 +543,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable) and kept, and what
     tells rows of one id apart: root (of the component) and row."""
-    return _grouped(docs, doc_id, text, width, least, miss, whole=False)[1]
+    return _grouped(docs, doc_id, text, width, least, miss, None, whole=False)[1]
 
 
 def drop_near_duplicates(
@@ -532,8 +553,9 @@ def drop_near_duplicates(
     width: int = 5,
     least: float = 0.8,
     miss: float = 1e-6,
+    radius: int | None = None,
 ) -> DataFrame:
     """One document of each component, one with its least doc_id, all columns unchanged."""
-    rows, groups = _grouped(docs, doc_id, text, width, least, miss, whole=True)
+    rows, groups = _grouped(docs, doc_id, text, width, least, miss, radius, whole=True)
     heads = groups.where("kept").groupBy("root").agg(F.min("row").alias("row")).select("row")
     return rows.select("row", "whole").join(heads, "row", "left_semi").select("whole.*")

@@ -1,10 +1,11 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from data import documents, frame
 
-from tablewright.llm import minhash
+from tablewright.llm import minhash, simhash
 from tablewright.llm.minhash import (
     BATCH,
     HASHES,
@@ -145,3 +146,19 @@ def test_recall_of_bands():
 def test_shingle_set():
     assert len(shingle_set(b"a b  C\nd e a B c d", 4)) == 5
     assert (shingle_set(b"A b", 4) == shingle_set(b"a\tb ", 4)).all() and len(shingle_set(b" \x0b", 4)) == 0
+
+
+def test_fingerprints_propose_links_that_are_verified(spark, monkeypatch):
+    """In the pipeline's stage: one word of 600 changed is within three bits; texts that one repeated shingle
+    dominates have one fingerprint, and are below the least similarity."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 10_000, 600)]
+    close = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 599)]
+    apart = [" ".join(["a"] * 500 + [f"{x}{i}" for i in range(40)]) for x in "xyz"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([" ".join(words), *close, *apart])]
+    monkeypatch.setattr(minhash, "similar_links", lambda *args: args[-1])
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    assert got == {0, 3, 4, 5}
+    print_of = {d: simhash.fingerprint(t.encode(), 5) for d, t, *_ in rows}
+    assert all(bin((print_of[0] ^ print_of[d]) & (1 << 64) - 1).count("1") <= 3 for d in (1, 2))
+    assert print_of[3] == print_of[4] == print_of[5]
