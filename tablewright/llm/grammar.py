@@ -33,48 +33,47 @@ from tablewright.llm.tokens import encode
 
 MARK, VERSION = 0x52504731, 2
 BLOCK = 1 << 20  # ids of a block, but for one longer document
+SHORT = 32  # ids of the rules that a whole block's reading expands once for all their places
 LEAST = 7  # occurrences in a block that make a pair frequent: a rule takes 12 bytes, a place saves 2 or more
 
 
-def _frequent(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the positions whose pair occurs `LEAST` times, which pair each has, and the pairs."""
-    bits = max(1, int(seq.max()).bit_length()) if len(seq) else 1
+def _frequent(seq: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the positions whose pair occurs `LEAST` times, which pair each has, and the pairs, as
+    numbers with `bits` for the second symbol."""
     pair = seq[at].astype(np.int64) << bits | seq[at + 1]
-    # What shares a cell with few others is rare; the rest is sorted and counted exactly.
-    cells = len(at).bit_length() + 1
-    cell = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cells)).view(np.int64)
-    often = np.bincount(cell, minlength=1 << cells)[cell] >= LEAST
-    at, pair = at[often], pair[often]
     places = max(1, len(at).bit_length())
     if 2 * bits + places < 64:  # numbers sort faster than an order is found
-        packed = np.sort(pair << places | np.arange(len(at)))
-        order, pair = packed & (1 << places) - 1, packed >> places
+        pair <<= places
+        pair |= np.arange(len(at))
+        pair.sort()
+        order, pair = pair & (1 << places) - 1, pair >> places
     else:
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
     start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
     count = np.diff(start, append=len(pair))
     stays = count >= LEAST
-    kind = np.empty(len(at), np.int64)
-    kind[order] = np.repeat(np.where(stays, np.cumsum(stays) - 1, -1), count)
-    frequent = kind >= 0
+    number = np.where(stays, np.cumsum(stays) - 1, -1).astype(np.int32)
+    kind = np.empty(len(at), np.int32)
+    kind[order] = np.repeat(number, count)
+    frequent = np.flatnonzero(kind >= 0)
     return at[frequent], kind[frequent], pair[start[stays]]
 
 
-def _apart(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Whether each position remains when, in a run of one pair (a a a), each taken one excludes the
-    next, from the left on."""
-    run = np.concatenate(([True], (np.diff(at) > 1) | (kind[1:] != kind[:-1])))
-    start = np.flatnonzero(run)
-    return (np.arange(len(at)) - start[np.cumsum(run) - 1]) % 2 == 0
+def _again(beside: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which positions go when, in a run of one pair (a a a), each one that stays excludes the next, from
+    the left on."""
+    same = np.flatnonzero(beside & (kind[1:] == kind[:-1])) + 1  # the pair of the position before, and overlaps it
+    begun = np.flatnonzero(np.diff(same, prepend=-1) > 1)
+    run = np.repeat(same[begun], np.diff(begun, append=len(same)))
+    return same[(same - run) % 2 == 0]
 
 
-def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _winners(beside: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Whether each position's pair ranks above the pairs that it overlaps."""
-    beside = np.diff(at) == 1
-    wins = np.ones(len(at), bool)
-    wins[1:] &= ~beside | (rank[1:] > rank[:-1])
-    wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+    wins, above = np.ones(len(rank), bool), rank[1:] > rank[:-1]
+    wins[1:] &= ~beside | above
+    wins[:-1] &= ~(beside & above)  # neighbours have different pairs, so one of two ranks above the other
     return wins
 
 
@@ -96,29 +95,34 @@ def compress(ids: list[np.ndarray]) -> bytes:
         begun = np.flatnonzero(fresh)
         if len(begun) < LEAST:
             break
-        at, kind, pairs = _frequent(seq, begun)
+        bits = max(1, int(seq.max()).bit_length())
+        at, kind, pairs = _frequent(seq, begun, bits)
         fresh[begun] = False
         fresh[at] = True
         if not len(at):
             break
         # A pair's own overlaps go first, and count for nothing; then frequent pairs go before rare ones.
-        own = _apart(at, kind)
-        often = np.bincount(kind[own], minlength=len(pairs))
-        few = often[kind] < LEAST
-        fresh[at[few]] = False
-        at, kind = at[own & ~few], kind[own & ~few]
+        again = _again(np.diff(at) == 1, kind)
+        often = np.bincount(kind, minlength=len(pairs)) - np.bincount(kind[again], minlength=len(pairs))
+        few = often < LEAST
+        stays = ~few[kind]
+        if few.any():
+            fresh[at[~stays]] = False
+        stays[again] = False
+        if not stays.all():
+            at, kind = at[stays], kind[stays]
         if not len(at):
             continue
-        rank = np.empty(len(pairs), np.int64)
+        rank = np.empty(len(pairs), np.int32)
         mixed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         rank[np.lexsort((mixed, often))] = np.arange(len(pairs))
-        take = _winners(at, rank[kind])
+        take = np.flatnonzero(_winners(np.diff(at) == 1, rank[kind]))
+        at, kind = at[take], kind[take]
         # The first of all pairs wins at all its places, so every round makes a rule.
-        worth = np.bincount(kind[take], minlength=len(pairs)) >= LEAST
-        take &= worth[kind]
+        worth = np.bincount(kind, minlength=len(pairs)) >= LEAST
+        take = worth[kind]
         at, kind = at[take], (np.cumsum(worth) - 1)[kind[take]]
-        two = np.zeros((int(worth.sum()), 2), np.int64)
-        two[kind, 0], two[kind, 1] = seq[at], seq[at + 1]
+        two = np.stack((pairs[worth] >> bits, pairs[worth] & (1 << bits) - 1), axis=1)
         rules.append(two)
         lengths.append(weight[two].sum(axis=1))
         weight = np.concatenate((weight, lengths[-1]))
@@ -201,10 +205,35 @@ class Block:
         skipped = int(ends[a - 1]) if a else 0
         return self.expand(seq[a : b + 1])[start - skipped : stop - skipped]
 
+    def whole(self) -> np.ndarray:
+        """The ids of all documents. Each short rule is expanded once, and copied to its places; there are
+        fewer than a seventh as many rules as ids, so what is held of them is some five times the ids at most."""
+        seq, sizes, found = self.seq.astype(np.int64), self.sizes(self.seq), []
+        place = np.cumsum(sizes) - sizes
+        while len(seq):
+            longer = np.flatnonzero(sizes > SHORT)
+            two, at = self.rules[seq[longer] - self.first].astype(np.int64), place[longer]
+            place <<= 32
+            place |= seq
+            found.append(np.delete(place, longer))
+            left = self.sizes(two[:, 0])
+            seq, place = np.concatenate((two[:, 0], two[:, 1])), np.concatenate((at, at + left))
+            sizes = np.concatenate((left, sizes[longer] - left))
+        found = np.concatenate(found) if found else np.zeros(0, np.int64)
+        found.sort()
+        seq = found & (1 << 32) - 1
+        short = np.flatnonzero(self.lengths <= SHORT)
+        begun = np.arange(self.first + len(self.rules))
+        begun[self.first + short] = self.first + np.cumsum(self.lengths[short], dtype=np.int64) - self.lengths[short]
+        known = np.concatenate((self.alphabet, self.expand(self.first + short)))
+        sizes = self.sizes(seq)
+        ends = np.cumsum(sizes)
+        return known[np.arange(sizes.sum()) + np.repeat(begun[seq] - (ends - sizes), sizes)]
+
     def documents(self) -> Iterator[np.ndarray]:
         """The ids of every document, all expanded at once."""
         sizes = np.concatenate(([0], np.cumsum(self.sizes(self.seq))))
-        ids, cuts = self.expand(self.seq), sizes[self.symbols]
+        ids, cuts = self.whole(), sizes[self.symbols]
         return (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 

@@ -3,15 +3,18 @@
 Byte-level BPE never merges across the borders at which its pattern cuts a text: before the last
 white space ahead of something visible, and between letters, digits, signs and line ends. A text is the sequence
 of pieces between the borders that two bytes suffice to tell. Words repeat, so a worker keeps the ids of pieces that it has met in a
-table of fixed size, and asks the library only for those it does not hold. Pieces are always compared
-in full, never by hash alone. The tokenizer's added tokens (such as <|endoftext|>) have their own ids
+table of fixed size, and asks the library only for those it does not hold; words that begin with a space
+are asked for many at once, where the tokenizer's merges cannot reach from one into the next. Pieces are
+always compared in full, never by hash alone. The tokenizer's added tokens (such as <|endoftext|>) have their own ids
 wherever a text holds them, as in the library's default call. Texts go through in chunks of a megabyte;
 a longer text is not cut, and its task holds some ten times its bytes.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-SLOTS = 19  # bits of the table's size
+SLOTS = 20  # bits of the table's size
 POOL = 3_000_000  # ids that a worker keeps; past that it starts afresh
 CHUNK = 1 << 20  # bytes of text cut into pieces at once
 WIDE = 24  # bytes of the pieces that the table holds; longer ones are asked for each time
+JOINED = 100  # words that the library's model is asked for at once
 
 _loaded: dict[str, Pieces] = {}
 
@@ -49,13 +53,12 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return kind, border.ravel()
 
 
-_KIND, _BORDER = _kinds()
+_KIND, _BORDER = (table.astype(np.uint8).tobytes().ljust(256, b"\0") for table in _kinds())  # for bytes.translate
 
 
-def _cuttable(tokenizer) -> bool:
-    """Whether the borders above hold for a tokenizer: a byte-level BPE that changes no text before,
+def _cuttable(file: dict) -> bool:
+    """Whether the borders above hold for a tokenizer's file: a byte-level BPE that changes no text before,
     adds no space, cuts by the byte-level pattern and marks no ends of words."""
-    file = json.loads(tokenizer.to_str())
     cut, model = file.get("pre_tokenizer") or {}, file["model"]
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
     marks = ("continuing_subword_prefix", "end_of_word_suffix", "dropout")
@@ -74,6 +77,23 @@ def _byte_letters() -> list[str]:
     return letters
 
 
+#: A space, if any, and Latin letters, told by their bytes.
+_WORD = re.compile(
+    rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])+"
+).fullmatch
+_WORD_BYTES = [32, *range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]
+
+
+def _separable(file: dict, letters: str) -> bool:
+    """Whether no merge of a byte-level BPE joins the end of a word to the space of the next one, so that
+    words that begin with a space have the same ids one after another as each by itself."""
+    space, inside = letters[32], {letters[byte] for byte in _WORD_BYTES}
+    if not inside.issubset(file["model"]["vocab"]):
+        return False
+    merges = (m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"])
+    return not any(b[0] == space and inside.issuperset(a) and a[-1] != space for a, b in merges)
+
+
 class Pieces:
     """A tokenizer with the ids of the pieces it has met."""
 
@@ -81,7 +101,8 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cuttable = _cuttable(self.tokenizer)
+        file = json.loads(self.tokenizer.to_str())
+        self.cuttable = _cuttable(file)
         added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         added.pop(b"", None)
         longest_first = sorted(added, key=len, reverse=True)
@@ -89,8 +110,13 @@ class Pieces:
         self.added_ids = {content: i for content, (i, _) in added.items()}
         # Tokens that take blanks along or stand at word ends only are left to the library.
         self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
-        self.word = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = "".join(_byte_letters())
+        self.model = Tokenizer(self.tokenizer.model)  # the same model on a text as it is
+        self.separable = self.cuttable and _separable(file, self.letters)
+        if self.separable:  # by id, whether a token begins with a space
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[i for token, i in vocabulary.items() if token.startswith(self.letters[32])]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -100,24 +126,37 @@ class Pieces:
         self.first, self.count = np.zeros(size, np.int64), np.zeros(size, np.int32)
         self.pool, self.used = np.zeros(POOL // 8, "<u4"), 0
 
-    def ask(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces one after another, and how many each has."""
-        out: list[list[int]] = []
-        odd, model = [], self.tokenizer.model.tokenize
-        for piece in pieces:
-            body = piece[1:]
-            if piece[0] == 32 and body.isalpha():
-                out.append([t.id for t in model("Ġ" + body.decode())])
-            elif self.word(piece.decode()):
-                out.append([t.id for t in model(piece.decode("latin-1").translate(self.letters))])
+    def ask(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its own begin among them and how many they are."""
+        spaced, single, odd = [], [], []
+        for at, piece in enumerate(pieces):
+            if (piece[0] == 32 and piece[1:].isalpha()) or _WORD(piece):
+                (spaced if piece[0] == 32 and self.separable else single).append(at)
             else:
-                odd.append(len(out))
-                out.append([])
-        texts = [pieces[i].decode() for i in odd]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        count = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(chain.from_iterable(out), "<u4", int(count.sum())), count
+                odd.append(at)
+        ids, counts = [], []
+        for at in range(0, len(spaced), JOINED):
+            ids.append(self._words([pieces[i] for i in spaced[at : at + JOINED]]))
+            counts.append(np.diff(np.flatnonzero(self.opens[ids[-1]]), append=len(ids[-1])))
+        model = self.tokenizer.model.tokenize
+        out = [[t.id for t in model(self._shown(pieces[i]))] for i in single]
+        for i in odd:  # one by one: for a batch the library starts threads, which costs more than it saves
+            out.append(self.tokenizer.encode_batch_fast([pieces[i].decode()], add_special_tokens=False)[0].ids)
+        counts.append(np.fromiter(map(len, out), np.int64, len(out)))
+        ids.append(np.fromiter(chain.from_iterable(out), "<u4", int(counts[-1].sum())))
+        places, each = np.array(spaced + single + odd, np.int64), np.concatenate(counts)
+        first, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        first[places], count[places] = np.cumsum(each) - each, each
+        return np.concatenate(ids), first, count
+
+    def _shown(self, text: bytes) -> str:
+        """Bytes as the letters that stand for them in the vocabulary."""
+        return codecs.charmap_decode(text, "strict", self.letters)[0]
+
+    def _words(self, pieces: list[bytes]) -> np.ndarray:
+        """The ids of words that each begin with a space, and have no other."""
+        shown = self._shown(b"".join(pieces))
+        return np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
 
     def _keep(self, ids: np.ndarray) -> int:
         """Puts ids into the pool and returns their place."""
@@ -167,7 +206,7 @@ class Pieces:
             self._forget()
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         data = np.frombuffer(data_bytes + bytes(WIDE), np.uint8)
-        start, length = _cut(data, offsets)
+        start, length = _cut(data_bytes, data, offsets)
         keys = _keys(data, start, length)
         mixed = length.astype(np.uint64)
         for k in keys:
@@ -198,8 +237,8 @@ class Pieces:
             same[1:] &= k[1:] == k[:-1]
         head = order[~same]
         ends = (start + length)[head].tolist()
-        ids, count = self.ask([data_bytes[a:b] for a, b in zip(start[head].tolist(), ends, strict=True)])
-        first = self._keep(ids) + np.cumsum(count) - count
+        ids, first, count = self.ask([data_bytes[a:b] for a, b in zip(start[head].tolist(), ends, strict=True)])
+        first += self._keep(ids)
         fits = length[head] <= WIDE
         into = slot[head][fits]
         into, last = np.unique(into, return_index=True)  # one piece to a slot
@@ -213,12 +252,12 @@ class Pieces:
         return first[kind], count[kind]
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the pieces of texts at `offsets`."""
+def _cut(data_bytes: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the pieces of texts at `offsets`; `data` goes on behind their end."""
     size = offsets[-1]
-    kind = _KIND[data[:size]]
+    kind = np.frombuffer(data_bytes.translate(_KIND), np.uint8)
     starts = np.zeros(size, bool)
-    np.take(_BORDER, kind[:-1] << 3 | kind[1:], out=starts[1:])
+    starts[1:] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(_BORDER), bool)
     text = np.zeros(size + 1, bool)
     text[offsets] = True
     space = np.flatnonzero(kind >= 5)  # the last of a run stands apart from the rest

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -342,6 +343,65 @@ def test_token_files(spark, monkeypatch, block):
     assert grammar.token_index(settle(grammar.token_files(frame(spark, []), FILE))).count() == 0
 
 
+class Counted:
+    """A library object that notes the calls of its methods, and of its model's."""
+
+    def __init__(self, inner, calls):
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        value = getattr(self.inner, name)
+        if name == "model":
+            return Counted(value, self.calls)
+
+        def call(*args, **kwargs):
+            self.calls.append(name)
+            return value(*args, **kwargs)
+
+        return call if callable(value) else value
+
+
+def test_new_words_are_asked_for_together():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéñöÇſ\u024f", k=rng.randint(1, 30))) for _ in range(4000)]
+    text = "".join(rng.choice((" ", " ", " ", " ", " ", "  ", "\n", "\u00a0 ")) + w for w in words)
+    text += "".join(" " + "".join(rng.choices("etaoinshr", k=7)) for _ in range(6000)) + " x." + " nu,"
+    pieces, calls = tokens.Pieces(FILE), []
+    for part in ("tokenizer", "model"):
+        if hasattr(pieces, part):
+            setattr(pieces, part, Counted(getattr(pieces, part), calls))
+    assert pieces.ids_of([text.encode()])[0].tolist() == library()(text)
+    assert len(calls) < 2500  # some 2,000 of the pieces begin without a space or are no plain words
+
+
+def test_words_are_asked_for_alone_if_merges_reach_into_the_next(tmp_path):
+    file = json.loads(Tokenizer.from_file(FILE).to_str())
+    letters, body = tokens._byte_letters(), file["model"]
+    assert tokens._separable(file, "".join(letters))
+    for merges in ([["a", "Ġ"], ["aĠ", "b"]], [["Ġ", "b"], ["a", "Ġb"], ["Ġ", "a"]]):
+        body["vocab"] = {t: i for i, t in enumerate([*letters, *("".join(m) for m in merges)])}
+        body["merges"], file["added_tokens"] = merges, []
+        path, text = str(tmp_path / f"{len(merges)}.json"), "a b ba a b aba a\n a b"
+        with open(path, "w") as out:
+            json.dump(file, out)
+        pieces = tokens.Pieces(path)
+        assert pieces.cuttable and not pieces.separable
+        assert pieces.ids_of([text.encode()])[0].tolist() == pieces.tokenizer.encode(text).ids
+    del body["vocab"]["Ġ"], body["merges"][:]
+    assert not tokens._separable(file, "".join(letters))
+
+
+def test_long_rules_are_read_whole():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50_000, 3 * grammar.SHORT + 5)
+    ids = [np.concatenate((passage, rng.integers(0, 50_000, n), passage[n:])).astype(np.uint32) for n in range(40)]
+    for docs in (ids, [np.zeros(5000, np.uint32), *ids[:3]], ids[:1], []):
+        block = grammar.Block(grammar.compress(docs))
+        assert [d.tolist() for d in block.documents()] == [d.tolist() for d in docs]
+        assert block.whole().tolist() == block.expand(block.seq).tolist()
+    assert grammar.Block(grammar.compress(ids)).lengths.max() > grammar.SHORT
+
+
 def test_blocks_decode_at_any_place():
     rng = np.random.default_rng(0)
     for n, high, longest in ((0, 5, 1), (1, 2, 1), (40, 3, 300), (300, 6, 40), (50, 60_000, 400)):
